@@ -91,12 +91,19 @@ def first_n(df: DataFrame, bucket: Column, order: Sequence[Column], n: int | Col
     return kept.select(*df.columns).unionByName(edge.select(*df.columns))
 
 
-def global_rank(df: DataFrame, bucket: Column, order: Sequence[Column], keys: Sequence[str] = (), name: str = "rank") -> DataFrame:
-    """Row number per key in the order (bucket, order): rank inside the bucket plus the sizes of the buckets before."""
+def global_rank(
+    df: DataFrame, bucket: Column, order: Sequence[Column], keys: Sequence[str] = (), name: str = "rank",
+    bucket_order: Sequence[Column] | None = None,
+) -> DataFrame:
+    """Row number per key in the order (bucket, order): rank inside the bucket plus the sizes of the buckets before.
+
+    ``bucket`` may be a struct, then ``bucket_order`` gives the direction of each of its fields (as ``_bucket.<field>``).
+    """
     keys = list(keys) or ["_all"]
+    along = list(bucket_order or ["_bucket"])
     cut = df.withColumn("_all", F.lit(0)).withColumn("_bucket", bucket)
     sizes = cut.groupBy(*keys, "_bucket").agg(F.count("*").alias("_size"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(*along).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
     return cut.join(offsets, [*keys, "_bucket"]).select(*df.columns, (F.col("_before") + inside).alias(name))

@@ -219,3 +219,129 @@ judged AS (
     CASE WHEN source IN ('confirmed', 'ml_only') AND coalesce(stage2_p, 0) <> 0 AND coalesce(stage3_p, 0) <> 0 THEN {r4('stage2_p * stage3_p')}
          WHEN source = 'signature_only' THEN 0.0 ELSE confidence END AS confidence)
   FROM sourced)"""
+
+
+# ---- queue, acknowledgement log, users, rules ---------------------------------------------------------------------
+
+def _meter_names(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({
+        "first_seen_ms": "bidirectional_first_seen_ms", "packet_size": "bidirectional_bytes", "duration": "bidirectional_duration_ms"})
+
+
+def fresh_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queue rows as they are first stored."""
+    from flowsieve.operators import standardize
+
+    rows = standardize.format_predictions(_meter_names(judged(spark, sf_dir)), enrich.default_kb(spark), as_of(), MODEL_VERSION)
+    o = F.substring_index("id", "_", -1).cast("long")
+    return rows.withColumn("first_seen_at", F.timestamp_millis(F.unix_millis("flow_timestamp") + (30 + o % 600) * 1000))
+
+
+STATES = {"click": "reviewed", "purchase": "escalated", "error": "dismissed", "signup": "new"}
+
+
+def ack_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acknowledgement changes from events: one per third event that is no view, plus a later escalation per twelfth."""
+    n = table(spark, sf_dir, "orders").count()
+    e = F.col("event_id")
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", ((e * 29) % n).alias("o"))
+    first = F.when((F.col("event_type") != "view") & (e % 3 == 0), F.struct(
+        e.alias("id"), N.lookup(F.col("event_type"), STATES, F.lit("new")).alias("to_state"), (60 + (e * 11) % 7200).alias("late")))
+    second = F.when(e % 12 == 0, F.struct(
+        (e + 1000000).alias("id"), F.lit("escalated").alias("to_state"), (9000 + (e * 11) % 7200).alias("late")))
+    ch = ev.select("o", "user_id", F.explode(F.array_compact(F.array(first, second))).alias("c"))
+    f = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("o"), (F.lit(BASE_MS) + ((F.col("o_orderkey") * 173) % 2592000) * 1000).alias("first_seen_ms"))
+    return ch.join(f, "o").select(
+        F.col("c.id").alias("id"), F.concat(F.lit("flow_"), F.col("o").cast("string")).alias("prediction_id"), "user_id",
+        F.col("c.to_state").alias("to_state"), F.lit(None).cast("string").alias("note"),
+        F.timestamp_millis(F.col("first_seen_ms") + F.col("c.late") * 1000).alias("changed_at"))
+
+
+ACK_SQL = f"""
+ack_log AS (
+  SELECT e.event_id AS id, 'flow_' || o_orderkey AS prediction_id, e.user_id, {_case('e.event_type', STATES, "'new'")} AS to_state,
+    {BASE_MS} + ((o_orderkey * 173) % 2592000) * 1000 + (60 + (e.event_id * 11) % 7200) * 1000 AS changed_ms
+  FROM events e JOIN orders ON o_orderkey = (e.event_id * 29) % (SELECT count(*) FROM orders)
+  WHERE e.event_type <> 'view' AND e.event_id % 3 = 0
+  UNION ALL
+  SELECT e.event_id + 1000000, 'flow_' || o_orderkey, e.user_id, 'escalated',
+    {BASE_MS} + ((o_orderkey * 173) % 2592000) * 1000 + (9000 + (e.event_id * 11) % 7200) * 1000
+  FROM events e JOIN orders ON o_orderkey = (e.event_id * 29) % (SELECT count(*) FROM orders)
+  WHERE e.event_id % 12 = 0),
+last_ack AS (
+  SELECT prediction_id, to_state, changed_ms, user_id FROM ack_log
+  QUALIFY row_number() OVER (PARTITION BY prediction_id ORDER BY changed_ms DESC, id DESC) = 1)"""
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue with the acknowledgement states of the log."""
+    from flowsieve.operators import triage
+
+    return triage.with_ack_state(fresh_predictions(spark, sf_dir), ack_log(spark, sf_dir))
+
+
+def _kb_sql() -> str:
+    tactics, techniques = [], []
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    for cat, _, ts in fixed.ATTACK_KB:
+        for i, (tid, tname, ks) in enumerate(ts):
+            tactics.append(f"({quote(cat)}, {i}, {quote(tid)}, {quote(tname)})")
+            for kid, kname in ks:
+                techniques.append(f"({quote(cat)}, {i}, {quote(tid)}, {quote(kid)}, {quote(kname)}, {quote(fixed.technique_url(kid))}, {quote(ts[0][1])})")
+    texts = [f"({quote(cat)}, {quote(text)})" for cat, text, _ in fixed.ATTACK_KB]
+    return (
+        f"kb(category, description) AS (VALUES {', '.join(texts)}),\n"
+        f"kb_tactic(category, pos, tactic_id, tactic) AS (VALUES {', '.join(tactics)}),\n"
+        f"kb_technique(category, pos, tactic_id, technique_id, technique, url, first_tactic) AS (VALUES {', '.join(techniques)})"
+    )
+
+
+KB_SQL = _kb_sql()
+PRED_SQL = JUDGED_SQL + "," + ACK_SQL + "," + KB_SQL + f""",
+pred AS (
+  SELECT j.flow_id AS id, j.o, first_seen_ms AS flow_ms, first_seen_ms + (30 + j.o % 600) * 1000 AS stored_ms, make_timestamp(first_seen_ms * 1000) AS flow_timestamp,
+    src_ip AS source_ip, dst_ip AS destination_ip, src_port AS source_port, dst_port AS destination_port,
+    CASE protocol WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' ELSE 'ICMP' END AS protocol, packet_size, duration,
+    prediction, attack_type, family, attack_type AS subtype, confidence, severity, stage1_p, stage2_p, stage3_p, source,
+    coalesce(snort_msg, '') AS snort_msg, coalesce(snort_sid, 0) AS snort_sid, coalesce(snort_classtype, '') AS snort_classtype,
+    coalesce(snort_priority, 0) AS snort_priority,
+    prediction = 'Malicious' AND confidence >= 0.7 AND attack_type IS NOT NULL AS has_mitre,
+    CASE WHEN confidence >= 0.7 AND confidence < 0.85 THEN 'low' WHEN confidence >= 0.85 AND confidence < 0.95 THEN 'high'
+         WHEN confidence >= 0.95 THEN 'very_high' ELSE 'low' END AS band,
+    coalesce(a.to_state, 'new') AS ack_state, a.changed_ms AS ack_ms, a.user_id AS ack_by
+  FROM judged j LEFT JOIN last_ack a ON a.prediction_id = j.flow_id)"""
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        c.alias("id"), F.lower("c_name").alias("username"), F.when(c % 50 == 0, "admin").otherwise("analyst").alias("role"))
+
+
+USERS_SQL = "users AS (SELECT c_custkey AS id, lower(c_name) AS username FROM customer)"
+
+FLOW_123 = "SELECT src_ip || ':' || src_port || '-' || dst_ip || ':' || dst_port || '-' || CASE protocol WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' ELSE 'ICMP' END FROM flows WHERE o = 123"
+RULES = [
+    # id, kind, value (None: the key of flow 123), created, expires
+    ("r1", "sid", "2013028", "2024-01-02", None), ("r2", "flow_key", None, "2024-01-03", None),
+    ("r3", "src_ip", "10.1.0.7", "2024-01-04", None), ("r4", "src_cidr", "10.2.0.0/16", "2024-01-05", None),
+    ("r5", "sid", "2001219", "2024-01-06", "2024-01-20"), ("r6", "sid", "2013028", "2024-01-07", None),
+]
+
+
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six suppression rules; one names the key of a flow, so it is read from the flows."""
+    listed = [(i, k, v, 0, c, e) for i, k, v, c, e in RULES if v is not None]
+    plain = spark.createDataFrame(listed, "id string, kind string, value string, hits long, created string, expires string")
+    i, k, _, c, e = RULES[1]
+    keyed = flows(spark, sf_dir).filter("o = 123").select(
+        F.lit(i).alias("id"), F.lit(k).alias("kind"), N.flow_key("src_ip", "dst_ip", "src_port", "dst_port", "protocol").alias("value"),
+        F.lit(0).cast("long").alias("hits"), F.lit(c).alias("created"), F.lit(e).cast("string").alias("expires"))
+    return plain.unionByName(keyed).select(
+        "id", "kind", "value", "hits", F.to_timestamp("created").alias("created_at"), F.to_timestamp("expires").alias("expires_at"))
+
+
+RULES_SQL = "rules(id, kind, value, created, expires) AS (VALUES " + ", ".join(
+    f"('{i}', '{k}', {'(' + FLOW_123 + ')' if v is None else repr(v)}, DATE '{c}', {'CAST(NULL AS DATE)' if e is None else f'DATE {e!r}'})"
+    for i, k, v, c, e in RULES) + ")"
