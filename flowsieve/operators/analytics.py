@@ -313,9 +313,9 @@ def live_topk(df: DataFrame) -> DataFrame:
     One pass folds by the four columns' own groups; only the short per-section counts are ranked.
     """
     leaf = F.coalesce(F.nullif("subtype", F.lit("")), F.col("attack_type"))
+    entry = lambda name, key: F.struct(F.lit(name).alias("section"), key.alias("key"))
     sections = F.array(
-        F.struct(F.lit("verdict").alias("section"), F.col("source").alias("key")), F.struct(F.lit("family"), F.col("family")),
-        F.struct(F.lit("source"), F.col("source_ip")), F.struct(F.lit("leaf"), leaf))
+        entry("verdict", F.col("source")), entry("family", F.col("family")), entry("source", F.col("source_ip")), entry("leaf", leaf))
     long = df.select(F.explode(sections).alias("e")).select("e.*").filter("key is not null and key <> ''")
     g = long.groupBy("section", "key").agg(F.count("*").alias("count"))
     rank = F.row_number().over(Window.partitionBy("section").orderBy(F.col("count").desc(), "key"))

@@ -17,27 +17,53 @@ HOUR_MS = 3_600_000
 
 
 def previous_by_time(
-    df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str], tie: Sequence[str] = (), width: int = HOUR_MS
+    df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str], tie: Sequence[str] = (), width: int = HOUR_MS,
+    hot_width: int | None = 1000, support: float = 0.05,
 ) -> DataFrame:
     """``prev_<value>`` of the row before, per key in the order (ts, tie).
 
     Rows are partitioned by key and time bucket. The first row of a bucket takes its predecessor from the tails of the
-    earlier buckets, one row per key and bucket.
+    earlier buckets, one row per key and bucket. Keys with more than ``support`` of all rows are cut finer, into buckets of
+    ``hot_width``.
     """
-    cut = df.withColumn("_bucket", F.floor(F.col(ts) / width))
+    cut = df.withColumn("_h", F.xxhash64(*keys))
+    hot = hot_values(cut, "_h", support) if hot_width else []
+    size = F.when(F.col("_h").isin(hot), hot_width).otherwise(width) if hot else F.lit(width)
+    cut = cut.withColumn("_bucket", F.floor(F.col(ts) / size) * size).drop("_h")
     at = [*keys, "_bucket"]
     inner = cut.withColumn("_lag", F.lag(F.struct(*values)).over(Window.partitionBy(*at).orderBy(ts, *tie)))
     tails = cut.groupBy(*at).agg(F.max_by(F.struct(*values), F.struct(ts, *tie)).alias("_tail"))
     carry = tails.select(*at, F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry"))
     joined = inner.join(carry, at, "left").withColumn("_prev", F.coalesce("_lag", "_carry"))
-    out = joined.select(*df.columns, *[F.col("_prev")[v].alias(f"prev_{v}") for v in values])
-    return out
+    return joined.select(*df.columns, *[F.col("_prev")[v].alias(f"prev_{v}") for v in values])
 
 
-def previous_overall(df: DataFrame, ts: str, tie: Sequence[str], width: int = HOUR_MS) -> DataFrame:
-    """``prev_<ts>`` of the row before in the order of the whole table."""
-    keyed = df.withColumn("_all", F.lit(0))
-    return previous_by_time(keyed, ["_all"], ts, [ts], tie, width).drop("_all")
+def previous_overall(df: DataFrame, ts: str, tie: str, width: int = 60_000) -> DataFrame:
+    """``prev_<ts>`` of the row before in the order (ts, tie) of the whole table, null for the first row.
+
+    Only the distinct times are put in order. Of the rows of one time the first by ``tie`` has the time before as its
+    predecessor, the others have the same time.
+    """
+    times = df.groupBy(ts).agg(F.min(tie).alias("_first")).withColumn("_bucket", F.floor(F.col(ts) / width)).withColumn("_all", F.lit(0))
+    inner = times.withColumn("_lag", F.lag(ts).over(Window.partitionBy("_bucket").orderBy(ts)))
+    tails = times.groupBy("_all", "_bucket").agg(F.max(ts).alias("_tail"))
+    carry = tails.select("_bucket", F.lag("_tail").over(Window.partitionBy("_all").orderBy("_bucket")).alias("_carry"))
+    before = inner.join(carry, "_bucket", "left").select(ts, "_first", F.coalesce("_lag", "_carry").alias("_before"))
+    prev = F.when(F.col(tie) == F.col("_first"), F.col("_before")).otherwise(F.col(ts))
+    return df.join(before, ts).select(*df.columns, prev.alias(f"prev_{ts}"))
+
+
+def trailing_counts(df: DataFrame, ts: str, span_ms: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows per key in ``[t - span, t]`` for every time ``t`` that has rows, as (keys, ts, at_once, in_window).
+
+    Counts per time first, then windows inside buckets as long as the span, each with a copy of the bucket before: a
+    window never holds more than two spans of distinct times, however many rows a key has.
+    """
+    per = df.groupBy(*keys, ts).agg(F.count("*").alias("at_once"))
+    own = F.floor(F.col(ts) / span_ms)
+    both = per.withColumn("_own", own).withColumn("_bucket", F.explode(F.array(own, own + 1)))
+    w = Window.partitionBy(*keys, "_bucket").orderBy(ts).rangeBetween(-span_ms, 0)
+    return both.withColumn("in_window", F.sum("at_once").over(w)).filter("_own = _bucket").drop("_own", "_bucket")
 
 
 def value_buckets(df: DataFrame, column: str, parts: int = 64) -> DataFrame:

@@ -36,31 +36,31 @@ def as_of():
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flow per order, with the class probabilities a model would give."""
-    o, c = F.col("o"), F.col("c")
-    base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c"))
-    host_a = F.concat(F.lit("10."), (c % 4).cast("string"), F.lit(".0."), (c % 25 + 1).cast("string"))
-    host_b = F.concat(F.lit("192.168."), (o % 3).cast("string"), F.lit("."), (o % 11 + 1).cast("string"))
-    swap = o % 17 == 0
-    d = base.select(
-        "o", "c", F.concat(F.lit("flow_"), o.cast("string")).alias("flow_id"),
-        F.when(swap, host_b).otherwise(host_a).alias("src_ip"), F.when(swap, host_a).otherwise(host_b).alias("dst_ip"),
-        (1024 + (o * 37) % 60000).cast("int").alias("src_port"),
-        F.element_at(F.array(*[F.lit(p) for p in PORTS]), (o % 8 + 1).cast("int")).alias("dst_port"),
-        F.when(o % 10 < 7, 6).when(o % 10 < 9, 17).otherwise(1).alias("protocol"),
-        (F.lit(BASE_MS) + ((o * 173) % 2592000) * 1000).alias("first_seen_ms"),
-        ((o * 97) % 100000).cast("int").alias("packet_size"), ((o * 41) % 60000).cast("double").alias("duration"),
-        (((o * 31 + c) % 10000) / F.lit(10000.0)).alias("stage1_p"),
-        ((o * 7 + c * 3) % 6).cast("int").alias("fam_idx"),
-        ((5000 + (o * 131 + c * 17) % 5000) / F.lit(10000.0)).alias("raw2_p"),
-        ((5000 + (o * 197 + c * 29) % 5000) / F.lit(10000.0)).alias("raw3_p"),
+    return (
+        table(spark, sf_dir, "orders")
+        .selectExpr(
+            "o_orderkey AS o", "o_custkey AS c",
+            "concat('10.', o_custkey % 4, '.0.', o_custkey % 25 + 1) AS host_a",
+            "concat('192.168.', o_orderkey % 3, '.', o_orderkey % 11 + 1) AS host_b",
+            f"element_at(array({_quoted(fixed.FAMILIES)}), CAST((o_orderkey * 7 + o_custkey * 3) % 6 + 1 AS INT)) AS raw_family")
+        .selectExpr(
+            "o", "c", "concat('flow_', o) AS flow_id",
+            "if(o % 17 = 0, host_b, host_a) AS src_ip", "if(o % 17 = 0, host_a, host_b) AS dst_ip",
+            "CAST(1024 + (o * 37) % 60000 AS INT) AS src_port",
+            f"element_at(array({_quoted(PORTS)}), CAST(o % 8 + 1 AS INT)) AS dst_port",
+            "CASE WHEN o % 10 < 7 THEN 6 WHEN o % 10 < 9 THEN 17 ELSE 1 END AS protocol",
+            f"{BASE_MS} + ((o * 173) % 2592000) * 1000 AS first_seen_ms",
+            "CAST((o * 97) % 100000 AS INT) AS packet_size", "CAST((o * 41) % 60000 AS DOUBLE) AS duration",
+            "((o * 31 + c) % 10000) / 10000D AS stage1_p",
+            "raw_family", "(5000 + (o * 131 + c * 17) % 5000) / 10000D AS raw2_p", "(5000 + (o * 197 + c * 29) % 5000) / 10000D AS raw3_p",
+            "CASE raw_family " + " ".join(
+                f"WHEN '{f}' THEN element_at(array({_quoted(leaves)}), CAST((o + c) % {len(leaves)} + 1 AS INT))"
+                for f, leaves in fixed.LEAVES_OF_FAMILY.items()) + " END AS raw_leaf")
     )
-    fams = F.array(*[F.lit(f) for f in fixed.FAMILIES])
-    d = d.withColumn("raw_family", F.element_at(fams, F.col("fam_idx") + 1))
-    leaf = F.lit(None).cast("string")
-    for family, leaves in fixed.LEAVES_OF_FAMILY.items():
-        pick = F.element_at(F.array(*[F.lit(x) for x in leaves]), ((o + c) % len(leaves) + 1).cast("int"))
-        leaf = F.when(F.col("raw_family") == family, pick).otherwise(leaf)
-    return d.withColumn("raw_leaf", leaf)
+
+
+def _quoted(values) -> str:
+    return ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
 
 
 def _sql_list(values) -> str:
@@ -100,21 +100,15 @@ flows AS (
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows with the model's decision."""
-    d = flows(spark, sf_dir)
-    others = lambda p, n: (1 - p) / F.lit(float(n))
-    fam_map = F.map_from_arrays(
-        F.array(*[F.lit(f) for f in fixed.FAMILIES]),
-        F.array(*[F.when(F.col("raw_family") == f, F.col("raw2_p")).otherwise(others(F.col("raw2_p"), 5)) for f in fixed.FAMILIES]),
-    )
-    leaf_map = F.lit(None).cast("map<string,double>")
-    for family, leaves in fixed.LEAVES_OF_FAMILY.items():
-        if len(leaves) == 1:
-            continue
-        probs = [F.when(F.col("raw_leaf") == x, F.col("raw3_p")).otherwise(others(F.col("raw3_p"), len(leaves) - 1)) for x in leaves]
-        m = F.map_from_arrays(F.array(*[F.lit(x) for x in leaves]), F.array(*probs))
-        leaf_map = F.when(F.col("raw_family") == family, m).otherwise(leaf_map)
-    d = d.withColumns({"stage2_probs": fam_map, "stage3_probs": leaf_map})
-    return verdict.score_hierarchical(d, TAU).drop("fam_idx")
+    def class_map(classes, label, p):
+        rest = f"(1 - {p}) / {len(classes) - 1}D"
+        return "map(" + ", ".join(f"'{x}', if({label} = '{x}', {p}, {rest})" for x in classes) + ")"
+
+    leaf_maps = " ".join(
+        f"WHEN '{f}' THEN {class_map(leaves, 'raw_leaf', 'raw3_p')}" for f, leaves in fixed.LEAVES_OF_FAMILY.items() if len(leaves) > 1)
+    d = flows(spark, sf_dir).selectExpr(
+        "*", f"{class_map(fixed.FAMILIES, 'raw_family', 'raw2_p')} AS stage2_probs", f"CASE raw_family {leaf_maps} END AS stage3_probs")
+    return verdict.score_hierarchical(d, TAU)
 
 
 _SINGLE = "('" + "', '".join(fixed.SINGLE_LEAF) + "')"
@@ -145,19 +139,14 @@ scored AS (
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth event is an alert about some flow, a quarter of them with the reversed key."""
     n = table(spark, sf_dir, "orders").count()
-    e = F.col("event_id")
-    ev = table(spark, sf_dir, "events").filter(e % 5 == 0).select("event_id", "event_type", ((e * 13) % n).alias("o"))
+    ev = table(spark, sf_dir, "events").filter("event_id % 5 = 0").selectExpr("event_id", "event_type", f"(event_id * 13) % {n} AS o")
     f = flows(spark, sf_dir).select("o", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "first_seen_ms")
-    back = e % 4 == 1
-    turn = lambda a, b: F.when(back, F.col(b)).otherwise(F.col(a)).alias(a)
-    return ev.join(f, "o").select(
+    turn = lambda a, b: f"if(event_id % 4 = 1, {b}, {a}) AS {a}"
+    return ev.join(f, "o").selectExpr(
         "event_id", "o", turn("src_ip", "dst_ip"), turn("dst_ip", "src_ip"), turn("src_port", "dst_port"), turn("dst_port", "src_port"),
-        "protocol", (F.col("first_seen_ms") + ((e * 7) % 121 - 90) * 1000).alias("alert_ms"),
-        N.lookup(F.col("event_type"), SIDS, F.lit(0)).alias("snort_sid"),
-        F.concat(F.lit("SIG "), F.col("event_type"), F.lit(" activity")).alias("snort_msg"),
-        N.lookup(F.col("event_type"), CLASSES, F.lit("")).alias("snort_classtype"),
-        (e % 3 + 1).cast("int").alias("snort_priority"),
-    )
+        "protocol", "first_seen_ms + ((event_id * 7) % 121 - 90) * 1000 AS alert_ms",
+        f"{_case('event_type', SIDS, '0')} AS snort_sid", "concat('SIG ', event_type, ' activity') AS snort_msg",
+        f"""{_case('event_type', CLASSES, "''")} AS snort_classtype""", "CAST(event_id % 3 + 1 AS INT) AS snort_priority")
 
 
 def _case(col: str, table: dict, default: str) -> str:
