@@ -166,14 +166,17 @@ def _starts_by_doubling(long: DataFrame, idle_ms: int, active_ms: int, rounds: i
 def _split_active(seg: DataFrame, idle_ms: int, active_ms: int, fold_limit: int) -> DataFrame:
     """Adds ``flow_start``: segments that outlast the active limit are cut where a packet crosses it."""
     keys = [*PAIR, "seg"]
+    seg = cut_lineage(seg)  # read several times below
     size = seg.groupBy(*keys).agg(F.max("ts_ms").alias("_end"), F.count("*").alias("_size")).filter(F.col("_end") - F.col("seg") >= active_ms)
+    length = F.col("_end") - F.col("seg")
+    found = size.agg(F.count("*").alias("n"), F.max(F.when(F.col("_size") > fold_limit, length)).alias("longest")).first()
+    if found["n"] == 0:
+        return seg.withColumn("flow_start", F.col("seg"))
     short = seg.join(size.select(*keys), keys, "left_anti").withColumn("flow_start", F.col("seg"))
     long = seg.join(size, keys)
     starts = _starts_by_fold(long.filter(F.col("_size") <= fold_limit).select(*keys, "ts_ms"), active_ms)
-    big = size.filter(F.col("_size") > fold_limit)
-    longest = big.agg(F.max(F.col("_end") - F.col("seg"))).first()[0]
-    if longest is not None:
-        rounds = max(1, int(longest // active_ms).bit_length())
+    if found["longest"] is not None:
+        rounds = max(1, int(found["longest"] // active_ms).bit_length())
         starts = starts.unionByName(_starts_by_doubling(long.filter(F.col("_size") > fold_limit).select(*keys, "ts_ms"), idle_ms, active_ms, rounds))
     # a start serves the instants up to the next one; both meet on the slice of the segment they lie in
     until = F.coalesce(F.lead("start").over(Window.partitionBy(*keys).orderBy("start")) - 1, F.col("_end"))

@@ -334,3 +334,87 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES_SQL = "rules(id, kind, value, created, expires) AS (VALUES " + ", ".join(
     f"('{i}', '{k}', {'(' + FLOW_123 + ')' if v is None else repr(v)}, DATE '{c}', {'CAST(NULL AS DATE)' if e is None else f'DATE {e!r}'})"
     for i, k, v, c, e in RULES) + ")"
+
+
+# ---- packets and windows ------------------------------------------------------------------------------------------
+
+PACKET_TIE = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+
+
+def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One packet per line item, a third of them answers."""
+    line = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS o", *PACKET_TIE, "l_suppkey % 3 = 0 AS back", "(l_linenumber * 3 + l_partkey % 40) * 1000 AS late",
+        "40 + CAST(l_quantity AS INT) * 20 AS length", "CASE l_returnflag WHEN 'R' THEN 2 WHEN 'N' THEN 24 ELSE 16 END AS flags")
+    f = flows(spark, sf_dir).select("o", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "first_seen_ms")
+    turn = lambda a, b: f"if(back, {b}, {a}) AS {a}"
+    return line.join(f, "o").selectExpr(
+        "o", turn("src_ip", "dst_ip"), turn("dst_ip", "src_ip"), turn("src_port", "dst_port"), turn("dst_port", "src_port"), "protocol",
+        "first_seen_ms + late AS ts_ms", "length", "flags", *PACKET_TIE,
+        "(((o * 8 + l_linenumber) * 200003 + l_partkey) * 10007 + l_suppkey) * 64 + CAST(l_quantity AS INT) AS packet_id")
+
+
+PACKETS_SQL = FLOWS_SQL + """,
+packets AS (
+  SELECT o, CASE WHEN l_suppkey % 3 = 0 THEN dst_ip ELSE src_ip END AS src_ip, CASE WHEN l_suppkey % 3 = 0 THEN src_ip ELSE dst_ip END AS dst_ip,
+    CASE WHEN l_suppkey % 3 = 0 THEN dst_port ELSE src_port END AS src_port, CASE WHEN l_suppkey % 3 = 0 THEN src_port ELSE dst_port END AS dst_port,
+    protocol, first_seen_ms + (l_linenumber * 3 + l_partkey % 40) * 1000 AS ts_ms, 40 + CAST(l_quantity AS INT) * 20 AS length,
+    CASE l_returnflag WHEN 'R' THEN 2 WHEN 'N' THEN 24 ELSE 16 END AS flags, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+    (((o * 8 + l_linenumber) * 200003 + l_partkey) * 10007 + l_suppkey) * 64 + CAST(l_quantity AS INT) AS packet_id
+  FROM lineitem JOIN flows ON o = l_orderkey),
+paired AS (
+  SELECT *, src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port) AS fwd,
+    CASE WHEN src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port) THEN src_ip || ':' || src_port || '-' || dst_ip || ':' || dst_port || '-' || protocol
+         ELSE dst_ip || ':' || dst_port || '-' || src_ip || ':' || src_port || '-' || protocol END AS pair
+  FROM packets)"""
+
+TZ_HOURS = -3
+
+
+def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An attack window per nation, given as local clock times; some overlap."""
+    return table(spark, sf_dir, "nation").selectExpr(
+        "n_nationkey AS ord", "n_name AS name", "date_add(DATE '2024-01-01', n_nationkey % 12 * 2) AS day",
+        "concat(lpad(CAST(n_nationkey * 5 % 18 AS STRING), 2, '0'), ':00:00') AS start",
+        "concat(lpad(CAST(n_nationkey * 5 % 18 + 4 + n_nationkey % 3 AS STRING), 2, '0'), ':00:00') AS end",
+        "CAST(4000 + n_nationkey * 500 AS BIGINT) AS quota_bytes")
+
+
+WINDOWS_SQL = f"""
+windows AS (
+  SELECT n_nationkey AS ord, n_name AS name, 4000 + n_nationkey * 500 AS quota_bytes,
+    {BASE_MS} + (n_nationkey % 12 * 2) * 86400000 + (n_nationkey * 5 % 18 + {-TZ_HOURS}) * 3600000 AS start_ms,
+    {BASE_MS} + (n_nationkey % 12 * 2) * 86400000 + (n_nationkey * 5 % 18 + 4 + n_nationkey % 3 + {-TZ_HOURS}) * 3600000 AS end_ms
+  FROM nation)"""
+
+
+# ---- training corpora ---------------------------------------------------------------------------------------------
+
+SPELLINGS = ["BENIGN", "Botnet Ares", "Web Attack - Brute Force", "Brute Force -XSS", "DDOS attack-HOIC", "DoS GoldenEye", "DoS Hulk",
+             "DoS Slowhttptest - Attempted", "DoS slowloris", "FTP-Patator", "Heartbleed", "Infiltration - Dropbox Download", "Portscan",
+             "Web Attack - SQL", "SSH-Bruteforce"]
+
+
+def corpus(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
+    """Labelled rows as text, in the column vocabulary of one year; some cells are no numbers."""
+    part = 1 if year == 2017 else 0
+    duration = "CASE l_partkey % 50 WHEN 0 THEN 'Infinity' WHEN 1 THEN 'NaN' WHEN 2 THEN 'abc' WHEN 3 THEN '' ELSE CAST(l_linenumber * 1000 AS STRING) END"
+    label = f"element_at(array({_quoted(SPELLINGS)}), CAST(l_partkey % 15 + 1 AS INT))"
+    names = {
+        2017: [" Destination Port", "Flow Duration", "Max Packet Length", "Fwd Header Length", "Fwd Header Length.1", "Total Fwd Packets"],
+        2018: ["Dst Port", "Flow Duration", "Packet Length Max", "Fwd Header Length", "Idle Max", "Protocol"],
+    }[year]
+    values = ["l_suppkey % 7", duration, "CAST(l_quantity AS INT) % 5", "l_linenumber % 3", "l_linenumber + 100", "l_partkey % 9"]
+    return table(spark, sf_dir, "lineitem").filter(f"l_suppkey % 2 = {part}").selectExpr(
+        *[f"CAST({v} AS STRING) AS `{n}`" for v, n in zip(values, names)], f"concat(' ', {label}, ' ') AS Label", f"'Y{year}' AS __source",
+        "((l_orderkey * 8 + l_linenumber) * 200003 + l_partkey) * 10007 + l_suppkey AS row_id")
+
+
+CORPUS_SQL = f"""
+corpus AS (
+  SELECT CASE WHEN l_suppkey % 2 = 1 THEN 'Y2017' ELSE 'Y2018' END AS source, CAST(l_suppkey % 7 AS DOUBLE) AS dst_port,
+    CASE WHEN l_partkey % 50 < 4 THEN NULL ELSE CAST(l_linenumber * 1000 AS DOUBLE) END AS duration, l_partkey % 50 AS bad,
+    CAST(CAST(l_quantity AS INT) % 5 AS DOUBLE) AS len_max, CAST(l_linenumber % 3 AS DOUBLE) AS header,
+    (['Benign','Bot','BruteForce-Web','BruteForce-XSS','DDoS','DoS-GoldenEye','DoS-Hulk','DoS-SlowHTTPTest','DoS-Slowloris','FTP-BruteForce','Heartbleed','Infiltration','PortScan','SQL-Injection','SSH-BruteForce'])[CAST(l_partkey % 15 AS INT) + 1] AS label,
+    ((l_orderkey * 8 + l_linenumber) * 200003 + l_partkey) * 10007 + l_suppkey AS row_id
+  FROM lineitem)"""

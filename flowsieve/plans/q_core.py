@@ -28,6 +28,9 @@ def j1_rows(spark, sf):
 
 
 QUERIES = {
-    "j1_correlate_both": (j1_correlate_both, f"WITH {D.JUDGED_SQL} SELECT source, count(*) AS flows FROM judged GROUP BY source"),
-    "j1_rows": (j1_rows, f"WITH {D.JUDGED_SQL} SELECT flow_id, source, prediction, severity, confidence, snort_sid, event_id FROM judged"),
+    "j01_correlate_both": (j1_correlate_both, f"WITH {D.JUDGED_SQL} SELECT source, count(*) AS flows FROM judged GROUP BY source"),
+    "j01_correlate_forward": (j1_correlate_forward, f"""WITH {D.JUDGED_SQL}, f AS (SELECT s.flow_id, CASE WHEN a.event_id IS NOT NULL AND s.prediction = 'Malicious' THEN 'confirmed'
+        WHEN a.event_id IS NOT NULL THEN 'signature_only' WHEN s.prediction = 'Malicious' THEN 'ml_only' ELSE 'benign' END AS source
+        FROM scored s LEFT JOIN first_alert a USING (src_ip, dst_ip, src_port, dst_port, protocol)) SELECT source, count(*) AS flows FROM f GROUP BY source"""),
+    "j01_rows": (j1_rows, f"WITH {D.JUDGED_SQL} SELECT flow_id, source, prediction, severity, confidence, snort_sid, event_id FROM judged"),
 }
