@@ -84,18 +84,18 @@ def with_service(df: DataFrame, port: str = "destination_port") -> DataFrame:
 
 
 def families(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(fixed.FAMILY_OF_LEAF.items()), "_leaf string, _family string")
+    return spark.createDataFrame(list(fixed.FAMILY_OF_LEAF.items()), "_of_leaf string, _of_family string")
 
 
 def with_family(df: DataFrame, label: str = "label", name: str = "family", strict: bool = True) -> DataFrame:
     """Leaf label to family (15 fixed rows, broadcast). With ``strict`` an unknown label stops the job when its row is
     read, so no extra pass is needed to find it."""
-    j = df.join(F.broadcast(families(df.sparkSession)), F.col(label) == F.col("_leaf"), "left")
-    value = F.col("_family")
+    j = df.join(F.broadcast(families(df.sparkSession)), F.col(label) == F.col("_of_leaf"), "left")
+    value = F.col("_of_family")
     if strict:
         message = F.concat(F.lit("label without family: "), F.coalesce(F.col(label), F.lit("null")))
         value = F.coalesce(value, F.raise_error(message).cast("string"))
-    return j.withColumn(name, value).drop("_leaf", "_family")
+    return j.withColumn(name, value).drop("_of_leaf", "_of_family")
 
 
 def search_kb(kb: DataFrame, tactic: str | None = None, text: str | None = None) -> DataFrame:

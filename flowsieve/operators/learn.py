@@ -100,8 +100,9 @@ def _prepared(features: Sequence[str]) -> list:
 def fit_gate(train: DataFrame, features: Sequence[str], label: str = "label", trees: int = 20, depth: int = 5, seed: int = 42) -> PipelineModel:
     """Benign against attack, with its own scaler."""
     y = train.withColumn("_y", (F.col(label) != fixed.BENIGN).cast("double"))
-    model = GBTClassifier(featuresCol="_scaled", labelCol="_y", maxIter=trees, maxDepth=depth, seed=seed,
-                          rawPredictionCol="_rp", probabilityCol="_p", predictionCol="_yhat")
+    model = GBTClassifier(featuresCol="_scaled", labelCol="_y", maxIter=trees, maxDepth=depth, seed=seed, predictionCol="_yhat")
+    model.set(model.rawPredictionCol, "_rp")
+    model.set(model.probabilityCol, "_p")
     return Pipeline(stages=[*_prepared(features), model]).fit(y)
 
 

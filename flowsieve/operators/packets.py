@@ -233,6 +233,11 @@ def flow_records(inst: DataFrame, with_gaps: bool = True) -> DataFrame:
         wide = stats.groupBy(*keys).agg(*[
             F.max(F.when(F.col("scope") == s, F.struct(*names))).alias(f"gap_{k}") for s, k in (("both", "all"), ("forward", "f"), ("backward", "b"))])
         g = g.join(wide, keys)
+    return orient(g, with_gaps)
+
+
+def orient(g: DataFrame, with_gaps: bool) -> DataFrame:
+    """Folded conversations as flow records: the side that sent first becomes the source."""
     ahead = F.col("opens_forward")
     way = lambda a, b: F.when(ahead, F.col(a)).otherwise(F.col(b))
     out = [
