@@ -158,7 +158,7 @@ def _starts_by_doubling(long: DataFrame, idle_ms: int, active_ms: int, rounds: i
     for _ in range(rounds):
         step = reach.join(jump, [*keys, "start"]).select(*keys, F.col("nxt").alias("start"))
         reach = cut_lineage(reach.unionByName(step).distinct())
-        far = jump.withColumnsRenamed({"start": "nxt", "nxt": "nxt2"})
+        far = jump.select(*keys, F.col("start").alias("nxt"), F.col("nxt").alias("nxt2"))
         jump = cut_lineage(jump.join(far, [*keys, "nxt"]).select(*keys, "start", F.col("nxt2").alias("nxt")))
     return reach
 
