@@ -45,7 +45,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def corpus_to_parquet(spark: SparkSession, paths: Sequence[str], out_dir: str) -> list[str]:
     """Converts labelled CSV files to Parquet: known features as float32 plus the label, snappy-compressed.
 
-    Lines with the wrong number of cells are skipped. A file that was converted completely before is not read again.
+    Lines with too many cells are skipped, missing cells are null. A file that was converted completely before is not read again.
     """
     written = []
     for path in paths:
@@ -54,8 +54,9 @@ def corpus_to_parquet(spark: SparkSession, paths: Sequence[str], out_dir: str) -
         if _exists(spark, f"{out}/_SUCCESS"):
             continue
         header = spark.read.csv(path, header=True, inferSchema=False).columns
-        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
-        raw = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("header", True).option("enforceSchema", True).csv(path)
+        # one cell more than the header: it is filled only on lines that are too long
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header) + 1)])
+        raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("header", True).option("enforceSchema", True).csv(path)
         names, seen, cols = [fixed.CORPUS_ALIASES.get(h.strip(), h.strip()) for h in header], set(), []
         for i, n in enumerate(names):
             if n in seen:
@@ -70,9 +71,8 @@ def corpus_to_parquet(spark: SparkSession, paths: Sequence[str], out_dir: str) -
         if not any(n in fixed.FEATURES for n in seen):
             written.pop()
             continue
-        # the parser skips columns nobody asks for, and with them their bad lines; the last column makes it read all
-        width = F.col(f"c{len(header) - 1}")
-        raw.select(*cols, width.alias("_w")).drop("_w").write.mode("overwrite").option("compression", "snappy").parquet(out)
+        fits = F.col(f"c{len(header)}").isNull()
+        raw.filter(fits).select(*cols).write.mode("overwrite").option("compression", "snappy").parquet(out)
     return written
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from flowsieve import fixed
 from flowsieve.operators.correlate import PAIR, with_pair
 from flowsieve.operators.packets import FLAG_BITS, orient
+from flowsieve.streaming.live import _frame
 
 _COUNTERS = [f"{m}_{d}" for d in "fb" for m in ("n", "bytes", "sq", "min", "max", *FLAG_BITS)]
 _LONG = T.LongType()
@@ -76,10 +77,10 @@ class _Flows(StatefulProcessor):
                     one = _join(dict(zip(_INSTANT.names, self.waiting.getValue((ts,)))), one)
                 self.waiting.updateValue((ts,), tuple(one[c] for c in _INSTANT.names))
                 self.handle.registerTimer(ts)
-        yield pd.DataFrame({c: [] for c in _OUT.names})
+        yield _frame([], _OUT)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        now, out = timerValues.getCurrentWatermarkInMs(), []
         state = dict(zip(_OPEN.names, self.open.get())) if self.open.exists() else None
         ready = sorted((int(k[0]), v) for k, v in self.waiting.iterator() if int(k[0]) <= now)
         for ts, values in ready:
@@ -97,7 +98,7 @@ class _Flows(StatefulProcessor):
             self.handle.registerTimer(state["last"] + self.idle)
         elif self.open.exists():
             self.open.clear()
-        yield pd.DataFrame(out, columns=_OUT.names).astype({c: "Int64" for c in _OUT.names if isinstance(_OUT[c].dataType, T.LongType)})
+        yield _frame(out, _OUT)
 
     def _extend(self, state: dict | None, ts: int, one: dict, tcp: bool) -> dict:
         closes = int(bool(one["closes"]) and tcp and self.close_on_flags)

@@ -37,6 +37,11 @@ _PAIR = T.StructType([
 ])
 
 
+def _frame(rows: list[tuple], shape: T.StructType) -> pd.DataFrame:
+    """Output rows as plain Python objects, so that missing numbers stay missing."""
+    return pd.DataFrame(rows, columns=shape.names, dtype=object)
+
+
 class _Join(StatefulProcessor):
     """Holds the open flows and alerts of one key.
 
@@ -67,10 +72,10 @@ class _Join(StatefulProcessor):
                     if held is None or int(ident) > int(held[0]):
                         self.alerts.updateValue((ts,), (str(ident), body, bool(held and held[2])))
                     self.handle.registerTimer(ts + self.before + self.after)
-        yield pd.DataFrame({c: [] for c in _PAIR.names})
+        yield _frame([], _PAIR)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = timerValues.getCurrentWatermarkInMs()
         out, ident = [], json.dumps(dict(zip(KEY, [x.item() if hasattr(x, "item") else x for x in key])))
         held = {int(k[0]): v for k, v in self.alerts.iterator()}
         due = sorted((int(k[0]), k[1], v[0]) for k, v in self.flows.iterator() if int(k[0]) + self.after <= now)
@@ -86,7 +91,7 @@ class _Join(StatefulProcessor):
                 if not held[t][2]:
                     out.append((None, held[t][1], ident, t))
                 self.alerts.removeKey((t,))
-        yield pd.DataFrame(out, columns=_PAIR.names)
+        yield _frame(out, _PAIR)
 
     def close(self) -> None:
         pass
@@ -212,7 +217,8 @@ def read_queue(spark: SparkSession, out: str) -> DataFrame:
 
 def closing_rows(spark: SparkSession, schema: T.StructType, ts: str, after_ms: int) -> DataFrame:
     """One row without a key, later than everything: written behind the last input file of each side, it moves the
-    watermark past all hold times, so that what is still held comes out. The row itself joins with nothing."""
+    watermark past all hold times, so that what is still held comes out. The row itself joins with nothing. ``after_ms`` has
+    to lie before the year 2262, the last one Arrow hands to pandas."""
     row = spark.range(1).select(*[
         (F.lit(after_ms).cast(f.dataType) if f.name == ts else F.lit("0.0.0.0") if f.name in ("src_ip", "dst_ip") else F.lit(0).cast(f.dataType)
          if isinstance(f.dataType, T.NumericType) else F.lit("closing").cast(f.dataType) if isinstance(f.dataType, T.StringType) else F.lit(None).cast(f.dataType)).alias(f.name)
