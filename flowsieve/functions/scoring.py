@@ -99,9 +99,9 @@ def compact_age(seconds: str | Column) -> Column:
 
 
 def best_entry(probs: str | Column) -> Column:
-    """Most probable entry of a class map as struct(label, p); the alphabetically first label wins a tie."""
-    ranked = F.array_min(F.transform(F.map_entries(_col(probs)), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("label"))))
-    return F.when(ranked.isNotNull(), F.struct(ranked["label"].alias("label"), (-ranked["n"]).alias("p")))
+    """Most probable entry of a class map as struct(minus_p, label), null for a null map; the alphabetically first label wins
+    a tie. The probability is stored negated so that one ``array_min`` finds it."""
+    return F.array_min(F.transform(F.map_entries(_col(probs)), lambda e: F.struct((-e["value"]).alias("minus_p"), e["key"].alias("label"))))
 
 
 def top_entries(probs: str | Column, n: int) -> Column:

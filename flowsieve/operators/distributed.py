@@ -150,10 +150,14 @@ def hot_values(df: DataFrame, column: str, support: float = 0.01) -> list:
 
     One pass finds a superset without a shuffle, a second one counts only those candidates.
     """
+    if support > 1:
+        return []
     thin = df.select(column)
     candidates = thin.stat.freqItems([column], support).first()[0]
     if not candidates:
         return []
-    counted = thin.filter(F.col(column).isin(candidates)).groupBy(column).count()
-    total = thin.count()
-    return [r[0] for r in counted.filter(F.col("count") >= support * total).collect()]
+    # one group per candidate and one, null, for all other rows: at most 1/support + 1 rows come back
+    known = F.when(F.col(column).isin(candidates), F.col(column))
+    counted = thin.groupBy(known.alias("v")).agg(F.count("*").alias("n")).collect()
+    total = sum(r["n"] for r in counted)
+    return [r["v"] for r in counted if r["v"] is not None and r["n"] >= support * total]

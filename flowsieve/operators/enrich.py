@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from flowsieve import fixed
 from flowsieve.functions import scoring as S
+from flowsieve.session import literal_table
 
 TECHNIQUE = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "name", "url")])
 TACTIC = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "name")])
@@ -20,11 +21,14 @@ KB_SCHEMA = T.StructType([
 
 def default_kb(spark: SparkSession) -> DataFrame:
     """The knowledge base that ships with the package, one row per category."""
+    def technique(t, name):
+        return {"id": t, "name": name, "url": fixed.technique_url(t)}
+
     rows = [
-        (cat, text, [(i, n, [(t, name, fixed.technique_url(t)) for t, name in techs]) for i, n, techs in tactics])
+        (cat, text, [{"id": i, "name": n, "techniques": [technique(*t) for t in techs]} for i, n, techs in tactics])
         for cat, text, tactics in fixed.ATTACK_KB
     ]
-    return spark.createDataFrame(rows, KB_SCHEMA)
+    return literal_table(spark, rows, KB_SCHEMA)
 
 
 def kb_lookup(kb: DataFrame) -> DataFrame:
@@ -73,7 +77,7 @@ def with_usernames(df: DataFrame, users: DataFrame, by: str = "ack_by", name: st
 
 
 def services(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(fixed.PORT_SERVICES.items()), "service_port int, service string")
+    return literal_table(spark, list(fixed.PORT_SERVICES.items()), "service_port int, service string")
 
 
 def with_service(df: DataFrame, port: str = "destination_port") -> DataFrame:
@@ -84,7 +88,7 @@ def with_service(df: DataFrame, port: str = "destination_port") -> DataFrame:
 
 
 def families(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(fixed.FAMILY_OF_LEAF.items()), "_of_leaf string, _of_family string")
+    return literal_table(spark, list(fixed.FAMILY_OF_LEAF.items()), "_of_leaf string, _of_family string")
 
 
 def with_family(df: DataFrame, label: str = "label", name: str = "family", strict: bool = True) -> DataFrame:

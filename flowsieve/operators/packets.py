@@ -8,14 +8,19 @@ follows the order of time works on instants, so a busy conversation costs by its
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowsieve import fixed
 from flowsieve.operators.correlate import PAIR, with_pair
-from flowsieve.operators.distributed import HOUR_MS, first_n, previous_overall, trailing_counts
+from flowsieve.operators.distributed import HOUR_MS, first_n, hot_values, previous_overall, trailing_counts
 from flowsieve.session import cut_lineage
 
 FLAG_BITS = {"fin": 1, "syn": 2, "rst": 4, "psh": 8, "ack": 16, "urg": 32, "ece": 64, "cwr": 128}
@@ -87,23 +92,37 @@ def _scopes(per: DataFrame, f: Column, b: Column, names: Sequence[str] = ("both"
 
 # ---- flows ----------------------------------------------------------------------------------------------------------
 
-def instants(packets: DataFrame, tie: Sequence[str] = ("length", "flags")) -> DataFrame:
-    """Packets folded by conversation and millisecond, with counters per direction."""
-    p = with_pair(packets).filter("ts_ms is not null")
-    f, size = F.col("k_forward"), F.col("length").cast("long")
-    agg = [F.min_by("k_forward", F.struct(*tie, (~f).alias("back"))).alias("opens_forward")]
+def instants(packets: DataFrame) -> DataFrame:
+    """Packets (with their conversation key) folded by conversation and millisecond, with counters per direction.
+
+    ``opens`` ranks simultaneous packets by size, flags and direction; its last bit tells who speaks first. All buffers are
+    plain numbers, so this is a hash aggregation.
+    """
+    p = packets.filter("ts_ms is not null")
+    f, size, flags = F.col("k_forward"), F.col("length").cast("long"), F.col("flags")
+    agg = [F.min((size * 65536 + flags) * 2 + F.when(f, 0).otherwise(1)).alias("opens")]
     for d, mine in (("f", f), ("b", ~f)):
         only = F.when(mine, size)
         agg += [
             F.count(only).alias(f"n_{d}"), F.coalesce(F.sum(only), F.lit(0)).alias(f"bytes_{d}"),
             F.coalesce(F.sum(only * only), F.lit(0)).alias(f"sq_{d}"), F.min(only).alias(f"min_{d}"), F.max(only).alias(f"max_{d}"),
-            *[F.count_if(mine & (F.col("flags").bitwiseAND(F.lit(bit)) != 0)).alias(f"{flag}_{d}") for flag, bit in FLAG_BITS.items()],
+            *[F.count_if(mine & (flags.bitwiseAND(F.lit(bit)) != 0)).alias(f"{flag}_{d}") for flag, bit in FLAG_BITS.items()],
         ]
-    closing = (F.col("protocol") == 6) & (F.col("flags").bitwiseAND(F.lit(FLAG_BITS["fin"] | FLAG_BITS["rst"])) != 0)
+    closing = (F.col("k_protocol") == 6) & (flags.bitwiseAND(F.lit(FLAG_BITS["fin"] | FLAG_BITS["rst"])) != 0)
     agg.append(F.max(closing).alias("closes"))
     return p.groupBy(*PAIR, "ts_ms").agg(*agg)
 
 
+def _plain_segments(inst: DataFrame, idle_ms: int, close_on_flags: bool) -> DataFrame:
+    """``seg`` by one window per conversation, for conversations no larger than a partition."""
+    w = Window.partitionBy(*PAIR).orderBy("ts_ms")
+    opens = (F.col("ts_ms") - F.lag("ts_ms").over(w)) >= idle_ms
+    if close_on_flags:
+        opens = opens | F.lag("closes").over(w)
+    marked = inst.withColumn("_o", F.when(F.coalesce(opens, F.lit(True)), F.col("ts_ms")))
+    return marked.withColumn("seg", F.max("_o").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_o")
+
+
 def _segments(inst: DataFrame, idle_ms: int, close_on_flags: bool) -> DataFrame:
     """Adds ``seg``: start of the run of instants a pause or a closing flag set off.
 
@@ -190,52 +209,167 @@ def _split_active(seg: DataFrame, idle_ms: int, active_ms: int, fold_limit: int)
     return short.unionByName(cut.select(*short.columns))
 
 
+def _cut_in_order(long: DataFrame, active_ms: int) -> DataFrame:
+    """Adds ``flow_start`` by walking each segment in order of time.
+
+    Whether a packet starts a flow depends on where the flow before it started, so this is a walk, not a window. Rows stream
+    through in sorted batches; what is carried from batch to batch is one key and one time.
+    """
+    keys = [*PAIR, "seg"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, start = None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            new = np.zeros(n, dtype=bool)
+            for k in keys:
+                c = batch.column(k)
+                new[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            new[0] = open_key != tuple(batch.column(k)[0].as_py() for k in keys)
+            times = batch.column("ts_ms").to_numpy().tolist()
+            marks = np.flatnonzero(new).tolist()
+            out, lo = [], 0
+            for hi in [*[m for m in marks if m > 0], n]:
+                if new[lo]:
+                    start = times[lo]
+                while lo < hi:
+                    if times[lo] >= start + active_ms:
+                        start = times[lo]
+                    nxt = bisect_left(times, start + active_ms, lo, hi)
+                    out.extend([start] * (nxt - lo))
+                    lo = nxt
+            open_key = tuple(batch.column(k)[n - 1].as_py() for k in keys)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "flow_start"])
+
+    shape = T.StructType([*long.schema.fields, T.StructField("flow_start", T.LongType())])
+    return long.repartition(*keys).sortWithinPartitions(*keys, "ts_ms").mapInArrow(walk, shape)
+
+
+def _branches(
+    packets: DataFrame, idle_ms: int, active_ms: int | None, close_on_flags: bool, fold_limit: int, support: float | None,
+) -> list[tuple[DataFrame, bool]]:
+    """Instants with ``flow_start`` in one or more parts that share no flow, each with whether it holds hot conversations.
+
+    A conversation is hot if it alone outweighs an average partition. All others are shuffled once, as packets, by
+    conversation, and everything else happens inside the partitions. Hot ones are folded to instants first and cut along
+    time.
+    """
+    p = with_pair(packets)
+    if support is None:
+        support = min(0.01, 1 / int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    p = p.withColumn("_h", F.xxhash64(*PAIR))
+    hot = hot_values(p, "_h", support)
+    out = []
+    cold = p.filter(~F.col("_h").isin(hot)) if hot else p
+    seg = _plain_segments(instants(cold.repartition(*PAIR)), idle_ms, close_on_flags)
+    if active_ms is None:
+        out.append((seg.withColumn("flow_start", F.col("seg")), False))
+    else:
+        seg = seg.withColumn("_end", F.max("ts_ms").over(Window.partitionBy(*PAIR, "seg")))
+        lasts = F.col("_end") - F.col("seg") >= active_ms
+        out.append((seg.filter(~lasts).drop("_end").withColumn("flow_start", F.col("seg")), False))
+        out.append((_cut_in_order(seg.filter(lasts).drop("_end"), active_ms), False))
+    if hot:
+        seg = _segments(instants(p.filter(F.col("_h").isin(hot))), idle_ms, close_on_flags)
+        out.append((seg.withColumn("flow_start", F.col("seg")) if active_ms is None else _split_active(seg, idle_ms, active_ms, fold_limit), True))
+    return out
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 def assign_flows(
     packets: DataFrame, idle_ms: int = fixed.IDLE_MS, active_ms: int | None = fixed.ACTIVE_BATCH_MS, close_on_flags: bool = True,
-    tie: Sequence[str] = ("length", "flags"), fold_limit: int = 100_000,
+    fold_limit: int = 100_000, support: float | None = None,
 ) -> DataFrame:
     """Instants with the start of the flow they belong to.
 
     A flow ends before a pause of ``idle_ms``, before the first packet ``active_ms`` after its start, and after the instant
     that carries FIN or RST (TCP).
     """
-    seg = _segments(instants(packets, tie), idle_ms, close_on_flags)
-    if active_ms is None:
-        return seg.withColumn("flow_start", F.col("seg"))
-    return _split_active(seg, idle_ms, active_ms, fold_limit)
+    return _all([part for part, _ in _branches(packets, idle_ms, active_ms, close_on_flags, fold_limit, support)])
 
 
 def build_flows(
     packets: DataFrame, idle_ms: int = fixed.IDLE_MS, active_ms: int | None = fixed.ACTIVE_BATCH_MS, close_on_flags: bool = True,
-    tie: Sequence[str] = ("length", "flags"), fold_limit: int = 100_000, with_gaps: bool = True,
+    fold_limit: int = 100_000, with_gaps: bool = True, support: float | None = None,
 ) -> DataFrame:
     """Bidirectional flow records under the flow meter's attribute names; the side that sends first is the source."""
-    inst = assign_flows(packets, idle_ms, active_ms, close_on_flags, tie, fold_limit)
-    return flow_records(inst, with_gaps)
+    return _all([flow_records(part, with_gaps, hot) for part, hot in _branches(packets, idle_ms, active_ms, close_on_flags, fold_limit, support)])
+
 
+SCOPE_COUNT = {"a": "n_f + n_b", "f": "n_f", "b": "n_b"}
 
-def flow_records(inst: DataFrame, with_gaps: bool = True) -> DataFrame:
-    """One record per flow from instants with their ``flow_start``."""
+
+def flow_records(inst: DataFrame, with_gaps: bool = True, hot: bool = False) -> DataFrame:
+    """One record per flow from instants with their ``flow_start``; with ``hot`` long flows are worked on in hour buckets."""
     keys = [*PAIR, "flow_start"]
-    agg = [F.min_by("opens_forward", "ts_ms").alias("opens_forward"), F.max("ts_ms").alias("last")]
-    for d in "fb":
-        seen = F.when(F.col(f"n_{d}") > 0, F.col("ts_ms"))
+    at = [*keys, "_b"] if hot else keys
+    d = inst.withColumn("_b", F.floor(F.col("ts_ms") / HOUR_MS)) if hot else inst
+    agg = [F.min_by("opens", "ts_ms").alias("opens"), F.min("ts_ms").alias("head"), F.max("ts_ms").alias("last")]
+    for way in "fb":
+        seen = F.when(F.col(f"n_{way}") > 0, F.col("ts_ms"))
         agg += [
-            F.sum(f"n_{d}").alias(f"n_{d}"), F.sum(f"bytes_{d}").alias(f"bytes_{d}"), F.sum(F.col(f"sq_{d}").cast("decimal(38,0)")).alias(f"sq_{d}"),
-            F.min(f"min_{d}").alias(f"min_{d}"), F.max(f"max_{d}").alias(f"max_{d}"), (F.max(seen) - F.min(seen)).alias(f"dur_{d}"),
-            *[F.sum(f"{flag}_{d}").alias(f"{flag}_{d}") for flag in FLAG_BITS],
+            F.sum(f"n_{way}").alias(f"n_{way}"), F.sum(f"bytes_{way}").alias(f"bytes_{way}"), F.sum(f"sq_{way}").alias(f"sq_{way}"),
+            F.min(f"min_{way}").alias(f"min_{way}"), F.max(f"max_{way}").alias(f"max_{way}"), F.min(seen).alias(f"first_{way}"), F.max(seen).alias(f"last_{way}"),
+            *[F.sum(f"{flag}_{way}").alias(f"{flag}_{way}") for flag in FLAG_BITS],
         ]
-    g = inst.groupBy(*keys).agg(*agg)
     if with_gaps:
-        scopes = _scopes(inst.select(*keys, "ts_ms", "n_f", "n_b"), F.col("n_f"), F.col("n_b"))
-        stats = gap_stats(scopes, [*keys, "scope"])
-        names = ("min_piat_ms", "max_piat_ms", "mean_piat_ms", "stddev_piat_ms")
-        wide = stats.groupBy(*keys).agg(*[
-            F.max(F.when(F.col("scope") == s, F.struct(*names))).alias(f"gap_{k}") for s, k in (("both", "all"), ("forward", "f"), ("backward", "b"))])
-        g = g.join(wide, keys)
+        w = Window.partitionBy(*at).orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, -1)
+        for scope, n in SCOPE_COUNT.items():
+            there = F.expr(n) > 0
+            gap = F.when(there, F.col("ts_ms") - F.last(F.when(there, F.col("ts_ms")), ignorenulls=True).over(w))
+            d = d.withColumn(f"g_{scope}", gap)
+            g = F.col(f"g_{scope}")
+            agg += [
+                F.sum(g).alias(f"s_{scope}"), F.sum((g * g).cast("double")).alias(f"q_{scope}"), F.min(g).alias(f"lo_{scope}"), F.max(g).alias(f"hi_{scope}"),
+                F.max(F.expr(n) > 1).alias(f"zero_{scope}")]
+    g = d.groupBy(*at).agg(*agg)
+    if hot:
+        g = _merge_buckets(g, keys, with_gaps)
+    g = g.withColumns({
+        "opens_forward": F.col("opens").bitwiseAND(F.lit(1)) == 0,
+        **{f"dur_{way}": F.col(f"last_{way}") - F.col(f"first_{way}") for way in "fb"}})
+    if with_gaps:
+        stats = {}
+        for scope, n in SCOPE_COUNT.items():
+            count = F.expr(n) - 1
+            s, q = F.col(f"s_{scope}").cast("double"), F.col(f"q_{scope}")
+            spread = F.greatest(q - s * s / F.nullif(count, F.lit(0)), F.lit(0.0))
+            low = F.when(F.col(f"zero_{scope}"), F.lit(0)).otherwise(F.coalesce(f"lo_{scope}", F.lit(0)))
+            s = F.coalesce(s, F.lit(0.0))
+            stats[f"gap_{scope}"] = F.struct(
+                low.cast("double").alias("min_piat_ms"), F.coalesce(f"hi_{scope}", F.lit(0)).cast("double").alias("max_piat_ms"),
+                F.when(count > 0, s / F.nullif(count, F.lit(0))).otherwise(0.0).alias("mean_piat_ms"),
+                F.when((count > 1) & spread.isNotNull(), F.sqrt(F.try_divide(spread, count - 1))).otherwise(0.0).alias("stddev_piat_ms"))
+        g = g.withColumns(stats)
     return orient(g, with_gaps)
 
 
+def _merge_buckets(g: DataFrame, keys: Sequence[str], with_gaps: bool) -> DataFrame:
+    """Hour buckets of a flow to the flow; the gap across an edge runs from the last packet of an earlier bucket."""
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    agg = [F.min_by("opens", "head").alias("opens"), F.max("last").alias("last")]
+    if with_gaps:
+        ends = {"a": ("head", "last"), "f": ("first_f", "last_f"), "b": ("first_b", "last_b")}
+        g = g.withColumns({f"e_{x}": F.col(a) - F.last(b, ignorenulls=True).over(before) for x, (a, b) in ends.items()})
+        for x in ends:
+            e, z = F.col(f"e_{x}"), F.lit(0)
+            agg += [
+                F.sum(F.coalesce(f"s_{x}", z) + F.coalesce(e, z)).alias(f"s_{x}"), F.sum(F.coalesce(f"q_{x}", F.lit(0.0)) + F.coalesce((e * e).cast("double"), F.lit(0.0))).alias(f"q_{x}"),
+                F.min(F.least(f"lo_{x}", e)).alias(f"lo_{x}"), F.max(F.greatest(f"hi_{x}", e)).alias(f"hi_{x}"), F.max(f"zero_{x}").alias(f"zero_{x}")]
+    for way in "fb":
+        agg += [F.sum(f"{m}_{way}").alias(f"{m}_{way}") for m in ("n", "bytes", "sq", *FLAG_BITS)]
+        agg += [F.min(f"{m}_{way}").alias(f"{m}_{way}") for m in ("min", "first")] + [F.max(f"{m}_{way}").alias(f"{m}_{way}") for m in ("max", "last")]
+    return g.groupBy(*keys).agg(*agg)
+
+
 def orient(g: DataFrame, with_gaps: bool) -> DataFrame:
     """Folded conversations as flow records: the side that sent first becomes the source."""
     ahead = F.col("opens_forward")
@@ -251,7 +385,7 @@ def orient(g: DataFrame, with_gaps: bool) -> DataFrame:
         "src2dst": (lambda m: way(f"{m}_f", f"{m}_b"), way("min_f", "min_b"), way("max_f", "max_b"), F.coalesce(way("dur_f", "dur_b"), F.lit(0))),
         "dst2src": (lambda m: way(f"{m}_b", f"{m}_f"), way("min_b", "min_f"), way("max_b", "max_f"), F.coalesce(way("dur_b", "dur_f"), F.lit(0))),
     }
-    gap_of = {"bidirectional": F.col("gap_all"), "src2dst": way("gap_f", "gap_b"), "dst2src": way("gap_b", "gap_f")} if with_gaps else {}
+    gap_of = {"bidirectional": F.col("gap_a"), "src2dst": way("gap_f", "gap_b"), "dst2src": way("gap_b", "gap_f")} if with_gaps else {}
     for scope, (total, low, high, duration) in scopes_of.items():
         n, size, sq = total("n"), total("bytes"), total("sq").cast("double")
         spread = F.greatest(sq - size.cast("double") * size / F.nullif(n, F.lit(0)), F.lit(0.0))

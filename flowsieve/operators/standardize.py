@@ -13,6 +13,7 @@ from flowsieve.functions import network as N
 from flowsieve.functions import times as TM
 from flowsieve.operators import enrich
 from flowsieve.operators.distributed import previous_by_time
+from flowsieve.session import literal_table
 
 
 def _q(name: str) -> Column:
@@ -462,7 +463,7 @@ def downcast(df: DataFrame) -> DataFrame:
 def label_table(spark) -> DataFrame:
     corrected = fixed.LABEL_SPELLINGS_CORRECTED
     known = {**{k: corrected.get(v, v) for k, v in fixed.LABEL_SPELLINGS.items()}, **corrected}
-    return spark.createDataFrame(list(known.items()), "_spelling string, _label string")
+    return literal_table(spark, list(known.items()), "_spelling string, _label string")
 
 
 def normalize_labels(df: DataFrame, label: str = "Label") -> DataFrame:

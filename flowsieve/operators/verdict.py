@@ -17,24 +17,24 @@ def score_hierarchical(df: DataFrame, tau: float) -> DataFrame:
     """
     d = df.withColumn("_f", S.best_entry("stage2_probs")).withColumn("_l", S.best_entry("stage3_probs"))
     attack = F.col("stage1_p") >= F.lit(tau)
-    family = F.col("_f.label")
+    family, family_p = F.col("_f.label"), -F.col("_f.minus_p")
     single = F.lit(None).cast("string")
     for name, leaf in fixed.SINGLE_LEAF.items():
         single = F.when(family == name, F.lit(leaf)).otherwise(single)
     leaf = F.coalesce(single, F.col("_l.label"), family)
-    leaf_p = F.when(single.isNotNull() | F.col("_l").isNull(), F.lit(1.0)).otherwise(F.col("_l.p"))
+    leaf_p = F.when(single.isNotNull() | F.col("_l").isNull(), F.lit(1.0)).otherwise(-F.col("_l.minus_p"))
     leaf_probs = F.when(single.isNotNull() | F.col("_l").isNull(), F.create_map(leaf, F.lit(1.0))).otherwise(F.col("stage3_probs"))
     rounded = lambda m: F.transform_values(m, lambda k, v: S.round_to(v))
     out = d.withColumns({"_leaf": leaf, "_leaf_p": leaf_p})
     only = lambda c: F.when(attack, c)
     return out.withColumns({
         "prediction": F.when(attack, "Malicious").otherwise("Normal"),
-        "confidence": F.when(attack, S.chained_confidence(F.col("stage1_p"), F.col("_f.p"), F.col("_leaf_p"))).otherwise(
+        "confidence": F.when(attack, S.chained_confidence(F.col("stage1_p"), family_p, F.col("_leaf_p"))).otherwise(
             S.round_to(1 - F.col("stage1_p"))),
-        "severity": only(S.hierarchical_severity(F.col("_leaf_p"), F.col("_f.p"))),
+        "severity": only(S.hierarchical_severity(F.col("_leaf_p"), family_p)),
         "attack_type": only(F.col("_leaf")),
         "family": only(family),
-        "stage2_p": only(S.round_to("_f.p")),
+        "stage2_p": only(S.round_to(family_p)),
         "stage3_p": only(S.round_to("_leaf_p")),
         "stage2_probs": only(rounded(F.col("stage2_probs"))),
         "stage3_probs": only(rounded(leaf_probs)),
@@ -46,12 +46,12 @@ def score_single(df: DataFrame, probs: str = "probs") -> DataFrame:
     """One multiclass model: most probable label, its probability, severity by probability, attack probability."""
     best = S.best_entry(probs)
     d = df.withColumn("_b", best)
-    attack = F.col("_b.label") != fixed.BENIGN
+    attack, p = F.col("_b.label") != fixed.BENIGN, -F.col("_b.minus_p")
     benign_p = F.coalesce(F.try_element_at(F.col(probs), F.lit(fixed.BENIGN)), F.lit(0.0))
     return d.withColumns({
         "prediction": F.when(attack, "Malicious").otherwise("Normal"),
-        "confidence": S.round_to("_b.p"),
-        "severity": F.when(attack, S.single_severity(F.col("_b.p"))),
+        "confidence": S.round_to(p),
+        "severity": F.when(attack, S.single_severity(p)),
         "attack_type": F.when(attack, F.col("_b.label")),
         "stage1_p": S.round_to(1 - benign_p),
     }).drop("_b")

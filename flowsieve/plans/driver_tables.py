@@ -24,10 +24,30 @@ CLASSES = {"error": "attempted-recon", "click": "web-application-attack", "view"
            "signup": "trojan-activity", "purchase": "attempted-dos"}
 
 
+_SMALL = 128 * 1024 * 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table smaller than one input split would be worked on by one core; its (few) rows are dealt out to all of them.
+    Anything larger is left as it is read."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) < _SMALL else df
+
+
+_COUNTS: dict[str, int] = {}
+
+
+def order_count(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of ``orders``, from the file footers."""
+    if sf_dir not in _COUNTS:
+        _COUNTS[sf_dir] = table(spark, sf_dir, "orders").count()
+    return _COUNTS[sf_dir]
+
+
 def as_of():
     return F.to_timestamp(F.lit(AS_OF))
 
@@ -37,7 +57,7 @@ def as_of():
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flow per order, with the class probabilities a model would give."""
     return (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
         .selectExpr(
             "o_orderkey AS o", "o_custkey AS c",
             "concat('10.', o_custkey % 4, '.0.', o_custkey % 25 + 1) AS host_a",
@@ -138,7 +158,7 @@ scored AS (
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth event is an alert about some flow, a quarter of them with the reversed key."""
-    n = table(spark, sf_dir, "orders").count()
+    n = order_count(spark, sf_dir)
     ev = table(spark, sf_dir, "events").filter("event_id % 5 = 0").selectExpr("event_id", "event_type", f"(event_id * 13) % {n} AS o")
     f = flows(spark, sf_dir).select("o", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "first_seen_ms")
     turn = lambda a, b: f"if(event_id % 4 = 1, {b}, {a}) AS {a}"
@@ -231,7 +251,7 @@ STATES = {"click": "reviewed", "purchase": "escalated", "error": "dismissed", "s
 
 def ack_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Acknowledgement changes from events: one per third event that is no view, plus a later escalation per twelfth."""
-    n = table(spark, sf_dir, "orders").count()
+    n = order_count(spark, sf_dir)
     e = F.col("event_id")
     ev = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", ((e * 29) % n).alias("o"))
     first = F.when((F.col("event_type") != "view") & (e % 3 == 0), F.struct(
@@ -343,7 +363,7 @@ PACKET_TIE = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One packet per line item, a third of them answers."""
-    line = table(spark, sf_dir, "lineitem").selectExpr(
+    line = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", *PACKET_TIE, "l_returnflag")).selectExpr(
         "l_orderkey AS o", *PACKET_TIE, "l_suppkey % 3 = 0 AS back", "(l_linenumber * 3 + l_partkey % 40) * 1000 AS late",
         "40 + CAST(l_quantity AS INT) * 20 AS length", "CASE l_returnflag WHEN 'R' THEN 2 WHEN 'N' THEN 24 ELSE 16 END AS flags")
     f = flows(spark, sf_dir).select("o", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "first_seen_ms")

@@ -62,7 +62,7 @@ J12_SQL = f"""labelled AS (SELECT p.*, (SELECT min(ord) FROM windows w WHERE p.t
 
 
 def _flows_of(s, d, active, flags):
-    return K.build_flows(D.packets(s, d), fixed.IDLE_MS, active, flags, D.PACKET_TIE)
+    return K.build_flows(D.packets(s, d), fixed.IDLE_MS, active, flags)
 
 
 ENDS = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
@@ -92,7 +92,7 @@ def _gap(scope: str, cond: str) -> str:
 
 
 def _flow_sql(flags: bool, active: bool, columns) -> str:
-    order = "ts_ms, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, NOT fwd"
+    order = "ts_ms, length, flags, NOT fwd"
     head = P.replace("WITH ", "WITH RECURSIVE ", 1)
     return head + f""", {_segments_sql(flags)}, {FLOW_OF_ACTIVE if active else FLOW_OF_SEG},
       pk0 AS (SELECT p.*, f.flow_start FROM paired p JOIN flow_of f ON f.pair = p.pair AND f.ts_ms = p.ts_ms),
@@ -137,7 +137,7 @@ def _quota(s, d):
 
 def _related(s, d):
     """Flows rebuilt from packets share their key when a conversation paused, so they have relatives."""
-    f = K.build_flows(D.packets(s, d), fixed.IDLE_MS, None, False, D.PACKET_TIE, with_gaps=False)
+    f = K.build_flows(D.packets(s, d), fixed.IDLE_MS, None, False, with_gaps=False)
     ends = F.concat_ws("/", F.least("src_ip", "dst_ip"), F.greatest("src_ip", "dst_ip"), F.least("src_port", "dst_port"), F.greatest("src_port", "dst_port"))
     rows = f.select(
         F.concat_ws("@", ends, "bidirectional_first_seen_ms").alias("id"), F.timestamp_millis("bidirectional_first_seen_ms").alias("flow_timestamp"),
@@ -188,7 +188,7 @@ QUERIES = {
     "j12_label_by_window": (lambda s, d: _labelled(s, d).select("packet_id", "window_ord", "window"), P + f", {D.WINDOWS_SQL}, {J12_SQL} SELECT packet_id, window_ord, name AS window FROM labelled LEFT JOIN windows ON ord = window_ord"),
     "st1_flows_idle": (lambda s, d: _flows_of(s, d, None, False).select(*FULL), _flow_sql(False, False, FULL)),
     "st1_flows_idle_active": (lambda s, d: _flows_of(s, d, 10_000, False).select(*FULL), _flow_sql(False, True, FULL)),
-    "st1_flows_flags_active": (lambda s, d: K.build_flows(D.packets(s, d).withColumn("flags", F.when(F.col("l_partkey") % 9 == 0, 17).otherwise(F.col("flags"))), fixed.IDLE_MS, 10_000, True, D.PACKET_TIE).select(*SHORT),
+    "st1_flows_flags_active": (lambda s, d: K.build_flows(D.packets(s, d).withColumn("flags", F.when(F.col("l_partkey") % 9 == 0, 17).otherwise(F.col("flags"))), fixed.IDLE_MS, 10_000, True).select(*SHORT),
                                _flow_sql(True, True, SHORT).replace("CASE l_returnflag WHEN 'R' THEN 2 WHEN 'N' THEN 24 ELSE 16 END AS flags", "CASE WHEN l_partkey % 9 = 0 THEN 17 WHEN l_returnflag = 'R' THEN 2 WHEN l_returnflag = 'N' THEN 24 ELSE 16 END AS flags")),
     "st6_event_rate": (_rate_stream_as_batch, P + "SELECT w AS start_ms, count(*) AS events, count(*) / CAST(5 AS DOUBLE) AS eps FROM (SELECT unnest(range((ts_ms // 1000) * 1000 - 4000, (ts_ms // 1000) * 1000 + 1, 1000)) AS w FROM packets) GROUP BY w"),
     "w04_eps": (lambda s, d: K.eps(D.packets(s, d)), P + ", c AS (SELECT ts_ms, count(*) OVER (ORDER BY ts_ms RANGE BETWEEN 5000 PRECEDING AND CURRENT ROW) AS n FROM packets) SELECT DISTINCT ts_ms, n * CAST(1000 AS DOUBLE) / 5000 AS eps FROM c"),

@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def build_session(app: str = "flowsieve", master: str | None = None, **conf: str) -> SparkSession:
@@ -54,3 +57,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], schema: StructType | str) -> DataFrame:
+    """A short table of fixed rows as part of the plan, so that Spark knows its size and decides on joins by it."""
+    shape = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    arrow = to_arrow_schema(shape)
+    columns = list(zip(*rows)) if rows else [[] for _ in arrow]
+    data = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(data, schema=arrow), schema=shape)

@@ -48,7 +48,7 @@ def _fold(pdf: pd.DataFrame) -> dict[int, dict]:
                f"n_{other}": 0, f"bytes_{other}": 0, f"sq_{other}": 0, f"min_{other}": None, f"max_{other}": None}
         for name, bit in FLAG_BITS.items():
             one[f"{name}_{d}"], one[f"{name}_{other}"] = int(bool(flags & bit)), 0
-        order = (length * 256 + flags) * 2 + (0 if forward else 1)  # who speaks first among simultaneous packets
+        order = (length * 65536 + flags) * 2 + (0 if forward else 1)  # who speaks first among simultaneous packets
         one.update(opens=int(bool(forward)), order=order, closes=int(bool(flags & 5)))
         found[ts] = _join(found[ts], one) if ts in found else one
     return found

@@ -56,15 +56,24 @@ def flow_tuples(df):
     return sorted((r.src_ip, r.dst_ip, r.protocol, r.bidirectional_first_seen_ms, r.bidirectional_last_seen_ms, r.bidirectional_packets, r.bidirectional_bytes, r.src2dst_packets) for r in df.collect())
 
 
-@pytest.mark.parametrize("idle,active,close,limit", [
-    (30_000, None, False, 100), (30_000, 10_000, True, 100_000), (30_000, 10_000, False, 0), (5_000, 20_000, False, 20), (30_000, 45_000, True, 0)])
-def test_flows(spark, idle, active, close, limit):
+@pytest.mark.parametrize("idle,active,close,limit,support", [
+    (30_000, None, False, 100, None), (30_000, None, True, 100, 2.0), (30_000, 10_000, True, 100_000, 0.1), (30_000, 10_000, False, 0, 0.1), (5_000, 20_000, False, 20, 0.2),
+    (30_000, 45_000, True, 0, 0.001), (30_000, 10_000, True, 0, 2.0), (30_000, 45_000, False, 0, 2.0)])
+def test_flows(spark, idle, active, close, limit, support):
+    """``support`` decides which conversations count as hot: all of them, one, or none."""
     data = make_packets(idle + (active or 0))
     df = spark.createDataFrame(data, PACKET)
-    got = K.build_flows(df, idle, active, close, fold_limit=limit, with_gaps=False)
+    got = K.build_flows(df, idle, active, close, fold_limit=limit, with_gaps=False, support=support)
     assert flow_tuples(got) == brute_flows(data, idle, active, close)
 
 
+@pytest.mark.parametrize("active", [None, 40_000])
+def test_hot_and_cold_conversations_give_the_same_records(spark, active):
+    df = spark.createDataFrame(make_packets(9, n=500, span=9_000_000), PACKET)
+    both = [sorted(map(str, K.build_flows(df, 600_000, active, True, support=s).collect())) for s in (0.001, 2.0)]
+    assert both[0] == both[1]
+
+
 def test_idle_gap_on_the_limit_starts_a_flow(spark):
     data = [("a", "b", 1, 2, 17, t, 40, 0, t) for t in (0, 29_999, 59_999, 59_999 + 29_999)]
     got = K.build_flows(spark.createDataFrame(data, PACKET), 30_000, None, False, with_gaps=False)

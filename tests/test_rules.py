@@ -59,7 +59,7 @@ def test_rounding_is_half_up(spark):
 
 def test_best_entry_takes_first_label_on_a_draw(spark):
     r = one(spark.sql("SELECT map('b', 0.4D, 'a', 0.4D, 'c', 0.2D) AS m").select(S.best_entry("m").alias("x"), S.top_entries("m", 2).alias("t")))
-    assert (r.x.label, r.x.p) == ("a", 0.4) and [e.key for e in r.t] == ["a", "b"]
+    assert (r.x.label, r.x.minus_p) == ("a", -0.4) and [e.key for e in r.t] == ["a", "b"]
 
 
 def test_flow_key_and_back(spark):

@@ -22,7 +22,7 @@ def test_flow_csv(spark, tmp_path):
 
 @pytest.mark.parametrize("fmt", ["parquet", "json", "csv"])
 def test_flow_records_round_trip(spark, sf, tmp_path, fmt):
-    f = K.build_flows(D.packets(spark, sf), active_ms=None, close_on_flags=False, tie=D.PACKET_TIE)
+    f = K.build_flows(D.packets(spark, sf), active_ms=None, close_on_flags=False)
     f = f.select(*[F.col(x.name).cast(x.dataType) for x in readers.FLOW.fields])
     path = str(tmp_path / fmt)
     writer = f.write.option("header", True) if fmt == "csv" else f.write
