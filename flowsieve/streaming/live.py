@@ -1,19 +1,16 @@
 """The live path as Structured Streaming jobs.
 
-Flows and alerts are joined on the flow key within their hold times by a keyed state machine on event time, so results do
-not depend on arrival order, and a restart from the checkpoint continues where the last batch ended.
+Flows and alerts are joined on the flow key within their hold times, on event time, so results do not
+depend on arrival order, and a restart from the checkpoint continues where the last batch ended.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowsieve import fixed
 from flowsieve.functions import network as N
@@ -31,99 +28,45 @@ def prepare(spark: SparkSession) -> None:
 
 # ---- flow and alert join --------------------------------------------------------------------------------------------
 
-_PAIR = T.StructType([
-    T.StructField("flow_body", T.StringType()), T.StructField("alert_body", T.StringType()), T.StructField("key_body", T.StringType()),
-    T.StructField("event_ms", T.LongType()),
-])
-
-
-def _frame(rows: list[tuple], shape: T.StructType) -> pd.DataFrame:
-    """Output rows as plain Python objects, so that missing numbers stay missing."""
-    return pd.DataFrame(rows, columns=shape.names, dtype=object)
-
-
-class _Join(StatefulProcessor):
-    """Holds the open flows and alerts of one key.
-
-    A flow is decided ``after`` behind its time, when every alert it may take has arrived. An alert stays until every flow
-    that may take it is decided; if none did, it comes out alone.
-    """
-
-    def __init__(self, before: int, after: int) -> None:
-        self.before, self.after = before, after
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        at = T.StructType([T.StructField("ts", T.LongType()), T.StructField("id", T.StringType())])
-        self.flows = handle.getMapState("flows", at, T.StructType([T.StructField("body", T.StringType())]))
-        when = T.StructType([T.StructField("ts", T.LongType())])
-        held = T.StructType([T.StructField("id", T.StringType()), T.StructField("body", T.StringType()), T.StructField("taken", T.BooleanType())])
-        self.alerts = handle.getMapState("alerts", when, held)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            for kind, ts, ident, body in zip(pdf["kind"], pdf["ts_ms"], pdf["ident"], pdf["body"]):
-                ts = int(ts)
-                if kind == "flow":
-                    self.flows.updateValue((ts, str(ident)), (body,))
-                    self.handle.registerTimer(ts + self.after)
-                elif kind == "alert":
-                    held = self.alerts.getValue((ts,)) if self.alerts.containsKey((ts,)) else None
-                    if held is None or int(ident) > int(held[0]):
-                        self.alerts.updateValue((ts,), (str(ident), body, bool(held and held[2])))
-                    self.handle.registerTimer(ts + self.before + self.after)
-        yield _frame([], _PAIR)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        out, ident = [], json.dumps(dict(zip(KEY, [x.item() if hasattr(x, "item") else x for x in key])))
-        held = {int(k[0]): v for k, v in self.alerts.iterator()}
-        due = sorted((int(k[0]), k[1], v[0]) for k, v in self.flows.iterator() if int(k[0]) + self.after <= now)
-        for ts, flow_id, body in due:
-            usable = [t for t in held if ts - self.before <= t <= ts + self.after]
-            out.append((body, held[max(usable)][1] if usable else None, ident, ts))
-            for t in usable:
-                held[t] = (held[t][0], held[t][1], True)
-                self.alerts.updateValue((t,), held[t])
-            self.flows.removeKey((ts, flow_id))
-        for t in sorted(held):
-            if t + self.before + self.after <= now:
-                if not held[t][2]:
-                    out.append((None, held[t][1], ident, t))
-                self.alerts.removeKey((t,))
-        yield _frame(out, _PAIR)
-
-    def close(self) -> None:
-        pass
-
-
-def _side(df: DataFrame, kind: str, ts: str, ident: str, lateness: str) -> DataFrame:
-    body = [c for c in df.columns if c not in KEY]
+def _tagged(df: DataFrame, tag: str, ts: str, lateness: str) -> DataFrame:
+    """One side of the join: keys and event time with a prefix, the row itself as a struct."""
     return df.select(
-        *KEY, F.timestamp_millis(F.col(ts)).alias("event_time"), F.col(ts).alias("ts_ms"), F.lit(kind).alias("kind"), F.col(ident).cast("string").alias("ident"),
-        F.to_json(F.struct(*body)).alias("body"),
-    ).withWatermark("event_time", lateness)
+        *[F.col(k).alias(f"{tag}_{k}") for k in KEY], F.timestamp_millis(F.col(ts)).alias(f"{tag}_time"), F.struct(*df.columns).alias(tag),
+    ).withWatermark(f"{tag}_time", lateness)
 
 
 def stream_correlate(
     flows: DataFrame, alerts: DataFrame, before_ms: int = fixed.HASH_HOLD_MS, after_ms: int = fixed.FLOW_HOLD_MS,
     flow_ts: str = "first_seen_ms", alert_ts: str = "alert_ms", flow_id: str = "flow_id", alert_id: str = "event_id", lateness: str = "10 seconds",
 ) -> DataFrame:
-    """The streaming form of ``interval_correlate``: same rows for the same input.
+    """The streaming form of ``interval_correlate``: same rows for the same input, plus ``event_ms``.
 
-    Each side has its own watermark and the slower one counts, so one side running ahead makes nothing late. Rows later
-    than ``lateness`` are dropped; the query progress counts them.
+    Two outer joins on key and time hold each row as long as a partner may come: one gives every flow its alerts, of which
+    an aggregation on the flow keeps the latest, the other finds the alerts no flow can take any more. All state lives in
+    the JVM's state store and is dropped by the watermarks; the slower side's counts. Rows later than ``lateness`` are
+    dropped, and the query progress counts them.
     """
-    shapes = {"flow": T.StructType([f for f in flows.schema.fields if f.name not in KEY]), "alert": T.StructType([f for f in alerts.schema.fields if f.name not in KEY])}
-    keys = T.StructType([flows.schema[k] for k in KEY])
-    both = _side(flows, "flow", flow_ts, flow_id, lateness).unionByName(_side(alerts, "alert", alert_ts, alert_id, lateness))
-    out = both.groupBy(*KEY).transformWithStateInPandas(
-        statefulProcessor=_Join(before_ms, after_ms), outputStructType=_PAIR, outputMode="Append", timeMode="EventTime")
-    parsed = out.select(
-        F.from_json("flow_body", shapes["flow"]).alias("f"), F.from_json("key_body", keys).alias("k"),
-        F.when(F.col("alert_body").isNotNull(), F.from_json("alert_body", shapes["alert"])).alias("alert"), "event_ms")
-    cols = [(F.col(f"k.{c}") if c in KEY else F.col(f"f.{c}")).alias(c) for c in flows.columns]
-    return parsed.select(*cols, "alert", "event_ms")
+    f, a = _tagged(flows, "f", flow_ts, lateness), _tagged(alerts, "a", alert_ts, lateness)
+    width = lambda ms: F.expr(f"INTERVAL {ms / 1000:.3f} SECONDS")
+    meet = (F.col("a_time") >= F.col("f_time") - width(before_ms)) & (F.col("a_time") <= F.col("f_time") + width(after_ms))
+    for k in KEY:
+        meet = meet & (F.col(f"f_{k}") == F.col(f"a_{k}"))
+    newest = F.max_by("a", F.struct(f"a.{alert_ts}", f"a.{alert_id}"))
+    decided = (
+        f.join(a, meet, "left_outer").groupBy("f_time", F.col(f"f.{flow_id}").alias("_id"))
+        .agg(F.any_value("f").alias("f"), newest.alias("alert"))
+        .select("f.*", "alert", F.unix_millis("f_time").alias("event_ms"))
+    )
+    left = f.select(*[f"f_{k}" for k in KEY], "f_time", F.lit(True).alias("_taken"))
+    alone = a.join(left, meet, "left_outer").filter("_taken is null")
+    # simultaneous alerts of a key are one entry
+    alone = alone.groupBy("a_time", *[f"a_{k}" for k in KEY]).agg(F.max_by("a", f"a.{alert_id}").alias("a"))
+    fill = [F.col(f"a_{c}").cast(flows.schema[c].dataType).alias(c) if c in KEY else F.lit(None).cast(flows.schema[c].dataType).alias(c) for c in flows.columns]
+    body = [c for c in alerts.columns if c not in KEY]
+    slim = F.struct(*[F.col(f"a.{c}").alias(c) for c in body])
+    alone = alone.select(*fill, slim.alias("alert"), F.unix_millis("a_time").alias("event_ms"))
+    short = F.when(F.col("alert").isNotNull(), F.struct(*[F.col(f"alert.{c}").alias(c) for c in body]))
+    return decided.withColumn("alert", short).unionByName(alone)
 
 
 # ---- one event per key, counters, rates -------------------------------------------------------------------------------
