@@ -56,9 +56,12 @@ def as_of():
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flow per order, with the class probabilities a model would give."""
+    return flows_of(spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")))
+
+
+def flows_of(orders: DataFrame) -> DataFrame:
     return (
-        spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
-        .selectExpr(
+        orders.selectExpr(
             "o_orderkey AS o", "o_custkey AS c",
             "concat('10.', o_custkey % 4, '.0.', o_custkey % 25 + 1) AS host_a",
             "concat('192.168.', o_orderkey % 3, '.', o_orderkey % 11 + 1) AS host_b",
@@ -158,9 +161,12 @@ scored AS (
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth event is an alert about some flow, a quarter of them with the reversed key."""
-    n = order_count(spark, sf_dir)
-    ev = table(spark, sf_dir, "events").filter("event_id % 5 = 0").selectExpr("event_id", "event_type", f"(event_id * 13) % {n} AS o")
-    f = flows(spark, sf_dir).select("o", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "first_seen_ms")
+    return alerts_of(table(spark, sf_dir, "events"), flows(spark, sf_dir), order_count(spark, sf_dir))
+
+
+def alerts_of(events: DataFrame, flow_rows: DataFrame, n: int) -> DataFrame:
+    ev = events.filter("event_id % 5 = 0").selectExpr("event_id", "event_type", f"(event_id * 13) % {n} AS o")
+    f = flow_rows.select("o", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "first_seen_ms")
     turn = lambda a, b: f"if(event_id % 4 = 1, {b}, {a}) AS {a}"
     return ev.join(f, "o").selectExpr(
         "event_id", "o", turn("src_ip", "dst_ip"), turn("dst_ip", "src_ip"), turn("src_port", "dst_port"), turn("dst_port", "src_port"),
@@ -363,10 +369,14 @@ PACKET_TIE = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One packet per line item, a third of them answers."""
-    line = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", *PACKET_TIE, "l_returnflag")).selectExpr(
+    return packets_of(spread(table(spark, sf_dir, "lineitem").select("l_orderkey", *PACKET_TIE, "l_returnflag")), flows(spark, sf_dir))
+
+
+def packets_of(lines: DataFrame, flow_rows: DataFrame) -> DataFrame:
+    line = lines.selectExpr(
         "l_orderkey AS o", *PACKET_TIE, "l_suppkey % 3 = 0 AS back", "(l_linenumber * 3 + l_partkey % 40) * 1000 AS late",
         "40 + CAST(l_quantity AS INT) * 20 AS length", "CASE l_returnflag WHEN 'R' THEN 2 WHEN 'N' THEN 24 ELSE 16 END AS flags")
-    f = flows(spark, sf_dir).select("o", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "first_seen_ms")
+    f = flow_rows.select("o", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "first_seen_ms")
     turn = lambda a, b: f"if(back, {b}, {a}) AS {a}"
     return line.join(f, "o").selectExpr(
         "o", turn("src_ip", "dst_ip"), turn("dst_ip", "src_ip"), turn("src_port", "dst_port"), turn("dst_port", "src_port"), "protocol",

@@ -132,8 +132,12 @@ def stream_flows_from_packets(
     return orient(flows, with_gaps=False)
 
 
-def session_flows(packets: DataFrame, idle: str = "30 seconds", lateness: str = "10 seconds") -> DataFrame:
-    """Flows closed by pauses only, with the built-in session window: nothing but partial counts is kept per key."""
+def session_flows(packets: DataFrame, idle_ms: int = fixed.IDLE_MS, lateness: str = "10 seconds") -> DataFrame:
+    """Flows closed by pauses only, with the built-in session window: nothing but partial counts is kept per key.
+
+    Session windows that just touch are merged, while a pause of exactly ``idle_ms`` ends a flow; hence the millisecond less.
+    """
+    idle = f"{idle_ms - 1} milliseconds"
     p = with_pair(packets).withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", lateness)
     g = p.groupBy(*PAIR, F.session_window("event_time", idle)).agg(F.count("*").alias("packets"), F.sum("length").alias("bytes"), F.max("ts_ms").alias("last_ms"))
     return g.select(*PAIR, F.unix_millis("session_window.start").alias("flow_start"), "last_ms", "packets", "bytes")

@@ -102,7 +102,7 @@ def test_flow_stream_equals_batch(spark, tmp_path, idle, active, close_flags):
 
 
 def test_session_window_flows(spark, tmp_path):
-    data = make_packets(5, n=150)
+    data = make_packets(5, n=150) + [("q", "r", 1, 2, 17, 1_704_067_200_000 + t, 40, 0, 1000 + t) for t in (0, 29_999, 59_999)]
     df = spark.createDataFrame(data, PACKET)
     path = str(tmp_path / "p")
     write_steps(df, "ts_ms", path, 2)
