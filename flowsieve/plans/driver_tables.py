@@ -123,13 +123,17 @@ flows AS (
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows with the model's decision."""
+    return scored_of(flows(spark, sf_dir))
+
+
+def scored_of(flow_rows: DataFrame) -> DataFrame:
     def class_map(classes, label, p):
         rest = f"(1 - {p}) / {len(classes) - 1}D"
         return "map(" + ", ".join(f"'{x}', if({label} = '{x}', {p}, {rest})" for x in classes) + ")"
 
     leaf_maps = " ".join(
         f"WHEN '{f}' THEN {class_map(leaves, 'raw_leaf', 'raw3_p')}" for f, leaves in fixed.LEAVES_OF_FAMILY.items() if len(leaves) > 1)
-    d = flows(spark, sf_dir).selectExpr(
+    d = flow_rows.selectExpr(
         "*", f"{class_map(fixed.FAMILIES, 'raw_family', 'raw2_p')} AS stage2_probs", f"CASE raw_family {leaf_maps} END AS stage3_probs")
     return verdict.score_hierarchical(d, TAU)
 

@@ -10,10 +10,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowsieve.operators import enrich, packets, standardize
 from flowsieve.operators.correlate import KEY
 from flowsieve.plans import driver_tables as D
 from flowsieve.plans import q_flow
 from flowsieve.session import shared_folder
+from flowsieve.sources import readers, sinks
 from flowsieve.streaming import live as L
 
 END_MS = 4_000_000_000_000
@@ -90,8 +92,85 @@ def st1_session_flows(spark, sf):
     return out.filter("k_ip1 <> '0.0.0.0' and k_ip2 <> '0.0.0.0'").select("flow_start", "last_ms", "packets", "bytes")
 
 
+def st3_live_job(spark, sf):
+    """The whole live path: joined, judged, enriched, logged, suppressed and stored; then the stored queue is read."""
+    flows = _closed(D.scored_of(D.flows_of(_stream(spark, sf, "orders"))), "o = 0", "first_seen_ms").drop("o", "c", "raw_family", "raw_leaf", "raw2_p", "raw3_p")
+    joined = L.stream_correlate(flows, _alert_stream(spark, sf))
+    run = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    L.run_live(joined, run, f"{run}/state", enrich.default_kb(spark), D.rules(spark, sf), D.as_of(), trigger={"availableNow": True}).awaitTermination()
+    q = L.read_queue(spark, run).filter("source_ip <> '0.0.0.0'")
+    return q.select("id", "source", "prediction", "severity", "confidence", F.coalesce("snort_sid", F.lit(0)).alias("snort_sid"))
+
+
+LIVE_SQL = q_flow.INTERVAL_SQL.rsplit("SELECT s.flow_id", 1)[0] + f""", {D.RULES_SQL}, ev AS (
+  SELECT 'evt_' || s.flow_id AS id, {', '.join('s.' + k for k in KEY)}, s.prediction AS said, s.severity AS sev, s.confidence AS conf, s.stage2_p, s.stage3_p, a.event_id, a.snort_sid
+  FROM scored s LEFT JOIN cand c ON c.flow_id = s.flow_id AND c.rn = 1 LEFT JOIN alerts a ON a.event_id = c.event_id
+  UNION ALL SELECT 'evt_alert_' || event_id, {', '.join(KEY)}, NULL, NULL, NULL, NULL, NULL, event_id, snort_sid FROM lonely WHERE rn = 1),
+v AS (SELECT *, CASE WHEN event_id IS NOT NULL AND said = 'Malicious' THEN 'confirmed' WHEN event_id IS NOT NULL THEN 'signature_only' WHEN said = 'Malicious' THEN 'ml_only' ELSE 'benign' END AS source,
+  src_ip || ':' || src_port || '-' || dst_ip || ':' || dst_port || '-' || CASE protocol WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' ELSE 'ICMP' END AS k FROM ev)
+SELECT id, source, CASE source WHEN 'ml_only' THEN 'Suspicious' ELSE 'Malicious' END AS prediction, CASE WHEN source = 'signature_only' THEN 'High' WHEN source = 'confirmed' AND sev = 'Low' THEN 'Medium' ELSE sev END AS severity,
+  CASE WHEN source = 'signature_only' THEN 0 ELSE {D.r4('stage2_p * stage3_p')} END AS confidence, coalesce(snort_sid, 0) AS snort_sid FROM v
+WHERE source <> 'benign' AND NOT EXISTS (SELECT 1 FROM rules r WHERE (r.expires IS NULL OR r.expires > DATE '2024-01-31') AND ((r.kind = 'sid' AND CAST(v.snort_sid AS VARCHAR) = r.value)
+  OR (r.kind = 'flow_key' AND v.k = r.value) OR (r.kind = 'src_ip' AND v.src_ip = r.value) OR (r.kind = 'src_cidr' AND v.src_ip LIKE '10.2.%')))"""
+
+
+# ---- files written and read back ------------------------------------------------------------------------------------
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def snk1_append(spark, sf):
+    """Queue rows stored as the same batch twice are there once."""
+    path, rows = _folder(spark, "queue"), D.fresh_predictions(spark, sf)
+    for _ in range(2):
+        sinks.append_predictions(rows, path, D.as_of(), batch_id=1)
+    q = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    return q.groupBy(F.col("flow_date").cast("string").alias("day"), "source").agg(F.count("*").alias("rows"), F.count("snort_sid").alias("with_alert"))
+
+
+def snk5_export_json(spark, sf):
+    path = _folder(spark, "json")
+    sinks.export_json(D.fresh_predictions(spark, sf).drop("first_seen_at"), path)
+    return spark.read.json(path).groupBy("sourceIp", "prediction").agg(F.count("*").alias("rows"))
+
+
+def src1_flow_csv(spark, sf):
+    """Flow features as a CSV file with blanks in its header, read, cleaned and completed."""
+    path = _folder(spark, "csv")
+    rows = D.flows(spark, sf).selectExpr("if(o % 7 = 0, 'Infinity', CAST(o AS STRING)) AS ` Flow Duration `", "dst_port AS ` Dst Port`", "flow_id")
+    rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    f = standardize.ensure_features(standardize.clean(readers.read_flow_csv(spark, path)), keep=["flow_id"])
+    return f.select("flow_id", F.col("Flow Duration").alias("duration"), F.col("Dst Port").alias("port"), F.col("Idle Max").alias("idle"))
+
+
+def src2_flow_records(spark, sf):
+    """Flows built from packets, exported and read back with the meter's schema."""
+    path = _folder(spark, "records")
+    packets.build_flows(D.packets(spark, sf), active_ms=None, close_on_flags=False).select(*[F.col(x.name).cast(x.dataType) for x in readers.FLOW.fields]).write.parquet(path)
+    r = readers.read_flow_records(spark, path)
+    return r.groupBy("protocol").agg(F.count("*").alias("flows"), F.sum("bidirectional_packets").alias("packets"), F.sum("bidirectional_bytes").alias("bytes"))
+
+
+def src3_corpus(spark, sf):
+    """A labelled CSV file converted to float32 Parquet; the second call finds it converted."""
+    path = _folder(spark, "corpus")
+    D.corpus(spark, sf, 2018).drop("row_id", "__source").write.option("header", True).csv(f"{path}/2018.csv")
+    for _ in range(2):
+        done = readers.corpus_to_parquet(spark, [f"{path}/2018.csv"], f"{path}/out")
+    t = spark.read.parquet(*done)
+    return t.groupBy(F.trim("Label").alias("label")).agg(F.count("*").alias("rows"), F.count("Flow Duration").alias("numbers"), F.sum(F.col("Dst Port").cast("double")).alias("ports"))
+
+
 A = f"WITH {D.FLOWS_SQL},{D.ALERTS_SQL} "
+P = f"WITH {D.PRED_SQL} "
 QUERIES = {
+    "st3_live_job": (st3_live_job, LIVE_SQL),
+    "snk1_append_predictions": (snk1_append, P + "SELECT strftime(flow_timestamp, '%Y-%m-%d') AS day, source, count(*) AS rows, count(*) FILTER (snort_sid <> 0) AS with_alert FROM pred GROUP BY ALL"),
+    "snk5_export_json": (snk5_export_json, P + 'SELECT source_ip AS "sourceIp", prediction, count(*) AS rows FROM pred GROUP BY ALL'),
+    "src1_flow_csv": (src1_flow_csv, f"WITH {D.FLOWS_SQL} SELECT flow_id, CASE WHEN o % 7 = 0 THEN 0 ELSE CAST(o AS DOUBLE) END AS duration, CAST(dst_port AS DOUBLE) AS port, CAST(0 AS DOUBLE) AS idle FROM flows"),
+    "src2_flow_records": (src2_flow_records, q_flow._flow_sql(False, False, ("*",)).rsplit("SELECT", 1)[0] + "SELECT protocol, count(*) AS flows, CAST(sum(bidirectional_packets) AS BIGINT) AS packets, CAST(sum(bidirectional_bytes) AS BIGINT) AS bytes FROM flow GROUP BY protocol"),
+    "src3_corpus_to_parquet": (src3_corpus, "WITH c AS (SELECT (["+ ",".join(f"'{x}'" for x in D.SPELLINGS) + "])[CAST(l_partkey % 15 AS INT) + 1] AS label, l_partkey % 50 AS bad, l_suppkey % 7 AS port FROM lineitem WHERE l_suppkey % 2 = 0) SELECT label, count(*) AS rows, count(*) FILTER (bad NOT IN (2, 3)) AS numbers, CAST(sum(port) AS DOUBLE) AS ports FROM c GROUP BY label"),
     "st2_stream_correlate": (st2_correlate, q_flow.INTERVAL_SQL),
     "st5_stream_one_per_key": (st5_one_per_key, A + f"SELECT DISTINCT {', '.join(KEY)} FROM alerts"),
     "st6_stream_counters": (st6_verdict_counters, A + "SELECT snort_classtype AS source, count(*) AS events FROM alerts GROUP BY 1"),
