@@ -74,6 +74,12 @@ SELECT measure, current, prior, state, CASE state WHEN 'up' THEN '+' || CAST(rou
   WHEN 'down' THEN CAST(round(CAST(delta AS DECIMAL(24,6)), 0) AS BIGINT) || '%' ELSE state END AS label FROM s"""
 
 
+WIDE_AS_OF = D.AS_OF_MS + 3 * 86_400_000
+WIDEN_SQL = P + f""", c AS (SELECT {', '.join(f"count(*) FILTER (flow_ms >= {WIDE_AS_OF - 1000 * s}) AS n_{k}" for k, s in fixed.RANGE_SECONDS.items() if s)}, count(*) AS n_all FROM pred WHERE prediction = 'Normal'),
+u AS (SELECT * FROM (SELECT unnest(['1h', '24h', '7d', '30d', 'all']) AS range, unnest([n_1h, n_24h, n_7d, n_30d, n_all]) AS rows, unnest([1, 2, 3, 4, 5]) AS i FROM c) WHERE rows > 0)
+SELECT range, rows, range <> '1h' AS widened FROM u ORDER BY i LIMIT 1"""
+
+
 def _page(sort, direction, limit, offset):
     def run(d):
         return triage.page(d, sort, direction, limit, offset).select("id", "severity", "family", "source", MS("flow_timestamp").alias("flow_ms"))
@@ -240,7 +246,7 @@ QUERIES = {
     "f06_drop_benign": (lambda s, d: predicates.drop_benign(D.judged(s, d)).groupBy("source", "prediction").agg(F.count("*").alias("rows")), f"WITH {D.JUDGED_SQL} SELECT source, prediction, count(*) AS rows FROM judged WHERE event_id IS NOT NULL OR prediction = 'Malicious' GROUP BY ALL"),
     "f07_triage_filter": (_p(lambda d: predicates.triage_filter(d, "actionable").select("id")), P + "SELECT id FROM pred WHERE prediction = 'Malicious' AND severity IN ('High', 'Medium')"),
     "f08_private_ip": (_p(lambda d: d.select("id", N.is_private_ip("source_ip").alias("src_private"), N.is_private_ip(F.concat(F.lit("172."), F.col("destination_port").cast("string"), F.lit(".0.1"))).alias("made_private"))), P + "SELECT id, source_ip LIKE '10.%' OR source_ip LIKE '192.168.%' AS src_private, destination_port BETWEEN 16 AND 31 AS made_private FROM pred"),
-    "f09_auto_widen": (_p(lambda d: predicates.auto_widen(d.filter(F.col("prediction") == "Normal"), "1h", F.to_timestamp(F.lit("2024-02-03 00:00:00")))), P + f", c AS (SELECT count(*) FILTER (flow_ms >= {D.AS_OF_MS + 3 * 86400000} - 3600000) AS a, count(*) FILTER (flow_ms >= {D.AS_OF_MS + 3 * 86400000} - 86400000) AS b, count(*) FILTER (flow_ms >= {D.AS_OF_MS + 3 * 86400000} - {_WEEK}) AS c FROM pred WHERE prediction = 'Normal') SELECT CASE WHEN a > 0 THEN '1h' WHEN b > 0 THEN '24h' ELSE '7d' END AS range, CASE WHEN a > 0 THEN a WHEN b > 0 THEN b ELSE c END AS rows, a = 0 AS widened FROM c"),
+    "f09_auto_widen": (_p(lambda d: predicates.auto_widen(d.filter(F.col("prediction") == "Normal"), "1h", F.to_timestamp(F.lit("2024-02-03 00:00:00")))), WIDEN_SQL),
     "o01_page_time": (_page("time", "desc", 200, 0), _page_sql("flow_ms", "desc", 200, 0)),
     "o01_page_severity": (_page("severity", "desc", 500, 300), _page_sql(RANK, "desc", 500, 300)),
     "o01_page_family_asc": (_page("family", "asc", 1000, 2000), _page_sql("family", "asc", 1000, 2000)),
