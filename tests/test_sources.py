@@ -88,7 +88,7 @@ def test_queue_table_is_partitioned_and_batches_are_stored_once(spark, sf, tmp_p
 def test_exports(spark, tmp_path):
     t = dt.datetime(2024, 1, 1, 10)
     row = ("p1", t, "1.1.1.1", "2.2.2.2", 1, 2, "TCP", 10, 1.5, "Malicious", "DoS", "DoS-Hulk", "confirmed", 0.125, None, 7, 'say "hi", you', None)
-    df = spark.createDataFrame([row], "id string, flow_timestamp timestamp, source_ip string, destination_ip string, source_port int, destination_port int, protocol string, packet_size int, duration double, prediction string, family string, attack_type string, source string, confidence double, severity string, snort_sid int, snort_msg string, ack_state string")
+    df = spark.createDataFrame([row], "id string, flow_timestamp timestamp, source_ip string, destination_ip string, source_port int, destination_port int, protocol string, packet_size int, duration double, prediction string, family string, attack_type string, source string, confidence double, severity string, snort_sid int, snort_msg string, ack_state string").coalesce(1)
     sinks.export_csv(df, str(tmp_path / "csv"))
     text = next((tmp_path / "csv").glob("*.csv")).read_text().splitlines()
     assert text[0] == ",".join(fixed.EXPORT_COLUMNS)
@@ -109,7 +109,7 @@ def test_incident_report(spark, sf, tmp_path):
 
 
 def test_traffic_log(spark, tmp_path):
-    df = spark.createDataFrame([("1.1.1.1", 5, "drop me")], "src_ip string, sport int, extra string")
+    df = spark.createDataFrame([("1.1.1.1", 5, "drop me")], "src_ip string, sport int, extra string").coalesce(1)
     sinks.write_traffic_log(df, str(tmp_path / "t"))
     lines = next((tmp_path / "t").glob("*.csv")).read_text().splitlines()
     assert lines[0].split(",") == fixed.TRAFFIC_LOG_COLUMNS and lines[1].count(",") == 34 and lines[1].startswith(",1.1.1.1,,5")
