@@ -6,6 +6,7 @@ Each derives a closing row from the row with key 0, later than everything else,
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,19 +34,35 @@ def _closed(df: DataFrame, is_first: str, ts: str) -> DataFrame:
     return d.withColumns({**late, "src_ip": F.when(F.col("closing"), F.lit("0.0.0.0")).otherwise(F.col("src_ip"))}).drop("closing")
 
 
+@contextmanager
+def _state_partitions(spark):
+    """A stream keeps one state store per shuffle partition. A local session gets as many as it has cores; a cluster keeps
+    its own setting."""
+    key, context = "spark.sql.shuffle.partitions", spark.sparkContext
+    before = spark.conf.get(key)
+    if context.master.startswith("local"):
+        spark.conf.set(key, str(min(int(before), context.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs the stream over everything there is and returns what it wrote."""
     spark = stream.sparkSession
     run = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.option("checkpointLocation", f"{run}/state").trigger(availableNow=True)
     if mode == "append":
-        writer.format("parquet").option("path", f"{run}/rows").outputMode("append").start().awaitTermination()
+        with _state_partitions(spark):
+            writer.format("parquet").option("path", f"{run}/rows").outputMode("append").start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{run}/rows")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{run}/rows/batch={batch_id}")
 
-    writer.foreachBatch(keep).outputMode(mode).start().awaitTermination()
+    with _state_partitions(spark):
+        writer.foreachBatch(keep).outputMode(mode).start().awaitTermination()
     return spark.read.option("basePath", f"{run}/rows").parquet(f"{run}/rows/batch=*")
 
 
@@ -97,7 +114,8 @@ def st3_live_job(spark, sf):
     flows = _closed(D.scored_of(D.flows_of(_stream(spark, sf, "orders"))), "o = 0", "first_seen_ms").drop("o", "c", "raw_family", "raw_leaf", "raw2_p", "raw3_p")
     joined = L.stream_correlate(flows, _alert_stream(spark, sf))
     run = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
-    L.run_live(joined, run, f"{run}/state", enrich.default_kb(spark), D.rules(spark, sf), D.as_of(), trigger={"availableNow": True}).awaitTermination()
+    with _state_partitions(spark):
+        L.run_live(joined, run, f"{run}/state", enrich.default_kb(spark), D.rules(spark, sf), D.as_of(), trigger={"availableNow": True}).awaitTermination()
     q = L.read_queue(spark, run).filter("source_ip <> '0.0.0.0'")
     return q.select("id", "source", "prediction", "severity", "confidence", F.coalesce("snort_sid", F.lit(0)).alias("snort_sid"))
 
