@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsieve.llm import bpe, token_counts, url_filter
+from flowsieve.llm import bpe, token_counts, toxicity, url_filter
 from flowsieve.llm.text import read
 
 
@@ -12,6 +12,16 @@ def op3_url_filter(spark, sf_dir):
     return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def toxicity_model(spark, sf_dir):
+    """Learnt from the labels that are not held out."""
+    return toxicity.learn(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select("doc_id", "toxic").where(~toxicity.held_out()))
+
+
+def op5_toxicity(spark, sf_dir):
+    scored = toxicity.score(read(spark, sf_dir, "documents").select("doc_id", "text"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_bpe(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     coded = bpe.decode(bpe.encode(docs).drop("text"))
@@ -40,6 +50,7 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, co
 
 QUERIES = {
     "op3_url_filter": (op3_url_filter, OP3_SQL),
+    "op5_toxicity": (op5_toxicity, None),
     "op6_bpe": (op6_bpe, None),
     "op9_token_counts": (op9_token_counts, None),
 }
