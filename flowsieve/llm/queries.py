@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsieve.llm import bpe, token_counts, toxicity, url_filter
+from flowsieve.llm import bpe, near_dedup, token_counts, toxicity, url_filter
 from flowsieve.llm.text import read
 
 
@@ -28,6 +28,10 @@ def op6_bpe(spark, sf_dir):
     return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
+def op7_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark, sf_dir):
     counted = token_counts.count_tokens(read(spark, sf_dir, "documents"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"))
@@ -52,5 +56,6 @@ QUERIES = {
     "op3_url_filter": (op3_url_filter, OP3_SQL),
     "op5_toxicity": (op5_toxicity, None),
     "op6_bpe": (op6_bpe, None),
+    "op7_near_dedup": (op7_near_dedup, None),
     "op9_token_counts": (op9_token_counts, None),
 }
