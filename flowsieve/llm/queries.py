@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsieve.llm import bpe, near_dedup, token_counts, toxicity, url_filter
+from flowsieve.llm import bpe, near_dedup, substring_dedup, token_counts, toxicity, url_filter
 from flowsieve.llm.text import read
 
 
+def op1_substring_dedup(spark, sf_dir):
+    left = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
 def op3_url_filter(spark, sf_dir):
     return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -53,6 +58,7 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, co
 """
 
 QUERIES = {
+    "op1_substring_dedup": (op1_substring_dedup, None),
     "op3_url_filter": (op3_url_filter, OP3_SQL),
     "op5_toxicity": (op5_toxicity, None),
     "op6_bpe": (op6_bpe, None),
