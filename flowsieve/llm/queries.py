@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsieve.llm import bpe, near_dedup, substring_dedup, token_counts, toxicity, url_filter
+from flowsieve.llm import bpe, decontaminate, near_dedup, substring_dedup, token_counts, toxicity, url_filter
 from flowsieve.llm.text import read
 
 
@@ -13,6 +13,10 @@ def op1_substring_dedup(spark, sf_dir):
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op2_decontamination(spark, sf_dir):
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_url_filter(spark, sf_dir):
     return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -59,6 +63,7 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, co
 
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, None),
+    "op2_decontamination": (op2_decontamination, None),
     "op3_url_filter": (op3_url_filter, OP3_SQL),
     "op5_toxicity": (op5_toxicity, None),
     "op6_bpe": (op6_bpe, None),
