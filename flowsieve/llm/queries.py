@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsieve.llm import bpe, decontaminate, near_dedup, substring_dedup, token_counts, toxicity, url_filter
+from flowsieve.llm import bpe, decontaminate, fingerprint, near_dedup, substring_dedup, token_counts, toxicity, url_filter
 from flowsieve.llm.text import read
 
 
@@ -46,6 +46,11 @@ def op9_token_counts(spark, sf_dir):
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"))
 
 
+def op10_fingerprints(spark, sf_dir):
+    made = fingerprint.fingerprints(read(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 OP3_SQL = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -69,4 +74,5 @@ QUERIES = {
     "op6_bpe": (op6_bpe, None),
     "op7_near_dedup": (op7_near_dedup, None),
     "op9_token_counts": (op9_token_counts, None),
+    "op10_fingerprints": (op10_fingerprints, None),
 }
