@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsieve.llm import bpe, decontaminate, fingerprint, near_dedup, substring_dedup, token_counts, toxicity, url_filter
+from flowsieve.llm import bpe, decontaminate, fingerprint, lm_score, near_dedup, substring_dedup, token_counts, toxicity, url_filter
 from flowsieve.llm.text import read
 
 
@@ -21,6 +21,12 @@ def op3_url_filter(spark, sf_dir):
     return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_lm_score(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_score.score(docs, docs.where(~lm_score.held_out()))
+    return scored.select("doc_id", lm_score.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def toxicity_model(spark, sf_dir):
     """Learnt from the labels that are not held out."""
     return toxicity.learn(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select("doc_id", "toxic").where(~toxicity.held_out()))
@@ -70,6 +76,7 @@ QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, None),
     "op2_decontamination": (op2_decontamination, None),
     "op3_url_filter": (op3_url_filter, OP3_SQL),
+    "op4_lm_score": (op4_lm_score, None),
     "op5_toxicity": (op5_toxicity, None),
     "op6_bpe": (op6_bpe, None),
     "op7_near_dedup": (op7_near_dedup, None),
