@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsieve.llm import bpe, decontaminate, fingerprint, lm_score, near_dedup, substring_dedup, token_counts, toxicity, url_filter
+from flowsieve.llm import bpe, decontaminate, fingerprint, lm_score, near_dedup, secrets, substring_dedup, token_counts, toxicity, url_filter
 from flowsieve.llm.text import read
 
 
@@ -47,6 +47,11 @@ def op7_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark, sf_dir):
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word_no", "part", F.length("candidate").alias("n_chars"), F.sha2(F.encode("candidate", "utf-8"), 256).alias("candidate_sha256"), "score", "secret")
+
+
 def op9_token_counts(spark, sf_dir):
     counted = token_counts.count_tokens(read(spark, sf_dir, "documents"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"))
@@ -80,6 +85,7 @@ QUERIES = {
     "op5_toxicity": (op5_toxicity, None),
     "op6_bpe": (op6_bpe, None),
     "op7_near_dedup": (op7_near_dedup, None),
+    "op8_secret_scan": (op8_secret_scan, None),
     "op9_token_counts": (op9_token_counts, None),
     "op10_fingerprints": (op10_fingerprints, None),
 }
