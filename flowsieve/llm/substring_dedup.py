@@ -270,16 +270,17 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed.append(b - a - len(left))
                 runs = np.split(left, np.flatnonzero(np.diff(left) != 1) + 1) if len(left) else []
                 kept.append(b" ".join(words.text(a + int(r[0]), a + int(r[-1]) + 1) for r in runs))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(low, high - low), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space), one row per row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text")
-    texts = docs.repartition("id")  # one shuffle of the texts; both joins below start from it
-    anchors = docs.select("id", "text").mapInArrow(_anchors(window, gram), "anchor long, id long")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text")
+    texts = docs.repartition("id")  # one shuffle of the texts; both joins below read it, with the same columns
+    anchors = docs.mapInArrow(_anchors(window, gram), "anchor long, id long")
     shared = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated, "anchor long, id long")
     wanted = shared.groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
     cut = texts.join(wanted, "id").select("id", "text", "anchors").mapInArrow(_cut(window, gram), "anchor long, words binary, id long, starts binary")
     spans = cut.repartition("anchor").sortWithinPartitions("anchor", "words", "id").mapInArrow(_judge(window), "id long, spans binary")
-    return texts.join(spans.groupBy("id").agg(F.collect_list("spans").alias("spans")), "id", "left").select("doc_id", "text", "spans").mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept string")
+    kept = texts.join(spans.groupBy("id").agg(F.collect_list("spans").alias("spans")), "id", "left").select("id", "text", "spans").mapInArrow(_keep, "id long, n_words long, n_removed long, kept string")
+    return kept.select(F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept")
