@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowsieve.llm.text import fresh
+
 LEAF = 1 << 14
 LONG = 1 << 15
 WINDOW = 32
@@ -169,14 +171,15 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     def merge(table: pa.Table) -> pa.Table:
         rows = dict(zip(table["_part"].to_pylist(), table["_ids"].to_pylist()))  # rows with the same text have the same leaves
         whole = join_tree([np.frombuffer(rows[p], "<u4") for p in range(len(rows))], codec(path))
-        return pa.table({"_row": table["_row"].slice(0, 1), ids: pa.array([whole.tobytes()], pa.binary())})
+        return pa.table({"_row": table["_row"].slice(0, 1), "_ids": pa.array([whole.tobytes()], pa.binary())})
 
     # a long text is known by its hash and length; only texts are merged, the other columns stay where they are
-    big = docs.where(size > long).withColumn("_row", F.sha2(F.encode(F.col(text), "utf-8"), 256))
-    spread = big.select("_row", F.col(text).alias("_text")).dropDuplicates(["_row"]).mapInArrow(cut, "_row string, _part int, _text string")
+    row = fresh(docs, "_row")
+    big = docs.where(size > long).withColumn(row, F.sha2(F.encode(F.col(text), "utf-8"), 256))
+    spread = big.select(F.col(row).alias("_row"), F.col(text).alias("_text")).dropDuplicates(["_row"]).mapInArrow(cut, "_row string, _part int, _text string")
     encoded = spread.repartition("_row", "_part").mapInArrow(encode_leaves, "_row string, _part int, _ids binary")
-    merged = encoded.groupBy("_row").applyInArrow(merge, T.StructType([T.StructField("_row", T.StringType()), T.StructField(ids, T.BinaryType())]))
-    return short.unionByName(big.join(merged, "_row").select(*keep, ids))
+    merged = encoded.groupBy("_row").applyInArrow(merge, "_row string, _ids binary").select(F.col("_row").alias(row), F.col("_ids").alias(ids))
+    return short.unionByName(big.join(merged, row).select(*keep, ids))
 
 
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.llm.text import stash
+from flowsieve.llm.text import fresh, stash
 
 LEAST = 16
 MAX_PER_CLASS = 5000
@@ -145,7 +145,8 @@ def _judged(scored: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, findings: DataFrame, mask: str = MASK) -> DataFrame:
     """``docs`` with every secret of its own findings replaced by ``mask`` in the text."""
-    mine = findings.where("secret = 1 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.sort_array(F.collect_set("candidate")).alias("_secrets"))
-    longest = F.transform(F.array_sort(F.transform("_secrets", lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x["s"])
-    masked = F.when(F.col("_secrets").isNotNull(), F.aggregate(longest, F.col("text"), lambda text, s: F.replace(text, s, F.lit(mask)))).otherwise(F.col("text"))
+    own = fresh(docs, "_secrets")
+    mine = findings.where("secret = 1 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.sort_array(F.collect_set("candidate")).alias(own))
+    longest = F.transform(F.array_sort(F.transform(own, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x["s"])
+    masked = F.when(F.col(own).isNotNull(), F.aggregate(longest, F.col("text"), lambda text, s: F.replace(text, s, F.lit(mask)))).otherwise(F.col("text"))
     return docs.join(mine, "doc_id", "left").withColumn("text", masked).select(*docs.columns)

@@ -23,6 +23,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowsieve.llm.text import fresh
+
 MAX_BYTES = 256 << 20
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -120,22 +122,25 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = list(RULES), def
     with open(file, "wb") as out:
         out.write(packed)
     spark.sparkContext.addFile(file)
-    return _answer(parts.withColumn("_hit", F.pandas_udf(_judge(name), "rule string, verdict string")(F.col("host"), F.col("path"))), default)
+    hit = fresh(parts, "_hit")
+    return _answer(parts.withColumn(hit, F.pandas_udf(_judge(name), "rule string, verdict string")(F.col("host"), F.col("path"))), hit, default)
 
 
-def _answer(df: DataFrame, default: str) -> DataFrame:
-    return df.withColumns({"rule": F.col("_hit.rule"), "verdict": F.coalesce(F.col("_hit.verdict"), F.lit(default))}).drop("_hit")
+def _answer(df: DataFrame, hit: str, default: str) -> DataFrame:
+    return df.withColumns({"rule": F.col(f"{hit}.rule"), "verdict": F.coalesce(F.col(f"{hit}.verdict"), F.lit(default))}).drop(hit)
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
     """The same answer for rule lists of any size: probes and rules meet in a join on the rule string."""
     folded = rules.groupBy(F.concat("host", "path").alias("_rule")).agg(F.min(F.when(F.col("verdict") == "block", 0).otherwise(1)).alias("_free"))
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())  # as many as there are different lengths of paths
-    parts = with_parts(pages, url).withColumn("_row", F.monotonically_increasing_id())
+    parts = with_parts(pages, url)
+    row, hit = fresh(parts, "_row"), fresh(parts, "_hit")
+    parts = parts.withColumn(row, F.monotonically_increasing_id())
     labels = F.split("host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     cut = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
     probes = F.flatten(F.transform(hosts, lambda h: F.transform(cut, lambda n: F.concat(h, F.substring(F.col("path"), F.lit(1), n)))))
-    asked = parts.where("host <> ''").select("_row", F.explode(F.array_distinct(probes)).alias("_rule"))
-    best = asked.join(folded, "_rule").groupBy("_row").agg(F.max_by(F.struct(F.col("_rule").alias("rule"), F.when(F.col("_free") == 0, "block").otherwise("allow").alias("verdict")), F.struct(F.length("_rule"), F.col("_rule"))).alias("_hit"))
-    return _answer(parts.join(best, "_row", "left").drop("_row"), default)
+    asked = parts.where("host <> ''").select(row, F.explode(F.array_distinct(probes)).alias("_rule"))
+    best = asked.join(folded, "_rule").groupBy(row).agg(F.max_by(F.struct(F.col("_rule").alias("rule"), F.when(F.col("_free") == 0, "block").otherwise("allow").alias("verdict")), F.struct(F.length("_rule"), F.col("_rule"))).alias(hit))
+    return _answer(parts.join(best, row, "left").drop(row), hit, default)
