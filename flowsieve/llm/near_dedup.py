@@ -11,9 +11,9 @@ Links are confirmed on the full sets, without forming the pairs of a group:
 * Equal sets are one class, represented by the smallest doc_id.
 * In each bucket every class is compared with the bucket's hub, the class that meets most others over all its buckets. That links copies to what they
   were copied from, and gives components.
-* Only buckets with more than one component are looked at again. There a class of a smaller component is compared with classes of other components, if
-  their sizes and their private shingles (those no other candidate has) leave room for a link at all. Copies changed too much for a link to their
-  origin are out by this bound, whatever their number.
+* Only buckets with more than one component are looked at again. There a class of a smaller component is compared with those classes of other components
+  that have one of its rarest shingles and a size that leaves room for a link (prefix filter). Copies changed too much for a link to their origin
+  have their rarest shingles to themselves, or share them with few, whatever the number of copies.
 
 Components come from alternating star contractions, as joins; nothing is collected. A null or empty text has no shingles and no links. ``doc_id`` identifies a
 document; repeated rows stay rows and share their component. A null doc_id stands behind all others.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.llm.text import LAST, Words, mix, seeded, slices, stash, string_array
@@ -34,7 +34,7 @@ from flowsieve.llm.text import LAST, Words, mix, seeded, slices, stash, string_a
 SHINGLE = 3
 PERCENT = 85
 BANDS, ROWS = 24, 4
-SIZE_STEP = math.log(1.05)
+SIZE_STEP = math.log(1.03)
 _EMPTY = np.uint64((1 << 64) - 1)
 _LOW, _HALF, _ODD = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,32 +145,36 @@ def _size_class(n):
     return F.floor(F.log(n.cast("double")) / SIZE_STEP)
 
 
-def remaining_pairs(rows: DataFrame, sizes: DataFrame, texts: DataFrame, component: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that may still be a link. ``rows``: key, id of the buckets with more than one class."""
+def remaining_pairs(rows: DataFrame, texts: DataFrame, component: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that share a bucket with several components and may still be a link between two. ``rows``: key, id of the buckets with several classes.
+
+    A link of sizes n, m has at least ``percent * (n + m) / (100 + percent)`` common shingles, so of any ``n`` minus that plus one shingles of the first set, the second has
+    one. The rarest are taken: those a changed copy has to itself lead nowhere. The r-th rarest needs to be followed only to sets up to the size for which r
+    are that many; sets of other sizes are kept out of the join by a class of sizes in its key.
+    """
     placed = rows.join(component, rows["id"] == component["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     per = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = per.groupBy("key").agg(F.max(F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", (-F.col("main.col2")).alias("main"))
-    open_rows = stash(placed.join(mixed, "key"), "open")
-    inside = open_rows.select("id").distinct()
+    beside_main = placed.join(mixed, "key").groupBy("id", "component").agg(F.max(F.col("component") != F.col("main")).alias("asking"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, items in zip(batch.column(0).to_pylist(), shingle_sets(string_array(batch.column(1)), size)):
-                yield pa.RecordBatch.from_arrays([pa.array(items.view(np.int64)), pa.repeat(i, len(items)).cast(pa.int64())], names=["item", "id"])
-
-    alone = texts.join(inside, "id", "left_semi").mapInArrow(spread, "item long, id long").groupBy("item").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
-    private = alone.groupBy("id").agg(F.count("*").alias("private"))
-    facts = inside.join(sizes, "id").join(private, "id", "left").select("id", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("shared"))
-    # a link of sizes n, m needs an intersection of percent * (n + m) / (100 + percent), and that is at most `shared` of either
-    top = F.floor(F.col("shared") * (100 + percent) / percent) - F.col("n")
+            for i, items in enumerate(shingle_sets(string_array(batch.column("text")), size)):
+                one = [pa.repeat(batch.column(c)[i], len(items)) for c in ("id", "component", "asking")]
+                yield pa.RecordBatch.from_arrays([pa.array(items.view(np.int64)), *one, pa.repeat(len(items), len(items)).cast(pa.int64())], names=["item", "id", "component", "asking", "n"])
+
+    shape = "item long, id long, component long, asking boolean, n long"
+    items = stash(texts.join(beside_main, "id").select("id", "component", "asking", "text").mapInArrow(spread, shape), "items")
+    common = items.groupBy("item").agg(F.count("*").alias("sets")).where("sets > 1")
+    own = items.where("asking").join(common, "item", "left").withColumn("sets", F.coalesce("sets", F.lit(1)))
+    ranked = own.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("sets", "item")))
     low = F.ceil(F.col("n") * percent / 100)
-    able = facts.select("id", "n", low.alias("low"), top.alias("top")).where("top >= low")
-    full = open_rows.join(able, "id")
-    asking = full.where("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("a_component"), F.col("n").alias("a_n"), F.col("low").alias("a_low"), F.col("top").alias("a_top"),
-                                                   F.explode(F.sequence(_size_class(F.col("low")), _size_class(F.col("top")))).alias("class"))
-    asked = full.select("key", F.col("id").alias("b"), F.col("component").alias("b_component"), F.col("n").alias("b_n"), F.col("low").alias("b_low"), F.col("top").alias("b_top"), _size_class(F.col("n")).alias("class"))
-    fits = (F.col("a_component") != F.col("b_component")) & F.col("b_n").between(F.col("a_low"), F.col("a_top")) & F.col("a_n").between(F.col("b_low"), F.col("b_top"))
-    return asking.join(asked, ["key", "class"]).where(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    top = F.floor((F.col("n") - F.col("r") + 1) * (100 + percent) / percent) - F.col("n")
+    asking = ranked.where("sets > 1").select("item", F.col("id").alias("a"), F.col("component").alias("a_component"), low.alias("low"), top.alias("top")).where("top >= low")
+    asking = asking.withColumn("class", F.explode(F.sequence(_size_class(F.col("low")), _size_class(F.col("top")))))
+    asked = items.select("item", F.col("id").alias("b"), F.col("component").alias("b_component"), F.col("n").alias("b_n"), _size_class(F.col("n")).alias("class"))
+    fits = (F.col("a_component") != F.col("b_component")) & F.col("b_n").between(F.col("low"), F.col("top"))
+    return asking.join(asked, ["item", "class"]).where(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -189,7 +193,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     texts = stash(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text").join(degree.select("id"), "id", "left_semi").dropDuplicates(["id"]), "texts")
     links = stash(verified(stars, texts, size, percent), "links")
     component = connected(links)
-    rest = stash(remaining_pairs(met.select("key", "id"), single.select("id", "n"), texts, component, size, percent), "rest")
+    rest = stash(remaining_pairs(met.select("key", "id"), texts, component, size, percent), "rest")
     if not rest.isEmpty():
         component = connected(links.unionAll(verified(rest, texts, size, percent)))
     found = member.select("id", "n", "class").join(component, F.col("class") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "class"))
