@@ -96,6 +96,55 @@ def ipv4_number(addr: str | Column) -> Column:
     return F.when(good, number)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` written and computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _ipv6_hex(c: Column) -> Column:
+    """The 32 hexadecimal digits of IPv6 text, null if it is none. A zone is ignored, the last four bytes may be written as IPv4."""
+    groups = lambda text: F.filter(F.split(text, ":"), lambda g: g != "")
+
+    def with_hex_tail(bare: Column) -> Column:
+        tail = _let(ipv4_number(F.substring_index(bare, ":", -1)), lambda n: F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(F.lit(65535))))))
+        return F.when(bare.contains("."), F.concat(F.regexp_replace(bare, "[^:]*$", ""), tail)).otherwise(bare)
+
+    def filled(p: Column) -> Column:
+        known = F.size(p["left"]) + F.size(p["right"])
+        zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - known))
+        every = F.when(p["short"], F.concat(p["left"], zeros, p["right"])).otherwise(p["left"])
+        return F.when(F.when(p["short"], known < 8).otherwise(known == 8), F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+    def digits(plain: Column) -> Column:
+        short = plain.contains("::")
+        right = F.when(short, groups(F.substring_index(plain, "::", -1))).otherwise(F.array().cast("array<string>"))
+        parts = F.struct(short.alias("short"), groups(F.substring_index(plain, "::", 1)).alias("left"), right.alias("right"))
+        good = plain.rlike("^[0-9a-f]{0,4}(:[0-9a-f]{0,4}){2,8}$") & ~plain.rlike(":::|::.*::|^:[^:]|[^:]:$")
+        return F.when(good, _let(parts, filled))
+
+    return _let(_let(F.lower(F.regexp_replace(c, "%.*$", "")), with_hex_tail), digits)
+
+
+def address_bits(addr: str | Column) -> Column:
+    """An address as text of its bits, 32 or 128 of them; null if it is no address."""
+    half = lambda d, at: F.lpad(F.conv(F.substring(d, at, 16), 16, 2), 64, "0")
+    six = lambda c: _let(_ipv6_hex(c), lambda d: F.concat(half(d, 1), half(d, 17)))
+    return _let(_col(addr), lambda c: F.when(c.contains(":"), six(c)).otherwise(F.lpad(F.bin(ipv4_number(c)), 32, "0")))
+
+
+def network_length(network: str | Column) -> Column:
+    """Leading bits of a network text: behind the slash as a number, a netmask or a host mask; all bits without a slash. Null if malformed."""
+    c = _col(network)
+    whole = F.when(c.contains(":"), 128).otherwise(32)
+    mask = F.substring_index(c, "/", -1)
+    number = ipv4_number(mask)
+    ones = F.bit_count(number)
+    netmask = F.when(number + F.pow(F.lit(2), 32 - ones) == 1 << 32, ones)
+    hostmask = F.when(number + 1 == F.pow(F.lit(2), ones), 32 - ones)
+    length = F.when(~c.contains("/"), whole).when(mask.rlike("^[0-9]+$"), mask.try_cast("int")).when(~c.contains(":"), F.coalesce(netmask, hostmask))
+    return F.when(length.between(0, whole), length)
+
+
 def _v6_test(network):
     @F.pandas_udf("boolean")
     def inside(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -261,7 +261,8 @@ def detection_latency(df: DataFrame) -> DataFrame:
     s = F.unix_seconds("first_seen_at") - F.unix_seconds("flow_timestamp")
     return df.agg(
         F.count(s).alias("rows"), F.try_divide(F.sum(s).cast("double"), F.count(s)).alias("mean_s"),
-        F.percentile_approx(s, 0.5, 100_000).alias("median_s"), F.max(s).alias("max_s"),
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_seconds(first_seen_at) - unix_seconds(flow_timestamp))").alias("median_s"),
+        F.max(s).alias("max_s"),
     )
 
 

@@ -66,21 +66,31 @@ def trailing_counts(df: DataFrame, ts: str, span_ms: int, keys: Sequence[str] =
     return both.withColumn("in_window", F.sum("at_once").over(w)).filter("_own = _bucket").drop("_own", "_bucket")
 
 
-def value_buckets(df: DataFrame, column: str, parts: int = 64) -> DataFrame:
+def same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` in which null equals null; the keys of the left side stay."""
+    renamed = right.withColumnsRenamed({k: f"_same_{i}" for i, k in enumerate(keys)})
+    condition = [left[k].eqNullSafe(renamed[f"_same_{i}"]) for i, k in enumerate(keys)]
+    return left.join(renamed, condition, how).drop(*[f"_same_{i}" for i in range(len(keys))])
+
+
+def value_buckets(df: DataFrame, column: str, parts: int | None = None) -> DataFrame:
     """Adds ``_bucket``: the range of ``column`` a row falls into, ascending, cut so that ranges hold similar numbers of
-    rows. The cut points are approximate; anything computed per bucket and carried across is still exact."""
+    rows, as many as there are shuffle partitions; null for null. The cut points are approximate; anything computed per bucket and carried across is
+    still exact."""
+    parts = parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     points = df.approxQuantile(column, [i / parts for i in range(1, parts)], 0.25 / parts)
     splits = [float("-inf"), *sorted(set(points)), float("inf")]
     if len(splits) < 3:
         return df.withColumn("_bucket", F.lit(0))
     cut = Bucketizer(splits=splits, inputCol=column, outputCol="_bucket", handleInvalid="keep").transform(df)
-    return cut.withColumn("_bucket", F.col("_bucket").cast("int"))
+    return cut.withColumn("_bucket", F.when(F.col(column).isNotNull(), F.col("_bucket").cast("int")))
 
 
 def running_totals(
-    df: DataFrame, order: str, sums: dict[str, str], keys: Sequence[str] = (), descending: bool = False, parts: int = 64
+    df: DataFrame, order: str, sums: dict[str, str], keys: Sequence[str] = (), descending: bool = False, parts: int | None = None
 ) -> DataFrame:
-    """Running sums along ``order``, which must be unique per key; ``sums`` maps output names to input columns."""
+    """Running sums along ``order``, which must be unique per key; ``sums`` maps output names to input columns. Rows without a value of ``order`` stand first,
+    with ``descending`` last."""
     keys = list(keys) or ["_all"]
     cut = value_buckets(df.withColumn("_all", F.lit(0)), order, parts)
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
@@ -91,7 +101,7 @@ def running_totals(
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        cut.join(offsets, [*keys, "_bucket"])
+        same(cut, offsets, [*keys, "_bucket"])
         .select(*df.columns, *[(F.col(f"_o_{n}") + F.sum(c).over(inside)).alias(n) for n, c in sums.items()])
     )
 
@@ -100,18 +110,19 @@ def first_n(df: DataFrame, bucket: Column, order: Sequence[Column], n: int | Col
     """The first ``n`` rows per key in the order (bucket, order), for any size of ``n``.
 
     Buckets that lie wholly inside are kept without sorting or shuffling their rows. Only the rows of the one bucket per
-    key that the limit cuts through are ranked. ``bucket`` must rise with the order. ``n`` may be a column of the keys.
+    key that the limit cuts through are ranked. ``bucket`` must rise with the order; rows without a bucket stand last. Null is a key like any other. ``n`` may
+    be a column of the keys.
     """
     keys = list(keys) or ["_all"]
     cut = df.withColumn("_all", F.lit(0)).withColumn("_bucket", bucket)
     limit = n if isinstance(n, Column) else F.lit(n)
     sizes = cut.groupBy(*keys, "_bucket").agg(F.count("*").alias("_size"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(F.col("_bucket").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     plan = sizes.select(*keys, "_bucket", "_size", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     plan = plan.withColumn("_limit", limit).filter(F.col("_before") < F.col("_limit"))
     whole = (F.col("_before") + F.col("_size")) <= F.col("_limit")
-    kept = cut.join(plan.filter(whole).select(*keys, "_bucket"), [*keys, "_bucket"], "left_semi")
-    edge = cut.join(plan.filter(~whole).select(*keys, "_bucket", (F.col("_limit") - F.col("_before")).alias("_room")), [*keys, "_bucket"])
+    kept = same(cut, plan.filter(whole).select(*keys, "_bucket"), [*keys, "_bucket"], "left_semi")
+    edge = same(cut, plan.filter(~whole).select(*keys, "_bucket", (F.col("_limit") - F.col("_before")).alias("_room")), [*keys, "_bucket"])
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     edge = edge.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_room"))
     return kept.select(*df.columns).unionByName(edge.select(*df.columns))

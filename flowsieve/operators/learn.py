@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from flowsieve import fixed
 from flowsieve.functions import scoring as S
 from flowsieve.operators import enrich, verdict
-from flowsieve.operators.distributed import hash_bucket, running_totals
+from flowsieve.operators.distributed import hash_bucket, running_totals, same
 from flowsieve.session import cut_lineage
 
 # ---- splits and scaling ---------------------------------------------------------------------------------------------
@@ -34,7 +34,8 @@ def stratified_split(df: DataFrame, label: str, hash_column: str, test: int = 15
     """Adds ``split``: per label the given percentage for test, then of the rest for validation, by a seeded hash.
 
     The position of a row is needed only to the side of the two cuts. Hash buckets that lie wholly on one side are labelled
-    by a join with the bucket sizes; only rows of a bucket a cut runs through are ranked.
+    by a join with the bucket sizes; only rows of a bucket a cut runs through are ranked. Rows without a label are a class of their own, rows without a hash
+    come first.
     """
     cut = df.withColumn("_b", hash_bucket(hash_column))
     sizes = cut.groupBy(label, "_b").agg(F.count("*").alias("_n"))
@@ -51,7 +52,7 @@ def stratified_split(df: DataFrame, label: str, hash_column: str, test: int = 15
         .when(F.col("_before") >= F.col("_v"), "train")
     )
     plan = plan.select(label, "_b", "_before", "_t", "_v", side.alias("_side"))
-    j = cut.join(plan, [label, "_b"])
+    j = same(cut, plan, [label, "_b"])
     sure = j.filter("_side is not null").select(*df.columns, F.col("_side").alias("split"))
     rank = F.col("_before") + F.row_number().over(Window.partitionBy(label, "_b").orderBy(hash_column))
     edge = j.filter("_side is null").withColumn("_r", rank)
@@ -203,46 +204,41 @@ def cross_corpus(train: DataFrame, test: DataFrame, features: Sequence[str], sou
 # ---- oversampling ---------------------------------------------------------------------------------------------------
 
 
-def nearest(df: DataFrame, id_column: str, features: Sequence[str], k: int, block: int = 10_000) -> DataFrame:
+NEIGHBOUR_ROWS = 20_000
+
+
+def nearest(df: DataFrame, id_column: str, features: Sequence[str], k: int, block: int = 512, most: int = NEIGHBOUR_ROWS) -> DataFrame:
     """The ``k`` nearest other rows of each row by Euclidean distance, as (id, neighbour, rank).
 
-    The rows are compared with one block of them at a time; a block is small enough to be sent to every task. A task keeps
-    only the ``k`` best per row and block, so no pairs are written out, and any number of rows is handled exactly.
+    Neighbours are looked for among at most ``most`` rows, those with the smallest hash of their id: a bound on labelled rows. They are sent to every task once;
+    a task compares ``block`` rows with them at a time and keeps the ``k`` best per row. Distances are sums of squared differences for any number of rows.
     """
-    spark, cols = df.sparkSession, list(features)
-    n = df.count()
-    blocks = max(1, -(-n // block))
-    part = F.pmod(F.xxhash64(id_column), F.lit(blocks))
+    cols = list(features)
     points = df.select(F.col(id_column).cast("long").alias("id"), *[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(cols)])
     fs = [f"f{i}" for i in range(len(cols))]
-    found = None
-    for b in range(blocks):
-        chosen = points.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()
-        shared = spark.sparkContext.broadcast((chosen["id"].to_numpy(), chosen[fs].to_numpy()))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, xs = shared.value
-            for pdf in batches:
-                for at in range(0, len(pdf), 512):
-                    some = pdf.iloc[at:at + 512]
-                    x = some[fs].to_numpy()
-                    d = ((x[:, None, :] - xs[None, :, :]) ** 2).sum(axis=2) if xs.size * len(x) < 5e7 else (
-                        (x ** 2).sum(1)[:, None] + (xs ** 2).sum(1)[None, :] - 2 * x @ xs.T)
-                    own = some["id"].to_numpy()
-                    d[own[:, None] == ids[None, :]] = np.inf
-                    order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-                    rows = np.arange(len(x))[:, None]
-                    out = pd.DataFrame({
-                        "id": np.repeat(own, order.shape[1]), "neighbour": ids[order].ravel(), "distance": d[rows, order].ravel()})
-                    yield out[np.isfinite(out["distance"])]
-
-        one = points.mapInPandas(best, "id long, neighbour long, distance double")
-        found = one if found is None else found.unionByName(one)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("distance")
-
-
-def oversample(df: DataFrame, id_column: str, features: Sequence[str], label: str = "label", k: int = 5, seed: int = 42, block: int = 10_000) -> DataFrame:
+    chosen = points.orderBy(F.xxhash64("id"), "id").limit(most).toPandas()
+    shared = df.sparkSession.sparkContext.broadcast((chosen["id"].to_numpy(), chosen[fs].to_numpy()))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, xs = shared.value
+        for pdf in batches:
+            for at in range(0, len(pdf), block):
+                some = pdf.iloc[at:at + block]
+                own, x = some["id"].to_numpy(), some[fs].to_numpy()
+                d = np.zeros((len(x), len(xs)))
+                for j in range(len(fs)):
+                    d += (x[:, j, None] - xs[None, :, j]) ** 2
+                d[own[:, None] == ids[None, :]] = np.inf
+                order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
+                out = pd.DataFrame({
+                    "id": np.repeat(own, order.shape[1]), "neighbour": ids[order].ravel(), "rank": np.tile(np.arange(1, order.shape[1] + 1), len(x)).astype("int32"),
+                    "distance": d[np.arange(len(x))[:, None], order].ravel()})
+                yield out[np.isfinite(out["distance"])].drop(columns="distance")
+
+    return points.mapInPandas(best, "id long, neighbour long, rank int")
+
+
+def oversample(df: DataFrame, id_column: str, features: Sequence[str], label: str = "label", k: int = 5, seed: int = 42, block: int = 512) -> DataFrame:
     """The rows plus synthetic ones that bring every class to the size of the largest.
 
     A synthetic row lies at a seeded random place between a row and one of its nearest rows of the same class.

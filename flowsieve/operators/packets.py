@@ -304,6 +304,12 @@ def build_flows(
     return _all([flow_records(part, with_gaps, hot) for part, hot in _branches(packets, idle_ms, active_ms, close_on_flags, fold_limit, support)])
 
 
+def identified(flows: DataFrame) -> DataFrame:
+    """Flow records with ``flow_id`` and ``first_seen_ms``, the names the joins with alerts use. The id follows from key and start, so it is the same in every run."""
+    parts = [F.col(c).cast("string") for c in ("src_ip", "src_port", "dst_ip", "dst_port", "protocol", "bidirectional_first_seen_ms")]
+    return flows.withColumns({"flow_id": F.md5(F.concat_ws("|", *parts)), "first_seen_ms": F.col("bidirectional_first_seen_ms")})
+
+
 SCOPE_COUNT = {"a": "n_f + n_b", "f": "n_f", "b": "n_b"}
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from flowsieve.functions import network as N
 
 
 def search_predicate(q: str) -> Column:
-    """Text in any of nine columns, case ignored; ``%`` and ``_`` in it are wildcards."""
-    pattern = f"%{q.lower()}%"
+    """Text in any of nine columns, case ignored; ``%`` and ``_`` in it are wildcards, unless a backslash stands before them. Any other backslash is one."""
+    pattern = "%" + re.sub(r"\\([%_\\])|\\", lambda m: m[0] if m[1] else "\\\\", q.lower()) + "%"
     texts = ("source_ip", "destination_ip", "snort_msg", "snort_sid", "family", "attack_type", "id", "source_port", "destination_port")
     hit = F.lit(False)
     for c in texts:

@@ -232,15 +232,16 @@ def first_of(df: DataFrame, names: Sequence[str], default) -> Column:
     return F.coalesce(*found, last)
 
 
-def event_time(df: DataFrame, as_of: Column) -> Column:
-    """Time of a flow: first-seen milliseconds if positive, else the timestamp column, else ``as_of``."""
+def event_time(df: DataFrame, as_of: Column, day_first: bool = True) -> Column:
+    """Time of a flow: first-seen milliseconds if positive, else the timestamp column, else ``as_of``. Dates with slashes are read day first, as the corpora
+    write them; with ``day_first=False`` month first."""
     options = []
     if "bidirectional_first_seen_ms" in df.columns:
         ms = _q("bidirectional_first_seen_ms").cast("string").try_cast("double")
         options.append(F.when(ms > 0, F.timestamp_millis(ms.cast("long"))))
     text = [n for n in ("Timestamp", "timestamp") if n in df.columns]
     if text:
-        options.append(TM.parse_any(F.coalesce(*[_q(n).cast("string") for n in text])))
+        options.append(TM.parse_any(F.coalesce(*[_q(n).cast("string") for n in text]), day_first))
     return F.coalesce(*options, as_of)
 
 
@@ -355,6 +356,7 @@ def build_events(joined: DataFrame, model_version: str, flow_key: str = "flow_ke
     headline = S.overridden(F.col("source"), label, m["severity"], F.coalesce(m["confidence"], F.lit(0.0)), m["stage2_p"], m["stage3_p"])
     text = lambda n: F.coalesce(a[n], F.lit("")).alias(n)
     whole = lambda n: F.coalesce(a[n], F.lit(0)).alias(n)
+    seen = [text(n) for n in ("snort_action", "snort_timestamp") if n in joined.schema["alert"].dataType.fieldNames()]
     return d.select(
         *[c for c in joined.columns if c not in ("alert", "model", flow_key)], F.col(flow_key).alias("flow_key"),
         F.coalesce(has(a["src_ip"], ""), F.col("_p.src_ip")).alias("src_ip"),
@@ -367,7 +369,7 @@ def build_events(joined: DataFrame, model_version: str, flow_key: str = "flow_ke
         m["attack_type"].alias("subtype"), S.round_to(F.coalesce(m["stage1_p"], F.lit(0.0))).alias("stage1_p"),
         m["stage2_p"].alias("stage2_p"), m["stage2_probs"].alias("stage2_probs"), m["stage3_p"].alias("stage3_p"),
         m["stage3_probs"].alias("stage3_probs"), "source", F.lit(model_version).alias("model_version"),
-        text("snort_msg"), whole("snort_sid"), text("snort_classtype"), whole("snort_priority"),
+        text("snort_msg"), whole("snort_sid"), text("snort_classtype"), whole("snort_priority"), *seen,
     )
 
 
@@ -401,19 +403,19 @@ ALERT_JSON = T.StructType([
 def normalize_alerts(df: DataFrame, line: str = "value") -> DataFrame:
     """Alert JSON lines to alert rows.
 
-    Addresses come from the split fields, or both from the combined ones. Lines that are no JSON or lack an address are
+    Each side's address comes from its split fields, or from its combined one. Lines that are no JSON or lack an address are
     dropped. The signature id comes from ``sid`` or from the middle of ``rule``.
     """
     j = df.withColumn("_j", F.from_json(F.trim(F.col(line)), ALERT_JSON)).withColumns({
         "_s": N.split_addr_port("_j.src_ap"), "_d": N.split_addr_port("_j.dst_ap")})
-    split = F.col("_j.src_addr").isNotNull()
+    from_split, to_split = F.col("_j.src_addr").isNotNull(), F.col("_j.dst_addr").isNotNull()
     port = lambda n: F.coalesce(F.col(f"_j.{n}").try_cast("int"), F.lit(0))
     rule_sid = F.try_element_at(F.split("_j.rule", ":"), F.lit(2)).try_cast("int")
     out = j.withColumns({
-        "src_ip": F.when(split, F.col("_j.src_addr")).otherwise(F.col("_s.addr")),
-        "dst_ip": F.when(split, F.col("_j.dst_addr")).otherwise(F.col("_d.addr")),
-        "src_port": F.when(split, port("src_port")).otherwise(F.coalesce("_s.port", F.lit(0))),
-        "dst_port": F.when(split, port("dst_port")).otherwise(F.coalesce("_d.port", F.lit(0))),
+        "src_ip": F.when(from_split, F.col("_j.src_addr")).otherwise(F.col("_s.addr")),
+        "dst_ip": F.when(to_split, F.col("_j.dst_addr")).otherwise(F.col("_d.addr")),
+        "src_port": F.when(from_split, port("src_port")).otherwise(F.coalesce("_s.port", F.lit(0))),
+        "dst_port": F.when(to_split, port("dst_port")).otherwise(F.coalesce("_d.port", F.lit(0))),
         "protocol": F.upper(F.coalesce("_j.proto", F.lit("TCP"))),
     }).filter((F.col("src_ip") != "") & (F.col("dst_ip") != ""))
     text = lambda n: F.coalesce(F.col(f"_j.{n}"), F.lit(""))
@@ -428,6 +430,16 @@ def normalize_alerts(df: DataFrame, line: str = "value") -> DataFrame:
     )
 
 
+def joinable_alerts(df: DataFrame, line: str = "value", year: int | None = None) -> DataFrame:
+    """Normalised alert lines with what the joins with flows need: ``alert_ms``, a protocol number where the name has one, and ``event_id``, an order of
+    simultaneous alerts that does not depend on how files are read."""
+    j = F.from_json(F.trim(F.col(line)), ALERT_JSON)
+    timed = df.withColumns({"alert_ms": TM.alert_millis(j["timestamp"], j["seconds"], year), "event_id": F.xxhash64(F.trim(F.col(line)))})
+    rows = normalize_alerts(timed, line)
+    number = N.lookup(F.col("protocol"), {name: n for n, name in fixed.KEY_PROTOCOLS.items()}, F.col("protocol").try_cast("int"))
+    return rows.withColumn("protocol", number)
+
+
 # ---- corpora and input checks ---------------------------------------------------------------------------------------
 
 def validate_flows(df: DataFrame) -> DataFrame:

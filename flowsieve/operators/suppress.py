@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from flowsieve import fixed
 from flowsieve.functions import network as N
 
+BROADCAST_RULES = 10_000
+
 
 def active_rules(rules: DataFrame, as_of: Column) -> DataFrame:
     """Rules that have not run out, newest first."""
@@ -28,14 +30,19 @@ def _newest(rules: DataFrame, keys: list[Column]) -> DataFrame:
     return rules.groupBy(*keys).agg(F.min_by(F.struct("id", "kind", "value", "created_at"), order).alias("rule"))
 
 
+def _shipped(side: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(side) if few else side
+
+
 def match_rules(df: DataFrame, rules: DataFrame, as_of: Column) -> DataFrame:
     """Adds ``rule``: the winning rule's struct, null where none matches. No row is repeated.
 
-    Each kind is an equi-join against rules folded to one per value, so nothing grows with rows times rules. Networks are
-    joined on the leading bits of the address, one join per prefix length in use (32 at most); a single address is a
-    match of prefix length 32. Spark broadcasts the rules while they are small and shuffles beyond.
+    Each kind is an equi-join against rules folded to one per value, so nothing grows with rows times rules. Networks of either address family, with a prefix
+    length or a mask, are joined on the leading bits of the address, one join per family and length in use (162 at most); a single address is a match of all
+    bits. Up to ``BROADCAST_RULES`` rules are counted and broadcast, so the rows stay where they are; more are left to Spark.
     """
     alive = rules.filter(F.col("expires_at").isNull() | (F.col("expires_at") > as_of))
+    few = alive.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     text = {
         "sid": F.col("snort_sid").cast("string"),
         "flow_key": N.flow_key("source_ip", "destination_ip", "source_port", "destination_port", "protocol"),
@@ -44,20 +51,21 @@ def match_rules(df: DataFrame, rules: DataFrame, as_of: Column) -> DataFrame:
     out, matched = df, {}
     for kind, key in text.items():
         side = _newest(alive.filter(F.col("kind") == kind), [F.col("value").alias(f"_v_{kind}")]).withColumnRenamed("rule", f"_r_{kind}")
-        out = out.join(side, key == F.col(f"_v_{kind}"), "left").drop(f"_v_{kind}")
+        out = out.join(_shipped(side, few), key == F.col(f"_v_{kind}"), "left").drop(f"_v_{kind}")
         matched[kind] = F.col(f"_r_{kind}")
     nets = alive.filter(F.col("kind") == "src_cidr").withColumns({
-        "_base": N.ipv4_number(F.substring_index("value", "/", 1)),
-        "_len": F.when(F.col("value").contains("/"), F.substring_index("value", "/", -1)).otherwise(F.lit("32")).try_cast("int"),
-    }).filter(F.col("_base").isNotNull() & F.col("_len").between(0, 32))
-    lengths = sorted(r[0] for r in nets.select("_len").distinct().collect())  # 33 values at most
-    out = out.withColumn("_addr", N.ipv4_number("source_ip"))
+        "_bits": N.address_bits(F.substring_index("value", "/", 1)), "_len": N.network_length("value"),
+    }).filter(F.col("_bits").isNotNull() & F.col("_len").isNotNull()).withColumn("_all", F.length("_bits"))
+    lengths = sorted((r[0], r[1]) for r in nets.select("_all", "_len").distinct().collect())  # 33 + 129 pairs at most
+    if lengths:
+        out = out.withColumn("_addr", N.address_bits("source_ip"))
     candidates = []
-    for n in lengths:
-        head = lambda c, n=n: F.shiftright(c, 32 - n)
-        side = _newest(nets.filter(F.col("_len") == n), [head(F.col("_base")).alias("_b")]).withColumnRenamed("rule", f"_r_{n}")
-        out = out.join(side, head(F.col("_addr")) == F.col("_b"), "left").drop("_b")
-        candidates.append(F.col(f"_r_{n}"))
+    for whole, n in lengths:
+        head = lambda c, n=n: F.substring(c, 1, n)
+        side = _newest(nets.filter((F.col("_all") == whole) & (F.col("_len") == n)), [head(F.col("_bits")).alias("_b")]).withColumnRenamed("rule", f"_r_{whole}_{n}")
+        own = F.when(F.length("_addr") == whole, head(F.col("_addr")))
+        out = out.join(_shipped(side, few), own == F.col("_b"), "left").drop("_b")
+        candidates.append(F.col(f"_r_{whole}_{n}"))
     if candidates:
         ranked = [F.when(c.isNotNull(), F.struct((-F.unix_micros(c["created_at"])).alias("o"), c["id"].alias("i"), c.alias("r"))) for c in candidates]
         best = F.array_min(F.array_compact(F.array(*ranked)))

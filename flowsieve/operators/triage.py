@@ -52,24 +52,21 @@ def cap_results(df: DataFrame, n: int, seq: str) -> DataFrame:
     if n <= 0:
         return df
     benign = F.coalesce(F.col("source"), F.lit("benign")) == "benign"
-    if n <= DEEP:
-        return df.withColumn("_b", benign).orderBy("_b", seq).limit(n).drop("_b")
     width = 1 << 16
     bucket = F.struct(benign.alias("b"), F.floor(F.col(seq) / width).alias("s"))
-    return first_n(df, bucket, [F.col(seq)], n)
+    return first_n(df, bucket, [benign, F.col(seq)], n).orderBy(benign, seq)
 
 
 def latest_n(df: DataFrame, n: int = 2000, ts: str = "flow_timestamp", tie: str = "id") -> DataFrame:
-    """The newest ``n`` rows, newest first."""
-    order = [F.col(ts).desc(), F.col(tie)]
-    return df.orderBy(*order).limit(n) if n <= DEEP else hard_cap(df, n, ts, tie).orderBy(*order)
+    """The newest ``n`` rows, newest first; rows without a time come last."""
+    return hard_cap(df, n, ts, tie).orderBy(F.col(ts).desc_nulls_last(), F.col(tie))
 
 
 def hard_cap(df: DataFrame, n: int, ts: str = "first_seen_at", tie: str = "id") -> DataFrame:
-    """The newest ``n`` rows of a table, for limits of any size: whole hours are kept or dropped, one hour is ranked."""
+    """The newest ``n`` rows of a table, for limits of any size: whole hours are kept or dropped, one hour is ranked. Rows without a time are the oldest."""
     if n <= 0:
         return df
-    return first_n(df, -_hour(ts), [F.col(ts).desc(), F.col(tie)], n)
+    return first_n(df, -_hour(ts), [F.col(ts).desc_nulls_last(), F.col(tie)], n)
 
 
 def retain_days(df: DataFrame, days: int, as_of: Column, ts: str = "flow_timestamp") -> DataFrame:

@@ -24,28 +24,13 @@ CLASSES = {"error": "attempted-recon", "click": "web-application-attack", "view"
            "signup": "trojan-activity", "purchase": "attempted-dos"}
 
 
-_SMALL = 128 * 1024 * 1024
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table smaller than one input split would be worked on by one core; its (few) rows are dealt out to all of them.
-    Anything larger is left as it is read."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) < _SMALL else df
-
-
-_COUNTS: dict[str, int] = {}
-
-
 def order_count(spark: SparkSession, sf_dir: str) -> int:
     """Rows of ``orders``, from the file footers."""
-    if sf_dir not in _COUNTS:
-        _COUNTS[sf_dir] = table(spark, sf_dir, "orders").count()
-    return _COUNTS[sf_dir]
+    return table(spark, sf_dir, "orders").count()
 
 
 def as_of():
@@ -56,7 +41,7 @@ def as_of():
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flow per order, with the class probabilities a model would give."""
-    return flows_of(spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")))
+    return flows_of(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
 
 
 def flows_of(orders: DataFrame) -> DataFrame:
@@ -373,7 +358,7 @@ PACKET_TIE = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One packet per line item, a third of them answers."""
-    return packets_of(spread(table(spark, sf_dir, "lineitem").select("l_orderkey", *PACKET_TIE, "l_returnflag")), flows(spark, sf_dir))
+    return packets_of(table(spark, sf_dir, "lineitem").select("l_orderkey", *PACKET_TIE, "l_returnflag"), flows(spark, sf_dir))
 
 
 def packets_of(lines: DataFrame, flow_rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from flowsieve import fixed
@@ -9,10 +11,11 @@ from flowsieve.functions import network as N
 from flowsieve.functions import scoring as S
 from flowsieve.functions import times as TM
 from flowsieve.operators import analytics as A
-from flowsieve.operators import enrich, standardize as Z, triage, verdict
+from flowsieve.operators import correlate, enrich, standardize as Z, triage, verdict
 from flowsieve.operators import packets as K
 from flowsieve.operators.distributed import seeded_hash
 from flowsieve.plans import driver_tables as D
+from flowsieve.session import shared_folder
 from flowsieve.sources import readers, sinks
 
 MS = F.unix_millis
@@ -199,6 +202,42 @@ def _alert_lines(s, d):
     return a.select("event_id", F.when(k == 0, split).when(k == 1, joined).when(k == 2, broken).otherwise(missing).alias("value"))
 
 
+def _alerts_from_files(s, d):
+    """Alerts written as JSON files in three spellings, with broken lines between, read back through the public reader and joined with the flows."""
+    a = D.alerts(s, d).withColumn("proto", N.protocol_name("protocol"))
+    at = F.timestamp_millis("alert_ms")
+    k = F.col("event_id") / 5 % 4
+    side = lambda way, split: {f"{way}_addr": F.col(f"{way}_ip"), f"{way}_port": F.col(f"{way}_port")} if split else {f"{way}_ap": F.concat(f"{way}_ip", F.lit(":"), f"{way}_port")}
+    line = lambda **cells: F.to_json(F.struct(*[v.alias(n) for n, v in cells.items()], F.col("proto"), F.col("snort_sid").alias("sid")))
+    lines = (F.when(k == 0, line(**side("src", True), **side("dst", True), seconds=F.col("alert_ms") / 1000))
+             .when(k == 1, line(**side("src", False), **side("dst", False), timestamp=F.date_format(at, "yy/MM/dd-HH:mm:ss.SSSSSS")))
+             .when(k == 2, line(**side("src", False), **side("dst", True), timestamp=F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))).otherwise(F.lit('{"src_addr": "1.1')))
+    folder = f"{shared_folder(s)}/alerts-{uuid.uuid4().hex}"
+    a.select(lines.alias("value")).write.text(folder)
+    joined = correlate.correlate(D.flows(s, d), readers.read_alerts(s, folder))
+    return joined.filter("alert is not null").select("flow_id", "alert.alert_ms")
+
+
+ALERT_FILES_SQL = f"""WITH {D.FLOWS_SQL},{D.ALERTS_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY src_ip, dst_ip, src_port, dst_port, protocol ORDER BY alert_ms) AS n FROM alerts WHERE event_id // 5 % 4 < 3)
+SELECT f.flow_id, coalesce(x.alert_ms, y.alert_ms) AS alert_ms FROM flows f
+  LEFT JOIN a x ON x.n = 1 AND (x.src_ip, x.dst_ip, x.src_port, x.dst_port, x.protocol) = (f.src_ip, f.dst_ip, f.src_port, f.dst_port, f.protocol)
+  LEFT JOIN a y ON y.n = 1 AND (y.src_ip, y.dst_ip, y.src_port, y.dst_port, y.protocol) = (f.dst_ip, f.src_ip, f.dst_port, f.src_port, f.protocol)
+WHERE x.n = 1 OR y.n = 1"""
+
+
+def _times_from_files(s, d):
+    """Events written as CSV files with a doubled header and day-first times without leading zeros, read back with their times."""
+    at = F.timestamp_seconds(F.lit(1499410000) + F.col("event_id") * 61)
+    e = D.table(s, d, "events").select(F.col("event_id").alias("Dst Port"), F.date_format(at, "d/M/yyyy H:mm").alias(" Timestamp"), (F.col("event_id") % 100).alias(" Fwd Header Length"), F.lit(-1).alias("again"))
+    folder = f"{shared_folder(s)}/flows-{uuid.uuid4().hex}"
+    header = F.lit("Dst Port, Timestamp, Fwd Header Length, Fwd Header Length")
+    rows = e.select(F.concat_ws(",", *[F.col(f"`{c}`").cast("string") for c in e.columns]).alias("value"))
+    opens = F.monotonically_increasing_id() % (1 << 33) == 0  # the first row of each file
+    rows.select(F.concat(F.when(opens, F.concat(header, F.lit("\n"))).otherwise(F.lit("")), F.col("value")).alias("value")).write.text(folder)
+    read = readers.read_flow_csv(s, folder)
+    return read.select(F.col("Dst Port").cast("long").alias("event_id"), MS(Z.event_time(read, D.as_of())).alias("time_ms"), F.col("Fwd Header Length").cast("long").alias("fwd_header"))
+
+
 def _normalized_alerts(s, d):
     return Z.normalize_alerts(_alert_lines(s, d)).select("event_id", "flow_key", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "snort_sid", "snort_msg", "snort_classtype", "snort_priority", "snort_action")
 
@@ -459,6 +498,8 @@ QUERIES = {
     "p25_normalize_labels": (lambda s, d: _corpus_rows(s, d).groupBy(F.col("Label").alias("label")).agg(F.count("*").alias("rows")), C + "SELECT label, count(*) AS rows FROM corpus GROUP BY label"),
     "p26_first_tactic": (lambda s, d: D.fresh_predictions(s, d).groupBy(enrich.first_tactic("mitre").alias("tactic")).agg(F.count("*").alias("rows")), P + "SELECT CASE WHEN has_mitre THEN (SELECT tactic FROM kb_tactic k WHERE k.category = attack_type AND pos = 0) ELSE '' END AS tactic, count(*) AS rows FROM pred GROUP BY 1"),
     "src4_alert_lines": (lambda s, d: _normalized_alerts(s, d).groupBy("protocol", "snort_action").agg(F.count("*").alias("rows")), f"WITH {D.FLOWS_SQL},{D.ALERTS_SQL} SELECT 'TCP' AS protocol, CASE WHEN event_id // 5 % 4 = 1 THEN 'allow' ELSE '' END AS snort_action, count(*) AS rows FROM alerts WHERE event_id // 5 % 4 < 2 GROUP BY ALL"),
+    "src4_alert_files": (_alerts_from_files, ALERT_FILES_SQL),
+    "src1_corpus_files": (_times_from_files, "SELECT event_id, (1499410000 + event_id * 61) // 60 * 60000 AS time_ms, event_id % 100 AS fwd_header FROM events"),
     "src7_manual_records": (_manual, FL + "SELECT flow_id, CAST(dst_port AS DOUBLE) AS dst_port, CASE WHEN o % 2 = 0 THEN 6.0::DOUBLE ELSE 17 END AS protocol, CAST(c % 8 AS DOUBLE) * 1000 AS flow_duration, CAST(o % 50 AS DOUBLE) AS subflow_fwd_packets, 0::DOUBLE AS subflow_bwd_packets, CAST(o % 900 AS DOUBLE) AS subflow_fwd_bytes, 0::DOUBLE AS subflow_bwd_bytes FROM flows"),
     "snk3_session_log_rows": (_log_rows, LOG_SQL),
     "snk4_export_rows": (_exported, EXPORT_SQL),

@@ -36,12 +36,10 @@ def _closed(df: DataFrame, is_first: str, ts: str) -> DataFrame:
 
 @contextmanager
 def _state_partitions(spark):
-    """A stream keeps one state store per shuffle partition. A local session gets as many as it has cores; a cluster keeps
-    its own setting."""
-    key, context = "spark.sql.shuffle.partitions", spark.sparkContext
+    """A stream keeps one state store per shuffle partition for good; no more than there are cores to work on them."""
+    key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
-    if context.master.startswith("local"):
-        spark.conf.set(key, str(min(int(before), context.defaultParallelism)))
+    spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
     try:
         yield
     finally:

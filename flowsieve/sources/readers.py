@@ -25,10 +25,21 @@ FLOW = T.StructType(
 )
 
 
+def _by_position(spark: SparkSession, path: str | list[str]) -> tuple[list[str], DataFrame]:
+    """Trimmed header cells of the first file, and the rows with columns ``c0``, ``c1``, ...; the last one is filled only on lines with too many cells.
+
+    Spark would rename every column of a header cell that occurs twice, so that none of them keeps the name.
+    """
+    first = spark.read.csv(path, header=False, inferSchema=False).first()
+    header = [(cell or f"_c{i}").strip() for i, cell in enumerate(first or ())]
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header) + 1)])
+    return header, spark.read.schema(schema).option("mode", "PERMISSIVE").option("header", True).option("enforceSchema", True).csv(path)
+
+
 def read_flow_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Feature CSV with any subset of columns; header cells are trimmed, values stay text until ``clean``."""
-    raw = spark.read.csv(path, header=True, inferSchema=False)
-    return standardize.renamed(raw, {c: c.strip() for c in raw.columns})
+    """Feature CSV with any subset of columns; header cells are trimmed, values stay text until ``clean``. Of a header that occurs twice the first column counts."""
+    header, raw = _by_position(spark, path)
+    return raw.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(header) if n not in header[:i]])
 
 
 def read_flow_records(spark: SparkSession, path: str | list[str], fmt: str = "parquet") -> DataFrame:
@@ -45,19 +56,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def corpus_to_parquet(spark: SparkSession, paths: Sequence[str], out_dir: str) -> list[str]:
     """Converts labelled CSV files to Parquet: known features as float32 plus the label, snappy-compressed.
 
-    Lines with too many cells are skipped, missing cells are null. A file that was converted completely before is not read again.
+    Lines with too many cells are skipped, missing cells are null. A file that was converted completely before is not read again. Files of one name keep the
+    name of their folder as well.
     """
     written = []
-    for path in paths:
-        out = f"{out_dir}/{path.rstrip('/').rsplit('/', 1)[-1].removesuffix('.csv')}.parquet"
+    names_of = [path.rstrip("/").removesuffix(".csv").split("/") for path in paths]
+    for path, parts in zip(paths, names_of):
+        depth = next(n for n in range(1, len(parts) + 1) if n == len(parts) or sum(other[-n:] == parts[-n:] for other in names_of) == 1)
+        out = f"{out_dir}/{'_'.join(p for p in parts[-depth:] if p)}.parquet"
         written.append(out)
         if _exists(spark, f"{out}/_SUCCESS"):
             continue
-        header = spark.read.csv(path, header=True, inferSchema=False).columns
-        # one cell more than the header: it is filled only on lines that are too long
-        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header) + 1)])
-        raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("header", True).option("enforceSchema", True).csv(path)
-        names, seen, cols = [fixed.CORPUS_ALIASES.get(h.strip(), h.strip()) for h in header], set(), []
+        header, raw = _by_position(spark, path)
+        names, seen, cols = [fixed.CORPUS_ALIASES.get(h, h) for h in header], set(), []
         for i, n in enumerate(names):
             if n in seen:
                 continue
@@ -76,17 +87,17 @@ def corpus_to_parquet(spark: SparkSession, paths: Sequence[str], out_dir: str) -
     return written
 
 
-def read_alerts(spark: SparkSession, path: str | list[str], line: str = "value") -> DataFrame:
-    """Alert JSON lines; unreadable lines and lines without addresses are dropped."""
-    return standardize.normalize_alerts(spark.read.text(path), line)
+def read_alerts(spark: SparkSession, path: str | list[str], year: int | None = None) -> DataFrame:
+    """Alert JSON lines in the form the joins with flows take; unreadable lines and lines without addresses are dropped. ``year`` completes times that have none."""
+    return standardize.joinable_alerts(spark.read.text(path), "value", year)
 
 
-def stream_alerts(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
+def stream_alerts(spark: SparkSession, folder: str, files_per_trigger: int | None = None, year: int | None = None) -> DataFrame:
     """The same as a stream of files in a folder; a rotated log is simply the next file."""
     reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return standardize.normalize_alerts(reader.text(folder))
+    return standardize.joinable_alerts(reader.text(folder), "value", year)
 
 
 def stream_flows(spark: SparkSession, folder: str, fmt: str = "parquet", schema: T.StructType = FLOW, files_per_trigger: int | None = None) -> DataFrame:

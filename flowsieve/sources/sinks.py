@@ -83,56 +83,60 @@ def write_traffic_log(df: DataFrame, path: str) -> None:
     traffic_log_rows(df).write.mode("append").option("emptyValue", "").csv(path, header=True)
 
 
-def _percent(c: str, digits: int) -> Column:
-    return F.concat(F.round((F.col(c) * 100).cast("decimal(24,12)"), digits).cast(f"decimal(20,{digits})").cast("string"), F.lit("%"))
+def write_rule_hits(judged: DataFrame, path: str, batch_id: int) -> None:
+    """How many rows of a batch each rule suppressed; a repeated batch replaces its own file. ``judged`` has the column ``rule`` of ``match_rules``."""
+    hits = judged.filter("rule is not null").groupBy(F.col("rule.id").cast("string").alias("id")).agg(F.count("*").alias("hits"))
+    hits.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def _form(value: Column, form: str) -> Column:
+    """A value of the report as text."""
+    if form == "code":
+        return F.concat(F.lit("`"), value.cast("string"), F.lit("`"))
+    if form == "dash":
+        return F.coalesce(value.cast("string"), F.lit("-"))
+    if form == "time":
+        return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
+    if form in ("bytes", "seconds"):
+        return F.concat(value.cast("string"), F.lit(" bytes" if form == "bytes" else "s"))
+    if form.startswith(("percent", "routing")):
+        digits = int(form[-1])
+        shown = F.concat(F.round((value * 100).cast("decimal(24,12)"), digits).cast(f"decimal(20,{digits})").cast("string"), F.lit("%"))
+        return F.concat(shown, F.lit(" _(routing only)_")) if form.startswith("routing") else shown
+    return value.cast("string")
+
+
+def _listed(heading: str, entries: Column, shown) -> Column:
+    return F.when(F.size(entries) > 0, F.concat_ws("\n", F.lit(heading), F.transform(entries, shown)))
 
 
 def incident_reports(df: DataFrame) -> DataFrame:
-    """The report body of each prediction as (id, report): flow, model output, signature, attack knowledge, state.
+    """The report body of each prediction as (id, report), laid out by ``fixed.REPORT_SECTIONS``.
 
     ``ack_by_name`` is used where present. The activity trail follows as rows of its own (``incident_trail``), because a
     prediction may have any number of changes.
     """
-    c, dash = F.col, lambda n: F.coalesce(F.col(n), F.lit("-"))
-
-    def line(label: str, value: Column) -> Column:
-        return F.concat(F.lit(f"- **{label}:** "), value.cast("string"))
-
-    tick = lambda v: F.concat(F.lit("`"), v.cast("string"), F.lit("`"))
-    key = F.concat(c("source_ip"), F.lit(":"), c("source_port"), F.lit("-"), c("destination_ip"), F.lit(":"), c("destination_port"), F.lit("-"), c("protocol"))
-    has_signature, m = F.coalesce(c("snort_msg"), F.lit("")) != "", c("mitre")
-    lines: list[Column] = [
-        F.concat(F.lit("# Incident Report — "), F.coalesce("attack_type", "prediction")), F.lit(""),
-        line("Prediction ID", tick(c("id"))), line("Timestamp", F.date_format("flow_timestamp", "yyyy-MM-dd'T'HH:mm:ss")),
-        line("Verdict", tick(F.coalesce("source", F.lit("unknown")))), line("ML prediction", c("prediction")), line("Attack family", dash("family")),
-        line("Attack leaf", dash("attack_type")), line("Severity", dash("severity")),
-        F.lit(""), F.lit("## Flow"), F.lit(""),
-        line("Source", tick(F.concat(c("source_ip"), F.lit(":"), c("source_port")))),
-        line("Destination", tick(F.concat(c("destination_ip"), F.lit(":"), c("destination_port")))),
-        line("Protocol", c("protocol")), line("Flow key", tick(key)), line("Packet size", F.concat(c("packet_size").cast("string"), F.lit(" bytes"))),
-        line("Duration", F.concat(c("duration").cast("string"), F.lit("s"))),
-        F.lit(""), F.lit("## Model output"), F.lit(""),
-        F.when(c("stage1_p").isNotNull(), F.concat(line("Stage 1 p(attack)", _percent("stage1_p", 4)), F.lit(" _(routing only)_"))),
-        F.when(c("stage2_p").isNotNull(), line("Stage 2 family p", _percent("stage2_p", 2))),
-        F.when(c("stage3_p").isNotNull(), line("Stage 3 leaf p", _percent("stage3_p", 2))),
-        F.when(c("model_version").isNotNull(), line("Model version", tick(c("model_version")))),
-        *[F.when(has_signature, F.lit(t)) for t in ("", "## Signature", "")],
-        F.when(has_signature, line("Message", c("snort_msg"))),
-        F.when(has_signature & (c("snort_sid") != 0), line("SID", c("snort_sid"))),
-        F.when(has_signature & (c("snort_classtype") != ""), line("Classtype", c("snort_classtype"))),
-        F.when(has_signature & (c("snort_priority") != 0), line("Priority", c("snort_priority"))),
-        *[F.when(m.isNotNull(), F.lit(t)) for t in ("", "## ATT&CK", "")],
-        F.when(F.size(m["tactics"]) > 0, F.concat_ws("\n", F.lit("**Tactics:**"), F.transform(
-            m["tactics"], lambda t: F.concat(F.lit("- "), t["name"], F.lit(" ("), t["id"], F.lit(")"))))),
-        F.when(F.size(m["techniques"]) > 0, F.concat_ws("\n", F.lit(""), F.lit("**Techniques:**"), F.transform(
-            m["techniques"], lambda t: F.concat(F.lit("- ["), t["id"], F.lit("] "), t["name"], F.lit(" — "), t["url"])))),
-        F.lit(""), F.lit("## Acknowledgement"), F.lit(""), line("State", F.coalesce("ack_state", F.lit("new"))),
-    ]
-    if "ack_by_name" in df.columns:
-        lines.append(F.when(c("ack_by_name").isNotNull(), line("By", c("ack_by_name"))))
-    lines.append(F.when(c("ack_at").isNotNull(), line("Acknowledged at", F.date_format("ack_at", "yyyy-MM-dd'T'HH:mm:ss"))))
-    lines.append(F.when(c("ack_note").isNotNull(), line("Note", c("ack_note"))))
-    return df.select("id", F.concat_ws("\n", *lines).alias("report"))
+    c, have = F.col, set(df.columns)
+    end = lambda side: F.concat(c(f"{side}_ip"), F.lit(":"), c(f"{side}_port"))
+    derived = {"from": end("source"), "to": end("destination"), "key": F.concat(end("source"), F.lit("-"), end("destination"), F.lit("-"), c("protocol")),
+               "source or unknown": F.coalesce("source", F.lit("unknown")), "state or new": F.coalesce("ack_state", F.lit("new"))}
+    parts: list[Column] = [F.concat(F.lit(fixed.REPORT_TITLE), F.coalesce("attack_type", "prediction"))]
+    for heading, needs, lines in fixed.REPORT_SECTIONS:
+        there = F.lit(True) if needs is None else c(needs).isNotNull() if needs == "mitre" else F.coalesce(c(needs), F.lit("")) != ""
+        for text in ([""] if heading is None else ["", heading, ""]):
+            parts.append(F.when(there, F.lit(text)))
+        for label, name, form in lines:
+            if name not in derived and name not in have:
+                continue
+            value = derived.get(name, c(name) if name in have else None)
+            shown = F.concat(F.lit(f"- **{label}:** "), _form(value, form))
+            blank = F.lit(False) if not name.startswith("snort_") else value.cast("string").isin("", "0")
+            parts.append(F.when(there & ~F.coalesce(blank, F.lit(True)), shown))
+        if needs == "mitre":
+            parts.append(_listed("**Tactics:**", c("mitre")["tactics"], lambda t: F.concat(F.lit("- "), t["name"], F.lit(" ("), t["id"], F.lit(")"))))
+            techniques = _listed("**Techniques:**", c("mitre")["techniques"], lambda t: F.concat(F.lit("- ["), t["id"], F.lit("] "), t["name"], F.lit(" — "), t["url"]))
+            parts.append(F.concat(F.lit("\n"), techniques))
+    return df.select("id", F.concat_ws("\n", *parts).alias("report"))
 
 
 def incident_trail(trail: DataFrame) -> DataFrame:

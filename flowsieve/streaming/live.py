@@ -114,10 +114,12 @@ def live_events(joined: DataFrame, score: Callable[[DataFrame], DataFrame] | Non
     Without a flow there is no model output; in ``snort`` mode the model is not asked at all.
     """
     fields = ("prediction", "confidence", "severity", "attack_type", "family", "stage1_p", "stage2_p", "stage2_probs", "stage3_p", "stage3_probs")
-    scored = score(joined) if score is not None else joined
-    model = F.struct(*[F.col(f) for f in fields])
-    has_flow = F.col("first_seen_ms").isNotNull() & F.lit(mode != "snort")
-    d = scored.withColumn("model", F.when(has_flow, model))
+    if mode == "snort":
+        types = {f: "map<string,double>" if f.endswith("_probs") else "double" if f.endswith("_p") or f == "confidence" else "string" for f in fields}
+        d = joined.withColumn("model", F.lit(None).cast("struct<" + ",".join(f"{f}:{t}" for f, t in types.items()) + ">"))
+    else:
+        scored = score(joined) if score is not None else joined
+        d = scored.withColumn("model", F.when(F.col("first_seen_ms").isNotNull(), F.struct(*[F.col(f) for f in fields])))
     d = predicates.drop_benign(d.withColumn("prediction", F.col("model.prediction")), keep_benign)
     a = F.col("alert")
     keyed = d.select(
@@ -144,7 +146,11 @@ def run_live(
         try:
             sinks.write_session_log(events, f"{out}/session", batch_id)
             queue = events.withColumnsRenamed({"src_ip": "source_ip", "dst_ip": "destination_ip", "src_port": "source_port", "dst_port": "destination_port"})
-            kept = queue if rules is None else suppress.suppress(queue, rules, as_of)
+            kept = queue
+            if rules is not None:
+                judged = suppress.match_rules(queue, rules, as_of)
+                kept = judged.filter("rule is null").drop("rule")
+                sinks.write_rule_hits(judged, f"{out}/hits", batch_id)
             back = kept.withColumnsRenamed({"source_ip": "src_ip", "destination_ip": "dst_ip", "source_port": "src_port", "destination_port": "dst_port"})
             sinks.append_live(back, f"{out}/queue", as_of, batch_id)
         finally:
@@ -154,6 +160,13 @@ def run_live(
     return writer.trigger(**(trigger or {"processingTime": "250 milliseconds"})).start()
 
 
+def read_rule_hits(rules: DataFrame, out: str) -> DataFrame:
+    """Rules with their hit totals raised by what the live job's batches suppressed."""
+    spark = rules.sparkSession
+    new = spark.read.schema("id string, hits long").parquet(f"{out}/hits/batch=*").groupBy("id").agg(F.sum("hits").alias("_new"))
+    return rules.join(new, "id", "left").withColumn("hits", F.col("hits") + F.coalesce("_new", F.lit(0))).drop("_new")
+
+
 def read_queue(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.option("basePath", f"{out}/queue").parquet(f"{out}/queue/batch=*").drop("batch")
 

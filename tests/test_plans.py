@@ -27,8 +27,7 @@ def test_only_needed_columns_are_read(spark, sf):
     assert read == {"o_orderkey:bigint,o_custkey:bigint", "event_id:bigint,event_type:string"} or all("totalprice" not in r and "props" not in r for r in read)
 
 
-def test_correlation_shuffles_the_flows_once(spark, sf, monkeypatch):
-    monkeypatch.setattr(D, "spread", lambda df: df)
+def test_correlation_shuffles_the_flows_once(spark, sf):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         text = plan(correlate.correlate(D.flows(spark, sf), D.alerts(spark, sf).drop("o")))

@@ -102,7 +102,7 @@ def test_incident_report(spark, sf, tmp_path):
     p = D.predictions(spark, sf).filter("mitre is not null and snort_sid <> 0 and ack_state <> 'new'")
     r = sinks.incident_reports(enrich.with_usernames(p, D.users(spark, sf)))
     text = r.orderBy("id").first().report
-    for part in ("# Incident Report", "## Flow", "## Model output", "## Signature", "## ATT&CK", "**Techniques:**", "## Acknowledgement", "- **By:**", "- **Acknowledged at:**"):
+    for part in ("# Incident Report", "## Flow", "## Model output", "## Snort signature", "## MITRE ATT&CK", "**Techniques:**", "## Acknowledgement", "- **By:**", "- **Acknowledged at:**"):
         assert part in text
     sinks.write_reports(r, str(tmp_path / "r"))
     assert any((tmp_path / "r").glob("*.txt"))
