@@ -157,8 +157,10 @@ class HierarchicalModel:
         return verdict.score_hierarchical(benign.unionByName(rest.drop("_fam")), self.tau)
 
 
-def fit_hierarchy(train: DataFrame, features: Sequence[str], label: str = "label", tau: float = 0.5, trees: int = 20, depth: int = 5, seed: int = 42) -> HierarchicalModel:
-    """All three stages; each is fitted on its own slice of the training rows."""
+def fit_hierarchy(
+    train: DataFrame, features: Sequence[str], label: str = "label", tau: float = 0.5, trees: int = 20, depth: int = 5, seed: int = 42, id_column: str | None = None,
+) -> HierarchicalModel:
+    """All three stages; each is fitted on its own slice of the training rows. With an ``id_column`` the leaves of the smallest family are oversampled."""
     d = enrich.with_family(train, label, "_family")
     attacks = d.filter(F.col(label) != fixed.BENIGN)
     model = HierarchicalModel(
@@ -166,10 +168,14 @@ def fit_hierarchy(train: DataFrame, features: Sequence[str], label: str = "label
         family=fit_classes(attacks.drop(label).withColumnRenamed("_family", label), features, label, trees, depth, seed, balanced=True),
         tau=tau,
     )
-    present = {r[0] for r in attacks.select("_family").distinct().collect()}  # six families at most
-    for name, leaves in fixed.LEAVES_OF_FAMILY.items():
-        if len(leaves) > 1 and name in present:
-            model.leaf[name] = fit_classes(attacks.filter(F.col("_family") == name), features, label, trees, depth, seed)
+    present = {r[0]: r[1] for r in attacks.groupBy("_family").count().collect()}  # six families at most
+    several = [name for name, leaves in fixed.LEAVES_OF_FAMILY.items() if len(leaves) > 1 and name in present]
+    smallest = min(several, key=lambda name: (present[name], name), default=None)
+    for name in several:
+        rows = attacks.filter(F.col("_family") == name)
+        if id_column is not None and name == smallest:
+            rows = oversample(rows, id_column, features, label, seed=seed)
+        model.leaf[name] = fit_classes(rows, features, label, trees, depth, seed)
     return model
 
 

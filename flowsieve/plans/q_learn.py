@@ -173,7 +173,7 @@ def _gate(s, d):
 
 def _hierarchy(s, d):
     train, test = _parts(s, d)
-    out = L.fit_hierarchy(train, MF, tau=0.3, trees=5, depth=4).score(test)
+    out = L.fit_hierarchy(train, MF, tau=0.3, trees=5, depth=4, id_column="o").score(test)
     return out.groupBy("label", F.coalesce("attack_type", F.lit(fixed.BENIGN)).alias("predicted")).agg(F.count("*").alias("rows"))
 
 
@@ -201,6 +201,10 @@ def _search(s, d):
     return s.createDataFrame([(str(sorted(g.items())), float(m)) for g, m in results], "params string, auc double")
 
 
+OVERSAMPLED_SQL = f"""WITH {D.FLOWS_SQL}, r AS (SELECT CASE WHEN (o * 7919 + c) % 100 < stage1_p * 60 THEN raw_leaf ELSE '{fixed.BENIGN}' END AS label FROM flows),
+n AS (SELECT label, count(*) AS n FROM r WHERE label IN ({', '.join(f"'{x}'" for x in fixed.LEAVES_OF_FAMILY["BotnetInfiltration"])}) GROUP BY label)
+SELECT label, CASE WHEN n < 2 THEN n ELSE (SELECT max(n) FROM n) END AS rows FROM n"""
+
 QUERIES = {
     "m01_stratified_split": (_split, SPLIT_SQL),
     "m02_scaler_moments": (_moments, MOMENTS_SQL),
@@ -209,7 +213,7 @@ QUERIES = {
     "m05_class_weights": (_weights, ROWS_SQL + f", n AS (SELECT family, count(*) AS n FROM fam WHERE label <> 'Benign' GROUP BY family) SELECT family, n, {r6('sqrt(CAST((SELECT max(n) FROM n) AS DOUBLE) / n)')} AS weight FROM n"),
     "m05_family_model": (_family_model, None),
     "m06_hierarchy_model": (_hierarchy, None),
-    "m07_oversample": (_oversampled, None),
+    "m07_oversample": (_oversampled, OVERSAMPLED_SQL),
     "m10_confusion": (lambda s, d: L.confusion(_quality(s, d), "truth", "pred"), f"WITH {Q_SQL} SELECT truth, pred, count(*) AS count, count(*) / CAST(sum(count(*)) OVER (PARTITION BY truth) AS DOUBLE) AS share FROM q GROUP BY truth, pred"),
     "m11_report": (lambda s, d: L.report(L.confusion(_quality(s, d), "truth", "pred")), f"WITH {Q_SQL}, {_report_sql('q')} SELECT * FROM rep"),
     "m11_summary": (lambda s, d: L.summary(L.report(L.confusion(_quality(s, d), "truth", "pred"))), f"WITH {Q_SQL}, {_report_sql('q')} {_summary_sql()}"),
