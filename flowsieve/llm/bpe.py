@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -48,15 +49,10 @@ def byte_of_char() -> dict[str, int]:
 
 
 class Codec:
-    """Encoder and decoder of one byte-level BPE file."""
+    """Encoder and decoder of one byte-level BPE file. The two libraries are loaded when a text needs them; decoding needs neither."""
 
     def __init__(self, path: str):
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         with open(path) as f:
             spec = json.load(f)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -64,9 +60,8 @@ class Codec:
         ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
         ids = [spec["model"]["vocab"][m] for m in merged]
-        ordered = spec.get("normalizer") is None and len(ranks) == 256 + len(ids) and all(a < b for a, b in zip(ids, ids[1:]))
+        self.ordered = spec.get("normalizer") is None and len(ranks) == 256 + len(ids) and all(a < b for a, b in zip(ids, ids[1:]))
         self.ranks = ranks
-        self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ordered else None
         size = max([*ranks.values(), *self.special.values()]) + 1
         self.table: list[bytes] = [b""] * size
         for token, i in ranks.items():
@@ -74,9 +69,24 @@ class Codec:
         for token, i in self.special.items():
             self.table[i] = token.encode()
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
+    @cached_property
+    def fast(self):
+        import tiktoken
+
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+
     def plain(self, text: str) -> bool:
         """Whether the fast encoder gives the library's ids."""
-        if self.fast is None or any(s in text for s in self.special):
+        if not self.ordered or any(s in text for s in self.special):
             return False
         try:
             text.encode("latin-1")

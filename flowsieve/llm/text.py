@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowsieve.session import shared_folder
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _M1, _M2, _ODD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _R = 0xD6E8FEB86659FD93
 _R_INVERSE = pow(_R, -1, 1 << 64)
@@ -59,6 +59,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         total += int(size)
     if start < len(sizes):
         yield start, len(sizes)
+    pa.default_memory_pool().release_unused()  # workers live on between tasks
 
 
 class Words:
