@@ -30,11 +30,12 @@ from flowsieve.llm.text import Words, slices, stash, string_array
 
 DEPTH = 6
 FIRST = 5
-MIN_SHARE = 1e-6
+MIN_SHARE = 2e-6
 GAIN = 8.0
 FREQUENT = 2e-5
 END = 10
 BLOCK_BYTES = 8 << 20
+PART_BYTES = 2 << 20
 _BYTE = np.uint64(8)
 
 
@@ -158,8 +159,11 @@ def fit_tree(texts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE,
             entry = texts.select("text").mapInArrow(_gram_counts(d, context.broadcast(longer)), shape).groupBy(F.col("gram").alias("key")).agg(F.sum("n").alias("n"))
         size = entry.groupBy(F.shiftright("key", 8).alias("history")).agg(F.sum("n").alias("size")).where(F.col("size") >= least)
         wanted = entry.join(size, F.shiftright("key", 8) == F.col("history")).select("key", "n") if d <= first else entry
-        rows = wanted.toPandas().sort_values("key")
-        key, n = rows["key"].to_numpy(np.int64).astype(np.uint64), rows["n"].to_numpy(np.float64)
+        rows = wanted.toArrow()
+        key, n = rows["key"].to_numpy().astype(np.uint64), rows["n"].to_numpy().astype(np.float64)
+        del rows
+        order = np.argsort(key)
+        key, n = key[order], n[order]
         history, inverse = np.unique(key >> _BYTE, return_inverse=True)
         size_of, kinds = np.bincount(inverse, weights=n, minlength=len(history)), np.bincount(inverse, minlength=len(history))
         parent = tree.probability(key, d)
@@ -170,20 +174,28 @@ def fit_tree(texts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE,
     return tree
 
 
-def _unique_words(words: Words, hashes: np.ndarray, rows: np.ndarray):
-    """Distinct words of a slice and, per (word, row), the frequency; sorted by word."""
-    kind, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    pairs, times = np.unique((inverse.astype(np.int64) << 32) | rows, return_counts=True)
-    return first, pairs >> 32, pairs & 0xFFFFFFFF, times
+def _merged(parts: list[tuple[np.ndarray, list[bytes]]]) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of a block from those of its parts (hashes, words), and for each entry of the parts the number of its word."""
+    if not parts:
+        return [], np.zeros(0, np.int64)
+    _, first, number = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    words = [w for p in parts for w in p[1]]
+    return [words[i] for i in first.tolist()], number
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = string_array(batch.column(0))
         for low, high in slices(texts, BLOCK_BYTES):
-            words = Words(texts.slice(low, high - low), lower=True)
-            _, first, n = np.unique(words.hashes(), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([words.text(int(i), int(i) + 1) for i in first], pa.binary()), pa.array(n.astype(np.int64))], names=["word", "n"])
+            parts, counts = [], []
+            for a, b in slices(texts.slice(low, high - low), PART_BYTES):
+                words = Words(texts.slice(low + a, b - a), lower=True)
+                kind, first, n = np.unique(words.hashes(), return_index=True, return_counts=True)
+                parts.append((kind, [words.text(i, i + 1) for i in first.tolist()]))
+                counts.append(n)
+            names, number = _merged(parts)
+            n = np.bincount(number, weights=np.concatenate(counts), minlength=len(names)).astype(np.int64) if names else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n)], names=["word", "n"])
 
 
 def _score(tree, frequent, depth: int):
@@ -197,22 +209,31 @@ def _score(tree, frequent, depth: int):
             for low, high in slices(texts, BLOCK_BYTES):
                 rows = high - low
                 score, total, base, known = np.zeros(rows), np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows, np.int64)
-                part = texts.slice(low, rows)
-                words = Words(part, lower=True)
-                count = np.diff(words.first)
-                total += count + 1
-                first, of, row, times = _unique_words(words, words.hashes(), np.repeat(np.arange(rows), count))
-                names = [words.text(int(i), int(i) + 1) for i in first]
+                parts, pairs, frequencies = [], [], []
+                held = 0
+                for a, b in slices(texts.slice(low, rows), PART_BYTES):
+                    words = Words(texts.slice(low + a, b - a), lower=True)
+                    count = np.diff(words.first)
+                    total[a:b] = count + 1
+                    kind, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+                    pair, times = np.unique((inverse.astype(np.int64) << 32) | np.repeat(np.arange(a, b), count), return_counts=True)
+                    parts.append((kind, [words.text(i, i + 1) for i in first.tolist()]))
+                    pairs.append(pair + (held << 32))
+                    frequencies.append(times)
+                    held += len(kind)
+                    value, begin = grams(*symbols(words, depth), depth)
+                    found, inverse = np.unique(value, return_inverse=True)
+                    score[a:b] = np.add.reduceat(np.log10(model.probability(found, depth))[inverse], begin)
+                names, number = _merged(parts)
+                pair, times = np.concatenate(pairs), np.concatenate(frequencies)
+                of, row = number[pair >> 32] if len(pair) else pair, pair & 0xFFFFFFFF
+                order = np.argsort(of, kind="stable")
+                of, row, times = of[order], row[order], times[order]
                 c = np.fromiter((counts.get(w, -1) for w in names), np.int64, len(names))
                 here = c[of] >= 0
                 base += np.bincount(row[here], weights=times[here] * np.log10(c[of[here]] + 1.0), minlength=rows)
                 known += np.bincount(row[here], weights=times[here] * (c[of[here]] > 0), minlength=rows).astype(np.int64)
                 of, row, times = of[~here], row[~here], times[~here]
-                for a, b in slices(part):
-                    stream, starts = symbols(Words(part.slice(a, b - a), lower=True), depth)
-                    value, begin = grams(stream, starts, depth)
-                    found, inverse = np.unique(value, return_inverse=True)
-                    score[a:b] = np.add.reduceat(np.log10(model.probability(found, depth))[inverse], begin)
                 entry = np.stack([row, times], axis=1).astype("<u4")
                 which, start = np.unique(of, return_index=True)
                 edges = np.append(start, len(of)).astype(np.int32) * 8
@@ -264,7 +285,8 @@ def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, min_share: f
     ends = training.count()
     tokens, kinds = size["tokens"] + ends, size["kinds"] + int(ends > 0)
     often = F.col("c") >= max(1.0, FREQUENT * size["tokens"])
-    frequent = context.broadcast({bytes(r["word"]): r["c"] for r in counts.where(often).collect()} if size["tokens"] * FREQUENT >= 1 else {})
+    fetched = counts.where(often).toArrow() if size["tokens"] * FREQUENT >= 1 else None
+    frequent = context.broadcast(dict(zip(fetched["word"].to_pylist(), fetched["c"].to_pylist())) if fetched else {})
     tree = context.broadcast(fit_tree(training, depth, min_share))
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(tree, frequent, depth), "word binary, block long, rows binary")
     answered = asked.join(counts, "word", "left").select("block", F.startswith("word", F.lit(b" ")).alias("own"), F.coalesce("c", F.lit(0)).alias("c"), "rows")
