@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsieve.llm.text import fresh
+from flowsieve.llm.text import fresh, give_back
 
 LEAF = 1 << 14
 LONG = 1 << 15
@@ -152,6 +152,7 @@ def _adding(path: str, text: str, ids: str, keep: list[str]) -> Callable:
                 part = batch.slice(low, 256)
                 found = [c.encode(t or "") for t in part.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array([f.tobytes() for f in found], pa.binary())], names=[*keep, ids])
+            give_back()
 
     return run
 
@@ -205,5 +206,6 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", text: str =
                 part = batch.slice(low, 256)
                 found = [c.decode(np.frombuffer(b or b"", "<u4")) for b in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(found, pa.string())], names=[*keep, text])
+            give_back()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))

@@ -5,6 +5,7 @@ A word is a run of ``[^\\x20\\x09-\\x0D]`` characters. Texts are handled as the
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -48,6 +49,23 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return have
 
 
+_libc = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks, beside the executor's own memory."""
+    global _libc
+    pa.default_memory_pool().release_unused()
+    if _libc is None:
+        try:
+            _libc = ctypes.CDLL("libc.so.6")
+            _libc.malloc_trim
+        except (OSError, AttributeError):  # another C library
+            _libc = False
+    if _libc:
+        _libc.malloc_trim(0)
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes of text (a longer text alone), so that the arrays made from them stay small."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
@@ -59,7 +77,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         total += int(size)
     if start < len(sizes):
         yield start, len(sizes)
-    pa.default_memory_pool().release_unused()  # workers live on between tasks
+    give_back()
 
 
 class Words:

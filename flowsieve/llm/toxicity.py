@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowsieve.llm.text import give_back
+
 MAX_PER_CLASS = 5000
 MAX_CANDIDATES = 5000
 STEMS = (4, 5, 6, 7, 8)
@@ -262,6 +264,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
                 x = scan.features(value.as_py())
                 scores.append(blank if x is None else float(1 / (1 + np.exp(-np.clip(model.intercept + weights @ np.array(x), -30, 30)))))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(scores, pa.float64())], names=[*keep, out])
+            give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
