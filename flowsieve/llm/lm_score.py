@@ -2,41 +2,49 @@
 
 Tokens are words, A-Z lower-cased, then one end per text. Two models learn from the training documents:
 
-* The base: add-one probabilities of tokens. Counts cover all training tokens; they meet the documents that need them in a join on the word. Documents are handled
-  in blocks: a block asks for each of its words once, with the word's frequency in each of its documents. Words above a share of ``FREQUENT`` of all
-  tokens (at most ``1 / FREQUENT`` of them) are broadcast instead, so that no word's rows meet in one task.
-* The suffix tree over the bytes of the tokens, with one space between words and an end. A context (the bytes before a byte) is a state if it makes up at least
-  ``MIN_SHARE`` of all positions, and if what follows it diverges from what follows its longest proper suffix that is a state: the log-likelihood gain is at
-  least ``GAIN``. Contexts are up to ``DEPTH`` bytes long, so at most ``DEPTH / MIN_SHARE`` states exist, whatever the input; only their counts are fetched.
+* The base: add-one probabilities of tokens. Counts cover all training tokens. Words above a share of ``FREQUENT`` of all tokens (at most ``1 / FREQUENT`` of them)
+  are broadcast.
+* The suffix tree over the bytes of the tokens, with one space between words and an end. A context (the bytes before a byte) is a state if it occurs at least
+  ``LEAST`` times and what follows it diverges from what follows its longest proper suffix that is a state: the log-likelihood gain is at least ``GAIN``.
+  Contexts are up to ``DEPTH`` bytes long; their number grows with the input.
   A state's next-byte distribution is smoothed with its parent's in proportion to the number of different next bytes (Witten-Bell), the root's with the
   uniform one. A byte's probability is that of the longest suffix of its history that is a state.
 
+Neither words nor states pass through the driver, but for frequent words and for states of up to ``SHORT`` bytes, of which a script has only so many. Training
+counts are dealt to buckets, words by their hash and grams by the ``SHORT + 1`` bytes before the last, so a bucket has all longer contexts of its grams and builds their part of
+the tree. Documents are handled in blocks: a block asks every bucket once for its distinct words and grams, and sums the answers over its texts. The answers on grams are
+single-precision logarithms.
+
 A null text is empty and has the end token only. Without training documents the base counts are 0 and the tree is uniform. Repeated rows stay rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.llm.text import Words, slices, stash, string_array
+from flowsieve.llm.text import Words, give_back, mix, slices, stash, string_array
 
 DEPTH = 6
-FIRST = 5
-MIN_SHARE = 2e-6
+SHORT = 3
+LEAST = 4
 GAIN = 8.0
 FREQUENT = 2e-5
 END = 10
 BLOCK_BYTES = 8 << 20
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
+BUCKET_BYTES = 4 << 20
 _BYTE = np.uint64(8)
+#: What is dealt to buckets: training grams, training words, a block's grams, its words, its texts.
+GRAMS, WORDS, ASKED_GRAMS, ASKED_WORDS, TEXTS = range(5)
+DEALT = "bucket int, kind int, block long, key binary, rows binary, n long"
 
 
 def held_out(modulus: int = 7, remainder: int = 2):
@@ -101,194 +109,328 @@ class Tree:
         return p
 
 
-def _gram_counts(depth: int, only=None):
-    """Counts of the numbers of ``grams``; with ``only``, a broadcast of sorted histories, of those with such a history."""
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """As ``np.unique``, which hashes and takes several times as long."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
+def _summed(have: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key = np.concatenate([h[0] for h in have])
+    found, inverse = np.unique(key, return_inverse=True)
+    return found, np.bincount(inverse, weights=np.concatenate([h[1] for h in have])).astype(np.int64)
+
+
+def _counted(texts: Iterator[pa.Array], depth: int, most: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted numbers of ``grams`` with their counts, whenever ``most`` of them have come together."""
+    have: list[tuple[np.ndarray, np.ndarray]] = []
+    for column in texts:
+        for low, high in slices(column):
+            value, _ = grams(*symbols(Words(column.slice(low, high - low), lower=True), depth), depth)
+            have.append(np.unique(value, return_counts=True))
+            if len(have) >= 8:
+                have = [_summed(have)]
+                if len(have[0][0]) > most:
+                    yield have.pop()
+    if have:
+        yield _summed(have)
+
+
+def _count_batch(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
+
+def _gram_counts(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: list[tuple[np.ndarray, np.ndarray]] = []
+        for key, n in _counted((string_array(b.column(0)) for b in batches), depth):
+            yield _count_batch(key, n)
+
+    return run
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers, compressed byte by byte."""
+    return zlib.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return _planes(np.diff(values, prepend=np.uint64(0)))
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(raw), dtype=np.uint64)
+
+
+def _dealt(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by bucket that keeps the order within each; the buckets that occur, and where each starts and the last ends."""
+    bucket = (mix(values) >> np.uint64(1)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    which, start = np.unique(bucket[order], return_index=True)
+    return order, which, np.append(start, len(values))
+
+
+def _above(value: np.ndarray, depth: int, short: int) -> np.ndarray:
+    """What grams are dealt by: the nearest bytes of their context, one more than the shallow tree reaches."""
+    return value >> np.uint64(8 * (depth - min(short + 1, depth) + 1))
+
+
+def _rows(bucket, kind: int, block, key, rows, n) -> pa.RecordBatch:
+    size = len(bucket)
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([kind] * size, pa.int32()), pa.array([block] * size, pa.int64()), pa.array(key, pa.binary()), pa.array(rows, pa.binary()), pa.array(n, pa.int64())],
+                                      names=["bucket", "kind", "block", "key", "rows", "n"])
 
-        def merged():
-            key = np.concatenate([h[0] for h in have])
-            found, inverse = np.unique(key, return_inverse=True)
-            return found, np.bincount(inverse, weights=np.concatenate([h[1] for h in have])).astype(np.int64)
 
+def _dealt_grams(depth: int, short: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n in _counted((string_array(b.column(0)) for b in batches), depth):
+            order, which, edge = _dealt(_above(key, depth, short), buckets)
+            parts = [order[a:b] for a, b in zip(edge[:-1], edge[1:])]
+            yield _rows(which, GRAMS, 0, [_packed(key[i]) for i in parts], [_planes(n[i]) for i in parts], [0] * len(parts))
+
+    return run
+
+
+def _leading(depth: int, short: int):
+    """Dealt grams → counts of their last ``short`` bytes and the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = string_array(batch.column(0))
-            for low, high in slices(texts):
-                value, _ = grams(*symbols(Words(texts.slice(low, high - low), lower=True), depth), depth)
-                found, n = np.unique(value, return_counts=True)
-                if only is not None:
-                    wanted = np.isin(found >> _BYTE, only.value)
-                    found, n = found[wanted], n[wanted]
-                have.append((found, n))
-                if len(have) >= 8:
-                    have = [merged()]
-                    if len(have[0][0]) > 2 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(have[0][0].view(np.int64)), pa.array(have[0][1])], names=["gram", "n"])
-                        have = []
-        if have:
-            key, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["gram", "n"])
+            have: list[tuple[np.ndarray, np.ndarray]] = []
+            for key, n in zip(batch.column(0), batch.column(1)):
+                value = _unpacked(key.as_py())
+                have.append((((value >> np.uint64(8 * (depth - short + 1))) << _BYTE) | (value & np.uint64(255)), _from_planes(n.as_py())))
+                if len(have) >= 64:
+                    have = [_summed(have)]
+            if have:
+                yield _count_batch(*_summed(have))
 
     return run
 
 
-def fit_tree(texts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, gain: float = GAIN) -> Tree:
-    """The suffix tree of a column ``text``. Counting is Spark's; the counts of at most ``depth / min_share`` contexts are fetched and tested here.
+def _level(tree: Tree, key: np.ndarray, n: np.ndarray, depth: int, least: float, gain: float):
+    """The next level of ``tree``, from the sorted distinct (context, byte) numbers of that depth and their counts."""
+    history, inverse = np.unique(key >> _BYTE, return_inverse=True)
+    size_of, kinds = np.bincount(inverse, weights=n, minlength=len(history)), np.bincount(inverse, minlength=len(history))
+    parent = tree.probability(key, depth)
+    diverges = (size_of >= least) & (np.bincount(inverse, weights=n * np.log(n / size_of[inverse] / parent), minlength=len(history)) >= gain)
+    known = (n + kinds[inverse] * parent) / (size_of + kinds)[inverse]
+    keep = diverges[inverse]
+    return history[diverges], (kinds / (size_of + kinds))[diverges], key[keep], known[keep]
 
-    Contexts up to ``FIRST`` bytes are counted in one pass, longer ones in a pass per byte, each only for contexts that are frequent enough by the counts before.
-    """
-    context = texts.sparkSession.sparkContext
-    shape = "gram long, n long"
-    first = min(depth, FIRST)
-    counted = stash(texts.select("text").mapInArrow(_gram_counts(first), shape).groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+
+def _fit(counts: DataFrame, depth: int, least: int, min_share: float, gain: float) -> Tree:
+    """The tree of grams (gram, n; repeated) of ``depth`` bytes and the next. The states are fetched."""
+    counted = stash(counts.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     total = counted.agg(F.sum("n")).first()[0] or 0
     root = np.ones(256)
     byte = F.col("gram").bitwiseAND(F.lit(255))
     for r in counted.groupBy(byte.alias("byte")).agg(F.sum("n").alias("n")).collect():
         root[r["byte"]] += r["n"]
     tree = Tree(root / root.sum(), [])
-    least = max(min_share * total, 4)
-    key, n = np.zeros(0, np.uint64), np.zeros(0)
+    least = max(min_share * total, least)
     for d in range(1, depth + 1):
-        if d <= first:
-            entry = counted.groupBy(F.shiftleft(F.shiftright("gram", 8 * (first - d + 1)), 8).bitwiseOR(byte).alias("key")).agg(F.sum("n").alias("n"))
-        else:
-            often = key[n >= least]
-            longer = np.sort(((often & np.uint64(255)) << np.uint64(8 * (d - 1))) | (often >> _BYTE))
-            entry = texts.select("text").mapInArrow(_gram_counts(d, context.broadcast(longer)), shape).groupBy(F.col("gram").alias("key")).agg(F.sum("n").alias("n"))
+        entry = counted.groupBy(F.shiftleft(F.shiftright("gram", 8 * (depth - d + 1)), 8).bitwiseOR(byte).alias("key")).agg(F.sum("n").alias("n"))
         size = entry.groupBy(F.shiftright("key", 8).alias("history")).agg(F.sum("n").alias("size")).where(F.col("size") >= least)
-        wanted = entry.join(size, F.shiftright("key", 8) == F.col("history")).select("key", "n") if d <= first else entry
-        rows = wanted.toArrow()
+        rows = entry.join(size, F.shiftright("key", 8) == F.col("history")).select("key", "n").toArrow()
         key, n = rows["key"].to_numpy().astype(np.uint64), rows["n"].to_numpy().astype(np.float64)
-        del rows
         order = np.argsort(key)
-        key, n = key[order], n[order]
-        history, inverse = np.unique(key >> _BYTE, return_inverse=True)
-        size_of, kinds = np.bincount(inverse, weights=n, minlength=len(history)), np.bincount(inverse, minlength=len(history))
-        parent = tree.probability(key, d)
-        diverges = np.bincount(inverse, weights=n * np.log(n / size_of[inverse] / parent), minlength=len(history)) >= gain
-        known = (n + kinds[inverse] * parent) / (size_of + kinds)[inverse]
-        keep = diverges[inverse]
-        tree.levels.append((history[diverges], (kinds / (size_of + kinds))[diverges], key[keep], known[keep]))
+        tree.levels.append(_level(tree, key[order], n[order], d, least, gain))
     return tree
 
 
-def _merged(parts: list[tuple[np.ndarray, list[bytes]]]) -> tuple[list[bytes], np.ndarray]:
-    """The distinct words of a block from those of its parts (hashes, words), and for each entry of the parts the number of its word."""
-    if not parts:
-        return [], np.zeros(0, np.int64)
-    _, first, number = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-    words = [w for p in parts for w in p[1]]
-    return [words[i] for i in first.tolist()], number
+def fit_tree(texts: DataFrame, depth: int = SHORT, min_share: float = 0.0, gain: float = GAIN) -> Tree:
+    """The whole tree of a column ``text`` on one machine; ``min_share`` is a least share of all positions for a context."""
+    return _fit(texts.select("text").mapInArrow(_gram_counts(depth), "gram long, n long"), depth, LEAST, min_share, gain)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = string_array(batch.column(0))
-        for low, high in slices(texts, BLOCK_BYTES):
-            parts, counts = [], []
-            for a, b in slices(texts.slice(low, high - low), PART_BYTES):
-                words = Words(texts.slice(low + a, b - a), lower=True)
-                kind, first, n = np.unique(words.hashes(), return_index=True, return_counts=True)
-                parts.append((kind, [words.text(i, i + 1) for i in first.tolist()]))
-                counts.append(n)
-            names, number = _merged(parts)
-            n = np.bincount(number, weights=np.concatenate(counts), minlength=len(names)).astype(np.int64) if names else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n)], names=["word", "n"])
+        for low, high in slices(texts, PART_BYTES):
+            words = Words(texts.slice(low, high - low), lower=True)
+            kind, first, n = np.unique(words.hashes(), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([words.text(i, i + 1) for i in first.tolist()], pa.binary()), pa.array(kind.view(np.int64)), pa.array(n)], names=["word", "hash", "n"])
 
 
-def _score(tree, frequent, depth: int):
-    """Blocks of documents → a row per word that is not broadcast, with (row, frequency) entries, and one row for the block's documents."""
+def _is_in(values: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of ``values`` is among some sorted numbers, and its place there."""
+    if not len(among):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    i = np.minimum(np.searchsorted(among, values), len(among) - 1)
+    return among[i] == values, i
+
+
+def _ask(frequent, depth: int, short: int, buckets: int):
+    """Blocks of documents → their distinct grams and words, dealt to buckets, and their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, counts = tree.value, frequent.value
+        often = frequent.value[0]
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, texts = batch.column(0), string_array(batch.column(1))
             for low, high in slices(texts, BLOCK_BYTES):
-                rows = high - low
-                score, total, base, known = np.zeros(rows), np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows, np.int64)
-                parts, pairs, frequencies = [], [], []
-                held = 0
-                for a, b in slices(texts.slice(low, rows), PART_BYTES):
-                    words = Words(texts.slice(low + a, b - a), lower=True)
-                    count = np.diff(words.first)
-                    total[a:b] = count + 1
-                    kind, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-                    pair, times = np.unique((inverse.astype(np.int64) << 32) | np.repeat(np.arange(a, b), count), return_counts=True)
-                    parts.append((kind, [words.text(i, i + 1) for i in first.tolist()]))
-                    pairs.append(pair + (held << 32))
-                    frequencies.append(times)
-                    held += len(kind)
-                    value, begin = grams(*symbols(words, depth), depth)
-                    found, inverse = np.unique(value, return_inverse=True)
-                    score[a:b] = np.add.reduceat(np.log10(model.probability(found, depth))[inverse], begin)
-                names, number = _merged(parts)
-                pair, times = np.concatenate(pairs), np.concatenate(frequencies)
-                of, row = number[pair >> 32] if len(pair) else pair, pair & 0xFFFFFFFF
-                order = np.argsort(of, kind="stable")
-                of, row, times = of[order], row[order], times[order]
-                c = np.fromiter((counts.get(w, -1) for w in names), np.int64, len(names))
-                here = c[of] >= 0
-                base += np.bincount(row[here], weights=times[here] * np.log10(c[of[here]] + 1.0), minlength=rows)
-                known += np.bincount(row[here], weights=times[here] * (c[of[here]] > 0), minlength=rows).astype(np.int64)
-                of, row, times = of[~here], row[~here], times[~here]
-                entry = np.stack([row, times], axis=1).astype("<u4")
-                which, start = np.unique(of, return_index=True)
-                edges = np.append(start, len(of)).astype(np.int32) * 8
-                lists = pa.BinaryArray.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(entry.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in which], pa.binary()), pa.repeat(block, len(which)).cast(pa.int64()), lists], names=["word", "block", "rows"])
-                doc = ids.slice(low, rows)
-                facts = np.stack([np.asarray(doc.is_null()).astype(np.float64), total, known], axis=1)
-                packed = np.asarray(doc.fill_null(0)).astype("<i8").tobytes() + facts.astype("<f8").tobytes() + base.astype("<f8").tobytes() + score.astype("<f8").tobytes()
-                # the block's documents travel under a key no word is: it holds a space
-                yield pa.RecordBatch.from_arrays([pa.array([b" %d" % block], pa.binary()), pa.array([block], pa.int64()), pa.array([packed], pa.binary())], names=["word", "block", "rows"])
+                asked, hashes, names = [], [], []
+                for part, (a, b) in enumerate(slices(texts.slice(low, high - low), PART_BYTES)):
+                    column, doc = texts.slice(low + a, b - a), ids.slice(low + a, b - a)
+                    words = Words(column, lower=True)
+                    kind, first = np.unique(words.hashes(), return_index=True)
+                    new = ~_is_in(kind, often)[0]
+                    hashes.append(kind[new])
+                    names += [words.text(i, i + 1) for i in first[new].tolist()]
+                    asked = [_distinct(np.concatenate([*asked, _distinct(grams(*symbols(words, depth), depth)[0])]))]
+                    facts = np.asarray(doc.fill_null(0)).astype("<i8").tobytes() + np.asarray(doc.is_null()).astype(np.uint8).tobytes()
+                    at = int(mix(np.array([block], np.uint64))[0] >> np.uint64(1)) % buckets
+                    give_back()
+                    yield _rows([at], TEXTS, block, [facts + np.diff(words.edge).astype("<i8").tobytes()], [zlib.compress(words.data.tobytes(), 1)], [part])
+                value = asked[0]
+                order, which, edge = _dealt(_above(value, depth, short), buckets)
+                yield _rows(which, ASKED_GRAMS, block, [None] * len(which), [_packed(value[order[a:b]]) for a, b in zip(edge[:-1], edge[1:])], [0] * len(which))
+                kind, first = np.unique(np.concatenate(hashes), return_index=True)
+                order, which, edge = _dealt(kind, buckets)
+                lists = [b" ".join(names[i] for i in first[order[a:b]].tolist()) for a, b in zip(edge[:-1], edge[1:])]
+                yield _rows(which, ASKED_WORDS, block, [None] * len(which), lists, [0] * len(which))
                 block += 1
 
     return run
 
 
-def _sum_up(tokens: int, kinds: int, ends: int):
+def _answer(short_tree, depth: int, least: int, gain: float):
+    """Rows sorted by bucket and kind → per block and bucket the logarithms of its grams' probabilities and the counts of its words; texts as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shallow: Tree = short_tree.value
+        now, tree = None, None
+        have: list[tuple[np.ndarray, np.ndarray]] = []
+        counts: dict[bytes, int] = {}
+
+        def grown() -> Tree:
+            out = Tree(shallow.root, list(shallow.levels))
+            key, n = _summed(have) if have else (np.zeros(0, np.uint64), np.zeros(0))
+            for d in range(len(shallow.levels) + 1, depth + 1):
+                out.levels.append(_level(out, *_summed([(((key >> np.uint64(8 * (depth - d + 1))) << _BYTE) | (key & np.uint64(255)), n)]), d, least, gain))
+            return out
+
+        def sent(out: list[tuple]) -> pa.RecordBatch:
+            kinds = pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["bucket", "kind", "block", "key", "rows", "n"])
+
+        for batch in batches:
+            out: list[tuple] = []
+            held = 0
+            for bucket, kind, block, key, rows, n in zip(*(batch.column(k) for k in range(6))):
+                bucket, kind = bucket.as_py(), kind.as_py()
+                if bucket != now:
+                    now, tree, have, counts = bucket, None, [], {}
+                if kind == GRAMS:
+                    have.append((_unpacked(key.as_py()), _from_planes(rows.as_py())))
+                    if len(have) >= 32:
+                        have = [_summed(have)]
+                elif kind == WORDS:
+                    counts[key.as_py()] = n.as_py()
+                elif kind == ASKED_GRAMS:
+                    if tree is None:
+                        tree, have = grown(), []
+                    out.append((bucket, kind, block.as_py(), None, np.log10(tree.probability(_unpacked(rows.as_py()), depth)).astype("<f4").tobytes(), 0))
+                elif kind == ASKED_WORDS:
+                    names = rows.as_py().split(b" ")
+                    out.append((bucket, kind, block.as_py(), None, _planes(np.fromiter((counts.get(w, 0) for w in names), np.int64, len(names))), 0))
+                else:
+                    out.append((bucket, kind, block.as_py(), key.as_py(), rows.as_py(), n.as_py()))
+                if out and kind not in (GRAMS, WORDS):
+                    held += len(out[-1][4])
+                    if held > PART_BYTES:
+                        yield sent(out)
+                        out, held = [], 0
+            if out:
+                yield sent(out)
+            del batch
+            give_back()
+
+    return run
+
+
+def _sum_up(frequent, depth: int, short: int, buckets: int, tokens: int, kinds: int, ends: int):
     """Blocks → documents. ``tokens``, ``kinds``: all and distinct training tokens; ``ends``: training documents."""
     each = np.log10(float(tokens + kinds + 1))
 
     def run(table: pa.Table) -> pa.Table:
-        own = np.asarray(table["own"])
-        lists = table["rows"].combine_chunks()
-        packed = lists[int(np.flatnonzero(own)[0])].as_py()
-        n = len(packed) // 48
-        ids = np.frombuffer(packed, "<i8", n)
-        facts = np.frombuffer(packed, "<f8", 3 * n, 8 * n).reshape(n, 3)
-        base, score = np.frombuffer(packed, "<f8", n, 32 * n).copy(), np.frombuffer(packed, "<f8", n, 40 * n)
-        known = facts[:, 2].astype(np.int64)
-        asked = pa.array(~own)
-        parts, c = lists.filter(asked), np.asarray(table["c"].combine_chunks().filter(asked)).astype(np.float64)
-        if len(parts):
-            size = np.asarray(pa.compute.binary_length(parts)) // 8
-            entry = np.frombuffer(b"".join(parts.to_pylist()), "<u4").reshape(-1, 2).astype(np.int64)
-            per = np.repeat(c, size)
-            base += np.bincount(entry[:, 0], weights=entry[:, 1] * np.log10(per + 1), minlength=n)
-            known = known + np.bincount(entry[:, 0], weights=entry[:, 1] * (per > 0), minlength=n).astype(np.int64)
-        total = facts[:, 1].astype(np.int64)
-        base += np.log10(ends + 1.0) - total * each
-        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=facts[:, 0] > 0), "n_tokens": total, "n_known": known + int(ends > 0), "base_score": base, "score": score})
+        often, often_n = frequent.value
+        kind, place = np.asarray(table["kind"]), np.asarray(table["bucket"])
+        rows, keys, number = table["rows"], table["key"], np.asarray(table["n"])
+
+        def answers(of: int, read) -> np.ndarray:
+            at = np.flatnonzero(kind == of)
+            return np.concatenate([np.zeros(0), *(read(rows[i].as_py()) for i in at[np.argsort(place[at])].tolist())])
+
+        ids, nulls, parts = [], [], []
+        at = np.flatnonzero(kind == TEXTS)
+        for i in at[np.argsort(number[at])].tolist():
+            facts, data = keys[i].as_py(), zlib.decompress(rows[i].as_py())
+            m = len(facts) // 17
+            ids.append(np.frombuffer(facts, "<i8", m))
+            nulls.append(np.frombuffer(facts, np.uint8, m, 8 * m))
+            edge = np.concatenate([[0], np.cumsum(np.frombuffer(facts, "<i8", m, 9 * m))]).astype(np.int64)
+            words = Words(pa.LargeStringArray.from_buffers(m, pa.py_buffer(edge.tobytes()), pa.py_buffer(data)), lower=True)
+            of_word, word = np.unique(words.hashes(), return_inverse=True)
+            value, begin = grams(*symbols(words, depth), depth)
+            found, gram = np.unique(value, return_inverse=True)
+            parts.append((np.diff(words.first), of_word, word.astype(np.int32), found, gram.astype(np.int32), begin))
+            del words, value, word, gram
+            give_back()
+        value = _distinct(np.concatenate([p[3] for p in parts]))
+        logs = np.zeros(len(value))
+        logs[_dealt(_above(value, depth, short), buckets)[0]] = answers(ASKED_GRAMS, lambda raw: np.frombuffer(raw, "<f4"))
+        hashes = _distinct(np.concatenate([p[1] for p in parts]))
+        here, i = _is_in(hashes, often)
+        c = np.zeros(len(hashes))
+        c[here] = often_n[i[here]]
+        asked = np.flatnonzero(~here)
+        c[asked[_dealt(hashes[asked], buckets)[0]]] = answers(ASKED_WORDS, lambda raw: _from_planes(raw).astype(np.int64))
+        total, known, base, score = [], [], [], []
+        for count, of_word, word, found, gram, begin in parts:
+            m = len(count)
+            times = c[np.searchsorted(hashes, of_word)][word]
+            row = np.repeat(np.arange(m), count)
+            total.append(count + 1)
+            known.append(np.bincount(row, weights=times > 0, minlength=m).astype(np.int64) + int(ends > 0))
+            base.append(np.bincount(row, weights=np.log10(times + 1), minlength=m) + np.log10(ends + 1.0) - (count + 1) * each)
+            score.append(np.add.reduceat(logs[np.searchsorted(value, found)][gram], begin))
+        del parts
+        give_back()
+        total, known, base, score = (np.concatenate(x) for x in (total, known, base, score))
+        return pa.table({"doc_id": pa.array(np.concatenate(ids), pa.int64(), mask=np.concatenate(nulls) > 0), "n_tokens": total, "n_known": known, "base_score": base, "score": score})
 
     return run
 
 
-def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float = GAIN) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_known (tokens seen in training), train_tokens, base_score, score (log10 of the text's probability)."""
-    context = docs.sparkSession.sparkContext
-    counts = stash(training.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
-    size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("kinds")).first()
+    spark = docs.sparkSession
+    context = spark.sparkContext
+    counts = stash(training.select("text").mapInArrow(_word_counts, "word binary, hash long, n long").groupBy("word", "hash").agg(F.sum("n").alias("c")), "words")
+    size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("kinds"), F.sum(F.col("c") * (F.octet_length("word") + 1)).alias("bytes")).first()
     ends = training.count()
     tokens, kinds = size["tokens"] + ends, size["kinds"] + int(ends > 0)
-    often = F.col("c") >= max(1.0, FREQUENT * size["tokens"])
-    fetched = counts.where(often).toArrow() if size["tokens"] * FREQUENT >= 1 else None
-    frequent = context.broadcast(dict(zip(fetched["word"].to_pylist(), fetched["c"].to_pylist())) if fetched else {})
-    tree = context.broadcast(fit_tree(training, depth, min_share))
-    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(tree, frequent, depth), "word binary, block long, rows binary")
-    answered = asked.join(counts, "word", "left").select("block", F.startswith("word", F.lit(b" ")).alias("own"), F.coalesce("c", F.lit(0)).alias("c"), "rows")
-    found = answered.groupBy("block").applyInArrow(_sum_up(tokens, kinds, ends), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    fetched = counts.where(F.col("c") >= max(1.0, FREQUENT * size["tokens"])).toArrow() if size["tokens"] * FREQUENT >= 1 else None
+    often, often_n = (fetched["hash"].to_numpy().view(np.uint64), fetched["c"].to_numpy()) if fetched else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    order = np.argsort(often)
+    frequent = context.broadcast((often[order], often_n[order]))
+    short = min(SHORT, depth)
+    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), (size["bytes"] or 0) // BUCKET_BYTES)
+    learnt = stash(training.select("text").mapInArrow(_dealt_grams(depth, short, buckets), DEALT), "grams")
+    tree = context.broadcast(_fit(learnt.select("key", "rows").mapInArrow(_leading(depth, short), "gram long, n long"), short, least, 0.0, gain))
+
+    def dealt_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = (mix(batch.column(1).to_numpy().view(np.uint64)) >> np.uint64(1)).astype(np.int64) % buckets
+            yield _rows(at, WORDS, 0, batch.column(0), [None] * len(at), batch.column(2))
+
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_ask(frequent, depth, short, buckets), DEALT)
+    together = learnt.unionAll(counts.select("word", "hash", "c").mapInArrow(dealt_words, DEALT)).unionAll(asked)
+    answered = together.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer(tree, depth, least, gain), DEALT)
+    found = answered.groupBy("block").applyInArrow(_sum_up(frequent, depth, short, buckets, tokens, kinds, ends), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return found.withColumn("train_tokens", F.lit(tokens).cast("long"))

@@ -194,6 +194,27 @@ def test_suffix_tree_against_its_definition(spark):
     assert tree.probability(some, 6).sum() == pytest.approx(1)
 
 
+def test_scores_against_the_whole_tree(spark):
+    rng = random.Random(16)
+    texts = dict(enumerate([prose(rng, 60, 30) for _ in range(30)] + [None, "", "unseen é qq"]))
+    docs = table(spark, texts)
+    training = docs.where("doc_id < 20")
+    probability, states = plain_tree([texts[i] for i in range(20)], 6, 0, 8.0)
+    assert any(len(s) > lm_score.SHORT for s in states)
+    for r in lm_score.score(docs, training).collect():
+        data = (" " * 6 + " ".join(words(texts[r.doc_id], lower=True)) + "\n").encode()
+        assert r.score == pytest.approx(sum(math.log10(probability(data[i - 6 : i], data[i])) for i in range(6, len(data))), rel=1e-6)
+
+
+def test_rare_contexts_stay_when_the_training_texts_grow(spark):
+    rare = {i: "qzxvk" for i in range(6)}
+    docs = table(spark, rare | {i: "ab " * 200_000 for i in range(10, 20)})  # six of as many positions as 2e-6 of them are more than six
+    asked = docs.where("doc_id = 0")
+    few, many = (lm_score.score(asked, t).first().score for t in (docs.where("doc_id < 12"), docs))
+    # behind the first byte, which is rare, every byte is nearly certain
+    assert many > few - 3 and many > -12
+
+
 def test_secrets_held_out_and_edge_cases(spark):
     rng = random.Random(13)
     texts = {}
