@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsieve.llm.text import give_back
+from flowsieve.llm.near_dedup import near_duplicates
+from flowsieve.llm.text import give_back, stash
 
 MAX_PER_CLASS = 5000
 MAX_CANDIDATES = 5000
 STEMS = (4, 5, 6, 7, 8)
 MIN_TEXTS = 3
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 MARGIN = 0.0
 MIN_WEIGHT = 2.0
 ENOUGH = 20.0
@@ -96,17 +98,17 @@ def word_class(word: str) -> str:
     return "y" if word in TARGET else "n" if word in NEGATION else "r" if word in REPORT or len(word) == 1 and not word.isalpha() else "t" if word in THREAT else "o"
 
 
-def terms(text: str | None) -> dict[str, str]:
-    """The lexicon entries a text could support, its words and beginnings of longer words, each with the word before its first occurrence."""
-    found: dict[str, str] = {}
-    before = ""
-    for word in _LETTERS.findall((text or "").lower()):
-        found.setdefault(word, before)
-        for n in STEMS:
-            if len(word) > n:
-                found.setdefault(word[:n] + "*", before)
-        before = word
-    return found
+def terms(text: str | None) -> set[str]:
+    """The lexicon entries a text could support, its words and beginnings of longer words."""
+    words = set(_LETTERS.findall((text or "").lower()))
+    return words | {word[:n] + "*" for word in words for n in STEMS if len(word) > n}
+
+
+def copy_classes(texts: DataFrame) -> DataFrame:
+    """``texts`` (text, toxic) with ``copies``: a number that near copies share, by the links of operator 7. A text without words has its own."""
+    known = stash(texts.select(F.xxhash64("text").alias("doc_id"), "text", "toxic"), "sample")
+    linked = near_duplicates(known, SHINGLE_WORDS, SIMILAR_PERCENT).select("doc_id", F.col("component_id").alias("copies")).distinct()
+    return known.join(linked, "doc_id").select("text", "toxic", F.coalesce("copies", "doc_id").alias("copies"))
 
 
 class Scanner:
@@ -216,19 +218,21 @@ def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     sample = F.broadcast(some[0].unionAll(some[1]))  # at most 2 * max_per_class rows of two numbers
     texts = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "toxic").groupBy("text").agg(F.max("toxic").alias("toxic"))
 
+    # near copies of one text are one piece of evidence, for both classes alike
+    texts = stash(copy_classes(texts), "evidence")
+
     def support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = terms(text)
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.string()), pa.repeat(toxic, len(found)).cast(pa.int32())], names=["entry", "before", "toxic"])
-
-    size = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
-    total1, total0 = size.get(1, 0), size.get(0, 0)
-    if not total1 or not total0:
-        return Model(intercept=30.0 if total1 else -30.0)
-    # a toxic text counts for an entry only with a new word before it: near copies of one text are one piece of evidence
-    by_context = texts.mapInArrow(support, "entry string, before string, toxic int").groupBy("entry", F.when(F.col("toxic") == 1, F.col("before")).alias("before"), "toxic").count()
-    counted = by_context.groupBy("entry").agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("n1"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("count"))), F.lit(0)).alias("n0"))
+            for text, toxic, copies in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                found = list(terms(text))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.repeat(toxic, len(found)).cast(pa.int32()), pa.repeat(copies, len(found)).cast(pa.int64())], names=["entry", "toxic", "copies"])
+
+    size = {r["toxic"]: r for r in texts.groupBy("toxic").agg(F.count("*").alias("texts"), F.countDistinct("copies").alias("classes")).collect()}
+    if len(size) < 2:
+        return Model(intercept=30.0 if 1 in size else -30.0)
+    total1, total0 = size[1]["classes"], size[0]["classes"]
+    by_class = texts.mapInArrow(support, "entry string, toxic int, copies long").distinct()
+    counted = by_class.groupBy("entry").agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("n1"), F.count(F.when(F.col("toxic") == 0, 1)).alias("n0"))
     usable = counted.where(F.col("n1") + F.col("n0") >= MIN_TEXTS)
     odds = F.log((F.col("n1") + 0.5) / (total1 + 1)) - F.log((F.col("n0") + 0.5) / (total0 + 1))
     likely = (F.col("n1") >= MIN_TEXTS) & (odds >= MIN_WEIGHT)
@@ -241,10 +245,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
             found = [scan.features(t) or [0.0] * (2 * len(TAGS)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.float64()))], names=["toxic", "features"])
 
-    rows = texts.mapInArrow(describe, "toxic int, features array<double>").collect()
+    rows = texts.select("text", "toxic").mapInArrow(describe, "toxic int, features array<double>").collect()
     rows.sort(key=lambda r: (r["toxic"], r["features"]))
     y = np.array([r["toxic"] for r in rows], float)
-    scale = np.where(y == 1, totals[1] / total1, totals[0] / total0)  # the classes' shares among all labels
+    scale = np.where(y == 1, totals[1] / size[1]["texts"], totals[0] / size[0]["texts"])  # the classes' shares among all labels
     beta = fit_logistic(np.array([r["features"] for r in rows]), y, scale)
     return Model(lexicon, tuple(beta[1:].tolist()), float(beta[0]))
 

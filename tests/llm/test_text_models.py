@@ -44,6 +44,19 @@ def test_toxicity_held_out_accuracy(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_of_a_word_with_few_words_before_it(spark):
+    rng = random.Random(17)
+    letters = "abcdefghijklmnopqrstu"
+    vocabulary = ["".join(rng.choice(letters) for _ in range(7)) for _ in range(400)]
+    text = lambda: " ".join(rng.choice(vocabulary) for _ in range(30))
+    texts = {i: f"{text()} {'you' if i % 20 else 'a'} grubbler {text()}" if i % 10 == 0 else f"you {text()} a" for i in range(600)}
+    copied = f"{text()} zzyzxword {text()} {text()}"
+    texts |= {1000 + i: f"{vocabulary[i]} {copied}" for i in range(30)}  # near copies of one toxic text
+    labels = [(i, int(i % 10 == 0 or i >= 1000)) for i in texts]
+    model = toxicity.learn(table(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.lexicon["grubbler"] > 4 and "zzyzxword" not in model.lexicon
+
+
 def test_toxicity_without_usable_labels(spark):
     docs = table(spark, {1: "a b", 2: None})
     for rows, want in (([], 0), ([(1, 1)], 1), ([(1, 0), (2, 0)], 0), ([(7, 1), (8, 0)], 0)):
