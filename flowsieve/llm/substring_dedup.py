@@ -6,14 +6,15 @@ equal windows meets in one shard:
 
 1. Each window is known by the smallest hash among its ``GRAM``-word sequences (the leftmost of equals), its anchor. Equal windows have equal anchors, and
    neighbouring windows mostly share theirs. Anchors that one document alone has are dropped, after one shuffle of (anchor, doc_id).
-2. A document's windows of one anchor are one short stretch of words. Stretches are shuffled by anchor; those of one anchor are a reference shard.
+2. A document's windows of one anchor are one short stretch of words. Stretches are shuffled by anchor; those of one anchor are a reference shard. An anchor with
+   more than ``HEAVY`` stretches is split: each of its windows is a stretch of its own, shuffled by the hash of its words, so equal windows still meet.
 3. Stretches with the same words are one: everything but its first holder is removed there. The distinct stretches of a shard, in the order of their first
    holders, are streamed through the suffix automaton of the ones before them: the length of the longest match that ends at each word (matching statistics)
    gives the maximal spans of at least ``WINDOW`` words that an earlier document has. Then they are added to the automaton.
 4. The spans meet their documents' texts, which are shuffled once.
 
-A shard holds the different surroundings of a short word sequence, whatever the number of documents with it: rows are streamed, only distinct stretches are
-kept. A null text has no words. ``doc_id`` identifies a document; repeated rows stay rows and do not remove each other. A null doc_id stands behind all others.
+A shard holds at most ``HEAVY`` different surroundings of a short word sequence, or equal windows (but for equal hashes), whatever the number of documents: rows are
+streamed, only distinct stretches are kept. A null text has no words. ``doc_id`` identifies a document; repeated rows stay rows and do not remove each other. A null doc_id stands behind all others.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.llm.near_dedup import sequence_hash
-from flowsieve.llm.text import LAST, Words, slices, string_array
+from flowsieve.llm.text import LAST, Words, mix, slices, string_array
 
 WINDOW = 13
 GRAM = 5
+HEAVY = 4096
 
 
 class SuffixAutomaton:
@@ -142,40 +144,70 @@ def _anchors(window: int, gram: int):
             for low, _, (text, _, _, anchor) in _stretches(string_array(batch.column(1)), window, gram):
                 order = np.lexsort((anchor, text))
                 text, anchor = text[order], anchor[order]
-                keep = np.ones(len(text), bool)
-                keep[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[keep].view(np.int64)), pa.array(ids[low + text[keep]])], names=["anchor", "id"])
+                new = np.ones(len(text), bool)
+                new[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])
+                first = np.flatnonzero(new)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(ids[low + text[first]]), pa.array(np.diff(np.append(first, len(text))))], names=["anchor", "id", "n"])
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor, those whose anchor is there again."""
-    held = None  # the last row of the batch before, and whether it is out already
-    for batch in batches:
-        anchor, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(anchor):
-            continue
-        same = anchor[1:] == anchor[:-1]
-        keep = np.zeros(len(anchor), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        if held is not None and held[0] == anchor[0]:
-            keep[0] = True
-            if not held[2]:
-                yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], names=["anchor", "id"])
-        yield pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array(ids[keep])], names=["anchor", "id"])
-        held = (anchor[-1], ids[-1], bool(keep[-1]))
+def _repeated(limit: int):
+    """Of rows sorted by anchor, those whose anchor is there again, and whether it has more than ``limit`` stretches. At most ``limit`` rows of an anchor wait."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # the last anchor's rows that are not out yet: arrays of anchors, ids
+        now, rows, stretches = None, 0, 0
+
+        def out(heavy: bool):
+            anchor, ids = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids), pa.repeat(heavy, len(ids))], names=["anchor", "id", "heavy"])
+
+        for batch in batches:
+            anchor, ids, n = (batch.column(k).to_numpy() for k in range(3))
+            if not len(anchor):
+                continue
+            start = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+            end = np.append(start[1:], len(anchor))
+            total = np.add.reduceat(n, start)
+            if anchor[0] != now:
+                if rows > 1 and held:
+                    yield out(stretches > limit)
+                held, now, rows, stretches = [], anchor[0], 0, 0
+            # the first anchor goes on from the batch before, the last one may go on in the next
+            rows, stretches = rows + int(end[0]), stretches + int(total[0])
+            held.append((anchor[: end[0]], ids[: end[0]]))
+            if stretches > limit and rows > 1:
+                yield out(True)
+                held = []
+            if len(start) == 1:
+                continue
+            if rows > 1 and held:
+                yield out(False)
+            many = end - start > 1
+            many[0] = many[-1] = False
+            keep = np.repeat(many, end - start)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array(ids[keep]), pa.array(np.repeat(total > limit, end - start)[keep])], names=["anchor", "id", "heavy"])
+            now, rows, stretches = anchor[-1], int(end[-1] - start[-1]), int(total[-1])
+            held = [(anchor[start[-1] :], ids[start[-1] :])]
+            if stretches > limit and rows > 1:
+                yield out(True)
+                held = []
+        if rows > 1 and held:
+            yield out(stretches > limit)
+
+    return run
 
 
 def _cut(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy()
-            lists = string_array(batch.column("anchors"))
+            lists, heavy_lists = string_array(batch.column("anchors")), string_array(batch.column("heavy"))
             for low, words, (text, start, many, anchor) in _stretches(string_array(batch.column("text")), window, gram):
                 out: dict[str, list] = {"anchor": [], "words": [], "id": [], "starts": []}
                 edge = np.searchsorted(text, np.arange(len(words.first)))
+                whole = sequence_hash(words.hashes(), window)
                 for i in range(len(words.first) - 1):
                     a, b = edge[i], edge[i + 1]
                     wanted = np.asarray(lists[low + i].values)
@@ -185,6 +217,10 @@ def _cut(window: int, gram: int):
                     for j in chosen.tolist():
                         s = int(start[j])
                         found.setdefault((int(anchor[j].view(np.int64)), words.text(s, s + int(many[j]) + window - 1)), []).append(s - base)
+                    split = a + np.flatnonzero(np.isin(anchor[a:b].view(np.int64), np.asarray(heavy_lists[low + i].values)))
+                    for j in split.tolist():
+                        for s in range(int(start[j]), int(start[j]) + int(many[j])):
+                            found.setdefault((int(mix(whole[s : s + 1] ^ mix(anchor[j : j + 1])).view(np.int64)[0]), words.text(s, s + window)), []).append(s - base)
                     for (key, stretch), starts in found.items():
                         out["anchor"].append(key)
                         out["words"].append(stretch)
@@ -273,14 +309,19 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(low, high - low), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dealt(docs: DataFrame, texts: DataFrame, window: int, gram: int, heavy: int) -> DataFrame:
+    """The stretches (anchor, words, id, starts) by what they are shuffled by: their anchor, or for split anchors a hash of the window."""
+    anchors = docs.mapInArrow(_anchors(window, gram), "anchor long, id long, n long")
+    shared = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated(heavy), "anchor long, id long, heavy boolean")
+    wanted = shared.groupBy("id").agg(F.collect_set(F.when(~F.col("heavy"), F.col("anchor"))).alias("anchors"), F.collect_set(F.when(F.col("heavy"), F.col("anchor"))).alias("heavy"))
+    return texts.join(wanted, "id").select("id", "text", "anchors", "heavy").mapInArrow(_cut(window, gram), "anchor long, words binary, id long, starts binary")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space), one row per row of ``docs``."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text")
     texts = docs.repartition("id")  # one shuffle of the texts; both joins below read it, with the same columns
-    anchors = docs.mapInArrow(_anchors(window, gram), "anchor long, id long")
-    shared = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated, "anchor long, id long")
-    wanted = shared.groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
-    cut = texts.join(wanted, "id").select("id", "text", "anchors").mapInArrow(_cut(window, gram), "anchor long, words binary, id long, starts binary")
+    cut = dealt(docs, texts, window, gram, heavy)
     spans = cut.repartition("anchor").sortWithinPartitions("anchor", "words", "id").mapInArrow(_judge(window), "id long, spans binary")
     kept = texts.join(spans.groupBy("id").agg(F.collect_list("spans").alias("spans")), "id", "left").select("id", "text", "spans").mapInArrow(_keep, "id long, n_words long, n_removed long, kept string")
     return kept.select(F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept")

@@ -2,8 +2,10 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from flowsieve.llm import near_dedup, substring_dedup
 
@@ -49,6 +51,23 @@ def test_passages_against_brute_force(spark):
         assert got == without_repeats(texts, window)
 
 
+def test_shards_of_a_frequent_word_sequence_are_split(spark):
+    rng = random.Random(18)
+    hashes = near_dedup.Words(pa.array([prose(rng, 4000, 10**6)]))
+    grams = near_dedup.sequence_hash(hashes.hashes(), 5)
+    phrase = hashes.text(int(grams.argmin()), int(grams.argmin()) + 5).decode()  # the anchor of nearly every window it is in
+    texts = {i: f"{prose(rng, 20)} {phrase} {prose(rng, 20)}" for i in range(300)}
+    texts |= {400 + i: f"{texts[7 * i]} {prose(rng, 3)}" for i in range(20)}
+    texts[500] = " ".join(f"{prose(rng, 9)} {phrase}" for _ in range(200))  # one document with many stretches of one anchor
+    texts[501] = texts[500][300:]
+    for heavy in (30, 4096):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(table(spark, texts), heavy=heavy).collect()}
+        assert got == without_repeats(texts, 13)
+    docs = table(spark, texts).selectExpr("doc_id AS id", "text")
+    largest = [max(r.n for r in substring_dedup.dealt(docs, docs, 13, 5, heavy).groupBy("anchor").agg(F.countDistinct("words").alias("n")).collect()) for heavy in (30, 4096)]
+    assert largest[0] <= 30 < 200 < largest[1]
+
+
 def test_repeated_rows_nulls_and_nothing(spark):
     text = prose(random.Random(4), 40)
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (5, None)], "doc_id long, text string")
