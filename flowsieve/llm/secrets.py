@@ -1,13 +1,15 @@
 """Secrets in texts, with false positives removed by a random forest (operator 8). DataFrame functions only.
 
-A candidate is a run of at least ``LEAST`` characters of ``[A-Za-z0-9+/_-]`` (with ``=`` padding) that has a digit or two capitals. Its features: length; character
+A candidate is a run of at least ``LEAST`` characters of ``[A-Za-z0-9+/_-]`` (with ``=`` padding) that has a digit or two capitals, or,
+at any length and with all signs, the value assigned to the name of a credential (the whole quoted value, else up to a space, quote, comma or semicolon) or the password
+part of a URL; these have a negative ``part``. Its features: length; whether it is such a value; character
 transitions (changes between digits, small letters, capitals and signs, and changes between vowels and other letters, per character), shares of the
 character classes and of different characters; dictionary coverage (share of it made of the corpus's ``DICTIONARY`` most frequent words of three letters and more, counted
 over all documents); path (slashes, dots, ``@``, ``://`` around it); and the neighbouring words: the two before, the name it is assigned to in its own word, and the one
 after, each as the log-odds of a secret beside it in the labelled findings, and whether it is quoted or assigned.
 
 The forest is fitted to at most ``MAX_PER_CLASS`` labelled findings of each class (smallest hash). Labelled findings are an argument (doc_id, word_no, part, secret); the
-tables have none, so the registered query labels by ``label_by_rule``: keys of known issuers' form, and values with a digit assigned to the name of a credential.
+tables have none, so the registered query labels by ``label_by_rule``: keys of known issuers' form, values with a digit assigned to the name of a credential, quoted values assigned to one, and passwords of URLs.
 
 Without labelled findings of both classes every finding gets the only label (no labels: 0). A null or empty text has no candidates. Repeated rows give
 repeated candidates.
@@ -38,8 +40,14 @@ _SPACE = r"[\x20\x09-\x0D]+"
 #: What a name of a credential contains, and the forms of issued keys.
 CREDENTIAL = r"(?i)(token|secret|passw|passwd|pwd|api_?key|apikey|access_?key|auth|credential|private_?key)"
 ISSUED = r"\A(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk_(live|test)_[A-Za-z0-9]{16,}|xox[abpr]-[A-Za-z0-9-]{16,})\z"
+_OWN = r"[^\x20\x09-\x0D\"'`,;]"
+_NAME = r"(?i)(?!author)" + CREDENTIAL[4:] + r"[\w-]*[\"'`]?\]?[\x20\x09-\x0D]*(?:=>|:=|[=:])[\x20\x09-\x0D]*"
+_QUOTED = [r"%s([^%s\\\r\n]*+(?:\\.[^%s\\\r\n]*+)*+)%s" % (q, q, q, q) for q in "\"'`"]
+#: Text up to a value, and the value: assigned to the name of a credential, or a URL's password.
+VALUES = ((_NAME + r"[\"'`]?", _NAME + "(?:" + "|".join([*_QUOTED, f"({_OWN}+)"]) + ")", (2, 3, 4, 5)),
+          (r"[^:]*://[^:]*:", r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\x20\x09-\x0D/?#:@\"'<>]*:([^\x20\x09-\x0D/?#\"'<>]+)@", (1,)))
 SIDES = ("before2", "before1", "name", "after1")
-FEATURES = ("length", "transitions", "vowel_changes", "digits", "capitals", "signs", "distinct", "coverage", "slashes", "dots", "at", "scheme", "quoted", "assigned", *(f"w_{s}" for s in SIDES))
+FEATURES = ("length", "named", "transitions", "vowel_changes", "digits", "capitals", "signs", "distinct", "coverage", "slashes", "dots", "at", "scheme", "quoted", "assigned", *(f"w_{s}" for s in SIDES))
 
 
 def words(text: Column) -> Column:
@@ -58,7 +66,30 @@ def candidates(docs: DataFrame) -> DataFrame:
     hits = F.transform(every, lambda i: F.struct(i.alias("word_no"), F.get("words", i).alias("word"), beside(i, -2).alias("before2"), beside(i, -1).alias("before1"), beside(i, 1).alias("after1")))
     found = split.select("doc_id", F.explode(hits).alias("hit")).select("doc_id", "hit.*")
     parts = found.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(_RUN), F.lit(1))).alias("part", "candidate"))
-    return parts.where(_likely(F.col("candidate"))).withColumn("name", F.expr("substring_index(word, candidate, 1)"))
+    runs = parts.where(_likely(F.col("candidate"))).withColumn("name", F.expr("substring_index(word, candidate, 1)"))
+    for k, (before, pattern, groups) in enumerate(VALUES):
+        runs = runs.unionByName(_values(docs, before, pattern, groups, k))
+    return runs
+
+
+def _values(docs: DataFrame, before: str, pattern: str, groups: tuple[int, ...], kind: int) -> DataFrame:
+    """Candidates by a pattern over whole texts, but for those that are runs; ``part`` is -1, -3, ... or -2, -4, ... by kind, over the document."""
+    spaces = lambda text: F.regexp_count(text, F.lit(_SPACE))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    cut = docs.where(F.col("text").rlike(pattern)).select("doc_id", words(F.col("text")).alias("words"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    cut = cut.withColumn("runs", F.zip_with("gaps", F.concat("hits", F.array(F.lit(""))), lambda g, h: F.struct(spaces(g).alias("gap"), spaces(h).alias("hit"))))
+    one = cut.select("doc_id", "words", "gaps", "runs", F.posexplode("hits").alias("k", "hit"))
+    total = F.aggregate(F.slice("runs", F.lit(1), F.col("k")), F.lit(0), lambda n, x: n + x["gap"] + x["hit"]) + F.get("runs", F.col("k"))["gap"]
+    one = one.withColumn("candidate", F.concat(*[F.regexp_extract("hit", pattern, g) for g in groups])).withColumn("ahead", F.regexp_extract("hit", rf"\A({before})", 0))
+    one = one.where("candidate <> ''").withColumn("word_no", (total + spaces(F.col("ahead"))).cast("int"))
+    last = lambda text: F.element_at(F.split(text, _SPACE, -1), -1)
+    one = one.withColumn("name", last(F.concat(F.get("gaps", F.col("k")), F.col("ahead"))))
+    rest = F.get(F.split(F.concat(F.expr("substring(hit, length(ahead) + length(candidate) + 1)"), F.get("gaps", F.col("k") + 1)), _SPACE, -1), F.lit(0))
+    at = lambda j: F.coalesce(F.get("words", F.col("word_no") + j), F.lit(""))
+    c = F.col("candidate")
+    found = one.where(~(c.rlike(rf"\A{_RUN}\z") & _likely(c)))
+    return found.select("doc_id", "word_no", F.concat("name", "candidate", rest).alias("word"), at(F.lit(-2)).alias("before2"), at(F.lit(-1)).alias("before1"), at(spaces(c) + 1).alias("after1"),
+                        (-2 * F.col("k") - 1 - kind).cast("int").alias("part"), "candidate", "name")
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
@@ -69,11 +100,16 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
     return [r["word"] for r in folded.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
+def _named() -> Column:
+    assigned = F.col("name").rlike(r"[=:][\"'`]?\z") & F.col("name").rlike(CREDENTIAL) | F.col("before1").rlike(r"[=:]\z") & F.concat("before2", F.lit(" "), "before1").rlike(CREDENTIAL)
+    return assigned | (F.col("part") < 0)
+
+
 def label_by_rule(found: DataFrame) -> DataFrame:
     """doc_id, word_no, part, secret (0 or 1) of candidates."""
     c = F.col("candidate")
-    assigned = F.col("name").rlike(r"[=:][\"'`]?\z") & F.col("name").rlike(CREDENTIAL) | F.col("before1").rlike(r"[=:]\z") & F.concat("before2", F.lit(" "), "before1").rlike(CREDENTIAL)
-    secret = c.rlike(ISSUED) | assigned & c.rlike("[0-9]") & c.rlike("[A-Za-z]")
+    whole = (F.col("part") < 0) & (F.col("name").rlike("[\"'`]\\z") | F.col("name").contains("://"))
+    secret = c.rlike(ISSUED) | _named() & c.rlike("[0-9]") & c.rlike("[A-Za-z]") | whole
     return found.select("doc_id", "word_no", "part", secret.cast("int").alias("secret"))
 
 
@@ -91,9 +127,9 @@ def featured(found: DataFrame, dictionary_words: list[str], odds: dict[str, dict
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9]", "."), "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "B")
     changes = lambda text: F.length(F.regexp_replace(text, r"(.)\1+", "$1")) / F.length(c)
     covering = "|".join(sorted((w for w in dictionary_words if w.isalpha()), key=lambda w: (-len(w), w)))
-    after = F.expr("substring_index(word, candidate, -1)")
+    after = F.when(F.col("part") < 0, F.expr("substring(word, length(name) + length(candidate) + 1)")).otherwise(F.expr("substring_index(word, candidate, -1)"))
     features = {
-        "length": F.length(c).cast("double"), "transitions": changes(kinds), "vowel_changes": changes(F.regexp_replace(F.regexp_replace(F.regexp_replace(low, "[^a-z]", "."), "[aeiouy]", "0"), "[a-z]", "1")),
+        "length": F.length(c).cast("double"), "named": _named().cast("double"), "transitions": changes(kinds), "vowel_changes": changes(F.regexp_replace(F.regexp_replace(F.regexp_replace(low, "[^a-z]", "."), "[aeiouy]", "0"), "[a-z]", "1")),
         "digits": _share(c, "[0-9]"), "capitals": _share(c, "[A-Z]"), "signs": _share(c, "[^A-Za-z0-9]"), "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.length(c),
         "coverage": _share(low, covering) if covering else F.lit(0.0), "slashes": _share(F.col("word"), "[^/]") * -1 + 1, "dots": F.col("word").contains(".").cast("double"),
         "at": F.col("word").contains("@").cast("double"), "scheme": F.col("word").contains("://").cast("double"),
@@ -144,9 +180,12 @@ def _judged(scored: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, findings: DataFrame, mask: str = MASK) -> DataFrame:
-    """``docs`` with every secret of its own findings replaced by ``mask`` in the text."""
+    """``docs`` with every secret of its own findings replaced by ``mask`` in the text; those shorter than ``LEAST`` where no letter or digit is beside them."""
     own = fresh(docs, "_secrets")
     mine = findings.where("secret = 1 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.sort_array(F.collect_set("candidate")).alias(own))
     longest = F.transform(F.array_sort(F.transform(own, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x["s"])
-    masked = F.when(F.col(own).isNotNull(), F.aggregate(longest, F.col("text"), lambda text, s: F.replace(text, s, F.lit(mask)))).otherwise(F.col("text"))
+    alone = lambda s: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(s, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+    literal = F.lit(mask.replace("\\", "\\\\").replace("$", "\\$"))
+    hide = lambda text, s: F.when(F.length(s) < LEAST, F.regexp_replace(text, alone(s), literal)).otherwise(F.replace(text, s, F.lit(mask)))
+    masked = F.when(F.col(own).isNotNull(), F.aggregate(longest, F.col("text"), hide)).otherwise(F.col("text"))
     return docs.join(mine, "doc_id", "left").withColumn("text", masked).select(*docs.columns)

@@ -250,6 +250,19 @@ def test_secrets_held_out_and_edge_cases(spark):
     assert not any("Python" in line or "Pandas" in line for line in found._jdf.queryExecution().executedPlan().toString().split("\n"))
 
 
+def test_short_and_signed_values_of_credentials(spark):
+    rng = random.Random(19)
+    keys = {i: f'{prose(rng, 9)} token = "{rng.randrange(16**40):040x}" {prose(rng, 9)} {rng.randrange(10**15, 10**16)}' for i in range(60)}
+    hidden = {100: ('a  password = "hunter2x9" b', 'a  password = "[SECRET]" b'), 101: ("x pwd='Tr0ub4dor&3'; y", "x pwd='[SECRET]'; y"), 102: ('{"auth_token": "qwhzkxv"}', '{"auth_token": "[SECRET]"}'),
+              103: ("see ftp://bob:s3cr.t@host/a b1", "see ftp://bob:[SECRET]@host/a b1"), 104: ("secret: 'two words 1' x", "secret: '[SECRET]' x")}
+    docs = table(spark, keys | {i: t for i, (t, _) in hidden.items()} | {200: "the author: Smith wrote 12 pages", 201: None})
+    found = secrets.scan(docs)
+    rows = found.collect()
+    assert {(r.doc_id, r.word_no, r.candidate) for r in rows if r.doc_id >= 100} == {(100, 3, "hunter2x9"), (101, 1, "Tr0ub4dor&3"), (102, 1, "qwhzkxv"), (103, 1, "s3cr.t"), (104, 1, "two words 1")}
+    got = {r.doc_id: r.text for r in secrets.redact(docs, found).collect()}
+    assert {i: got[i] for i in hidden} == {i: t for i, (_, t) in hidden.items()} and all(got[i].count("[SECRET]") == 1 for i in keys)
+
+
 def plain_fingerprint_input(texts):
     order = sorted(texts, reverse=True)
     out = {}
