@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsieve.llm import bpe, decontaminate, fingerprint, lm_score, near_dedup, secrets, substring_dedup, token_counts, toxicity, url_filter
+from flowsieve.llm import bpe, collocations, decontaminate, fingerprint, lm_score, near_dedup, secrets, substring_dedup, token_counts, toxicity, url_filter
 from flowsieve.llm.text import read
 
 
@@ -62,6 +62,10 @@ def op10_fingerprints(spark, sf_dir):
     return made.select("doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -77,6 +81,36 @@ WITH cut AS (
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (page_id)
 """
 
+OP11_SQL = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents WHERE text IS NOT NULL
+), pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts
+), lists AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), starts AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists
+), grams AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM starts, range(1, 5) AS lengths(k) WHERE i + k - 1 <= len(w)
+), counts AS (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lists GROUP BY lang
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, cut, p.f AS l, q.f AS r, CAST(CAST(c.f AS HUGEINT) * 2000000 // (p.f + q.f) AS BIGINT) AS score
+  FROM counts c, range(1, 4) AS cutting(cut), counts p, counts q
+  WHERE cut < c.k AND p.lang = c.lang AND q.lang = c.lang AND p.k = cut AND q.k = c.k - cut
+    AND p.phrase = array_to_string(string_split(c.phrase, ' ')[1 : cut], ' ') AND q.phrase = array_to_string(string_split(c.phrase, ' ')[cut + 1 :], ' ')
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inside AS (
+  SELECT DISTINCT b.lang, b.phrase FROM best b JOIN counts c ON c.lang = b.lang AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND c.phrase <> b.phrase AND c.k > 2 AND 100 * c.f >= 80 * b.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best ANTI JOIN inside USING (lang, phrase)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, None),
     "op2_decontamination": (op2_decontamination, None),
@@ -88,4 +122,5 @@ QUERIES = {
     "op8_secret_scan": (op8_secret_scan, None),
     "op9_token_counts": (op9_token_counts, None),
     "op10_fingerprints": (op10_fingerprints, None),
+    "op11_collocations": (op11_collocations, OP11_SQL),
 }
