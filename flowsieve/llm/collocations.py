@@ -32,8 +32,8 @@ from flowsieve.llm.text import give_back, mix, stash
 LONGEST = 4
 LEAST = 30
 TOP = 2000
-SHARD_BYTES = 12 << 20
-HELD_BYTES = 32 << 20
+SHARD_BYTES = 6 << 20
+HELD_BYTES = 16 << 20
 #: Bytes of text whose words and pairs make one bucket of hashes (about as many bytes again).
 BUCKET_BYTES = 8 << 20
 _WORD, _SPACE, _BREAK = 0, 1, 2
@@ -171,13 +171,18 @@ def _phrase_hashes(p: Phrases, of_word: np.ndarray) -> np.ndarray:
     return h
 
 
+def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    for i in range(batch.num_rows):
+        yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+
+
 # ---- steps ------------------------------------------------------------------------------------------------------------
 
 
 def _build(longest: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, 0
-        held: dict[str, list[bytes]] = {}
+        held: dict[str, list[bytes]] = {}  # copies: a text must not keep its whole batch
         bytes_of: dict[str, int] = {}
 
         def flush(lang: str) -> pa.RecordBatch:
@@ -211,7 +216,7 @@ def _send(buckets: int, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 before = _from_planes(row["before"])
                 index = Index(before, before)
                 words = index.words()
@@ -227,7 +232,7 @@ def _send(buckets: int, least: int):
                 six = np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.repeat(row["shard"], len(edge)).cast(pa.int64()), pa.array([six[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
                                                   pa.array([n[a:b].astype(np.uint8 if least < 256 else "<u4").tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["bucket", "shard", "hashes", "counts"])
-            give_back()
+                give_back()
 
     return run
 
@@ -254,7 +259,7 @@ def _enumerate(longest: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 words = pa.array([b"", *row["words"].split(b" ")], pa.binary()).cast(pa.string())
                 of_word = _hashes(row["lang"], row["words"])
                 index = Index(_from_planes(row["before"]), _from_planes(row["behind"]))
@@ -277,7 +282,8 @@ def _enumerate(longest: int, buckets: int):
                         yield pa.RecordBatch.from_arrays([pa.repeat(row["lang"], len(part)), phrase, pa.array(np.full(len(part), k, np.int32)), pa.array(p.size[low : low + (1 << 17)].astype(np.int64))], names=["lang", "phrase", "k", "n"])
                     if not len(p):
                         break
-            give_back()
+                del index, p, words
+                give_back()
 
     return run
 
