@@ -1,16 +1,17 @@
 """Phrase collocations per language (operator 11), by an FM-index per shard over word ids.
 
-1. The texts of one language in one partition are gathered to shards of ``SHARD_BYTES`` (a longer text alone). A shard's words are numbered, and two Burrows-Wheeler
-   transforms are made of the sequence of numbers, of the words before each context and of the words behind it. Contexts are sorted to a depth of one word less
-   than the longest phrase, which is all that intervals of such phrases need. Words never cross the end of a piece: it is symbol 0.
-2. An interval of the index is a phrase, its size the number of occurrences. Extending it by a word on one side is a step of backward search in that side's
-   transform; the interval in the other one follows (bidirectional search). All intervals of a level are extended together.
-3. Words and pairs of all shards are enumerated first. Only a 48-bit hash and a count up to ``least`` of each is sent, to buckets of hashes, which answer each
-   shard which of its hashes reach ``least`` together. That is a bound from above, so hashes that meet lose nothing.
-4. Longer phrases are enumerated where the extension to the left and the one to the right of phrases not yet excluded meet. The remaining phrases are sent with
-   their words, the counts are summed across shards, and what is below ``least`` goes.
-5. A phrase's cuts are joined to the counts of their parts. As the count never rises with more words, a longer phrase that contains it and is frequent enough
-   exists exactly if one by a single word to the left or right does.
+1. The texts of one language in one partition are gathered to shards of ``SHARD_BYTES`` (a longer text alone): the sequence of word numbers, and the words. Words never cross the end of
+   a piece, symbol 0.
+2. A shard's index is two Burrows-Wheeler transforms of its sequence, of the words before each context and of the words behind it. Contexts are sorted to a depth of one word less than
+   the longest phrase, which is all that intervals of such phrases need. The sequence is half as large as the index, so it is what is kept, and the index is made where it is used.
+3. An interval of the index is a phrase, its size the number of occurrences. Extending it by a word on one side is a step of backward search in that side's transform; the interval in
+   the other one follows (bidirectional search). All intervals of a level are extended together.
+4. Words and pairs of all shards are enumerated first. Only a short hash and a count up to ``least`` of each is sent, to buckets of hashes, which answer each shard which of its hashes
+   reach ``least`` together. That is a bound from above, so hashes that meet lose nothing. Phrases with a word more, where the extension to the left and the one to the right of phrases
+   that are left meet, are asked for likewise, level by level.
+5. What is left, and the longest phrases made of it, is sent with its words; the counts are summed across shards, and what is below ``least`` goes.
+6. A phrase's cuts are joined to the counts of their parts. As the count never rises with more words, a longer phrase that contains it and is frequent enough exists exactly if one by a
+   single word to the left or right does.
 
 A shard is bounded in bytes, a bucket in entries, and a hot word or phrase is one row per shard. A null text has no words, a null language is ``und``. Repeated rows count
 as often as they are there; other columns, doc_id included, are not read. An empty table gives no rows.
@@ -42,7 +43,7 @@ _KIND[[0x20, 0x09]] = _SPACE
 _KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = _BREAK
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LOW48 = np.uint64((1 << 48) - 1)
+_LOW32 = np.uint64((1 << 32) - 1)
 
 
 # ---- index ------------------------------------------------------------------------------------------------------------
@@ -179,7 +180,7 @@ def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
 # ---- steps ------------------------------------------------------------------------------------------------------------
 
 
-def _build(longest: int, shard_bytes: int):
+def _build(shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, 0
         held: dict[str, list[bytes]] = {}  # copies: a text must not keep its whole batch
@@ -189,10 +190,9 @@ def _build(longest: int, shard_bytes: int):
             nonlocal made
             sequence, words = numbered(held.pop(lang))
             del bytes_of[lang]
-            index = Index.of(sequence, longest)
             made += 1
-            out = pa.RecordBatch.from_pydict({"shard": pa.array([base + made], pa.int64()), "lang": [lang], "n_words": pa.array([int((sequence > 0).sum())], pa.int64()), "words": pa.array([b" ".join(words.to_pylist())], pa.binary()),
-                                              "before": pa.array([_planes(index.sides["left"])], pa.binary()), "behind": pa.array([_planes(index.sides["right"])], pa.binary())})
+            out = pa.RecordBatch.from_pydict({"shard": pa.array([base + made], pa.int64()), "lang": [lang], "n_words": pa.array([int((sequence > 0).sum())], pa.int64()),
+                                              "words": pa.array([b" ".join(words.to_pylist())], pa.binary()), "sequence": pa.array([_planes(sequence)], pa.binary())})
             give_back()
             return out
 
@@ -211,27 +211,59 @@ def _build(longest: int, shard_bytes: int):
     return run
 
 
-def _send(buckets: int, least: int):
-    """Per shard the hashes of its words and pairs, with counts up to ``least``, by bucket."""
+class _Shard:
+    """A shard's index and what it has been answered so far."""
+
+    def __init__(self, row: dict, longest: int, buckets: int):
+        sequence = _from_planes(row["sequence"])
+        self.answers = row.get("answers")
+        if self.answers:
+            self.index = Index.of(sequence, longest)
+        else:  # nothing is asked but extensions to the left
+            left = transform(sequence, longest - 1)
+            self.index = Index(left, left)
+        self.of_word = _hashes(row["lang"], row["words"])
+        self.buckets = np.uint64(buckets)
+        if self.answers:
+            self.known = np.concatenate([np.frombuffer(a["hashes"], "<u4").astype(np.uint64) + (np.uint64(a["bucket"]) << np.uint64(32)) for a in self.answers])
+
+    def keys(self, p: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """The bucket and the sent half of each phrase's hash."""
+        h = _phrase_hashes(p, self.of_word)
+        return mix(h) % self.buckets, h & _LOW32
+
+    def level(self, k: int) -> list[Phrases]:
+        """Phrases of 1 to ``k`` words; those of fewer than ``k`` words that are excluded, or made of excluded ones, are left out."""
+        found: list[Phrases] = []
+        for length in range(1, k + 1):
+            p = self.index.words() if length == 1 else self.index.longer(found[-1])
+            if length < k:
+                bucket, half = self.keys(p)
+                p = p.where(np.isin((bucket << np.uint64(32)) + half, self.known))
+            found.append(p)
+        return found
+
+
+def _ask(longest: int, buckets: int, least: int, k: int | None):
+    """The hashes of each shard, with counts up to ``least``, by bucket: of all words and pairs (``k`` is None), or of the phrases of ``k`` words that are possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _one_by_one(batch):
-                before = _from_planes(row["before"])
-                index = Index(before, before)
-                words = index.words()
-                of_word = _hashes(row["lang"], row["words"])
-                found = [words, index.extend(words, "left")] if len(words) else [words]
-                h = np.concatenate([_phrase_hashes(p, of_word) for p in found])
-                n = np.concatenate([np.minimum(p.size, least) for p in found]).astype("<u4")
-                bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                h, n, bucket = h[order] & _LOW48, n[order], bucket[order]
+                shard = _Shard(row, longest, buckets)
+                if k is None:
+                    words = shard.index.words()
+                    found = [words, shard.index.extend(words, "left")] if len(words) else [words]
+                else:
+                    found = shard.level(k)[-1:]
+                bucket, half = (np.concatenate(c) for c in zip(*map(shard.keys, found)))
+                n = np.concatenate([np.minimum(p.size, least) for p in found])
+                order = np.lexsort((half, bucket))
+                bucket, half, n = bucket[order].astype(np.int64), half[order].astype("<u4"), n[order].astype(np.uint8 if least < 256 else "<u4")
                 edge = np.flatnonzero(np.diff(bucket, prepend=-1))
-                cut = np.append(edge, len(h))
-                six = np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.repeat(row["shard"], len(edge)).cast(pa.int64()), pa.array([six[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                                                  pa.array([n[a:b].astype(np.uint8 if least < 256 else "<u4").tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["bucket", "shard", "hashes", "counts"])
+                cut = list(zip(edge, np.append(edge[1:], len(half))))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.repeat(row["shard"], len(edge)).cast(pa.int64()), pa.array([half[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([n[a:b].tobytes() for a, b in cut], pa.binary())], names=["bucket", "shard", "hashes", "counts"])
+                del shard, found
                 give_back()
 
     return run
@@ -239,65 +271,53 @@ def _send(buckets: int, least: int):
 
 def _answer(least: int):
     def run(table: pa.Table) -> pa.Table:
-        raw, counts = table["hashes"].to_pylist(), table["counts"].to_pylist()
-        h = np.zeros((sum(map(len, raw)) // 6, 8), np.uint8)
-        h[:, :6] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
-        h = h.view("<u8").reshape(-1)
-        n = np.frombuffer(b"".join(counts), np.uint8 if least < 256 else "<u4").astype(np.int64)
+        raw = table["hashes"].to_pylist()
+        h = np.frombuffer(b"".join(raw), "<u4")
+        n = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8 if least < 256 else "<u4").astype(np.int64)
         order = np.argsort(h, kind="stable")
-        start = np.flatnonzero(np.diff(h[order], prepend=np.uint64(1 << 63)))
+        start = np.flatnonzero(np.diff(h[order].astype(np.int64), prepend=-1))
         enough = np.empty(len(h), bool)
-        enough[order] = np.repeat(np.add.reduceat(n[order], start) >= least, np.diff(np.append(start, len(h)))) if len(h) else False
-        edge = np.cumsum([0, *(len(r) // 6 for r in raw)])
+        if len(h):
+            enough[order] = np.repeat(np.add.reduceat(n[order], start) >= least, np.diff(np.append(start, len(h))))
+        edge = np.cumsum([0, *(len(r) // 4 for r in raw)])
         return pa.table({"shard": table["shard"], "bucket": table["bucket"], "hashes": pa.array([h[a:b][enough[a:b]].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())})
 
     return run
 
 
-def _enumerate(longest: int, buckets: int):
+def _spell(longest: int, buckets: int):
     """The phrases of each shard that may be frequent, with their words and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _one_by_one(batch):
                 words = pa.array([b"", *row["words"].split(b" ")], pa.binary()).cast(pa.string())
-                of_word = _hashes(row["lang"], row["words"])
-                index = Index(_from_planes(row["before"]), _from_planes(row["behind"]))
-                kept = {b: np.frombuffer(r, "<u8") for b, r in zip(row["buckets"], row["hashes"])}
-                known = np.concatenate([mix(np.full(1, b, np.uint64)) ^ k for b, k in kept.items()])
-
-                def maybe(p: Phrases) -> Phrases:
-                    h = _phrase_hashes(p, of_word)
-                    return p.where(np.isin(mix(mix(h) % np.uint64(buckets)) ^ (h & _LOW48), known))
-
-                p = maybe(index.words())
-                for k in range(1, longest + 1):
-                    if k == 2:
-                        p = maybe(index.longer(p))
-                    elif k > 2:
-                        p = index.longer(p)
+                shard = _Shard(row, longest, buckets)
+                for k, p in enumerate(shard.level(longest), 1):
                     for low in range(0, len(p), 1 << 17):
                         part = p.words[low : low + (1 << 17)]
                         phrase = pc.binary_join_element_wise(*(words.take(pa.array(part[:, j])) for j in range(k)), " ")
                         yield pa.RecordBatch.from_arrays([pa.repeat(row["lang"], len(part)), phrase, pa.array(np.full(len(part), k, np.int32)), pa.array(p.size[low : low + (1 << 17)].astype(np.int64))], names=["lang", "phrase", "k", "n"])
-                    if not len(p):
-                        break
-                del index, p, words
+                del shard, words
                 give_back()
 
     return run
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, k, f) of all phrases of up to ``longest`` words with at least ``least`` occurrences, and (lang, n): the words of each language."""
+    """(lang, phrase, k, f) of all phrases of up to ``longest`` words (two at least) with at least ``least`` occurrences, and (lang, n): the words of each language."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text <> ''")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
-    shards = stash(texts.mapInArrow(_build(longest, shard_bytes), "shard long, lang string, n_words long, words binary, before binary, behind binary"), "index")
-    sent = shards.select("shard", "lang", "words", "before").mapInArrow(_send(buckets, least), "bucket long, shard long, hashes binary, counts binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answer(least), "shard long, bucket long, hashes binary").where(F.octet_length("hashes") > 0)
-    per_shard = answers.groupBy("shard").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("hashes").alias("hashes"))
-    found = shards.join(per_shard, "shard").select("lang", "words", "before", "behind", "buckets", "hashes").mapInArrow(_enumerate(longest, buckets), "lang string, phrase string, k int, n long")
+    shards = stash(texts.mapInArrow(_build(shard_bytes), "shard long, lang string, n_words long, words binary, sequence binary"), "shards")
+    fields = ["shard", "lang", "words", "sequence"]
+    answers, asked = None, shards.select(*fields)
+    for k in (None, *range(3, longest)):
+        sent = asked.mapInArrow(_ask(longest, buckets, least, k), "bucket long, shard long, hashes binary, counts binary")
+        new = stash(sent.groupBy("bucket").applyInArrow(_answer(least), "shard long, bucket long, hashes binary").where(F.octet_length("hashes") > 0), "answers")
+        answers = new if answers is None else answers.unionByName(new)
+        asked = shards.join(answers.groupBy("shard").agg(F.collect_list(F.struct("bucket", "hashes")).alias("answers")), "shard").select(*fields, "answers")
+    found = asked.mapInArrow(_spell(longest, buckets), "lang string, phrase string, k int, n long")
     counts = found.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     return stash(counts, "phrases"), shards.groupBy("lang").agg(F.sum("n_words").alias("n"))
 
