@@ -33,8 +33,8 @@ from flowsieve.llm.text import give_back, mix, stash
 LONGEST = 4
 LEAST = 30
 TOP = 2000
-SHARD_BYTES = 6 << 20
-HELD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
+HELD_BYTES = 12 << 20
 #: Bytes of text whose words and pairs make one bucket of hashes (about as many bytes again).
 BUCKET_BYTES = 8 << 20
 _WORD, _SPACE, _BREAK = 0, 1, 2
@@ -285,25 +285,46 @@ def _answer(least: int):
     return run
 
 
+_PHRASES = pa.list_(pa.string())
+
+
 def _spell(longest: int, buckets: int):
-    """The phrases of each shard that may be frequent, with their words and counts."""
+    """The phrases of each shard that may be frequent, with their words and counts, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _one_by_one(batch):
                 words = pa.array([b"", *row["words"].split(b" ")], pa.binary()).cast(pa.string())
                 shard = _Shard(row, longest, buckets)
-                for k, p in enumerate(shard.level(longest), 1):
-                    for low in range(0, len(p), 1 << 17):
-                        part = p.words[low : low + (1 << 17)]
-                        phrase = pc.binary_join_element_wise(*(words.take(pa.array(part[:, j])) for j in range(k)), " ")
-                        yield pa.RecordBatch.from_arrays([pa.repeat(row["lang"], len(part)), phrase, pa.array(np.full(len(part), k, np.int32)), pa.array(p.size[low : low + (1 << 17)].astype(np.int64))], names=["lang", "phrase", "k", "n"])
-                del shard, words
+                found = shard.level(longest)
+                bucket = np.concatenate([shard.keys(p)[0] for p in found]).astype(np.int64)
+                phrases = pa.concat_arrays([pc.binary_join_element_wise(*(words.take(pa.array(p.words[:, j])) for j in range(k)), " ") for k, p in enumerate(found, 1)])
+                n = np.concatenate([p.size for p in found]).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                bucket = bucket[order]
+                edge = np.flatnonzero(np.diff(bucket, prepend=-1))
+                cut = pa.array(np.append(edge, len(bucket)).astype(np.int32))
+                at = pa.array(order)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.repeat(row["lang"], len(edge)), pa.ListArray.from_arrays(cut, phrases.take(at)), pa.ListArray.from_arrays(cut, pa.array(n).take(at))], names=["bucket", "lang", "phrases", "counts"])
+                del shard, words, found, phrases
                 give_back()
 
     return run
 
 
+def _sum(least: int):
+    """Counts of each phrase of a bucket across shards."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        phrases, counts = (pa.concat_arrays([c for c in table[name].chunks]) if table.num_rows else pa.array([], t) for name, t in (("phrases", _PHRASES), ("counts", pa.list_(pa.int64()))))
+        lang = table["lang"].take(pc.list_parent_indices(phrases))
+        sums = pa.table({"lang": lang, "phrase": phrases.flatten(), "f": counts.flatten()}).group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+        return sums.filter(pc.greater_equal(sums["f_sum"], least)).select(["lang", "phrase", "f_sum"]).rename_columns(["lang", "phrase", "f"])
+
+    return run
+
+
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all phrases of up to ``longest`` words (two at least) with at least ``least`` occurrences, and (lang, n): the words of each language."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text <> ''")
@@ -317,9 +338,9 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, s
         new = stash(sent.groupBy("bucket").applyInArrow(_answer(least), "shard long, bucket long, hashes binary").where(F.octet_length("hashes") > 0), "answers")
         answers = new if answers is None else answers.unionByName(new)
         asked = shards.join(answers.groupBy("shard").agg(F.collect_list(F.struct("bucket", "hashes")).alias("answers")), "shard").select(*fields, "answers")
-    found = asked.mapInArrow(_spell(longest, buckets), "lang string, phrase string, k int, n long")
-    counts = found.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return stash(counts, "phrases"), shards.groupBy("lang").agg(F.sum("n_words").alias("n"))
+    found = asked.mapInArrow(_spell(longest, buckets), "bucket long, lang string, phrases array<string>, counts array<long>")
+    counts = found.groupBy("bucket").applyInArrow(_sum(least), "lang string, phrase string, f long")
+    return stash(counts.withColumn("k", F.size(F.split("phrase", " "))), "phrases"), shards.groupBy("lang").agg(F.sum("n_words").alias("n"))
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP, inside_percent: int = 80, **sizes: int) -> DataFrame:
