@@ -1,11 +1,9 @@
-"""Column expressions for addresses, protocols and flow keys. All JVM-side except IPv6 containment."""
+"""Column expressions for addresses, protocols and flow keys, all JVM-side."""
 
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -145,22 +143,10 @@ def network_length(network: str | Column) -> Column:
     return F.when(length.between(0, whole), length)
 
 
-def _v6_test(network):
-    @F.pandas_udf("boolean")
-    def inside(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(text):
-            try:
-                return ipaddress.ip_address(text) in network
-            except (ValueError, TypeError):
-                return False
-
-        for addresses in batches:
-            # an address repeats many times in a batch: test each distinct one once
-            codes, values = pd.factorize(addresses)
-            hit = pd.array([one(v) for v in values] + [False], dtype="bool")
-            yield pd.Series(hit[codes], index=addresses.index)
-
-    return inside
+def address_key(addr: str | Column) -> Column:
+    """An address as text that sorts by family and number: a digit for the family and 8 or 32 hexadecimal digits; null if it is no address."""
+    four = lambda c: F.concat(F.lit("4"), F.lpad(F.lower(F.hex(ipv4_number(c))), 8, "0"))
+    return _let(_col(addr), lambda c: F.when(c.contains(":"), F.concat(F.lit("6"), _ipv6_hex(c))).otherwise(four(c)))
 
 
 def in_cidr(addr: str | Column, cidr: str) -> Column:
@@ -171,7 +157,8 @@ def in_cidr(addr: str | Column, cidr: str) -> Column:
         return F.coalesce(
             F.shiftright(ipv4_number(addr), shift) == F.lit(int(network.network_address) >> shift), F.lit(False)
         )
-    return _v6_test(network)(_col(addr))
+    low, high = (f"6{int(a):032x}" for a in (network.network_address, network.broadcast_address))
+    return F.coalesce(_let(_col(addr), lambda c: F.when(c.contains(":"), address_key(c).between(low, high))), F.lit(False))
 
 
 def is_private_ip(addr: str | Column) -> Column:

@@ -62,9 +62,9 @@ def correlate(
     return joined.select(*flows.columns, (F.coalesce(own, other) if bidirectional else own).alias("alert"))
 
 
-def _merge_in_time(
+def merge_in_time(
     flows: DataFrame, alerts: DataFrame, before_ms: int, after_ms: int, flow_ts: str, alert_ts: str, tie: str, flow_id: str,
-    support: float, splits: int,
+    support: float = 0.01, splits: int = 32,
 ) -> DataFrame:
     """Flows and alerts of a key merged along time, cut into buckets as wide as the window.
 
@@ -104,7 +104,7 @@ def asof_alert(
     tie: str = "event_id", flow_id: str = "flow_id", after_ms: int = 0, support: float = 0.01, splits: int = 32,
 ) -> DataFrame:
     """Each flow with the latest alert of its key from ``ttl_ms`` before to ``after_ms`` after it, as struct ``alert``."""
-    m = _merge_in_time(flows, alerts, ttl_ms, after_ms, flow_ts, alert_ts, tie, flow_id, support, splits)
+    m = merge_in_time(flows, alerts, ttl_ms, after_ms, flow_ts, alert_ts, tie, flow_id, support, splits)
     fresh = F.when(F.col("_last.t") >= F.col("_t") - F.col("_width"), F.col("_last.a"))
     return m.filter("_kind = 1").select("flow.*", fresh.alias("alert"))
 
@@ -119,7 +119,7 @@ def interval_correlate(
     A flow takes the latest alert of its key in ``[flow - before, flow + after]``. An alert no flow could take comes out
     as a row of its own with null flow columns and the key filled from the alert.
     """
-    m = _merge_in_time(flows, alerts, before_ms, after_ms, flow_ts, alert_ts, tie, flow_id, support, splits)
+    m = merge_in_time(flows, alerts, before_ms, after_ms, flow_ts, alert_ts, tie, flow_id, support, splits)
     fresh = F.when(F.col("_last.t") >= F.col("_t") - F.col("_width"), F.col("_last.a"))
     matched = m.filter("_kind = 1").select("flow.*", fresh.alias("alert"))
     lonely = (

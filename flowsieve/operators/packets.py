@@ -92,6 +92,16 @@ def _scopes(per: DataFrame, f: Column, b: Column, names: Sequence[str] = ("both"
 
 # ---- flows ----------------------------------------------------------------------------------------------------------
 
+def opening_rank(forward: Column, size: Column, flags: Column) -> Column:
+    """Order of simultaneous packets; the last bit says against whom the first one goes."""
+    return (size * 65536 + flags) * 2 + F.when(forward, 0).otherwise(1)
+
+
+def closing(flags: Column) -> Column:
+    """Whether a packet ends its flow."""
+    return (F.col("k_protocol") == 6) & (flags.bitwiseAND(F.lit(FLAG_BITS["fin"] | FLAG_BITS["rst"])) != 0)
+
+
 def instants(packets: DataFrame) -> DataFrame:
     """Packets (with their conversation key) folded by conversation and millisecond, with counters per direction.
 
@@ -100,7 +110,7 @@ def instants(packets: DataFrame) -> DataFrame:
     """
     p = packets.filter("ts_ms is not null")
     f, size, flags = F.col("k_forward"), F.col("length").cast("long"), F.col("flags")
-    agg = [F.min((size * 65536 + flags) * 2 + F.when(f, 0).otherwise(1)).alias("opens")]
+    agg = [F.min(opening_rank(f, size, flags)).alias("opens")]
     for d, mine in (("f", f), ("b", ~f)):
         only = F.when(mine, size)
         agg += [
@@ -108,8 +118,7 @@ def instants(packets: DataFrame) -> DataFrame:
             F.coalesce(F.sum(only * only), F.lit(0)).alias(f"sq_{d}"), F.min(only).alias(f"min_{d}"), F.max(only).alias(f"max_{d}"),
             *[F.count_if(mine & (flags.bitwiseAND(F.lit(bit)) != 0)).alias(f"{flag}_{d}") for flag, bit in FLAG_BITS.items()],
         ]
-    closing = (F.col("k_protocol") == 6) & (flags.bitwiseAND(F.lit(FLAG_BITS["fin"] | FLAG_BITS["rst"])) != 0)
-    agg.append(F.max(closing).alias("closes"))
+    agg.append(F.max(closing(flags)).alias("closes"))
     return p.groupBy(*PAIR, "ts_ms").agg(*agg)
 
 
@@ -209,7 +218,7 @@ def _split_active(seg: DataFrame, idle_ms: int, active_ms: int, fold_limit: int)
     return short.unionByName(cut.select(*short.columns))
 
 
-def _cut_in_order(long: DataFrame, active_ms: int) -> DataFrame:
+def cut_in_order(long: DataFrame, active_ms: int) -> DataFrame:
     """Adds ``flow_start`` by walking each segment in order of time.
 
     Whether a packet starts a flow depends on where the flow before it started, so this is a walk, not a window. Rows stream
@@ -270,7 +279,7 @@ def _branches(
         seg = seg.withColumn("_end", F.max("ts_ms").over(Window.partitionBy(*PAIR, "seg")))
         lasts = F.col("_end") - F.col("seg") >= active_ms
         out.append((seg.filter(~lasts).drop("_end").withColumn("flow_start", F.col("seg")), False))
-        out.append((_cut_in_order(seg.filter(lasts).drop("_end"), active_ms), False))
+        out.append((cut_in_order(seg.filter(lasts).drop("_end"), active_ms), False))
     if hot:
         seg = _segments(instants(p.filter(F.col("_h").isin(hot))), idle_ms, close_on_flags)
         out.append((seg.withColumn("flow_start", F.col("seg")) if active_ms is None else _split_active(seg, idle_ms, active_ms, fold_limit), True))

@@ -351,6 +351,39 @@ RULES_SQL = "rules(id, kind, value, created, expires) AS (VALUES " + ", ".join(
     for i, k, v, c, e in RULES) + ")"
 
 
+def both_families(flow_rows: DataFrame) -> DataFrame:
+    """Flows of which every third has an IPv6 source, one of 16 networks."""
+    six = "concat('2001:DB8:0:', lower(hex(o % 16)), '::', lower(hex(c % 250 + 1)))"
+    return flow_rows.selectExpr("flow_id", f"if(o % 3 = 0, {six}, src_ip) AS source_ip", "src_port AS source_port", "dst_ip AS destination_ip", "dst_port AS destination_port", "protocol", "0 AS snort_sid")
+
+
+FAMILIES_SQL = FLOWS_SQL + """,
+numbered AS (
+  SELECT flow_id, CASE WHEN o % 3 = 0 THEN 6 ELSE 4 END AS family, CASE WHEN o % 3 = 0 THEN (o % 16) * CAST(1048576 AS HUGEINT) + c % 250 + 1 ELSE
+    list_reduce(list_transform(string_split(src_ip, '.'), lambda x: CAST(x AS HUGEINT)), lambda x, y: x * 256 + y) END AS address FROM flows)"""
+
+
+def network_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network per nation and kind: nested, with lengths, netmasks and host masks, of both families."""
+    n = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS n")
+    value = """explode(array(
+      concat('10.', n % 4, '.0.', n % 25, '/', array('32', '31', '255.255.255.252', '0.0.0.7', '28')[n % 5]), concat('10.', n % 4, '.7.7/', if(n % 2 = 0, '16', '255.255.240.0')), if(n = 7, '10.0.0.0/8', '192.168.1.0/24'),
+      concat('2001:db8:0:', lower(hex(n % 16)), '::/', array('64', '128', '120', '127', '63')[n % 5]), if(n = 11, '2001:db8::/32', 'fe80::/10'))) AS value"""
+    return n.selectExpr("n", value).selectExpr(
+        "concat(value, ' ', n) AS id", "'src_cidr' AS kind", "value", "0L AS hits", "timestamp_seconds(1704067200 + (n * 7) % 11 * 3600) AS created_at", "CAST(NULL AS TIMESTAMP) AS expires_at")
+
+
+NETWORKS_SQL = """
+listed AS (
+  SELECT n_nationkey AS n, unnest([
+    {v: '10.' || (n_nationkey % 4) || '.0.' || (n_nationkey % 25) || '/' || (['32', '31', '255.255.255.252', '0.0.0.7', '28'])[n_nationkey % 5 + 1], f: 4, a: CAST(10 * 16777216 + (n_nationkey % 4) * 65536 + n_nationkey % 25 AS HUGEINT), size: CAST(([1, 2, 4, 8, 16])[n_nationkey % 5 + 1] AS HUGEINT)},
+    {v: '10.' || (n_nationkey % 4) || '.7.7/' || CASE WHEN n_nationkey % 2 = 0 THEN '16' ELSE '255.255.240.0' END, f: 4, a: CAST(10 * 16777216 + (n_nationkey % 4) * 65536 + 7 * 256 + 7 AS HUGEINT), size: CAST(CASE WHEN n_nationkey % 2 = 0 THEN 65536 ELSE 4096 END AS HUGEINT)},
+    {v: CASE WHEN n_nationkey = 7 THEN '10.0.0.0/8' ELSE '192.168.1.0/24' END, f: 4, a: CAST(CASE WHEN n_nationkey = 7 THEN 10 * 16777216 ELSE 192 * CAST(16777216 AS BIGINT) + 168 * 65536 + 256 END AS HUGEINT), size: CAST(CASE WHEN n_nationkey = 7 THEN 16777216 ELSE 256 END AS HUGEINT)},
+    {v: '2001:db8:0:' || lower(to_hex(n_nationkey % 16)) || '::/' || (['64', '128', '120', '127', '63'])[n_nationkey % 5 + 1], f: 6, a: CAST((n_nationkey % 16) * CAST(1048576 AS HUGEINT) AS HUGEINT), size: CAST(([1048576, 1, 256, 2, 2097152])[n_nationkey % 5 + 1] AS HUGEINT)},
+    {v: CASE WHEN n_nationkey = 11 THEN '2001:db8::/32' ELSE 'fe80::/10' END, f: CASE WHEN n_nationkey = 11 THEN 6 ELSE 0 END, a: CAST(0 AS HUGEINT), size: CAST(1000000000 AS HUGEINT)}]) AS x FROM nation),
+networks AS (SELECT x.v || ' ' || n AS id, x.f AS family, x.a // x.size * x.size AS low, x.size AS size, (n * 7) % 11 AS age FROM listed)"""
+
+
 # ---- packets and windows ------------------------------------------------------------------------------------------
 
 PACKET_TIE = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")

@@ -115,6 +115,15 @@ def _suppressed(spark, sf):
     return m.select("id", F.col("rule.id").alias("rule_id"), F.col("rule.kind").alias("kind"))
 
 
+def _networks(spark, sf):
+    m = suppress.match_rules(D.both_families(D.flows(spark, sf)), D.network_rules(spark, sf), D.as_of())
+    return m.select("flow_id", F.col("rule.id").alias("rule_id"))
+
+
+NETWORK_SQL = f"""WITH {D.FAMILIES_SQL},{D.NETWORKS_SQL}
+SELECT flow_id, (SELECT (array_agg(n.id ORDER BY age DESC, n.id))[1] FROM networks n WHERE n.family = p.family AND p.address BETWEEN low AND low + size - 1) AS rule_id FROM numbered p"""
+
+
 def _key_sql(t):
     return f"{t}.source_ip || ':' || {t}.source_port || '-' || {t}.destination_ip || ':' || {t}.destination_port || '-' || {t}.protocol"
 
@@ -241,6 +250,7 @@ QUERIES = {
     "f02_search": (_p(lambda d: predicates.search(d, "20130_8").select("id")), P + "SELECT id FROM pred WHERE " + " OR ".join(f"lower(coalesce(CAST({c} AS VARCHAR), '')) LIKE '%20130_8%'" for c in ("source_ip", "destination_ip", "snort_msg", "snort_sid", "family", "attack_type", "id", "source_port", "destination_port"))),
     "f02_search_text": (_p(lambda d: predicates.search(d, "Slow").select("id")), P + "SELECT id FROM pred WHERE lower(coalesce(attack_type, '')) LIKE '%slow%' OR lower(coalesce(family, '')) LIKE '%slow%' OR lower(snort_msg) LIKE '%slow%'"),
     "f03_cidr": (_p(lambda d: predicates.queue_filter(d, src_cidr="10.2.3.4/16", dst_cidr="192.168.0.0/22").select("id")), P + "SELECT id FROM pred WHERE source_ip LIKE '10.2.%' AND (destination_ip LIKE '192.168.0.%' OR destination_ip LIKE '192.168.1.%' OR destination_ip LIKE '192.168.2.%' OR destination_ip LIKE '192.168.3.%')"),
+    "f03_cidr_v6": (lambda s, d: D.both_families(D.flows(s, d)).filter(N.in_cidr("source_ip", "2001:db8:0:4::/63")).select("flow_id", "source_ip"), f"WITH {D.FLOWS_SQL} SELECT flow_id, '2001:DB8:0:' || lower(to_hex(o % 16)) || '::' || lower(to_hex(c % 250 + 1)) AS source_ip FROM flows WHERE o % 3 = 0 AND o % 16 IN (4, 5)"),
     "f04_in_range": (_p(lambda d: predicates.in_range(d, "24h", D.as_of()).select("id")), P + f"SELECT id FROM pred WHERE flow_ms >= {D.AS_OF_MS - 86400000}"),
     "f05_prior_window": (_p(lambda d: predicates.prior_window(d, "24h", D.as_of()).select("id")), P + f"SELECT id FROM pred WHERE flow_ms >= {D.AS_OF_MS - 2 * 86400000} AND flow_ms < {D.AS_OF_MS - 86400000}"),
     "f06_drop_benign": (lambda s, d: predicates.drop_benign(D.judged(s, d)).groupBy("source", "prediction").agg(F.count("*").alias("rows")), f"WITH {D.JUDGED_SQL} SELECT source, prediction, count(*) AS rows FROM judged WHERE event_id IS NOT NULL OR prediction = 'Malicious' GROUP BY ALL"),
@@ -258,6 +268,7 @@ QUERIES = {
     "o05_retain_days": (_p(lambda d: triage.retain_days(d, 10, D.as_of()).select("id")), P + f"SELECT id FROM pred WHERE flow_ms >= {D.AS_OF_MS - 10 * 86400000}"),
     "o07_active_rules": (lambda s, d: suppress.active_rules(D.rules(s, d), D.as_of()).select("id", "kind", "value"), f"WITH {D.FLOWS_SQL}, {D.RULES_SQL} SELECT id, kind, value FROM rules WHERE expires IS NULL OR expires > DATE '2024-01-31'"),
     "j05_suppress": (_suppressed, SUPPRESS_SQL + "SELECT p.id, hit.rule_id, hit.kind FROM pred p LEFT JOIN hit ON hit.id = p.id AND rn = 1"),
+    "j05_networks": (_networks, NETWORK_SQL),
     "j05_kept": (lambda s, d: suppress.suppress(D.fresh_predictions(s, d), D.rules(s, d), D.as_of()).groupBy("source").agg(F.count("*").alias("rows")), SUPPRESS_SQL + "SELECT source, count(*) AS rows FROM pred WHERE id NOT IN (SELECT id FROM hit) GROUP BY source"),
     "j06_enrich_attack": (_p(lambda d: d.select("id", F.col("mitre.confidence_band").alias("band"), F.size(F.coalesce("mitre.tactics", F.array().cast("array<struct<id:string,name:string>>"))).alias("tactics"), enrich.first_tactic("mitre").alias("first_tactic"), F.transform("mitre.techniques", lambda t: t["id"])[0].alias("technique"))), P + """SELECT id, CASE WHEN has_mitre THEN band END AS band, CASE WHEN has_mitre THEN (SELECT CAST(count(*) AS INT) FROM kb_tactic k WHERE k.category = attack_type) ELSE 0 END AS tactics,
         CASE WHEN has_mitre THEN (SELECT tactic FROM kb_tactic k WHERE k.category = attack_type AND pos = 0) ELSE '' END AS first_tactic,

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,21 +28,59 @@ FLOW = T.StructType(
 )
 
 
-def _by_position(spark: SparkSession, path: str | list[str]) -> tuple[list[str], DataFrame]:
-    """Trimmed header cells of the first file, and the rows with columns ``c0``, ``c1``, ...; the last one is filled only on lines with too many cells.
+#: Files whose header lines are read at the same time.
+HEADER_THREADS = 32
 
-    Spark would rename every column of a header cell that occurs twice, so that none of them keeps the name.
+
+def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """The cells of the first line of a file that is not blank; none for an empty file."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = p.getFileSystem(conf).open(p)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        line = lines.readLine()
+        while line is not None and not line.strip():
+            line = lines.readLine()
+    finally:
+        stream.close()
+    return tuple((cell or f"_c{i}").strip() for i, cell in enumerate(next(csv.reader([line])))) if line is not None else ()
+
+
+def _by_header(spark: SparkSession, path: str | list[str]) -> list[tuple[tuple[str, ...], DataFrame]]:
+    """The files at ``path`` by their header lines: trimmed cells, and the rows with columns ``c0``, ``c1``, ...; the last one is filled only on lines with too many cells.
+
+    Files may have their columns in different orders; each different header is one read of its files, by position (Spark would rename every column of a header cell that occurs twice, so
+    that none of them keeps the name). Only first lines pass through the driver.
     """
-    first = spark.read.csv(path, header=False, inferSchema=False).first()
-    header = [(cell or f"_c{i}").strip() for i, cell in enumerate(first or ())]
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header) + 1)])
-    return header, spark.read.schema(schema).option("mode", "PERMISSIVE").option("header", True).option("enforceSchema", True).csv(path)
+    files = sorted(spark.read.text(path).inputFiles())
+    with ThreadPoolExecutor(HEADER_THREADS) as pool:
+        heads = list(pool.map(lambda f: _header(spark, f), files))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, head in zip(files, heads):
+        if head:
+            groups.setdefault(head, []).append(file)
+    found = []
+    for head, own in groups.items():
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(head) + 1)])
+        rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("header", True).option("enforceSchema", True)
+        found.append((head, rows.csv(path if len(own) == len(files) else [unquote(f) for f in own])))
+    return found
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
 
 
 def read_flow_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Feature CSV with any subset of columns; header cells are trimmed, values stay text until ``clean``. Of a header that occurs twice the first column counts."""
-    header, raw = _by_position(spark, path)
-    return raw.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(header) if n not in header[:i]])
+    """Feature CSV with any subset of columns; header cells are trimmed, values stay text until ``clean``. Every file is read by its own header: columns may stand in any order, and are
+    null where a file lacks them. Of a header cell that occurs twice the first column counts."""
+    parts = [raw.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(header) if n not in header[:i]]) for header, raw in _by_header(spark, path)]
+    return _together(parts) if parts else spark.createDataFrame([], T.StructType([]))
 
 
 def read_flow_records(spark: SparkSession, path: str | list[str], fmt: str = "parquet") -> DataFrame:
@@ -56,7 +97,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def corpus_to_parquet(spark: SparkSession, paths: Sequence[str], out_dir: str) -> list[str]:
     """Converts labelled CSV files to Parquet: known features as float32 plus the label, snappy-compressed.
 
-    Lines with too many cells are skipped, missing cells are null. A file that was converted completely before is not read again. Files of one name keep the
+    A path may be a folder; every file in it is read by its own header. Lines with too many cells are skipped, missing cells are null. A file that was converted completely before is not read again. Files of one name keep the
     name of their folder as well.
     """
     written = []
@@ -67,23 +108,21 @@ def corpus_to_parquet(spark: SparkSession, paths: Sequence[str], out_dir: str) -
         written.append(out)
         if _exists(spark, f"{out}/_SUCCESS"):
             continue
-        header, raw = _by_position(spark, path)
-        names, seen, cols = [fixed.CORPUS_ALIASES.get(h, h) for h in header], set(), []
-        for i, n in enumerate(names):
-            if n in seen:
-                continue
-            if n in fixed.FEATURES:
-                cols.append(F.col(f"c{i}").try_cast("float").alias(n))
-            elif n.lower() == "label":
-                cols.append(F.col(f"c{i}").alias("Label"))
-            else:
-                continue
-            seen.add(n)
-        if not any(n in fixed.FEATURES for n in seen):
+        parts = []
+        for header, raw in _by_header(spark, path):
+            cols: dict[str, Column] = {}
+            for i, h in enumerate(header):
+                n = fixed.CORPUS_ALIASES.get(h, h)
+                if n in fixed.FEATURES:
+                    cols.setdefault(n, F.col(f"c{i}").try_cast("float").alias(n))
+                elif n.lower() == "label":
+                    cols.setdefault("Label", F.col(f"c{i}").alias("Label"))
+            if any(n in fixed.FEATURES for n in cols):
+                parts.append(raw.filter(F.col(f"c{len(header)}").isNull()).select(*cols.values()))
+        if not parts:
             written.pop()
             continue
-        fits = F.col(f"c{len(header)}").isNull()
-        raw.filter(fits).select(*cols).write.mode("overwrite").option("compression", "snappy").parquet(out)
+        _together(parts).write.mode("overwrite").option("compression", "snappy").parquet(out)
     return written
 
 

@@ -2,27 +2,92 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowsieve import fixed
 from flowsieve.operators import enrich, standardize
 
 
 def append_predictions(df: DataFrame, path: str, as_of: Column, batch_id: int | str | None = None) -> None:
-    """Appends queue rows to the table, partitioned by day of the flow.
+    """Appends queue rows to the table, in folders by day of the flow and, inside them, by batch.
 
-    With a ``batch_id`` the rows go to that batch's own folder and replace what an earlier attempt left there, so a retried
-    batch is stored once.
+    With a ``batch_id`` the rows replace what an earlier attempt of that batch left in the same days, so a retried batch is stored once. Without one the rows get a batch name of their own.
+    A query on some days opens their folders only; ``compact_day`` puts the batches of a day together.
     """
     d = standardize.queue_defaults(df, as_of)
     if "first_seen_at" not in d.columns:
         d = d.withColumn("first_seen_at", as_of)
-    d = d.withColumn("flow_date", F.to_date("flow_timestamp"))
-    if batch_id is None:
-        d.write.mode("append").partitionBy("flow_date").parquet(path)
-    else:
-        d.write.mode("overwrite").partitionBy("flow_date").parquet(f"{path}/batch={batch_id}")
+    name = str(batch_id) if batch_id is not None else f"a{uuid.uuid4().hex}"
+    d = d.withColumns({"flow_date": F.to_date("flow_timestamp"), "batch": F.lit(name)})
+    d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("flow_date", "batch").parquet(path)
+
+
+def _files(spark: SparkSession, pattern: str) -> tuple[list, object]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath() for s in fs.globStatus(p) or ()], fs
+
+
+def _lines(spark: SparkSession, path) -> list[str]:
+    """The lines of a small file whose name Spark's readers leave out."""
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        return list(iter(reader.readLine, None))
+    finally:
+        stream.close()
+
+
+def read_stored(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """The stored queue, of some days (ISO dates, ends included) if given. Batches that a compaction has taken in and not removed yet are left out."""
+    rows = spark.read.option("recursiveFileLookup", False).schema(_stored_schema(spark, path)).parquet(path)
+    if since:
+        rows = rows.filter(F.col("flow_date") >= F.lit(since).cast("date"))
+    if until:
+        rows = rows.filter(F.col("flow_date") <= F.lit(until).cast("date"))
+    for mark in _files(spark, f"{path}/flow_date=*/batch=c*/_taken")[0]:
+        day = mark.getParent().getParent().getName().removeprefix("flow_date=")
+        taken = _lines(spark, mark)
+        rows = rows.filter(~((F.col("flow_date") == F.lit(day).cast("date")) & F.col("batch").isin(taken)))
+    return rows.drop("batch")
+
+
+def _stored_schema(spark: SparkSession, path: str) -> T.StructType:
+    found = spark.read.parquet(path).schema
+    return T.StructType([T.StructField(f.name, T.StringType()) if f.name == "batch" else f for f in found.fields])
+
+
+def compact_day(spark: SparkSession, path: str, day: str, files: int = 1) -> int:
+    """Puts all batches of a day together in ``files`` files and removes them; returns how many there were. It can be repeated after an interruption: until the list of what it
+    has taken in stands beside the new files, readers use the old ones, from then on the new ones. Batches that come meanwhile are left alone."""
+    folder = f"{path}/flow_date={day}"
+    found, fs = _files(spark, f"{folder}/batch=*")
+    names = {p.getName().removeprefix("batch="): p for p in found}
+    for name, p in list(names.items()):
+        if name.startswith("c"):
+            mark = spark._jvm.org.apache.hadoop.fs.Path(p, "_taken")
+            if fs.exists(mark):
+                for old in _lines(spark, mark):  # an earlier run's leftovers
+                    if old in names:
+                        fs.delete(names.pop(old), True)
+            else:  # not completed
+                fs.delete(names.pop(name), True)
+    if len(names) < 2:
+        return len(names)
+    new = f"{folder}/batch=c{uuid.uuid4().hex}"
+    spark.read.parquet(*[p.toString() for p in names.values()]).coalesce(files).write.parquet(f"{path}/_new/{new.rsplit('=', 1)[1]}")
+    made = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_new/{new.rsplit('=', 1)[1]}")
+    out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_new/{new.rsplit('=', 1)[1]}/_taken"))
+    out.write(bytearray("\n".join(sorted(names)).encode()))
+    out.close()
+    fs.rename(made, spark._jvm.org.apache.hadoop.fs.Path(new))  # files and list appear together
+    for p in names.values():
+        fs.delete(p, True)
+    return len(names)
 
 
 def append_live(events: DataFrame, path: str, as_of: Column, batch_id: int) -> None:

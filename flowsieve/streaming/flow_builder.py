@@ -2,134 +2,89 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowsieve import fixed
 from flowsieve.operators.correlate import PAIR, with_pair
-from flowsieve.operators.packets import FLAG_BITS, orient
-
-_COUNTERS = [f"{m}_{d}" for d in "fb" for m in ("n", "bytes", "sq", "min", "max", *FLAG_BITS)]
-_LONG = T.LongType()
-_INSTANT = T.StructType([T.StructField(c, _LONG) for c in (*_COUNTERS, "opens", "order", "closes")])
-_OPEN = T.StructType([T.StructField(c, _LONG) for c in ("flow_start", "last", "opens", "closes", "first_f", "last_f", "first_b", "last_b", *_COUNTERS)])
-_OUT = T.StructType(
-    [T.StructField("k_ip1", T.StringType()), T.StructField("k_port1", T.IntegerType()), T.StructField("k_ip2", T.StringType()), T.StructField("k_port2", T.IntegerType()),
-     T.StructField("k_protocol", T.IntegerType()), T.StructField("flow_start", _LONG), T.StructField("last", _LONG), T.StructField("opens_forward", T.BooleanType()),
-     T.StructField("dur_f", _LONG), T.StructField("dur_b", _LONG)] + [T.StructField(c, _LONG) for c in _COUNTERS])
-
-
-def _frame(rows: list[tuple], shape: T.StructType) -> pd.DataFrame:
-    """Output rows as plain Python objects, so that missing numbers stay missing."""
-    return pd.DataFrame(rows, columns=shape.names, dtype=object)
-
-
-def _merge(a: dict, b: dict) -> dict:
-    """Counters of two sets of packets together; minimum and maximum are None where a direction has none."""
-    out = {}
-    for c in _COUNTERS:
-        if c.startswith(("min_", "max_")):
-            pick = min if c.startswith("min_") else max
-            known = [v for v in (a[c], b[c]) if v is not None]
-            out[c] = pick(known) if known else None
+from flowsieve.operators.packets import FLAG_BITS, closing, cut_in_order, opening_rank, orient
+from flowsieve.streaming.held import Decide, HeldRows, Store
+
+_SUMS = [f"{m}_{d}" for d in "fb" for m in ("n", "bytes", "sq", *FLAG_BITS)]
+_LOWS = [f"{m}_{d}" for d in "fb" for m in ("min", "first")]
+_HIGHS = [f"{m}_{d}" for d in "fb" for m in ("max", "last")]
+
+
+def packet_rows(packets: DataFrame) -> DataFrame:
+    """A packet stream in the form the job takes."""
+    return with_pair(packets).select(F.lit("packet").alias("_side"), F.col("ts_ms").alias("_t"), *PAIR, "k_forward", "ts_ms", "length", "flags")
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """Packets as runs of one packet each: counters, first and last time of each direction, ``ts_ms`` to ``until``."""
+    f, size, flags = F.col("k_forward"), F.col("length").cast("long"), F.col("flags")
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    out = {"until": F.col("ts_ms"), "opens": opening_rank(f, size, flags), "closes": closing(flags)}
+    for d, mine in (("f", f), ("b", ~f)):
+        only = lambda value, other: F.when(mine, value).otherwise(other)  # noqa: B023,E731
+        out |= {f"n_{d}": only(F.lit(1).cast("long"), zero), f"bytes_{d}": only(size, zero), f"sq_{d}": only(size * size, zero), f"min_{d}": only(size, none), f"max_{d}": only(size, none),
+                f"first_{d}": only(F.col("ts_ms"), none), f"last_{d}": only(F.col("ts_ms"), none)}
+        out |= {f"{flag}_{d}": (mine & (flags.bitwiseAND(F.lit(bit)) != 0)).cast("long") for flag, bit in FLAG_BITS.items()}
+    return rows.filter("ts_ms is not null").select(*PAIR, "ts_ms", *[v.alias(k) for k, v in out.items()]).select(*PAIR, "ts_ms", "until", "opens", "closes", *_SUMS, *_LOWS, *_HIGHS)
+
+
+def _folded(rows: DataFrame, start: str) -> DataFrame:
+    """Runs put together by conversation and ``start``, which becomes their ``ts_ms``."""
+    agg: list[Column] = [F.max("until").alias("until"), F.min_by("opens", F.struct("ts_ms", "opens")).alias("opens"), F.max_by("closes", F.struct("until", "closes")).alias("closes")]
+    agg += [F.sum(c).alias(c) for c in _SUMS] + [F.min(c).alias(c) for c in _LOWS] + [F.max(c).alias(c) for c in _HIGHS]
+    return rows.groupBy(*PAIR, F.col(start).alias("_start")).agg(*agg).withColumnRenamed("_start", "ts_ms")
+
+
+def _decided(idle_ms: int, active_ms: int | None, close_on_flags: bool) -> Decide:
+    """Runs the watermark has passed become flows. Of a conversation at most one flow stays open, as a single run; runs not passed yet wait as they are.
+
+    A flow is done when a later one of its conversation has begun, when it was closed by a flag, or when the watermark has reached the end of its pause or its active limit.
+    """
+
+    def decide(rows: DataFrame, now: int | None) -> DataFrame:
+        # one shuffle, by conversation; an instant may have come in several batches
+        whole = _folded(rows.repartition(*PAIR), "ts_ms")
+        if now is None:
+            return whole.withColumn("_done", F.lit(False))
+        limit = F.lit(now)
+        waits = F.col("ts_ms") >= limit
+        w = Window.partitionBy(*PAIR).orderBy("ts_ms")
+        closed = F.lag("closes").over(w) if close_on_flags else F.lit(False)
+        begins = waits | F.coalesce((F.col("ts_ms") - F.lag("until").over(w) >= idle_ms) | closed, F.lit(True))
+        seg = whole.withColumn("_o", F.when(begins, F.col("ts_ms"))).withColumn("seg", F.max("_o").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_o")
+        if active_ms is None:
+            flows = seg.withColumn("flow_start", F.col("seg"))
         else:
-            out[c] = a[c] + b[c]
-    return out
-
-
-def _fold(pdf: pd.DataFrame) -> dict[int, dict]:
-    """Packets of one conversation to counters per millisecond."""
-    found: dict[int, dict] = {}
-    for ts, forward, length, flags in zip(pdf["ts_ms"], pdf["k_forward"], pdf["length"], pdf["flags"]):
-        ts, length, flags = int(ts), int(length), int(flags)
-        d, other = ("f", "b") if forward else ("b", "f")
-        one = {f"n_{d}": 1, f"bytes_{d}": length, f"sq_{d}": length * length, f"min_{d}": length, f"max_{d}": length,
-               f"n_{other}": 0, f"bytes_{other}": 0, f"sq_{other}": 0, f"min_{other}": None, f"max_{other}": None}
-        for name, bit in FLAG_BITS.items():
-            one[f"{name}_{d}"], one[f"{name}_{other}"] = int(bool(flags & bit)), 0
-        order = (length * 65536 + flags) * 2 + (0 if forward else 1)  # who speaks first among simultaneous packets
-        one.update(opens=int(bool(forward)), order=order, closes=int(bool(flags & 5)))
-        found[ts] = _join(found[ts], one) if ts in found else one
-    return found
-
-
-def _join(a: dict, b: dict) -> dict:
-    lead = a if a["order"] <= b["order"] else b
-    return {**_merge(a, b), "opens": lead["opens"], "order": lead["order"], "closes": max(a["closes"], b["closes"])}
-
-
-class _Flows(StatefulProcessor):
-    """Instants wait until the watermark has passed them, then extend or close the open flow in order of time."""
-
-    def __init__(self, idle: int, active: int | None, close_on_flags: bool) -> None:
-        self.idle, self.active, self.close_on_flags = idle, active, close_on_flags
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", T.StructType([T.StructField("ts", _LONG)]), _INSTANT)
-        self.open = handle.getValueState("open", _OPEN)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            for ts, one in _fold(pdf).items():
-                if self.waiting.containsKey((ts,)):
-                    one = _join(dict(zip(_INSTANT.names, self.waiting.getValue((ts,)))), one)
-                self.waiting.updateValue((ts,), tuple(one[c] for c in _INSTANT.names))
-                self.handle.registerTimer(ts)
-        yield _frame([], _OUT)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, out = timerValues.getCurrentWatermarkInMs(), []
-        state = dict(zip(_OPEN.names, self.open.get())) if self.open.exists() else None
-        ready = sorted((int(k[0]), v) for k, v in self.waiting.iterator() if int(k[0]) <= now)
-        for ts, values in ready:
-            one = dict(zip(_INSTANT.names, values))
-            if state and (ts - state["last"] >= self.idle or state["closes"] or (self.active is not None and ts - state["flow_start"] >= self.active)):
-                out.append(self._record(key, state))
-                state = None
-            state = self._extend(state, ts, one, int(key[4]) == 6)
-            self.waiting.removeKey((ts,))
-        if state and (state["closes"] or state["last"] + self.idle <= now):
-            out.append(self._record(key, state))
-            state = None
-        if state:
-            self.open.update(tuple(state[c] for c in _OPEN.names))
-            self.handle.registerTimer(state["last"] + self.idle)
-        elif self.open.exists():
-            self.open.clear()
-        yield _frame(out, _OUT)
-
-    def _extend(self, state: dict | None, ts: int, one: dict, tcp: bool) -> dict:
-        closes = int(bool(one["closes"]) and tcp and self.close_on_flags)
-        base = state or {"flow_start": ts, "opens": one["opens"], "first_f": None, "last_f": None, "first_b": None, "last_b": None}
-        new = {**base, **(_merge(state, one) if state else {c: one[c] for c in _COUNTERS}), "last": ts, "closes": closes}
-        for d in "fb":
-            if one[f"n_{d}"]:
-                new[f"first_{d}"] = ts if new[f"first_{d}"] is None else new[f"first_{d}"]
-                new[f"last_{d}"] = ts
-        return new
-
-    def _record(self, key, s: dict) -> tuple:
-        dur = [None if s[f"first_{d}"] is None else s[f"last_{d}"] - s[f"first_{d}"] for d in "fb"]
-        return (*key, s["flow_start"], s["last"], bool(s["opens"]), *dur, *[s[c] for c in _COUNTERS])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_flows_from_packets(
-    packets: DataFrame, idle_ms: int = fixed.IDLE_MS, active_ms: int | None = fixed.ACTIVE_LIVE_MS, close_on_flags: bool = True, lateness: str = "10 seconds",
-) -> DataFrame:
-    """Flow records (without gap statistics) of a packet stream."""
-    p = with_pair(packets).withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", lateness)
-    flows = p.select(*PAIR, "k_forward", "ts_ms", "length", "flags", "event_time").groupBy(*PAIR).transformWithStateInPandas(
-        statefulProcessor=_Flows(idle_ms, active_ms, close_on_flags), outputStructType=_OUT, outputMode="Append", timeMode="EventTime")
-    return orient(flows, with_gaps=False)
+            seg = seg.withColumn("_end", F.max("until").over(Window.partitionBy(*PAIR, "seg")))
+            lasts = F.col("_end") - F.col("seg") >= active_ms
+            flows = seg.filter(~lasts).drop("_end").withColumn("flow_start", F.col("seg")).unionByName(cut_in_order(seg.filter(lasts).drop("_end"), active_ms))
+        flows = _folded(flows, "flow_start")
+        over = (F.lead("ts_ms").over(w) < limit) | (F.col("until") + idle_ms <= limit)
+        if close_on_flags:
+            over = over | F.col("closes")
+        if active_ms is not None:
+            over = over | (F.col("ts_ms") + active_ms <= limit)
+        return flows.withColumn("_done", F.coalesce(over, F.lit(False)) & ~waits)
+
+    return decide
+
+
+def flow_job(
+    spark: SparkSession, folder: str, store: Store, idle_ms: int = fixed.IDLE_MS, active_ms: int | None = fixed.ACTIVE_LIVE_MS, close_on_flags: bool = True,
+    lateness_ms: int = 10_000,
+) -> HeldRows:
+    """Flow records (without gap statistics) of a stream of ``packet_rows``. ``store`` gets those each batch completes, and late packets, which join no flow, as they are."""
+    def put(decided: DataFrame, late: DataFrame | None, batch_id: int) -> None:
+        ready = decided.withColumnsRenamed({"ts_ms": "flow_start", "until": "last"}).withColumns({
+            "opens_forward": F.col("opens").bitwiseAND(F.lit(1)) == 0, **{f"dur_{d}": F.col(f"last_{d}") - F.col(f"first_{d}") for d in "fb"}})
+        store(orient(ready, with_gaps=False), late, batch_id)
+
+    return HeldRows(spark, folder, ("packet",), lateness_ms, _decided(idle_ms, active_ms, close_on_flags), put, _runs)
 
 
 def session_flows(packets: DataFrame, idle_ms: int = fixed.IDLE_MS, lateness: str = "10 seconds") -> DataFrame:

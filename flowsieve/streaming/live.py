@@ -1,7 +1,7 @@
 """The live path as Structured Streaming jobs.
 
-Flows and alerts are joined on the flow key within their hold times, on event time, so results do not
-depend on arrival order, and a restart from the checkpoint continues where the last batch ended.
+Flows and alerts are joined on the flow key within their hold times, on event time, so results do not depend on arrival order, and a restart from the checkpoint continues where
+the last batch ended. What waits for a partner is a table (``held``); counters, rates and duplicate suppression keep their state in Spark's state store.
 """
 
 from __future__ import annotations
@@ -10,68 +10,95 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowsieve import fixed
 from flowsieve.functions import network as N
 from flowsieve.operators import enrich, predicates, standardize, suppress
-from flowsieve.operators.correlate import KEY
+from flowsieve.operators.correlate import KEY, merge_in_time
 from flowsieve.sources import sinks
+from flowsieve.streaming.held import Decide, HeldRows, Store
 
+#: State on local disk of the executors, with checkpoints in the folder of the query: set ``PROVIDER`` to ``ROCKSDB`` before a stream with built-in state starts.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def prepare(spark: SparkSession) -> None:
-    """State on local disk of the executors, with checkpoints in the shared folder of the query."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+# ---- flow and alert join --------------------------------------------------------------------------------------------
 
 
-# ---- flow and alert join --------------------------------------------------------------------------------------------
+def sides(flows: DataFrame, alerts: DataFrame, flow_ts: str = "first_seen_ms", alert_ts: str = "alert_ms") -> DataFrame:
+    """Both streams as one, so that a batch holds rows of both."""
+    f = flows.select(F.lit("flow").alias("_side"), F.col(flow_ts).alias("_t"), F.struct(*flows.columns).alias("flow"))
+    a = alerts.select(F.lit("alert").alias("_side"), F.col(alert_ts).alias("_t"), F.struct(*alerts.columns).alias("alert"))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    return f.select("*", none(a, "alert"), F.lit(False).alias("taken")).unionByName(a.select("*", none(f, "flow"), F.lit(False).alias("taken")))
 
-def _tagged(df: DataFrame, tag: str, ts: str, lateness: str) -> DataFrame:
-    """One side of the join: keys and event time with a prefix, the row itself as a struct."""
-    return df.select(
-        *[F.col(k).alias(f"{tag}_{k}") for k in KEY], F.timestamp_millis(F.col(ts)).alias(f"{tag}_time"), F.struct(*df.columns).alias(tag),
-    ).withWatermark(f"{tag}_time", lateness)
 
+def _decided(before_ms: int, after_ms: int, alert_id: str, flow_id: str) -> Decide:
+    """Rows of ``sides`` decided: flows have their alert in place of null, alerts say whether a flow could take them.
 
-def stream_correlate(
-    flows: DataFrame, alerts: DataFrame, before_ms: int = fixed.HASH_HOLD_MS, after_ms: int = fixed.FLOW_HOLD_MS,
-    flow_ts: str = "first_seen_ms", alert_ts: str = "alert_ms", flow_id: str = "flow_id", alert_id: str = "event_id", lateness: str = "10 seconds",
-) -> DataFrame:
-    """The streaming form of ``interval_correlate``: same rows for the same input, plus ``event_ms``.
+    A flow is done when no alert it could take is to come, an alert nobody took when no flow that could take it is to come. A taken alert is held, and at last dropped, as long as
+    a flow that is not done could take it as well; all other rows leave. A key holds the flows and alerts of one window and the lateness.
+    """
 
-    Two outer joins on key and time hold each row as long as a partner may come: one gives every flow its alerts, of which
-    an aggregation on the flow keeps the latest, the other finds the alerts no flow can take any more. All state lives in
-    the JVM's state store and is dropped by the watermarks; the slower side's counts. Rows later than ``lateness`` are
-    dropped, and the query progress counts them.
+    def decide(rows: DataFrame, now: int | None) -> DataFrame:
+        f = rows.filter("_side = 'flow'").select("flow.*", F.col("_t").alias("_ft"), F.col("flow").alias("_flow"))
+        a = rows.filter("_side = 'alert'").select(*[F.col(f"alert.{k}").alias(k) for k in KEY], F.col(f"alert.{alert_id}").alias("_id"), F.col("_t").alias("_at"), F.col("alert").alias("_alert"), "taken")
+        m = merge_in_time(f, a, before_ms, after_ms, "_ft", "_at", "_id", flow_id)
+        fresh = F.when(F.col("_last.t") >= F.col("_t") - F.col("_width"), F.col("_last.a"))
+        limit = F.lit(now).cast("long")
+        passed = lambda t: F.coalesce(t < limit, F.lit(False))
+        done = passed(F.col("flow._ft") + after_ms)
+        flows = m.filter("_kind = 1").select(
+            F.lit("flow").alias("_side"), F.col("flow._ft").alias("_t"), F.col("flow._flow").alias("flow"), F.when(done, fresh["_alert"]).alias("alert"), F.lit(False).alias("taken"), done.alias("_done"))
+        near = F.coalesce(F.col("_next") <= F.col("_t") + F.col("_width"), F.lit(False))
+        alerts = m.filter("_kind = 0").groupBy(*KEY, "_t").agg(F.max(near | F.col("alert.taken")).alias("taken"), F.any_value("alert").alias("a"))
+        done = passed(F.col("_t") + before_ms)
+        alerts = alerts.filter(~(F.col("taken") & passed(F.col("_t") + before_ms + after_ms))).select(
+            F.lit("alert").alias("_side"), "_t", F.lit(None).cast(rows.schema["flow"].dataType).alias("flow"), F.col("a._alert").alias("alert"), "taken", (done & ~F.col("taken")).alias("_done"))
+        return flows.unionByName(alerts)
+
+    return decide
+
+
+def joined_rows(decided: DataFrame) -> DataFrame:
+    """Rows of the join in the form of ``interval_correlate``, plus ``event_ms``: flows with struct ``alert``, and alerts of their own with the key and null flow columns."""
+    flow, alert = decided.schema["flow"].dataType, decided.schema["alert"].dataType
+    own = [(F.coalesce(F.col(f"flow.{c}"), F.col(f"alert.{c}").cast(flow[c].dataType)) if c in KEY else F.col(f"flow.{c}")).alias(c) for c in flow.names]
+    body = F.when(F.col("alert").isNotNull(), F.struct(*[F.col(f"alert.{c}").alias(c) for c in alert.names if c not in KEY]))
+    return decided.select(*own, body.alias("alert"), F.col("_t").alias("event_ms"))
+
+
+def live_join(
+    spark: SparkSession, folder: str, store: Store, before_ms: int = fixed.HASH_HOLD_MS, after_ms: int = fixed.FLOW_HOLD_MS, flow_id: str = "flow_id",
+    alert_id: str = "event_id", lateness_ms: int = 10_000,
+) -> HeldRows:
+    """The streaming form of ``interval_correlate`` over ``sides``: the same rows for the same input, whatever the batches, as long as no row is late.
+
+    ``store`` gets the joined rows of each batch, and apart from them rows more than ``lateness_ms`` behind, unmatched.
     """
-    f, a = _tagged(flows, "f", flow_ts, lateness), _tagged(alerts, "a", alert_ts, lateness)
-    width = lambda ms: F.expr(f"INTERVAL {ms / 1000:.3f} SECONDS")
-    meet = (F.col("a_time") >= F.col("f_time") - width(before_ms)) & (F.col("a_time") <= F.col("f_time") + width(after_ms))
-    for k in KEY:
-        meet = meet & (F.col(f"f_{k}") == F.col(f"a_{k}"))
-    newest = F.max_by("a", F.struct(f"a.{alert_ts}", f"a.{alert_id}"))
-    decided = (
-        f.join(a, meet, "left_outer").groupBy("f_time", F.col(f"f.{flow_id}").alias("_id"))
-        .agg(F.any_value("f").alias("f"), newest.alias("alert"))
-        .select("f.*", "alert", F.unix_millis("f_time").alias("event_ms"))
-    )
-    left = f.select(*[f"f_{k}" for k in KEY], "f_time", F.lit(True).alias("_taken"))
-    alone = a.join(left, meet, "left_outer").filter("_taken is null")
-    # simultaneous alerts of a key are one entry
-    alone = alone.groupBy("a_time", *[f"a_{k}" for k in KEY]).agg(F.max_by("a", f"a.{alert_id}").alias("a"))
-    fill = [F.col(f"a_{c}").cast(flows.schema[c].dataType).alias(c) if c in KEY else F.lit(None).cast(flows.schema[c].dataType).alias(c) for c in flows.columns]
-    body = [c for c in alerts.columns if c not in KEY]
-    slim = F.struct(*[F.col(f"a.{c}").alias(c) for c in body])
-    alone = alone.select(*fill, slim.alias("alert"), F.unix_millis("a_time").alias("event_ms"))
-    short = F.when(F.col("alert").isNotNull(), F.struct(*[F.col(f"alert.{c}").alias(c) for c in body]))
-    return decided.withColumn("alert", short).unionByName(alone)
+    def put(decided: DataFrame, late: DataFrame | None, batch_id: int) -> None:
+        store(joined_rows(decided), late and joined_rows(late), batch_id)
+
+    return HeldRows(spark, folder, ("flow", "alert"), lateness_ms, _decided(before_ms, after_ms, alert_id, flow_id), put)
 
 
 # ---- one event per key, counters, rates -------------------------------------------------------------------------------
 
 
+def with_clock(stream: DataFrame, ts: str, folder: str) -> DataFrame:
+    """The stream with rows whose columns are null but for ``ts``: the instants ``set_clock`` writes. They move the watermark when nothing else comes."""
+    spark = stream.sparkSession
+    clock = spark.readStream.schema("ms long").parquet(folder)
+    time = F.timestamp_millis("ms") if stream.schema[ts].dataType.typeName() == "timestamp" else F.col("ms")
+    return stream.unionByName(clock.select(*[time.alias(ts) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields]))
+
+
+def set_clock(spark: SparkSession, folder: str, ms: int | None) -> None:
+    """Lets streams ``with_clock`` know that it is ``ms``. Without a time the folder is only made, which has to be done before they start."""
+    spark.createDataFrame([] if ms is None else [(ms,)], "ms long").coalesce(1).write.mode("append").parquet(folder)
+
+
 def one_per_key(stream: DataFrame, keys: tuple[str, ...], ts: str, hold: str) -> DataFrame:
     """At most one row per key within the hold time."""
     return stream.withWatermark(ts, hold).dropDuplicatesWithinWatermark(list(keys))
@@ -132,23 +159,25 @@ def live_events(joined: DataFrame, score: Callable[[DataFrame], DataFrame] | Non
     return standardize.apply_mode(enrich.enrich_attack(events, kb), mode)
 
 
-def run_live(
-    joined: DataFrame, out: str, checkpoint: str, kb: DataFrame, rules: DataFrame | None, as_of: Column, mode: str = "hybrid",
-    score: Callable[[DataFrame], DataFrame] | None = None, model_version: str = "live", keep_benign: bool = False, trigger: dict | None = None,
-):
-    """Starts the live job: every batch is scored, judged, enriched, logged, suppressed and stored.
+def live_job(
+    spark: SparkSession, folder: str, out: str, kb: DataFrame, rules: DataFrame | None, as_of: Column, mode: str = "hybrid",
+    score: Callable[[DataFrame], DataFrame] | None = None, model_version: str = "live", keep_benign: bool = False, lateness_ms: int = 10_000,
+) -> HeldRows:
+    """The live job over ``sides``: every batch is joined, scored, judged, enriched, logged, suppressed and stored. Start it on the streams, and ``finish`` it at the end.
 
-    All writes of a batch go to folders named after it and replace what an interrupted attempt left, so the stored queue has
-    each event once. ``trigger`` defaults to a quarter of a second; ``{"availableNow": True}`` drains and stops.
+    All writes of a batch replace what an interrupted attempt left, so the stored queue has each event once. Late rows are treated like the others, on their own: a late flow has no
+    alert, a late alert no flow. Rules are cut to intervals once.
     """
-    def store(batch: DataFrame, batch_id: int) -> None:
-        events = live_events(batch, score, kb, mode, model_version, keep_benign).persist()
+    fixed_rules = suppress.prepare(rules, as_of) if rules is not None else None
+
+    def store(joined: DataFrame, late: DataFrame | None, batch_id: int) -> None:
+        events = live_events(joined if late is None else joined.unionByName(late), score, kb, mode, model_version, keep_benign).persist()
         try:
             sinks.write_session_log(events, f"{out}/session", batch_id)
             queue = events.withColumnsRenamed({"src_ip": "source_ip", "dst_ip": "destination_ip", "src_port": "source_port", "dst_port": "destination_port"})
             kept = queue
-            if rules is not None:
-                judged = suppress.match_rules(queue, rules, as_of)
+            if fixed_rules is not None:
+                judged = suppress.match_prepared(queue, fixed_rules)
                 kept = judged.filter("rule is null").drop("rule")
                 sinks.write_rule_hits(judged, f"{out}/hits", batch_id)
             back = kept.withColumnsRenamed({"source_ip": "src_ip", "destination_ip": "dst_ip", "source_port": "src_port", "destination_port": "dst_port"})
@@ -156,8 +185,7 @@ def run_live(
         finally:
             events.unpersist()
 
-    writer = joined.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"processingTime": "250 milliseconds"})).start()
+    return live_join(spark, folder, store, lateness_ms=lateness_ms)
 
 
 def read_rule_hits(rules: DataFrame, out: str) -> DataFrame:
@@ -168,15 +196,4 @@ def read_rule_hits(rules: DataFrame, out: str) -> DataFrame:
 
 
 def read_queue(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.option("basePath", f"{out}/queue").parquet(f"{out}/queue/batch=*").drop("batch")
-
-
-def closing_rows(spark: SparkSession, schema: T.StructType, ts: str, after_ms: int) -> DataFrame:
-    """One row without a key, later than everything: written behind the last input file of each side, it moves the
-    watermark past all hold times, so that what is still held comes out. The row itself joins with nothing. ``after_ms`` has
-    to lie before the year 2262, the last one Arrow hands to pandas."""
-    row = spark.range(1).select(*[
-        (F.lit(after_ms).cast(f.dataType) if f.name == ts else F.lit("0.0.0.0") if f.name in ("src_ip", "dst_ip") else F.lit(0).cast(f.dataType)
-         if isinstance(f.dataType, T.NumericType) else F.lit("closing").cast(f.dataType) if isinstance(f.dataType, T.StringType) else F.lit(None).cast(f.dataType)).alias(f.name)
-        for f in schema.fields])
-    return row
+    return sinks.read_stored(spark, f"{out}/queue")

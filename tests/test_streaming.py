@@ -24,10 +24,6 @@ def write_steps(df, ts, path, files):
         df.sparkSession.createDataFrame(rows[i:i + size], df.schema).coalesce(1).write.mode("append").parquet(path)
 
 
-def close(spark, schema, ts, path):
-    L.closing_rows(spark, schema, ts, END).coalesce(1).write.mode("append").parquet(path)
-
-
 def drain(stream, checkpoint, name, mode="append"):
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination(240)
@@ -49,66 +45,130 @@ def sides(spark, seed=1):
     return spark.createDataFrame(flows, FLOW), spark.createDataFrame(alerts, ALERT)
 
 
-def pairs(df):
-    return sorted(((r.flow_id, r.src_ip, r.alert and r.alert.event_id) for r in df.collect() if r.src_ip != "0.0.0.0"), key=repr)
+def pairs(rows):
+    return sorted(((r.flow_id, r.src_ip, r.alert and r.alert.event_id) for r in rows), key=repr)
 
 
-def test_correlation_equals_batch_and_survives_a_restart(spark, tmp_path):
-    flows, alerts = sides(spark)
-    fp, ap, cp = (str(tmp_path / n) for n in ("f", "a", "c"))
-    rows = sorted(flows.collect(), key=lambda r: r.first_seen_ms)
-    half = len(rows) // 2
-    spark.createDataFrame(rows[:half], flows.schema).write.parquet(fp)
-    cut = rows[half].first_seen_ms
-    alerts.filter(F.col("alert_ms") < cut).write.parquet(ap)
+class Sink(list):
+    """Rows by batch, replaced when a batch is stored again; late rows apart."""
 
-    def stream():
-        return L.stream_correlate(readers.stream_flows(spark, fp, schema=flows.schema, files_per_trigger=1), readers.stream_flows(spark, ap, schema=alerts.schema, files_per_trigger=1), lateness="400 seconds")
+    def __init__(self):
+        self.batches, self.late = {}, {}
 
-    got = []
+    def __call__(self, rows, late, batch_id):
+        self.batches[batch_id] = rows.collect()
+        if late is not None:
+            self.late[batch_id] = late.collect()
 
-    def keep(batch, batch_id):
-        got.extend(batch.collect())
+    def all(self):
+        return [r for b in self.batches.values() for r in b]
 
-    def run():
-        q = stream().writeStream.foreachBatch(keep).option("checkpointLocation", cp).trigger(availableNow=True).start()
-        q.awaitTermination(240)
 
-    run()
-    first = len(got)
-    spark.createDataFrame(rows[half:], flows.schema).write.mode("append").parquet(fp)
-    alerts.filter(F.col("alert_ms") >= cut).write.mode("append").parquet(ap)
-    run()
-    close(spark, flows.schema, "first_seen_ms", fp)
-    close(spark, alerts.schema, "alert_ms", ap)
-    run()
-    want = pairs(correlate.interval_correlate(flows, alerts))
-    have = sorted(((r.flow_id, r.src_ip, r.alert and r.alert.event_id) for r in got if r.src_ip != "0.0.0.0"), key=repr)
-    assert have == want and first < len(got)
+def put(spark, rows, schema, path):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
 
+def join_run(spark, tmp_path, parts, lateness_ms, sink, finish=True):
+    """Feeds (flows, alerts) part by part; the stream is started anew for each."""
+    fp, ap, cp, held = (str(tmp_path / n) for n in ("f", "a", "c", "held"))
+    put(spark, [], FLOW, fp)
+    put(spark, [], ALERT, ap)
+    for flows, alerts in parts:
+        put(spark, flows, FLOW, fp)
+        put(spark, alerts, ALERT, ap)
+        job = L.live_join(spark, held, sink, lateness_ms=lateness_ms)
+        stream = L.sides(readers.stream_flows(spark, fp, schema=spark.createDataFrame([], FLOW).schema), readers.stream_flows(spark, ap, schema=spark.createDataFrame([], ALERT).schema))
+        job.start(stream, cp, {"availableNow": True}).awaitTermination(240)
+    if finish:
+        job.finish()
+        job.finish()  # a repeated end changes nothing
+    return job
 
-@pytest.mark.parametrize("idle,active,close_flags", [(30_000, 10_000, True), (30_000, None, False)])
+
+def test_correlation_equals_batch_and_survives_restarts(spark, tmp_path):
+    flows, alerts = sides(spark)
+    want = pairs(correlate.interval_correlate(flows, alerts).collect())
+    f, a = (sorted(d.collect(), key=lambda r: r[6]) for d in (flows, alerts))
+    cut = lambda rows, k: [r for i, r in enumerate(rows) if i * 3 // len(rows) == k]
+    sink = Sink()
+    join_run(spark, tmp_path, [(cut(f, k), cut(a, k)) for k in range(3)], 400_000, sink)
+    assert pairs(sink.all()) == want and not sink.late and len(sink.batches[0]) < len(want)
+    shuffled = Sink()
+    join_run(spark, tmp_path / "again", [(f[k::3], a[k::3]) for k in range(3)], 500_000, shuffled)
+    assert pairs(shuffled.all()) == want and not shuffled.late
+
+
+def test_late_rows_come_out_on_their_own(spark, tmp_path):
+    t = 1_704_067_200_000
+    flow = lambda i, s: (f"f{i}", "s", "d", 1, 2, 6, t + s * 1000)
+    alert = lambda i, s: (i, "s", "d", 1, 2, 6, t + s * 1000, 7, "m", "c", 1)
+    sink = Sink()
+    parts = [([flow(1, 100), flow(2, 500)], [alert(1, 90), alert(2, 500)]), ([flow(3, 489), flow(4, 490), flow(5, 900)], [alert(3, 489), alert(4, 491), alert(5, 900)])]
+    join_run(spark, tmp_path, parts, 10_000, sink)
+    assert {(r.flow_id, r.alert and r.alert.event_id) for r in sink.late[1]} == {("f3", None), (None, 3)}
+    assert {(r.flow_id, r.alert and r.alert.event_id) for r in sink.all()} == {("f1", 1), ("f2", 2), ("f4", 4), ("f5", 5)}
+
+
+def test_state_of_a_flooded_key_is_one_window(spark, tmp_path):
+    t = 1_704_067_200_000
+    flows = [[(f"f{k}-{i}", "s", "d", 1, 2, 6, t + (k * 1000 + i) * 1000) for i in range(0, 1000, 5)] for k in range(2)]
+    alerts = [[(k * 1000 + i, "s", "d", 1, 2, 6, t + (k * 1000 + i) * 1000, 7, "m", "c", 1) for i in range(1000)] for k in range(2)]
+    sink = Sink()
+    join_run(spark, tmp_path, zip(flows, alerts), 10_000, sink, finish=False)
+    held = spark.read.parquet(str(tmp_path / "held" / "rows" / "batch=1")).filter("NOT _done")
+    assert held.filter("_side = 'flow'").count() <= 4 and held.filter("_side = 'alert'").count() <= 80
+    assert sum(len(b) for b in sink.batches.values()) >= 390 and all(r.alert for r in sink.all())
+
+
+def test_a_repeated_batch_and_a_start_after_the_end(spark, tmp_path):
+    flows, alerts = sides(spark, 3)
+    sink = Sink()
+    job = join_run(spark, tmp_path, [(flows.collect(), alerts.collect())], 10_000, sink)
+    whole = pairs(sink.all())
+    assert whole == pairs(correlate.interval_correlate(flows, alerts).collect())
+    job.take(L.sides(flows, alerts), 0)
+    job.finish()
+    assert pairs(sink.all()) == whole
+    t = 1_704_067_200_000 + 10**7
+    put(spark, [("new", "s0", "d", 1, 2, 6, t)], FLOW, str(tmp_path / "f"))
+    put(spark, [(999, "s0", "d", 1, 2, 6, t, 7, "m", "c", 1)], ALERT, str(tmp_path / "a"))
+    join_run(spark, tmp_path, [([], [])], 10_000, sink)
+    assert pairs(sink.batches[max(sink.batches)]) == [("new", "s0", 999)] and len(sink.all()) == len(whole) + 1
+
+
+@pytest.mark.parametrize("idle,active,close_flags", [(30_000, 10_000, True), (30_000, None, False), (30_000, 20_000, False), (5_000, None, True)])
 def test_flow_stream_equals_batch(spark, tmp_path, idle, active, close_flags):
-    data = make_packets(77, n=150)
-    df = spark.createDataFrame(data, PACKET)
-    path = str(tmp_path / "p")
-    write_steps(df, "ts_ms", path, 3)
-    close(spark, df.schema, "ts_ms", path)
-    stream = B.stream_flows_from_packets(readers.stream_flows(spark, path, schema=df.schema, files_per_trigger=1), idle, active, close_flags, lateness="500 seconds")
-    name = f"flows_{idle}_{active}"
-    drain(stream, str(tmp_path / "c"), name)
-    got = spark.table(name).filter("src_ip <> '0.0.0.0'")
-    assert flow_tuples(got) == brute_flows(data, idle, active, close_flags)
+    data = make_packets(77, n=150) + [("q", "r", 1, 2, 17, 1_704_067_200_000 + t, 40, 0, 1000 + t) for t in range(0, 400_000, 4_000)]
+    rows = sorted(data, key=lambda r: r[5])
+    path, sink = str(tmp_path / "p"), Sink()
+    put(spark, [], PACKET, path)
+    schema = spark.createDataFrame([], PACKET).schema
+    sizes = []
+    for k in range(4):
+        # neighbouring parts overlap by less than the lateness, so packets of one instant come in several batches
+        put(spark, [r for i, r in enumerate(rows) if (i + (i % 3 - 1) * 5) * 4 // len(rows) == k or k == 0 and (i + (i % 3 - 1) * 5) < 0 or k == 3 and (i + (i % 3 - 1) * 5) >= len(rows)], PACKET, path)
+        job = B.flow_job(spark, str(tmp_path / "held"), sink, idle, active, close_flags, lateness_ms=60_000)
+        job.start(B.packet_rows(readers.stream_flows(spark, path, schema=schema)), str(tmp_path / "c"), {"availableNow": True}).awaitTermination(240)
+        sizes.append(spark.read.parquet(str(tmp_path / "held" / "rows" / f"batch={k}")).filter("NOT _done").count())
+    job.finish()
+    assert not sink.late and sum(len(b) > 0 for b in sink.batches.values()) > 1
+    got = sorted((r.src_ip, r.dst_ip, r.protocol, r.bidirectional_first_seen_ms, r.bidirectional_last_seen_ms, r.bidirectional_packets, r.bidirectional_bytes, r.src2dst_packets) for r in sink.all())
+    assert got == brute_flows(data, idle, active, close_flags)
+    assert max(sizes) < len(rows) / 3
 
 
 def test_session_window_flows(spark, tmp_path):
     data = make_packets(5, n=150) + [("q", "r", 1, 2, 17, 1_704_067_200_000 + t, 40, 0, 1000 + t) for t in (0, 29_999, 59_999)]
     df = spark.createDataFrame(data, PACKET)
-    path = str(tmp_path / "p")
+    path, clock = str(tmp_path / "p"), str(tmp_path / "clock")
     write_steps(df, "ts_ms", path, 2)
-    close(spark, df.schema, "ts_ms", path)
-    drain(B.session_flows(readers.stream_flows(spark, path, schema=df.schema), lateness="500 seconds"), str(tmp_path / "c"), "sessions")
-    got = sorted((r.flow_start, r.packets, r.bytes) for r in spark.table("sessions").filter("k_ip1 <> '0.0.0.0'").collect())
+    L.set_clock(spark, clock, None)
+    for name, now in (("sessions1", None), ("sessions2", END)):
+        if now:
+            L.set_clock(spark, clock, now)
+        stream = B.session_flows(L.with_clock(readers.stream_flows(spark, path, schema=df.schema), "ts_ms", clock), lateness="500 seconds")
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(240)
+    got = sorted((r.flow_start, r.packets, r.bytes) for r in spark.read.parquet(str(tmp_path / "out")).filter("k_ip1 is not null").collect())
     assert got == sorted((f[3], f[5], f[6]) for f in brute_flows(data, 30_000, None, False))
 
 
@@ -159,14 +219,12 @@ def test_live_job(spark, sf, tmp_path):
     fp, ap, out, cp = (str(tmp_path / n) for n in ("f", "a", "out", "c"))
     flows.coalesce(1).write.parquet(fp)
     alerts.coalesce(1).write.parquet(ap)
-    close(spark, flows.schema, "first_seen_ms", fp)
-    close(spark, alerts.schema, "alert_ms", ap)
-    joined = L.stream_correlate(readers.stream_flows(spark, fp, schema=flows.schema), readers.stream_flows(spark, ap, schema=alerts.schema), lateness="40 days")
-    rules = D.rules(spark, sf)
+    joined = L.sides(readers.stream_flows(spark, fp, schema=flows.schema), readers.stream_flows(spark, ap, schema=alerts.schema))
+    job = L.live_job(spark, f"{out}/held", out, enrich.default_kb(spark), D.rules(spark, sf), D.as_of())
     for _ in range(2):
-        q = L.run_live(joined, out, cp, enrich.default_kb(spark), rules, D.as_of(), trigger={"availableNow": True})
-        q.awaitTermination(300)
-    stored = L.read_queue(spark, out).filter("source_ip <> '0.0.0.0'")
+        job.start(joined, cp, {"availableNow": True}).awaitTermination(300)
+        job.finish()
+    stored = L.read_queue(spark, out)
     assert stored.count() == stored.select("id").distinct().count() > 0
     assert stored.filter("source = 'benign'").count() == 0
     batch = correlate.interval_correlate(flows, alerts)
@@ -175,5 +233,5 @@ def test_live_job(spark, sf, tmp_path):
     got = {r.source: r["count"] for r in stored.groupBy("source").count().collect()}
     assert all(got[v] <= expect[v] for v in got) and sum(got.values()) < sum(n for v, n in expect.items() if v != "benign")
     log = spark.read.option("header", True).csv(f"{out}/session/csv/*")
-    logged = {r.verdict: r["count"] for r in log.filter("src_ip <> '0.0.0.0'").groupBy("verdict").count().collect()}
+    logged = {r.verdict: r["count"] for r in log.groupBy("verdict").count().collect()}
     assert logged == {v: n for v, n in expect.items() if v != "benign"}
