@@ -16,7 +16,8 @@ Links are confirmed on the full sets, without forming the pairs of a group:
   have their rarest shingles to themselves, or share them with few, whatever the number of copies.
 
 Components come from alternating star contractions, as joins; nothing is collected. A null or empty text has no shingles and no links. ``doc_id`` identifies a
-document; repeated rows stay rows and share their component. A null doc_id stands behind all others.
+document and is below 2^62; repeated rows stay rows and share their component. Rows without doc_id are told apart by their texts, stand behind all others, and have a component_id only
+if a document with a doc_id is in their component.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsieve.llm.text import LAST, Words, mix, seeded, slices, stash, string_array
+from flowsieve.llm.text import Words, mix, seeded, slices, stash, string_array
 
 SHINGLE = 3
 PERCENT = 85
@@ -81,6 +82,14 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(key).view(np.int64)
 
 
+NO_ID = 1 << 62
+
+
+def node(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What a row is known by: its doc_id, or a number from ``NO_ID`` on that follows from its text."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID) + F.xxhash64(text).bitwiseAND(F.lit(NO_ID - 1)))
+
+
 def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """Per row: id, number of shingles, 128 bits that stand for the set, band keys."""
 
@@ -97,7 +106,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(high, np.uint64).view(np.int64)), pa.array(np.array(low, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
                 names=["id", "n", "high", "low", "keys"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text").mapInArrow(run, "id long, n long, high long, low long, keys array<long>")
+    return docs.select(node().alias("id"), "text").mapInArrow(run, "id long, n long, high long, low long, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -178,7 +187,7 @@ def remaining_pairs(rows: DataFrame, texts: DataFrame, component: DataFrame, siz
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (whether that is the document itself), one row per row of ``docs``."""
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (whether that is the document itself), node (see ``node``), one row per row of ``docs``."""
     docs = docs.select("doc_id", "text")
     signed = stash(signatures(docs, size, bands, rows), "signatures")
     classes = signed.where("n > 0").groupBy("n", "high", "low").agg(F.min("id").alias("class"))
@@ -190,12 +199,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     degree = met.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
     hub = met.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", -F.col("id"))).alias("hub")).select("key", (-F.col("hub.col2")).alias("hub"))
     stars = met.join(hub, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    texts = stash(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text").join(degree.select("id"), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = stash(docs.select(node().alias("id"), "text").join(degree.select("id"), "id", "left_semi").dropDuplicates(["id"]), "texts")
     links = stash(verified(stars, texts, size, percent), "links")
     component = connected(links)
     rest = stash(remaining_pairs(met.select("key", "id"), texts, component, size, percent), "rest")
     if not rest.isEmpty():
         component = connected(links.unionAll(verified(rest, texts, size, percent)))
     found = member.select("id", "n", "class").join(component, F.col("class") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "class"))
-    known = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return found.select(known("id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
+    known = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return found.select(known("id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"), F.col("id").alias("node"))

@@ -46,7 +46,7 @@ def op6_bpe(spark, sf_dir):
 
 
 def op7_near_dedup(spark, sf_dir):
-    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents")).drop("node")
 
 
 def op8_secret_scan(spark, sf_dir):

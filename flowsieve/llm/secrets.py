@@ -58,13 +58,18 @@ def _likely(word: Column) -> Column:
     return word.rlike(r"[0-9]|[A-Z].*[A-Z]")
 
 
+def _text_key() -> Column:
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, word_no (position of the word), part (number of the candidate in its word), candidate, word, and the neighbouring words."""
-    split = docs.select("doc_id", words(F.col("text")).alias("words"))
+    """doc_id, word_no (position of the word), part (number of the candidate in its word), candidate, word, the neighbouring words, and text_key, which tells rows without doc_id apart."""
+    docs = docs.withColumn("text_key", _text_key())
+    split = docs.select("doc_id", "text_key", words(F.col("text")).alias("words"))
     every = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (F.length(F.get("words", i)) >= LEAST) & F.get("words", i).rlike(_RUN) & _likely(F.get("words", i)))
     beside = lambda i, j: F.coalesce(F.get("words", i + j), F.lit(""))
     hits = F.transform(every, lambda i: F.struct(i.alias("word_no"), F.get("words", i).alias("word"), beside(i, -2).alias("before2"), beside(i, -1).alias("before1"), beside(i, 1).alias("after1")))
-    found = split.select("doc_id", F.explode(hits).alias("hit")).select("doc_id", "hit.*")
+    found = split.select("doc_id", "text_key", F.explode(hits).alias("hit")).select("doc_id", "text_key", "hit.*")
     parts = found.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(_RUN), F.lit(1))).alias("part", "candidate"))
     runs = parts.where(_likely(F.col("candidate"))).withColumn("name", F.expr("substring_index(word, candidate, 1)"))
     for k, (before, pattern, groups) in enumerate(VALUES):
@@ -76,9 +81,9 @@ def _values(docs: DataFrame, before: str, pattern: str, groups: tuple[int, ...],
     """Candidates by a pattern over whole texts, but for those that are runs; ``part`` is -1, -3, ... or -2, -4, ... by kind, over the document."""
     spaces = lambda text: F.regexp_count(text, F.lit(_SPACE))
     text = F.coalesce(F.col("text"), F.lit(""))
-    cut = docs.where(F.col("text").rlike(pattern)).select("doc_id", words(F.col("text")).alias("words"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    cut = docs.where(F.col("text").rlike(pattern)).select("doc_id", "text_key", words(F.col("text")).alias("words"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
     cut = cut.withColumn("runs", F.zip_with("gaps", F.concat("hits", F.array(F.lit(""))), lambda g, h: F.struct(spaces(g).alias("gap"), spaces(h).alias("hit"))))
-    one = cut.select("doc_id", "words", "gaps", "runs", F.posexplode("hits").alias("k", "hit"))
+    one = cut.select("doc_id", "text_key", "words", "gaps", "runs", F.posexplode("hits").alias("k", "hit"))
     total = F.aggregate(F.slice("runs", F.lit(1), F.col("k")), F.lit(0), lambda n, x: n + x["gap"] + x["hit"]) + F.get("runs", F.col("k"))["gap"]
     one = one.withColumn("candidate", F.concat(*[F.regexp_extract("hit", pattern, g) for g in groups])).withColumn("ahead", F.regexp_extract("hit", rf"\A({before})", 0))
     one = one.where("candidate <> ''").withColumn("word_no", (total + spaces(F.col("ahead"))).cast("int"))
@@ -88,7 +93,7 @@ def _values(docs: DataFrame, before: str, pattern: str, groups: tuple[int, ...],
     at = lambda j: F.coalesce(F.get("words", F.col("word_no") + j), F.lit(""))
     c = F.col("candidate")
     found = one.where(~(c.rlike(rf"\A{_RUN}\z") & _likely(c)))
-    return found.select("doc_id", "word_no", F.concat("name", "candidate", rest).alias("word"), at(F.lit(-2)).alias("before2"), at(F.lit(-1)).alias("before1"), at(spaces(c) + 1).alias("after1"),
+    return found.select("doc_id", "text_key", "word_no", F.concat("name", "candidate", rest).alias("word"), at(F.lit(-2)).alias("before2"), at(F.lit(-1)).alias("before1"), at(spaces(c) + 1).alias("after1"),
                         (-2 * F.col("k") - 1 - kind).cast("int").alias("part"), "candidate", "name")
 
 
@@ -182,10 +187,12 @@ def _judged(scored: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, findings: DataFrame, mask: str = MASK) -> DataFrame:
     """``docs`` with every secret of its own findings replaced by ``mask`` in the text; those shorter than ``LEAST`` where no letter or digit is beside them."""
     own = fresh(docs, "_secrets")
-    mine = findings.where("secret = 1 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.sort_array(F.collect_set("candidate")).alias(own))
+    row = fresh(docs, "_row")
+    known = lambda text_key: F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), text_key.cast("string")))
+    mine = findings.where("secret = 1").groupBy(known(F.col("text_key")).alias(row)).agg(F.sort_array(F.collect_set("candidate")).alias(own))
     longest = F.transform(F.array_sort(F.transform(own, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x["s"])
     alone = lambda s: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(s, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
     literal = F.lit(mask.replace("\\", "\\\\").replace("$", "\\$"))
     hide = lambda text, s: F.when(F.length(s) < LEAST, F.regexp_replace(text, alone(s), literal)).otherwise(F.replace(text, s, F.lit(mask)))
     masked = F.when(F.col(own).isNotNull(), F.aggregate(longest, F.col("text"), hide)).otherwise(F.col("text"))
-    return docs.join(mine, "doc_id", "left").withColumn("text", masked).select(*docs.columns)
+    return docs.withColumn(row, known(_text_key())).join(mine, row, "left").withColumn("text", masked).select(*docs.columns)

@@ -8,13 +8,14 @@ equal windows meets in one shard:
    neighbouring windows mostly share theirs. Anchors that one document alone has are dropped, after one shuffle of (anchor, doc_id).
 2. A document's windows of one anchor are one short stretch of words. Stretches are shuffled by anchor; those of one anchor are a reference shard. An anchor with
    more than ``HEAVY`` stretches is split: each of its windows is a stretch of its own, shuffled by the hash of its words, so equal windows still meet.
-3. Stretches with the same words are one: everything but its first holder is removed there. The distinct stretches of a shard, in the order of their first
-   holders, are streamed through the suffix automaton of the ones before them: the length of the longest match that ends at each word (matching statistics)
-   gives the maximal spans of at least ``WINDOW`` words that an earlier document has. Then they are added to the automaton.
+3. The stretches of a shard are streamed in the order of doc_id. One whose words an earlier document has is removed there as a whole. Any other passes through the suffix automaton of
+   the distinct stretches of earlier documents: the length of the longest match that ends at each word (matching statistics) gives the maximal spans of at least ``WINDOW`` words that
+   an earlier document has. Then it is added to the automaton.
 4. The spans meet their documents' texts, which are shuffled once.
 
 A shard holds at most ``HEAVY`` different surroundings of a short word sequence, or equal windows (but for equal hashes), whatever the number of documents: rows are
-streamed, only distinct stretches are kept. A null text has no words. ``doc_id`` identifies a document; repeated rows stay rows and do not remove each other. A null doc_id stands behind all others.
+streamed, only distinct stretches are kept. A row is known by a hash of doc_id and text together with its doc_id, so several rows may have one doc_id, or none; rows of one doc_id, and
+rows without, do not remove each other's words. A null doc_id stands behind all others. A null text has no words. Repeated rows stay rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from flowsieve.llm.near_dedup import sequence_hash
 from flowsieve.llm.text import LAST, Words, mix, slices, string_array
 
 WINDOW = 13
-GRAM = 5
+#: Words of an anchor: short ones make long stretches, but are shared by texts that share no window.
+GRAM = 8
 HEAVY = 4096
 
 
@@ -147,7 +149,7 @@ def _anchors(window: int, gram: int):
                 new = np.ones(len(text), bool)
                 new[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])
                 first = np.flatnonzero(new)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(ids[low + text[first]]), pa.array(np.diff(np.append(first, len(text))))], names=["anchor", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(ids[low + text[first]]), pa.array(np.diff(np.append(first, len(text))))], names=["anchor", "key", "n"])
 
     return run
 
@@ -161,7 +163,7 @@ def _repeated(limit: int):
 
         def out(heavy: bool):
             anchor, ids = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids), pa.repeat(heavy, len(ids))], names=["anchor", "id", "heavy"])
+            return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids), pa.repeat(heavy, len(ids))], names=["anchor", "key", "heavy"])
 
         for batch in batches:
             anchor, ids, n = (batch.column(k).to_numpy() for k in range(3))
@@ -187,7 +189,7 @@ def _repeated(limit: int):
             many = end - start > 1
             many[0] = many[-1] = False
             keep = np.repeat(many, end - start)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array(ids[keep]), pa.array(np.repeat(total > limit, end - start)[keep])], names=["anchor", "id", "heavy"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array(ids[keep]), pa.array(np.repeat(total > limit, end - start)[keep])], names=["anchor", "key", "heavy"])
             now, rows, stretches = anchor[-1], int(end[-1] - start[-1]), int(total[-1])
             held = [(anchor[start[-1] :], ids[start[-1] :])]
             if stretches > limit and rows > 1:
@@ -202,126 +204,135 @@ def _repeated(limit: int):
 def _cut(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            ids, keys = batch.column("id").to_numpy(), batch.column("key").to_numpy()
             lists, heavy_lists = string_array(batch.column("anchors")), string_array(batch.column("heavy"))
             for low, words, (text, start, many, anchor) in _stretches(string_array(batch.column("text")), window, gram):
-                out: dict[str, list] = {"anchor": [], "words": [], "id": [], "starts": []}
+                out: dict[str, list] = {"anchor": [], "words": [], "id": [], "key": [], "starts": []}
                 edge = np.searchsorted(text, np.arange(len(words.first)))
-                whole = sequence_hash(words.hashes(), window)
+                whole = None
                 for i in range(len(words.first) - 1):
                     a, b = edge[i], edge[i + 1]
-                    wanted = np.asarray(lists[low + i].values)
-                    chosen = a + np.flatnonzero(np.isin(anchor[a:b].view(np.int64), wanted))
+                    own = anchor[a:b].view(np.int64)
                     found: dict[tuple, list] = {}
                     base = int(words.first[i])
-                    for j in chosen.tolist():
+                    for j in (a + np.flatnonzero(np.isin(own, np.asarray(lists[low + i].values)))).tolist():
                         s = int(start[j])
                         found.setdefault((int(anchor[j].view(np.int64)), words.text(s, s + int(many[j]) + window - 1)), []).append(s - base)
-                    split = a + np.flatnonzero(np.isin(anchor[a:b].view(np.int64), np.asarray(heavy_lists[low + i].values)))
-                    for j in split.tolist():
-                        for s in range(int(start[j]), int(start[j]) + int(many[j])):
-                            found.setdefault((int(mix(whole[s : s + 1] ^ mix(anchor[j : j + 1])).view(np.int64)[0]), words.text(s, s + window)), []).append(s - base)
-                    for (key, stretch), starts in found.items():
-                        out["anchor"].append(key)
+                    if len(heavy_lists[low + i].values):
+                        if whole is None:
+                            whole = sequence_hash(words.hashes(), window)
+                        for j in (a + np.flatnonzero(np.isin(own, np.asarray(heavy_lists[low + i].values)))).tolist():
+                            first, n = int(start[j]), int(many[j])
+                            parts = mix(whole[first : first + n] ^ mix(anchor[j : j + 1])).view(np.int64).tolist()
+                            for s, part in enumerate(parts, first):
+                                found.setdefault((part, words.text(s, s + window)), []).append(s - base)
+                    for (shard, stretch), starts in found.items():
+                        out["anchor"].append(shard)
                         out["words"].append(stretch)
-                        out["id"].append(int(ids[low + i]))
                         out["starts"].append(np.array(starts, "<i4").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out["anchor"], pa.int64()), pa.array(out["words"], pa.binary()), pa.array(out["id"], pa.int64()), pa.array(out["starts"], pa.binary())], names=list(out))
+                    out["id"] += [int(ids[low + i])] * len(found)
+                    out["key"] += [int(keys[low + i])] * len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(out["anchor"], pa.int64()), pa.array(out["words"], pa.binary()), pa.array(out["id"], pa.int64()), pa.array(out["key"], pa.int64()), pa.array(out["starts"], pa.binary())], names=list(out))
 
     return run
 
 
-def _judge(window: int):
-    """Rows sorted by anchor, words, id → (id, spans): little-endian 32-bit pairs (start, length)."""
+class _Shard:
+    """The stretches of one shard in the order of doc_id. The automaton is made when a second different stretch comes."""
+
+    def __init__(self, window: int):
+        self.window = window
+        self.holder: dict[bytes, int] = {}  # distinct stretches by their first document
+        self.automaton: SuffixAutomaton | None = None
+        self.before: list[list] = []  # earlier documents' stretches that are not in the automaton yet
+        self.here: list[list] = []  # the present document's
+        self.now: int | None = None
+        self.seen_here: dict[bytes, list] = {}
+
+    def spans(self, holder: int, words: bytes) -> list[tuple[int, int]]:
+        """(start, length) of what earlier documents have of the stretch."""
+        if holder != self.now:
+            self.before += self.here
+            self.here, self.seen_here, self.now = [], {}, holder
+        first = self.holder.get(words)
+        if first is not None and first != holder:
+            return [(0, words.count(b" ") + 1)]
+        if words in self.seen_here:
+            return self.seen_here[words]
+        items = words.split(b" ")
+        parts: list[tuple[int, int]] = []
+        if self.before or self.automaton:
+            self.automaton = self.automaton or SuffixAutomaton()
+            for earlier in self.before:
+                self.automaton.add(earlier)
+            self.before = []
+            parts = spans_of(self.automaton.matches(items), self.window)
+        if holder != LAST:  # nothing comes behind rows without doc_id
+            self.holder[words] = holder
+            self.here.append(items)
+            self.seen_here[words] = parts
+        return parts
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        spans: list[bytes] = []
-        now, stretch, first = None, None, None
-        shard: list[tuple[int, bytes, bytes]] = []
-
-        def put(holder: int, starts: bytes, parts: list[tuple[int, int]]):
-            at = np.frombuffer(starts, "<i4")
-            pairs = np.array(parts, "<i4").reshape(1, -1, 2) + np.stack([at, np.zeros_like(at)], axis=1)[:, None, :]
-            ids.append(holder)
-            spans.append(pairs.astype("<i4").tobytes())
-
-        def close():
-            """The shard is whole: its distinct stretches pass through the automaton of those with an earlier first holder."""
-            if len({s for _, s, _ in shard}) < 2:
-                return
-            automaton = SuffixAutomaton()
-            waiting: list[list] = []
-            holder_now = None
-            for holder, words, starts in sorted(shard):
-                items = words.split(b" ")
-                if holder != holder_now:
-                    for w in waiting:
-                        automaton.add(w)
-                    waiting, holder_now = [], holder
-                parts = spans_of(automaton.matches(items), window)
-                if parts:
-                    put(holder, starts, parts)
-                waiting.append(items)
 
-        def batch_out():
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.binary())], names=["id", "spans"])
+def _judge(window: int):
+    """Rows sorted by anchor and id → (key, id, spans): little-endian 32-bit pairs (start, length)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shard = None, _Shard(window)
         for batch in batches:
-            for anchor, words, holder, starts in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            out: tuple[list, list, list] = ([], [], [])
+            for anchor, words, holder, key, starts in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if anchor != now:
-                    close()
-                    now, stretch, shard = anchor, None, []
-                if words != stretch:
-                    stretch, first = words, holder
-                    shard.append((holder, words, starts))
-                elif holder != first:
-                    put(holder, starts, [(0, words.count(b" ") + 1)])
-            if ids:
-                yield batch_out()
-                ids, spans = [], []
-        close()
-        if ids:
-            yield batch_out()
+                    now, shard = anchor, _Shard(window)
+                parts = shard.spans(holder, words)
+                if parts:
+                    at = np.frombuffer(starts, "<i4")
+                    pairs = np.array(parts, "<i4").reshape(1, -1, 2) + np.stack([at, np.zeros_like(at)], axis=1)[:, None, :]
+                    for column, value in zip(out, (key, holder, pairs.astype("<i4").tobytes())):
+                        column.append(value)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["key", "id", "spans"])
 
     return run
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        spans = batch.column("spans").to_pylist()
+        ids, spans = batch.column("id").to_pylist(), batch.column("spans")
         texts = string_array(batch.column("text"))
         for low, high in slices(texts):
             words = Words(texts.slice(low, high - low))
-            total, removed, kept = [], [], []
+            total, removed, kept = np.diff(words.first), np.zeros(high - low, np.int64), []
             for i in range(high - low):
                 a, b = int(words.first[i]), int(words.first[i + 1])
+                mine = [s["spans"] for s in spans[low + i].as_py() or () if s["id"] == ids[low + i]]
+                if not mine:
+                    kept.append(words.text(a, b))
+                    continue
+                pairs = np.frombuffer(b"".join(mine), "<i4").reshape(-1, 2)
                 gone = np.zeros(b - a + 1, np.int64)
-                for raw in spans[low + i] or ():
-                    pairs = np.frombuffer(raw, "<i4").reshape(-1, 2)
-                    np.add.at(gone, pairs[:, 0], 1)
-                    np.add.at(gone, pairs[:, 0] + pairs[:, 1], -1)
-                left = np.flatnonzero(np.cumsum(gone)[: b - a] == 0)
-                total.append(b - a)
-                removed.append(b - a - len(left))
-                runs = np.split(left, np.flatnonzero(np.diff(left) != 1) + 1) if len(left) else []
-                kept.append(b" ".join(words.text(a + int(r[0]), a + int(r[-1]) + 1) for r in runs))
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(low, high - low), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
+                np.add.at(gone, pairs[:, 0], 1)
+                np.add.at(gone, pairs[:, 0] + pairs[:, 1], -1)
+                stays = np.cumsum(gone)[: b - a] == 0
+                removed[i] = b - a - int(stays.sum())
+                edge = np.diff(stays.astype(np.int8), prepend=0, append=0)
+                kept.append(b" ".join(words.text(a + s, a + e) for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())))
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(low, high - low), pa.array(total.astype(np.int64)), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
 
 def dealt(docs: DataFrame, texts: DataFrame, window: int, gram: int, heavy: int) -> DataFrame:
-    """The stretches (anchor, words, id, starts) by what they are shuffled by: their anchor, or for split anchors a hash of the window."""
-    anchors = docs.mapInArrow(_anchors(window, gram), "anchor long, id long, n long")
-    shared = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated(heavy), "anchor long, id long, heavy boolean")
-    wanted = shared.groupBy("id").agg(F.collect_set(F.when(~F.col("heavy"), F.col("anchor"))).alias("anchors"), F.collect_set(F.when(F.col("heavy"), F.col("anchor"))).alias("heavy"))
-    return texts.join(wanted, "id").select("id", "text", "anchors", "heavy").mapInArrow(_cut(window, gram), "anchor long, words binary, id long, starts binary")
+    """The stretches (anchor, words, id, key, starts) by what they are shuffled by: their anchor, or for split anchors a hash of the window."""
+    anchors = docs.select("key", "text").mapInArrow(_anchors(window, gram), "anchor long, key long, n long")
+    shared = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated(heavy), "anchor long, key long, heavy boolean")
+    wanted = shared.groupBy("key").agg(F.collect_set(F.when(~F.col("heavy"), F.col("anchor"))).alias("anchors"), F.collect_set(F.when(F.col("heavy"), F.col("anchor"))).alias("heavy"))
+    return texts.join(wanted, "key").select("id", "key", "text", "anchors", "heavy").mapInArrow(_cut(window, gram), "anchor long, words binary, id long, key long, starts binary")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space), one row per row of ``docs``."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text")
-    texts = docs.repartition("id")  # one shuffle of the texts; both joins below read it, with the same columns
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("key"), "text")
+    texts = docs.repartition("key")  # one shuffle of the texts; both joins below read it, with the same columns
     cut = dealt(docs, texts, window, gram, heavy)
-    spans = cut.repartition("anchor").sortWithinPartitions("anchor", "words", "id").mapInArrow(_judge(window), "id long, spans binary")
-    kept = texts.join(spans.groupBy("id").agg(F.collect_list("spans").alias("spans")), "id", "left").select("id", "text", "spans").mapInArrow(_keep, "id long, n_words long, n_removed long, kept string")
+    spans = cut.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(_judge(window), "key long, id long, spans binary")
+    kept = texts.join(spans.groupBy("key").agg(F.collect_list(F.struct("id", "spans")).alias("spans")), "key", "left").select("id", "key", "text", "spans").mapInArrow(_keep, "id long, n_words long, n_removed long, kept string")
     return kept.select(F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept")

@@ -124,10 +124,10 @@ class Words:
         return mix(value + (self.end - self.start).astype(np.uint64) * _ODD)
 
     def text(self, a: int, b: int) -> bytes:
-        """Words ``a`` to ``b`` (excluded), joined by one space."""
+        """Words ``a`` to ``b`` (excluded) of one text, joined by one space."""
         raw = self.data.tobytes() if not hasattr(self, "_raw") else self._raw
         self._raw = raw
-        return b" ".join(raw[s:e] for s, e in zip(self.start[a:b].tolist(), self.end[a:b].tolist()))
+        return b" ".join(raw[self.start[a] : self.end[b - 1]].split()) if a < b else b""
 
 
 def string_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:

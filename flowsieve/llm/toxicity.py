@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +29,6 @@ from flowsieve.llm.near_dedup import near_duplicates
 from flowsieve.llm.text import give_back, stash
 
 MAX_PER_CLASS = 5000
-MAX_CANDIDATES = 5000
 STEMS = (4, 5, 6, 7, 8)
 MIN_TEXTS = 3
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -106,7 +105,7 @@ def terms(text: str | None) -> set[str]:
 
 def copy_classes(texts: DataFrame) -> DataFrame:
     """``texts`` (text, toxic) with ``copies``: a number that near copies share, by the links of operator 7. A text without words has its own."""
-    known = stash(texts.select(F.xxhash64("text").alias("doc_id"), "text", "toxic"), "sample")
+    known = stash(texts.select(F.shiftrightunsigned(F.xxhash64("text"), 2).alias("doc_id"), "text", "toxic"), "sample")
     linked = near_duplicates(known, SHINGLE_WORDS, SIMILAR_PERCENT).select("doc_id", F.col("component_id").alias("copies")).distinct()
     return known.join(linked, "doc_id").select("text", "toxic", F.coalesce("copies", "doc_id").alias("copies"))
 
@@ -167,27 +166,27 @@ class Scanner:
         return [x for tag in TAGS for x in (min(sums[tag], ENOUGH), most[tag] ** 2)]
 
 
-def _surprise(n1: np.ndarray, n0: np.ndarray, total1: int, total0: int) -> np.ndarray:
+def _odds(total1: int, total0: int) -> Column:
+    return F.log((F.col("n1") + 0.5) / (total1 + 1)) - F.log((F.col("n0") + 0.5) / (total0 + 1))
+
+
+def _surprise(total1: int, total0: int) -> Column:
     """Likelihood-ratio statistic of an entry that is in ``n1`` of ``total1`` toxic and ``n0`` of ``total0`` other texts."""
-    out = np.zeros(len(n1))
-    share = (n1 + n0) / (total1 + total0)
-    for seen, size, part in ((n1, total1, share), (total1 - n1, total1, 1 - share), (n0, total0, share), (total0 - n0, total0, 1 - share)):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out += np.where(seen > 0, 2 * seen * np.log(seen / (size * part)), 0)
-    return out
+    share = (F.col("n1") + F.col("n0")) / (total1 + total0)
+    cells = ((F.col("n1"), total1 * share), (total1 - F.col("n1"), total1 * (1 - share)), (F.col("n0"), total0 * share), (total0 - F.col("n0"), total0 * (1 - share)))
+    return sum((F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0) for seen, expected in cells), F.lit(0.0))
 
 
-def choose(entries: list[tuple[str, int, int]], tested: int, total1: int, total0: int) -> dict[str, float]:
-    """The lexicon: entries more significant for toxic texts than the best of ``tested`` entries is likely to be by chance, with their log-odds.
+def choose(counted: DataFrame, total1: int, total0: int) -> dict[str, float]:
+    """The lexicon: entries (entry, n1, n0: toxic and other texts) more significant for toxic texts than the best of all tested ones is likely to be by chance, with their log-odds.
 
-    ``entries``: (entry, toxic texts, other texts).
+    Only significant entries come to the driver; there are never more than the labelled texts, which are bounded, have terms.
     """
-    if not entries:
-        return {}
-    n1, n0 = np.array([e[1] for e in entries], float), np.array([e[2] for e in entries], float)
-    odds = np.log((n1 + 0.5) / (total1 + 1)) - np.log((n0 + 0.5) / (total0 + 1))
-    good = (_surprise(n1, n0, total1, total0) >= 2 * math.log(max(tested, 1)) + MARGIN) & (odds >= MIN_WEIGHT)
-    return {entries[i][0]: float(odds[i]) for i in np.flatnonzero(good)}
+    usable = stash(counted.where(F.col("n1") + F.col("n0") >= MIN_TEXTS), "entries")
+    odds = _odds(total1, total0)
+    least = 2 * math.log(max(usable.count(), 1)) + MARGIN
+    good = usable.where((F.col("n1") >= MIN_TEXTS) & (odds >= MIN_WEIGHT) & (_surprise(total1, total0) >= least))
+    return {r["entry"]: r["odds"] for r in good.select("entry", odds.alias("odds")).orderBy("entry").collect()}
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> np.ndarray:
@@ -233,11 +232,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     total1, total0 = size[1]["classes"], size[0]["classes"]
     by_class = texts.mapInArrow(support, "entry string, toxic int, copies long").distinct()
     counted = by_class.groupBy("entry").agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("n1"), F.count(F.when(F.col("toxic") == 0, 1)).alias("n0"))
-    usable = counted.where(F.col("n1") + F.col("n0") >= MIN_TEXTS)
-    odds = F.log((F.col("n1") + 0.5) / (total1 + 1)) - F.log((F.col("n0") + 0.5) / (total0 + 1))
-    likely = (F.col("n1") >= MIN_TEXTS) & (odds >= MIN_WEIGHT)
-    best = usable.groupBy().agg(F.count("*").alias("tested"), F.slice(F.sort_array(F.collect_list(F.when(likely, F.struct("n1", -F.col("n0"), "entry"))), False), 1, MAX_CANDIDATES).alias("best")).first()
-    lexicon = choose([(r["entry"], r["n1"], -r["col2"]) for r in best["best"]], best["tested"], total1, total0)
+    lexicon = choose(counted, total1, total0)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = Scanner(lexicon)

@@ -84,10 +84,10 @@ class DigestArray:
 
 
 def probe_strings(host: str, path: str, lengths: list[int]) -> list[str]:
-    """All rule strings that would fit, the longest first."""
+    """All rule strings that would fit, the longest first; of equally long ones that with the longer host, then the smaller string."""
     parts = host.split(".") if host else []
     found = {".".join(parts[i:]) + path[:n] for i in range(len(parts)) for n in lengths if n <= len(path)}
-    return sorted(found, key=lambda s: (-len(s), s))
+    return sorted(found, key=lambda s: (-len(s), -len(s.partition("/")[0]), s))
 
 
 def _judge(file: str):
@@ -142,5 +142,6 @@ def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = "allow", ur
     cut = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
     probes = F.flatten(F.transform(hosts, lambda h: F.transform(cut, lambda n: F.concat(h, F.substring(F.col("path"), F.lit(1), n)))))
     asked = parts.where("host <> ''").select(row, F.explode(F.array_distinct(probes)).alias("_rule"))
-    best = asked.join(folded, "_rule").groupBy(row).agg(F.max_by(F.struct(F.col("_rule").alias("rule"), F.when(F.col("_free") == 0, "block").otherwise("allow").alias("verdict")), F.struct(F.length("_rule"), F.col("_rule"))).alias(hit))
+    order = F.struct(-F.length("_rule"), -F.length(F.substring_index("_rule", "/", 1)), F.col("_rule"))
+    best = asked.join(folded, "_rule").groupBy(row).agg(F.min_by(F.struct(F.col("_rule").alias("rule"), F.when(F.col("_free") == 0, "block").otherwise("allow").alias("verdict")), order).alias(hit))
     return _answer(parts.join(best, row, "left").drop(row), hit, default)

@@ -63,7 +63,7 @@ def test_shards_of_a_frequent_word_sequence_are_split(spark):
     for heavy in (30, 4096):
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(table(spark, texts), heavy=heavy).collect()}
         assert got == without_repeats(texts, 13)
-    docs = table(spark, texts).selectExpr("doc_id AS id", "text")
+    docs = table(spark, texts).selectExpr("doc_id AS id", "doc_id AS key", "text")
     largest = [max(r.n for r in substring_dedup.dealt(docs, docs, 13, 5, heavy).groupBy("anchor").agg(F.countDistinct("words").alias("n")).collect()) for heavy in (30, 4096)]
     assert largest[0] <= 30 < 200 < largest[1]
 
@@ -76,6 +76,25 @@ def test_repeated_rows_nulls_and_nothing(spark):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_passages_of_rows_without_id_and_of_one_id_twice(spark):
+    rng = random.Random(31)
+    a, b, c = (prose(rng, 30, 10**5) for _ in range(3))
+    near = " ".join([*prose(rng, 4).split(" "), *a.split(" ")[:20], *prose(rng, 4).split(" ")])
+    rows = [(1, a), (2, f"{b} x {a}"), (2, f"y {a} {c}"), (None, f"{c} z {b}"), (None, f"{a} w {c}"), (None, a), (None, f"{a} w {c}"), (7, f"q {a} {b}"), (None, near), (8, near), (None, prose(rng, 30, 10**5))]
+    order = lambda i: 10**9 if i is None else i
+    want = []
+    for i, t in rows:
+        w, gone = words(t), set()
+        earlier = {tuple(v[k : k + 13]) for j, u in rows if order(j) < order(i) for v in [words(u)] for k in range(len(v) - 12)}
+        for k in range(len(w) - 12):
+            if tuple(w[k : k + 13]) in earlier:
+                gone.update(range(k, k + 13))
+        want.append((order(i), len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for heavy in (1, 4096):
+        assert sorted((order(r.doc_id), r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(docs, heavy=heavy).collect()) == sorted(want)
+
+
 def shingles(text, size):
     w = words(text, lower=True)
     return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
@@ -114,6 +133,15 @@ def test_components_against_brute_force(spark):
         assert got == components(texts, size, percent)
 
 
+def test_near_duplicates_of_several_rows_without_id(spark):
+    rng = random.Random(32)
+    a, b = (prose(rng, 40, 10**5) for _ in range(2))
+    rows = [(6, f"{a} t"), (None, a), (None, f"{b} t"), (None, b), (None, b), (9, prose(rng, 30, 10**5)), (None, prose(rng, 30, 10**5))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (0, 0), (0, 0), (0, 6), (6, 6), (9, 9)]
+    assert sum(r.kept for r in got) in (4, 5) and len({r.node for r in got}) == 6  # 6, 9, the lone row, and one text of the three rows of b
+
+
 def test_near_duplicates_of_repeated_rows_nulls_and_nothing(spark):
     docs = spark.createDataFrame([(3, "A b c d"), (3, "A b c d"), (None, "a B c d"), (9, None), (9, None), (4, "x")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect())

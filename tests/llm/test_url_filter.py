@@ -27,6 +27,15 @@ def test_rules_against_plain_python(spark):
     assert U.judge(pages.limit(0)).count() == 0
 
 
+def test_ties_of_rules_are_broken_alike(spark):
+    pages = spark.createDataFrame([(0, "http://a.b/xyz"), (1, "http://x.c/yy"), (2, "http://a.b")], "page_id long, url string")
+    rules = [("a.b", "/x", "allow"), ("b", "/xyz", "block"), ("x.c", "/", "block"), ("c", "/yy", "allow"), ("a.b", "", "allow"), ("b", "", "block")]
+    want = [(0, "a.b/x", "allow"), (1, "x.c/", "block"), (2, "a.b", "allow")]
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    assert sorted((r.page_id, r.rule, r.verdict) for r in U.judge(pages, rules).collect()) == want
+    assert sorted((r.page_id, r.rule, r.verdict) for r in U.judge_by_join(pages, table).collect()) == want
+
+
 def test_no_rules_and_contradicting_rules(spark):
     pages = spark.createDataFrame([(0, "http://a.com/x")], "page_id long, url string")
     assert U.judge(pages, []).first().verdict == "allow"
