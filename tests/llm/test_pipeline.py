@@ -25,7 +25,7 @@ def folder(spark, tmp_path_factory):
               404: None, 405: "", 406: prose(rng, 12000, 3000), 407: f"a {INSULTS[0]} and a {INSULTS[1]}."}
     copies |= {500 + i: f'{prose(rng, 20)} token = "{rng.randrange(16**40):040x}" {prose(rng, 20)}' for i in range(40)}
     rows = [(i, t, "en", "s", len(t or ""), "z") for i, t in (texts | copies).items()]
-    rows += [rows[1], (None, "no id", "en", "s", 5, "z")]
+    rows += [rows[1], (None, "no id", "en", "s", 5, "z"), (None, texts[2] + " behind", "en", "s", 5, "z"), (None, 'w token = "' + "0123456789abcdef0123456789abcdef01234567" + '" v', "en", "s", 5, "z")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, ids string").repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame([(i, 1, y) for i, y in labels], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
@@ -49,7 +49,7 @@ def test_stages(spark, folder):
 
     single = stages["near_dedup"](spark, docs, folder)
     group = components({i: t for i, t in texts.items() if i is not None}, P.SHINGLE_WORDS, P.SIMILAR_PERCENT)
-    assert single.columns == docs.columns and ids(single) == sorted([(True, i) for i, (_, c) in group.items() if i == c] + [(False, 0)])
+    assert single.columns == docs.columns and ids(single) == sorted([(True, i) for i, (_, c) in group.items() if i == c] + [(False, 0)] * 2)  # the copy without doc_id goes
     assert (True, 400) not in ids(single)
 
     without = stages["decontamination"](spark, docs, folder)
@@ -57,7 +57,7 @@ def test_stages(spark, folder):
 
     masked = stages["secret_scan"](spark, docs, folder)
     assert masked.columns == docs.columns and masked.count() == docs.count()
-    assert {(r.doc_id, r.text) for r in masked.collect()} == {(i, t and re.sub(r'(token = )"[0-9a-f]{40}"', r'\1"[SECRET]"', t)) for i, t in texts.items()}
+    assert {(r.doc_id, r.text) for r in masked.collect()} == {(r.doc_id, r.text and re.sub(r'(token = )"[0-9a-f]{40}"', r'\1"[SECRET]"', r.text)) for r in docs.collect()}
 
     coded = stages["bpe"](spark, docs, folder)
     c = bpe.codec(bpe.default_tokenizer())
@@ -70,7 +70,7 @@ def test_stages(spark, folder):
 def test_whole_and_empty(spark, folder, tmp_path):
     out = P.run(spark, folder)
     texts = [r.text or "" for r in out.collect()]
-    assert not any(w in t for t in texts for w in INSULTS) and sum("[SECRET]" in t for t in texts) == 41
+    assert not any(w in t for t in texts for w in INSULTS) and sum("[SECRET]" in t for t in texts) == 42
     for name in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
@@ -78,4 +78,4 @@ def test_whole_and_empty(spark, folder, tmp_path):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert set(QUERIES) | {"pipeline"} <= set(names) and len({n.split("_")[0] for n in QUERIES}) == 10
+    assert set(QUERIES) | {"pipeline"} <= set(names) and len({n.split("_")[0] for n in QUERIES}) == 13

@@ -57,6 +57,25 @@ def test_toxicity_of_a_word_with_few_words_before_it(spark):
     assert model.lexicon["grubbler"] > 4 and "zzyzxword" not in model.lexicon
 
 
+def test_no_significant_entry_is_cut(spark):
+    import math
+
+    total1, total0 = 4000, 5000
+    rows = [(f"w{i}", 40 + i % 900, i % 4) for i in range(7000)] + [(f"c{i}", 3, i) for i in range(300)] + [("all", 4000, 5000), ("never", 0, 60)]
+    tested = sum(a + b >= toxicity.MIN_TEXTS for _, a, b in rows)
+
+    def surprise(a, b):
+        share, out = (a + b) / (total1 + total0), 0.0
+        for seen, expected in ((a, total1 * share), (total1 - a, total1 * (1 - share)), (b, total0 * share), (total0 - b, total0 * (1 - share))):
+            out += 2 * seen * math.log(seen / expected) if seen else 0
+        return out
+
+    odds = lambda a, b: math.log((a + 0.5) / (total1 + 1)) - math.log((b + 0.5) / (total0 + 1))
+    want = {w: odds(a, b) for w, a, b in rows if a >= toxicity.MIN_TEXTS and odds(a, b) >= toxicity.MIN_WEIGHT and surprise(a, b) >= 2 * math.log(tested) + toxicity.MARGIN}
+    got = toxicity.choose(spark.createDataFrame(rows, "entry string, n1 long, n0 long"), total1, total0)
+    assert len(want) > 5000 and got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-9 for w in want)
+
+
 def test_toxicity_without_usable_labels(spark):
     docs = table(spark, {1: "a b", 2: None})
     for rows, want in (([], 0), ([(1, 1)], 1), ([(1, 0), (2, 0)], 0), ([(7, 1), (8, 0)], 0)):
@@ -263,6 +282,15 @@ def test_short_and_signed_values_of_credentials(spark):
     assert {i: got[i] for i in hidden} == {i: t for i, (_, t) in hidden.items()} and all(got[i].count("[SECRET]") == 1 for i in keys)
 
 
+def test_secrets_of_rows_without_id_are_masked(spark):
+    rng = random.Random(20)
+    rows = [(i, f'{prose(rng, 9)} token = "{rng.randrange(16**40):040x}" {prose(rng, 9)} {rng.randrange(10**15, 10**16)}') for i in range(60)]
+    lost = [(None, f'a{k} token = "{rng.randrange(16**40):040x}" b') for k in range(3)]
+    docs = spark.createDataFrame([*rows, *lost, lost[0], (None, "nothing here"), (None, None)], "doc_id long, text string").repartition(3)
+    out = [r.text for r in secrets.redact(docs, secrets.scan(docs)).where("doc_id IS NULL").collect()]
+    assert sorted(out, key=str) == sorted([*(f'a{k} token = "[SECRET]" b' for k in (0, 0, 1, 2)), "nothing here", None], key=str)
+
+
 def plain_fingerprint_input(texts):
     order = sorted(texts, reverse=True)
     out = {}
