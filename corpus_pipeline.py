@@ -25,11 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by similarity the document with the smallest doc_id stays, once. Documents without words are in no group and
-    stay, as do documents without a doc_id, which cannot be told apart."""
+    """Of each group linked by similarity the document with the smallest doc_id stays, once; rows without doc_id stand behind all others. Documents without words are in no group and stay."""
     found = near_dedup.near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    dropped = found.where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    node = fresh(docs, "node")
+    dropped = found.where("NOT kept").select(F.col("node").alias(node)).distinct()
+    return docs.withColumn(node, near_dedup.node()).join(dropped, node, "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in their texts are masked."""
-    return secrets.redact(docs, stash(secrets.scan(docs).where("secret = 1").select("doc_id", "candidate", "secret"), "secrets"))
+    return secrets.redact(docs, stash(secrets.scan(docs).where("secret = 1").select("doc_id", "text_key", "candidate", "secret"), "secrets"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
