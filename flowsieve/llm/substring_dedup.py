@@ -32,7 +32,7 @@ from flowsieve.llm.text import LAST, Words, mix, slices, string_array
 
 WINDOW = 13
 #: Words of an anchor: short ones make long stretches, but are shared by texts that share no window.
-GRAM = 8
+GRAM = 5
 HEAVY = 4096
 
 
