@@ -13,6 +13,7 @@ from flowsieve import fixed
 from flowsieve.functions import scoring as S
 from flowsieve.functions import times as TM
 from flowsieve.operators import enrich, predicates, triage
+from flowsieve.session import cut_lineage
 
 DIMENSIONS = ("hour", "prediction", "severity", "source", "family", "attack_type", "protocol")
 
@@ -324,15 +325,19 @@ def live_topk(df: DataFrame) -> DataFrame:
     return g.withColumn("rank", rank).filter(F.col("rank") <= 6).filter(F.col("rank") <= size)
 
 
+#: Wide columns no section of the analytics page reads.
+WIDE_COLUMNS = ("ml_features", "stage2_probs", "stage3_probs", "ack_note")
+
+
 def analytics(df: DataFrame, key: str, as_of: Column) -> dict[str, DataFrame]:
     """Every section of the analytics page for one time range.
 
-    The rows in range are folded once (``roll_up``) and that short table is kept for the count sections. Pairs, ports,
-    attack knowledge and KPIs read the rows, each in one aggregation.
+    ``df`` is read three times at most: for the rows in range, whose columns the sections need are written to the shared folder, for the range before, and for the store's statistics. The
+    written rows are folded once (``roll_up``), and all count sections read that short table, which is written as well; Spark's cleaner removes both when nothing refers to them.
     """
     key = key if key in fixed.RANGE_SECONDS else "all"
-    rows = predicates.in_range(df, key, as_of)
-    base = roll_up(rows).persist()
+    rows = cut_lineage(predicates.in_range(df, key, as_of).drop(*WIDE_COLUMNS))
+    base = cut_lineage(roll_up(rows))
     by_hour = hourly(base)
     prior = prior_block(df, key, as_of)
     out = {

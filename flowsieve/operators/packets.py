@@ -427,42 +427,48 @@ def quota_sample(
     that no longer fits its window is skipped while later, smaller ones may still fit; the first packet that would exceed
     ``target_bytes`` ends the sample.
 
-    Between two packets that do not fit, all packets small enough are taken, so each window is a few stretches. One round
-    finds the next packet that does not fit, for all windows at once, from byte sums per time slot; the rows of only one
-    slot per window are put in order. The stretches (window, from, to, largest size) are the only driver state.
+    The number of passes does not depend on how many packets do not fit. Byte sums per time slot tell up to where a window
+    takes every packet; those are kept without being put in order. Of the packets behind, only those no larger than the room
+    left then can fit: they are streamed in order of time, and one number per window, its room, is carried along.
     """
     p = packets.filter("window is not null")
-    spark = packets.sparkSession
     if use_quotas:
-        quotas = {r["ord"]: r["quota_bytes"] for r in windows.select("ord", "quota_bytes").collect()}  # one entry per window
-        shape = "window_ord int, from_ms long, from_id long, room long"
-        open_ = {o: (-1, -1, q) for o, q in quotas.items()}
-        stretches = []
-        while open_:
-            state = spark.createDataFrame([(o, *s) for o, s in open_.items()], shape)
-            after = (F.col("ts_ms") > F.col("from_ms")) | ((F.col("ts_ms") == F.col("from_ms")) & (F.col(tie) > F.col("from_id")))
-            fit = p.join(F.broadcast(state), "window_ord").filter(after & (F.col("length") <= F.col("room")))
-            hit = _first_overflow(fit, ["window_ord"], "room", tie, slot_ms)
-            found = {r["window_ord"]: r for r in hit.collect()}  # at most one row per window
-            nxt = {}
-            for o, (t0, i0, room) in open_.items():
-                r = found.get(o)
-                if r is None:
-                    stretches.append((o, t0, i0, None, None, room))
-                else:
-                    stretches.append((o, t0, i0, r["ts_ms"], r["id"], room))
-                    nxt[o] = (r["ts_ms"], r["id"], room - r["before"])
-            open_ = {o: s for o, s in nxt.items() if s[2] > 0}
-        cut = spark.createDataFrame(stretches, "window_ord int, from_ms long, from_id long, to_ms long, to_id long, room long")
-        after = (F.col("ts_ms") > F.col("from_ms")) | ((F.col("ts_ms") == F.col("from_ms")) & (F.col(tie) > F.col("from_id")))
-        until = F.col("to_ms").isNull() | (F.col("ts_ms") < F.col("to_ms")) | ((F.col("ts_ms") == F.col("to_ms")) & (F.col(tie) < F.col("to_id")))
-        p = p.join(F.broadcast(cut), "window_ord").filter(after & until & (F.col("length") <= F.col("room"))).select(*packets.columns)
+        p = cut_lineage(p.join(windows.select(F.col("ord").alias("window_ord"), F.col("quota_bytes").alias("_quota")), "window_ord"))
+        slot = F.floor(F.col("ts_ms") / slot_ms)
+        sums = p.groupBy("window_ord", "_quota", slot.alias("_slot")).agg(F.sum("length").alias("_sum"))
+        w = Window.partitionBy("window_ord").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+        full = sums.withColumn("_upto", F.sum("_sum").over(w)).filter(F.col("_upto") > F.col("_quota")).groupBy("window_ord").agg(
+            F.min_by(F.struct("_slot", (F.col("_quota") - F.col("_upto") + F.col("_sum")).alias("room")), "_slot").alias("_full"))
+        marked = p.join(full, "window_ord", "left")
+        behind = slot >= F.col("_full._slot")
+        whole = marked.filter(F.coalesce(~behind, F.lit(True)))
+        edge = marked.filter(behind & (F.col("length") <= F.col("_full.room"))).withColumn("_room", F.col("_full.room"))
+        p = whole.select(*packets.columns).unionByName(_walk_rooms(edge.drop("_quota", "_full"), tie).select(*packets.columns))
     stop = _first_overflow(p.withColumns({"_all": F.lit(0), "room": F.lit(target_bytes)}), ["_all"], "room", tie, slot_ms).first()
     if stop is not None:
         p = p.filter((F.col("ts_ms") < stop["ts_ms"]) | ((F.col("ts_ms") == stop["ts_ms"]) & (F.col(tie) < stop["id"])))
     return p
 
 
+def _walk_rooms(rows: DataFrame, tie: str) -> DataFrame:
+    """Per window, in order of time, the packets that still fit the room (``_room`` at first) the ones before them leave."""
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, room = None, 0
+        for batch in batches:
+            window, length = batch.column("window_ord").to_pylist(), batch.column("length").to_pylist()
+            first = batch.column("_room").to_pylist()
+            keep = []
+            for i, (o, n) in enumerate(zip(window, length)):
+                if o != now:
+                    now, room = o, first[i]
+                if n <= room:
+                    room -= n
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return rows.repartition("window_ord").sortWithinPartitions("window_ord", "ts_ms", tie).mapInArrow(walk, rows.schema)
+
+
 def _first_overflow(rows: DataFrame, keys: Sequence[str], room: str, tie: str, slot_ms: int) -> DataFrame:
     """Per key the first row in (ts_ms, tie) order at which the running length exceeds ``room``, and the sum before it."""
     cut = rows.withColumn("_slot", F.floor(F.col("ts_ms") / slot_ms))

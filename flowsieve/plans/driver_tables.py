@@ -149,12 +149,12 @@ scored AS (
 # ---- alerts -------------------------------------------------------------------------------------------------------
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth event is an alert about some flow, a quarter of them with the reversed key."""
+    """Every event is an alert about some flow, a quarter of them with the reversed key."""
     return alerts_of(table(spark, sf_dir, "events"), flows(spark, sf_dir), order_count(spark, sf_dir))
 
 
 def alerts_of(events: DataFrame, flow_rows: DataFrame, n: int) -> DataFrame:
-    ev = events.filter("event_id % 5 = 0").selectExpr("event_id", "event_type", f"(event_id * 13) % {n} AS o")
+    ev = events.selectExpr("event_id", "event_type", f"(event_id * 13) % {n} AS o")
     f = flow_rows.select("o", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "first_seen_ms")
     turn = lambda a, b: f"if(event_id % 4 = 1, {b}, {a}) AS {a}"
     return ev.join(f, "o").selectExpr(
@@ -173,8 +173,7 @@ ALERTS_SQL = f"""
 alert_base AS (
   SELECT e.event_id, e.event_type, f.o, f.src_ip, f.dst_ip, f.src_port, f.dst_port, f.protocol,
     f.first_seen_ms + ((e.event_id * 7) % 121 - 90) * 1000 AS alert_ms, e.event_id % 4 = 1 AS back
-  FROM events e JOIN flows f ON f.o = (e.event_id * 13) % (SELECT count(*) FROM orders)
-  WHERE e.event_id % 5 = 0),
+  FROM events e JOIN flows f ON f.o = (e.event_id * 13) % (SELECT count(*) FROM orders)),
 alerts AS (
   SELECT event_id, o, CASE WHEN back THEN dst_ip ELSE src_ip END AS src_ip, CASE WHEN back THEN src_ip ELSE dst_ip END AS dst_ip,
     CASE WHEN back THEN dst_port ELSE src_port END AS src_port, CASE WHEN back THEN src_port ELSE dst_port END AS dst_port,
@@ -245,12 +244,11 @@ STATES = {"click": "reviewed", "purchase": "escalated", "error": "dismissed", "s
 
 
 def ack_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Acknowledgement changes from events: one per third event that is no view, plus a later escalation per twelfth."""
+    """Acknowledgement changes from events: one each, plus a later escalation per twelfth."""
     n = order_count(spark, sf_dir)
     e = F.col("event_id")
     ev = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", ((e * 29) % n).alias("o"))
-    first = F.when((F.col("event_type") != "view") & (e % 3 == 0), F.struct(
-        e.alias("id"), N.lookup(F.col("event_type"), STATES, F.lit("new")).alias("to_state"), (60 + (e * 11) % 7200).alias("late")))
+    first = F.struct(e.alias("id"), N.lookup(F.col("event_type"), STATES, F.lit("new")).alias("to_state"), (60 + (e * 11) % 7200).alias("late"))
     second = F.when(e % 12 == 0, F.struct(
         (e + 1000000).alias("id"), F.lit("escalated").alias("to_state"), (9000 + (e * 11) % 7200).alias("late")))
     ch = ev.select("o", "user_id", F.explode(F.array_compact(F.array(first, second))).alias("c"))
@@ -267,7 +265,6 @@ ack_log AS (
   SELECT e.event_id AS id, 'flow_' || o_orderkey AS prediction_id, e.user_id, {_case('e.event_type', STATES, "'new'")} AS to_state,
     {BASE_MS} + ((o_orderkey * 173) % 2592000) * 1000 + (60 + (e.event_id * 11) % 7200) * 1000 AS changed_ms
   FROM events e JOIN orders ON o_orderkey = (e.event_id * 29) % (SELECT count(*) FROM orders)
-  WHERE e.event_type <> 'view' AND e.event_id % 3 = 0
   UNION ALL
   SELECT e.event_id + 1000000, 'flow_' || o_orderkey, e.user_id, 'escalated',
     {BASE_MS} + ((o_orderkey * 173) % 2592000) * 1000 + (9000 + (e.event_id * 11) % 7200) * 1000

@@ -135,6 +135,17 @@ def _quota(s, d):
     return out.select("packet_id", "window", "length", "ts_ms")
 
 
+# each packet of a window sees the room those taken before it have left
+QUOTA_SQL = P.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {D.WINDOWS_SQL}, {J12_SQL}, lined AS (
+  SELECT packet_id, window_ord, length, ts_ms, row_number() OVER (PARTITION BY window_ord ORDER BY ts_ms, packet_id) AS rn FROM labelled WHERE window_ord IS NOT NULL),
+walk(window_ord, rn, room, taken, packet_id) AS (
+  SELECT ord, CAST(0 AS BIGINT), CAST(quota_bytes AS BIGINT), false, CAST(NULL AS BIGINT) FROM windows
+  UNION ALL
+  SELECT l.window_ord, l.rn, CASE WHEN l.length <= w.room THEN w.room - l.length ELSE w.room END, l.length <= w.room, l.packet_id FROM walk w JOIN lined l ON l.window_ord = w.window_ord AND l.rn = w.rn + 1),
+summed AS (SELECT l.packet_id, l.window_ord, l.length, l.ts_ms, sum(l.length) OVER (ORDER BY l.ts_ms, l.packet_id ROWS UNBOUNDED PRECEDING) AS upto FROM walk w JOIN lined l ON l.packet_id = w.packet_id WHERE w.taken)
+SELECT packet_id, name AS window, length, ts_ms FROM summed JOIN windows ON ord = window_ord WHERE upto <= 120000"""
+
+
 def _related(s, d):
     """Flows rebuilt from packets share their key when a conversation paused, so they have relatives."""
     f = K.build_flows(D.packets(s, d), fixed.IDLE_MS, None, False, with_gaps=False)
@@ -192,7 +203,7 @@ QUERIES = {
                                _flow_sql(True, True, SHORT).replace("CASE l_returnflag WHEN 'R' THEN 2 WHEN 'N' THEN 24 ELSE 16 END AS flags", "CASE WHEN l_partkey % 9 = 0 THEN 17 WHEN l_returnflag = 'R' THEN 2 WHEN l_returnflag = 'N' THEN 24 ELSE 16 END AS flags")),
     "st6_event_rate": (_rate_stream_as_batch, P + "SELECT w AS start_ms, count(*) AS events, count(*) / CAST(5 AS DOUBLE) AS eps FROM (SELECT unnest(range((ts_ms // 1000) * 1000 - 4000, (ts_ms // 1000) * 1000 + 1, 1000)) AS w FROM packets) GROUP BY w"),
     "w04_eps": (lambda s, d: K.eps(D.packets(s, d)), P + ", c AS (SELECT ts_ms, count(*) OVER (ORDER BY ts_ms RANGE BETWEEN 5000 PRECEDING AND CURRENT ROW) AS n FROM packets) SELECT DISTINCT ts_ms, n * CAST(1000 AS DOUBLE) / 5000 AS eps FROM c"),
-    "w05_quota_sample": (_quota, None),
+    "w05_quota_sample": (_quota, QUOTA_SQL),
     "w07_event_gaps": (lambda s, d: K.event_gaps(D.flows(s, d), 2.0).select("flow_id", "wait_s"), f"WITH {D.FLOWS_SQL} SELECT flow_id, least(coalesce((first_seen_ms - lag(first_seen_ms) OVER (ORDER BY first_seen_ms, flow_id)) / CAST(1000 AS DOUBLE) / 2, 0), 30) AS wait_s FROM flows"),
     "w09_rate_rule": (lambda s, d: K.rate_rule(D.packets(s, d), 1, 5).select("src_ip", "ts_ms", "in_window"), P + ", c AS (SELECT src_ip, ts_ms, count(*) OVER (PARTITION BY src_ip ORDER BY ts_ms RANGE BETWEEN 5000 PRECEDING AND CURRENT ROW) AS in_window FROM packets WHERE protocol = 6 AND flags = 2) SELECT DISTINCT src_ip, ts_ms, in_window FROM c WHERE in_window > 1"),
     "w09_trailing_pairs": (lambda s, d: trailing_counts(D.packets(s, d), "ts_ms", 20_000, ["src_ip", "dst_ip"]), P + ", c AS (SELECT src_ip, dst_ip, ts_ms, count(*) OVER (PARTITION BY src_ip, dst_ip ORDER BY ts_ms RANGE BETWEEN 20000 PRECEDING AND CURRENT ROW) AS in_window, count(*) OVER (PARTITION BY src_ip, dst_ip, ts_ms) AS at_once FROM packets) SELECT DISTINCT * FROM c"),

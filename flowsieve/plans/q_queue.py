@@ -161,7 +161,7 @@ def _ack_ids(spark, sf):
 
 
 def _ack_match(spark, sf):
-    log = triage.ack_match(D.predictions(spark, sf), "dismissed", D.as_of(), destination_ip="192.168.1.3", family="DoS", user_id=3)
+    log = triage.ack_match(D.predictions(spark, sf), "dismissed", D.as_of(), destination_ip="192.168.1.3", family="BruteForce", user_id=3)
     return log.select("prediction_id", "from_state", "to_state", "user_id")
 
 
@@ -183,15 +183,31 @@ def _ids(d):
 
 
 def _bundle(spark, sf):
-    """Every section of the page in one table: section and rows."""
+    """The values of the count sections of the page, and the rows of the others."""
     parts = A.analytics(D.predictions(spark, sf), "7d", D.as_of())
+    long = lambda name, key, value: parts[name].select(F.lit(name).alias("section"), F.expr(key).cast("string").alias("key"), F.expr(value).cast("long").alias("value"))
     out = None
-    for name, part in sorted(parts.items()):
-        one = part.agg(F.count("*").alias("rows")).select(F.lit(name).alias("section"), "rows")
+    for name, key, value in (("verdicts", "source", "count"), ("families", "family", "count"), ("leaves", "leaf", "count"), ("severity_by_family", "family", "total"), ("protocols", "protocol", "count"),
+                             ("hourly", "unix_millis(hour)", "malicious_only + suspicious"), ("ports", "destination_port", "count"), *(("headline", f"'{c}'", c) for c in ("normal", "malicious_incl_suspicious", "suspicious")),
+                             *(("severity", f"'{c}'", c) for c in ("high", "medium", "low"))):
+        one = long(name, key, value)
         out = one if out is None else out.unionByName(one)
     return out
 
 
+IN_WEEK = f"flow_ms >= {D.AS_OF_MS - 7 * 86400000}"
+BUNDLE_SQL = P + ", week AS (SELECT * FROM pred WHERE " + IN_WEEK + "), bad AS (SELECT * FROM week WHERE prediction <> 'Normal')" + """
+SELECT 'verdicts' AS section, source AS key, count(*) AS value FROM week GROUP BY source
+UNION ALL SELECT 'families', family, count(*) FROM bad WHERE family IS NOT NULL GROUP BY family
+UNION ALL SELECT 'leaves', attack_type, count(*) FROM bad WHERE attack_type IS NOT NULL GROUP BY attack_type, family
+UNION ALL SELECT 'severity_by_family', family, count(*) FILTER (lower(severity) IN ('high', 'medium', 'low')) FROM bad WHERE family IS NOT NULL GROUP BY family
+UNION ALL SELECT 'protocols', upper(protocol), count(*) FROM week GROUP BY upper(protocol)
+UNION ALL SELECT 'hourly', CAST(flow_ms // 3600000 * 3600000 AS VARCHAR), count(*) FILTER (prediction <> 'Normal') FROM week GROUP BY flow_ms // 3600000
+UNION ALL SELECT * FROM (SELECT 'ports', CAST(destination_port AS VARCHAR), count(*) AS c FROM bad WHERE destination_port > 0 GROUP BY destination_port ORDER BY c DESC, destination_port LIMIT 10)
+UNION ALL SELECT 'headline', unnest(['normal', 'malicious_incl_suspicious', 'suspicious']), unnest([count(*) FILTER (prediction = 'Normal'), count(*) FILTER (prediction <> 'Normal'), count(*) FILTER (prediction = 'Suspicious')]) FROM week
+UNION ALL SELECT 'severity', unnest(['high', 'medium', 'low']), unnest([count(*) FILTER (lower(severity) = 'high'), count(*) FILTER (lower(severity) = 'medium'), count(*) FILTER (lower(severity) = 'low')]) FROM bad"""
+
+
 def _o(d, *cols):
     return d.select(*cols)
 
@@ -227,7 +243,7 @@ QUERIES = {
     "a20_batch_counts": (_p(A.batch_counts), P + "SELECT count(*) FILTER (prediction = 'Normal') AS normal, count(*) FILTER (prediction = 'Malicious') AS malicious, count(*) FILTER (prediction = 'Suspicious') AS suspicious, " + ", ".join(f"count(*) FILTER (source = '{v}') AS {v}" for v in fixed.VERDICTS) + " FROM pred"),
     "a21_store_stats": (_p(_stats), P + "SELECT count(*) AS rows, min(flow_ms) AS oldest_ms, max(flow_ms) AS newest_ms FROM pred"),
     "a22_agreement": (_p(A.agreement), P + "SELECT source IN ('confirmed', 'signature_only') AS signature, source IN ('confirmed', 'ml_only') AS model, count(*) AS count, CAST(round(CAST(count(*) * CAST(100 AS DOUBLE) / sum(count(*)) OVER () AS DECIMAL(24,12)), 1) AS DOUBLE) AS percent FROM pred GROUP BY source"),
-    "a23_analytics_bundle": (_bundle, None),
+    "a23_analytics_bundle": (_bundle, BUNDLE_SQL),
     "a24_detection_latency": (_p(A.detection_latency), P + "SELECT count(*) AS rows, CAST(sum((stored_ms - flow_ms) // 1000) AS DOUBLE) / count(*) AS mean_s, quantile_disc((stored_ms - flow_ms) // 1000, 0.5) AS median_s, max((stored_ms - flow_ms) // 1000) AS max_s FROM pred"),
     "a26_rule_hits": (lambda s, d: suppress.rule_hits(D.fresh_predictions(s, d), D.rules(s, d), D.as_of()).select("id", "kind", "hits"), SUPPRESS_SQL + "SELECT r.id, r.kind, (SELECT count(*) FROM hit WHERE rn = 1 AND rule_id = r.id) AS hits FROM rules r"),
     "a28_timeline_summary": (_p(lambda d: A.timeline_summary(A.hourly(d)).select("normal", "malicious_only", "suspicious", MS("peak_hour").alias("peak_ms"), "peak")), HOURLY_SQL + "SELECT CAST(sum(normal) AS BIGINT) AS normal, CAST(sum(malicious_only) AS BIGINT) AS malicious_only, CAST(sum(suspicious) AS BIGINT) AS suspicious, first(hour_ms ORDER BY malicious_only DESC, hour_ms) AS peak_ms, max(malicious_only) AS peak FROM hourly"),
@@ -277,7 +293,7 @@ QUERIES = {
     "j08_ack_trail": (_trail, P + f", {D.USERS_SQL}, l AS (SELECT *, coalesce(lag(to_state) OVER (PARTITION BY prediction_id ORDER BY changed_ms, id), 'new') AS from_state FROM ack_log) SELECT p.id, p.source, l.id AS change_id, l.from_state, l.to_state, l.changed_ms, u.username AS changed_by FROM pred p LEFT JOIN l ON l.prediction_id = p.id LEFT JOIN users u ON u.id = l.user_id"),
     "j13_split_ids": (_split_ids, f"WITH {D.FLOWS_SQL} SELECT 'flow_' || (event_id * 7) AS id, 'flow_' || (event_id * 7) IN (SELECT flow_id FROM flows) AS found FROM events"),
     "j16_ack_ids": (_ack_ids, P + f"SELECT id AS prediction_id, ack_state AS from_state, 'reviewed' AS to_state, CAST(7 AS BIGINT) AS user_id, 'bulk' AS note, {D.AS_OF_MS} AS changed_ms FROM pred WHERE id IN (SELECT 'flow_' || (event_id * 7) FROM events)"),
-    "j16_ack_match": (_ack_match, P + "SELECT id AS prediction_id, ack_state AS from_state, 'dismissed' AS to_state, CAST(3 AS BIGINT) AS user_id FROM pred WHERE destination_ip = '192.168.1.3' AND family = 'DoS'"),
+    "j16_ack_match": (_ack_match, P + "SELECT id AS prediction_id, ack_state AS from_state, 'dismissed' AS to_state, CAST(3 AS BIGINT) AS user_id FROM pred WHERE destination_ip = '192.168.1.3' AND family = 'BruteForce'"),
     "p17_format_predictions": (lambda s, d: D.fresh_predictions(s, d).select(*FRESH_COLS, MS("flow_timestamp").alias("flow_ms")), P + f"SELECT {', '.join(FRESH_COLS)}, flow_ms FROM pred"),
 }
 QUERIES["j07_usernames"] = (

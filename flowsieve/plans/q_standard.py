@@ -198,7 +198,7 @@ def _alert_lines(s, d):
     joined = f('{"src_ap":"%s:%d","dst_ap":"%s:%d","rule":"1:%d:4","class":"c","action":"allow"}', "src_ip", "src_port", "dst_ip", "dst_port", "snort_sid")
     broken = f('{"src_addr":"%s","broken', "src_ip")
     missing = f('{"src_addr":"%s","sid":%d}', "src_ip", "snort_sid")
-    k = F.col("event_id") / 5 % 4
+    k = F.floor(F.col("event_id") / 5) % 4
     return a.select("event_id", F.when(k == 0, split).when(k == 1, joined).when(k == 2, broken).otherwise(missing).alias("value"))
 
 
@@ -206,7 +206,7 @@ def _alerts_from_files(s, d):
     """Alerts written as JSON files in three spellings, with broken lines between, read back through the public reader and joined with the flows."""
     a = D.alerts(s, d).withColumn("proto", N.protocol_name("protocol"))
     at = F.timestamp_millis("alert_ms")
-    k = F.col("event_id") / 5 % 4
+    k = F.floor(F.col("event_id") / 5) % 4
     side = lambda way, split: {f"{way}_addr": F.col(f"{way}_ip"), f"{way}_port": F.col(f"{way}_port")} if split else {f"{way}_ap": F.concat(f"{way}_ip", F.lit(":"), f"{way}_port")}
     line = lambda **cells: F.to_json(F.struct(*[v.alias(n) for n, v in cells.items()], F.col("proto"), F.col("snort_sid").alias("sid")))
     lines = (F.when(k == 0, line(**side("src", True), **side("dst", True), seconds=F.col("alert_ms") / 1000))

@@ -71,12 +71,12 @@ def _written(spark, make, mode: str = "append") -> DataFrame:
 # ---- jobs that hold rows --------------------------------------------------------------------------------------------
 
 
-def _kept(folder: str):
-    """A sink: a folder per batch, late rows apart."""
+def _kept(folder: str, with_late: bool = False):
+    """A sink: a folder per batch, late rows apart; with ``with_late`` there is a folder for them in any case."""
     def store(rows: DataFrame, late: DataFrame | None, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
-        if late is not None:
-            late.write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
+        if late is not None or with_late:
+            (rows.limit(0) if late is None else late).write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
 
     return store
 
@@ -131,7 +131,7 @@ LATE_MS = 10 * DAY_MS
 def st4_late_rows(spark, sf):
     """Rows come in four batches without regard to time; what is more than ten days behind comes out on its own, unmatched."""
     run = _folder(spark, "late")
-    job = L.live_join(spark, f"{run}/held", _kept(run), lateness_ms=LATE_MS)
+    job = L.live_join(spark, f"{run}/held", _kept(run, True), lateness_ms=LATE_MS)
     for _ in _fed(spark, job, run, _sides, _live_sides(spark, sf, lambda d, ts, n: F.col(n) % 4), 4):
         pass
     pick = lambda d, late: d.select("flow_id", *KEY, F.col("alert.event_id").alias("event_id"), F.lit(late).alias("late"))
