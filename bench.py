@@ -23,7 +23,7 @@ HEADLINE = [
     "f03_cidr", "j01_rows", "j04_interval_correlate", "j05_suppress", "j12_label_by_window", "m01_stratified_split", "m08_hierarchical", "m12_auc",
     "o01_page_severity", "o04_hard_cap", "p02_to_features", "p16_normalize_alerts", "p17_format_predictions", "st1_flows_idle", "st1_flows_idle_active",
     "u02_dedup", "w02_campaign_view", "w07_event_gaps", "w09_rate_rule", "w10_iat_stats",
-    "st2_stream_correlate", "st3_live_job", "st6_stream_counters",
+    "st2_stream_correlate", "st3_live_job", "st6_stream_counters", "st7_microbatches", "j05_networks", "w05_quota_sample",
 ]
 
 
