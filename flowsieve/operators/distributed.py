@@ -106,12 +106,14 @@ def running_totals(
     )
 
 
-def first_n(df: DataFrame, bucket: Column, order: Sequence[Column], n: int | Column, keys: Sequence[str] = ()) -> DataFrame:
+def first_n(
+    df: DataFrame, bucket: Column, order: Sequence[Column], n: int | Column, keys: Sequence[str] = (), finer: Sequence[Column] = ()
+) -> DataFrame:
     """The first ``n`` rows per key in the order (bucket, order), for any size of ``n``.
 
     Buckets that lie wholly inside are kept without sorting or shuffling their rows. Only the rows of the one bucket per
-    key that the limit cuts through are ranked. ``bucket`` must rise with the order; rows without a bucket stand last. Null is a key like any other. ``n`` may
-    be a column of the keys.
+    key that the limit cuts through are ranked; with ``finer`` that bucket is first cut again, by each of its columns in turn. ``bucket`` and ``finer`` must rise
+    with the order; rows without a bucket stand last. Null is a key like any other. ``n`` may be a column of the keys.
     """
     keys = list(keys) or ["_all"]
     cut = df.withColumn("_all", F.lit(0)).withColumn("_bucket", bucket)
@@ -123,8 +125,12 @@ def first_n(df: DataFrame, bucket: Column, order: Sequence[Column], n: int | Col
     whole = (F.col("_before") + F.col("_size")) <= F.col("_limit")
     kept = same(cut, plan.filter(whole).select(*keys, "_bucket"), [*keys, "_bucket"], "left_semi")
     edge = same(cut, plan.filter(~whole).select(*keys, "_bucket", (F.col("_limit") - F.col("_before")).alias("_room")), [*keys, "_bucket"])
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    edge = edge.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_room"))
+    if finer:
+        room = f"_room_{len(finer)}"
+        edge = first_n(edge.drop("_bucket").withColumnRenamed("_room", room), finer[0], order, F.col(room), [*keys, room], finer[1:])
+    else:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        edge = edge.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_room"))
     return kept.select(*df.columns).unionByName(edge.select(*df.columns))
 
 
@@ -146,6 +152,26 @@ def global_rank(
     return cut.join(offsets, [*keys, "_bucket"]).select(*df.columns, (F.col("_before") + inside).alias(name))
 
 
+def ranked_slice(
+    df: DataFrame, levels: Sequence[tuple[Column, Sequence[Column]]], order: Sequence[Column], low: int, high: int, name: str = "rank"
+) -> DataFrame:
+    """The rows with the numbers ``low`` to ``high`` in an order of the whole table, with their number.
+
+    Each level is a bucket and the direction of buckets (on ``_bucket``); both must agree with ``order``. The sizes of the buckets tell which of them reach into
+    the slice, and only their rows go to the next level and are ranked at last. At most ``high - low + 1`` buckets reach into it, which bounds what is broadcast.
+    """
+    cut = df.withColumn("_before", F.lit(0).cast("long"))
+    for bucket, along in levels:
+        cut = cut.withColumn("_bucket", bucket)
+        sizes = cut.groupBy("_before", "_bucket").agg(F.count("*").alias("_size"))
+        earlier = Window.partitionBy("_before").orderBy(*along).rowsBetween(Window.unboundedPreceding, -1)
+        placed = sizes.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+        placed = placed.filter((F.col("_start") < high) & (F.col("_start") + F.col("_size") >= low)).drop("_size")
+        cut = same(cut, F.broadcast(placed), ["_before", "_bucket"]).drop("_before", "_bucket").withColumnRenamed("_start", "_before")
+    inside = F.row_number().over(Window.partitionBy("_before").orderBy(*order))  # buckets begin at different numbers
+    return cut.select(*df.columns, (F.col("_before") + inside).alias(name)).filter(F.col(name).between(low, high))
+
+
 def seeded_hash(columns: Sequence[str], seed: int | str) -> Column:
     """A uniform hex text per row that other engines can compute as well."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))

@@ -281,46 +281,47 @@ def oversample(df: DataFrame, id_column: str, features: Sequence[str], label: st
 # ---- evaluation -----------------------------------------------------------------------------------------------------
 
 
-def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """Rows per true and predicted class, and their share of the true class."""
-    g = df.groupBy(F.col(truth).alias("truth"), F.col(pred).alias("pred")).agg(F.count("*").alias("count"))
-    return g.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy("truth")))
+def confusion(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows per true and predicted class (and ``by``), and their share of the true class."""
+    g = df.groupBy(*by, F.col(truth).alias("truth"), F.col(pred).alias("pred")).agg(F.count("*").alias("count"))
+    return g.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy(*by, "truth")))
 
 
-def report(matrix: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support per class from a confusion matrix; 0 where undefined."""
+def report(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Precision, recall, F1 and support per class (and ``by``) from a confusion matrix; 0 where undefined."""
     sides = F.array(
         F.struct(F.col("truth").alias("class"), F.col("count").alias("support"), F.lit(0).cast("long").alias("predicted"), F.lit(0).cast("long").alias("hit")),
         F.struct(F.col("pred").alias("class"), F.lit(0).cast("long").alias("support"), F.col("count").alias("predicted"),
                  F.when(F.col("truth") == F.col("pred"), F.col("count")).otherwise(0).alias("hit")))
-    g = matrix.select(F.explode(sides).alias("e")).select("e.*").groupBy("class").agg(
+    g = matrix.select(*by, F.explode(sides).alias("e")).select(*by, "e.*").groupBy(*by, "class").agg(
         F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("hit").alias("hit"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
     return g.select(
-        "class", ratio(F.col("hit"), F.col("predicted")).alias("precision"), ratio(F.col("hit"), F.col("support")).alias("recall"),
+        *by, "class", ratio(F.col("hit"), F.col("predicted")).alias("precision"), ratio(F.col("hit"), F.col("support")).alias("recall"),
         ratio(2 * F.col("hit"), F.col("predicted") + F.col("support")).alias("f1"), "support", "hit")
 
 
-def summary(per_class: DataFrame) -> DataFrame:
-    """Accuracy, balanced accuracy, macro and weighted averages in one row. Classes that never occur as truth count in the
+def summary(per_class: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Accuracy, balanced accuracy, macro and weighted averages in one row (per ``by``). Classes that never occur as truth count in the
     macro averages, not in the balanced accuracy."""
     r6 = lambda c: S.round_to(c, 6)
     n = F.sum("support").cast("double")
     seen = F.when(F.col("support") > 0, F.col("recall"))
     mean = lambda c: r6(F.avg(c))
-    return per_class.agg(
+    return per_class.groupBy(*by).agg(
         F.sum("support").alias("rows"), F.count("*").alias("classes"), r6(F.sum("hit") / n).alias("accuracy"), mean(seen).alias("balanced_accuracy"),
         mean("precision").alias("precision_macro"), mean("recall").alias("recall_macro"), mean("f1").alias("f1_macro"),
         r6(F.sum(F.col("f1") * F.col("support")) / n).alias("f1_weighted"))
 
 
-def tier_results(tiers: dict[str, DataFrame], truth: str = "truth", pred: str = "pred") -> DataFrame:
-    """One summary row per tier."""
-    out = None
-    for name, d in tiers.items():
-        one = summary(report(confusion(d, truth, pred))).withColumn("tier", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+def tier_results(df: DataFrame, tiers: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """One summary row per tier. A tier is a condition on the rows it judges, their true and their predicted class; all are counted in one pass over ``df``. A tier
+    without rows has no classes and no values."""
+    judged = [F.when(where, F.struct(F.lit(name).alias("tier"), truth.alias("truth"), pred.alias("pred"))) for name, (where, truth, pred) in tiers.items()]
+    rows = df.select(F.explode(F.array_compact(F.array(*judged))).alias("e")).select("e.*")
+    found = summary(report(confusion(rows, "truth", "pred", ["tier"]), ["tier"]), ["tier"])
+    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(name) for name in tiers])).alias("tier"))
+    return names.join(found, "tier", "left").withColumn("classes", F.coalesce("classes", F.lit(0).cast("long")))
 
 
 def _by_score(df: DataFrame, truth: str, score: str) -> DataFrame:

@@ -9,7 +9,7 @@ from flowsieve import fixed
 from flowsieve.functions import network as N
 from flowsieve.functions import scoring as S
 from flowsieve.operators import enrich
-from flowsieve.operators.distributed import first_n, global_rank, previous_by_time
+from flowsieve.operators.distributed import first_n, previous_by_time, ranked_slice, same
 
 DEEP = 10_000
 HOUR = 3600
@@ -19,6 +19,10 @@ def _hour(ts: str) -> Column:
     return F.floor(F.unix_seconds(F.col(ts)) / HOUR)
 
 
+def _second(ts: str) -> Column:
+    return F.unix_seconds(F.col(ts))
+
+
 def sort_key(name: str) -> Column:
     if name in ("severity", "risk"):
         return S.severity_rank("severity")
@@ -29,7 +33,7 @@ def page(df: DataFrame, sort: str = "time", direction: str = "desc", limit: int
     """One page of the queue: sort key, then newest, then id; the limit is held to 1–1000.
 
     Missing values come first when descending and last when ascending. A page near the top is a top-k; a page far down is
-    cut out by rank, so that the rows before it are never gathered in one place.
+    placed by the numbers of rows per hour and second, and only the rows of its own seconds are ranked.
     """
     limit, offset = max(1, min(int(limit), 1000)), max(0, int(offset))
     key = sort_key(sort)
@@ -39,12 +43,10 @@ def page(df: DataFrame, sort: str = "time", direction: str = "desc", limit: int
         return df.orderBy(way(key), *newest).offset(offset).limit(limit)
     if sort in ("severity", "risk", "family", "source"):
         bucket = F.struct(key.alias("k"), _hour("flow_timestamp").alias("h"))
-        along = [way(F.col("_bucket.k")), F.col("_bucket.h").desc()]
+        levels = [(bucket, [way(F.col("_bucket.k")), F.col("_bucket.h").desc()]), (_second("flow_timestamp"), [F.col("_bucket").desc()])]
     else:
-        bucket = F.struct(_hour("flow_timestamp").alias("h"))
-        along = [way(F.col("_bucket.h"))]
-    ranked = global_rank(df, bucket, [way(key), *newest], name="_rank", bucket_order=along)
-    return ranked.filter(F.col("_rank").between(offset + 1, offset + limit)).orderBy("_rank").drop("_rank")
+        levels = [(_hour("flow_timestamp"), [way(F.col("_bucket"))]), (_second("flow_timestamp"), [way(F.col("_bucket"))])]
+    return ranked_slice(df, levels, [way(key), *newest], offset + 1, offset + limit, "_rank").orderBy("_rank").drop("_rank")
 
 
 def cap_results(df: DataFrame, n: int, seq: str) -> DataFrame:
@@ -63,10 +65,10 @@ def latest_n(df: DataFrame, n: int = 2000, ts: str = "flow_timestamp", tie: str
 
 
 def hard_cap(df: DataFrame, n: int, ts: str = "first_seen_at", tie: str = "id") -> DataFrame:
-    """The newest ``n`` rows of a table, for limits of any size: whole hours are kept or dropped, one hour is ranked. Rows without a time are the oldest."""
+    """The newest ``n`` rows of a table, for limits of any size: whole hours are kept or dropped, of one hour whole seconds, and one second is ranked. Rows without a time are the oldest."""
     if n <= 0:
         return df
-    return first_n(df, -_hour(ts), [F.col(ts).desc_nulls_last(), F.col(tie)], n)
+    return first_n(df, -_hour(ts), [F.col(ts).desc_nulls_last(), F.col(tie)], n, finer=[-_second(ts)])
 
 
 def retain_days(df: DataFrame, days: int, as_of: Column, ts: str = "flow_timestamp") -> DataFrame:
@@ -111,12 +113,14 @@ def campaign_view(df: DataFrame, samples: int = 50, limit: int | None = None, of
     """Campaigns, largest first, with their newest row (struct ``newest``) and the ids of up to ``samples`` newest rows.
 
     The ranking keeps at most ``samples`` rows per campaign and task before anything is shuffled, so neither a large
-    campaign nor its id list grows without bound.
+    campaign nor its id list grows without bound. With a limit only the rows of the chosen campaigns are ranked.
     """
     groups = campaigns(df)
     if limit is not None:
         ordered = groups.orderBy(F.col("count").desc(), *[F.col(c).asc_nulls_first() for c in CAMPAIGN])
         groups = ordered.offset(offset).limit(limit)
+        chosen = groups.select(*CAMPAIGN)
+        df = same(df, F.broadcast(chosen) if limit <= DEEP else chosen, CAMPAIGN, "left_semi")
     rank = F.row_number().over(Window.partitionBy(*CAMPAIGN).orderBy(F.col("flow_timestamp").desc(), F.col("id")))
     top = df.withColumn("_rank", rank).filter(F.col("_rank") <= samples)
     body = [c for c in df.columns if c not in CAMPAIGN]
@@ -124,8 +128,8 @@ def campaign_view(df: DataFrame, samples: int = 50, limit: int | None = None, of
         F.min_by(F.struct(*body), "_rank").alias("newest"),
         F.transform(F.array_sort(F.collect_list(F.struct("_rank", "id"))), lambda e: e["id"]).alias("sample_ids"),
     )
-    same = [groups[c].eqNullSafe(heads[c]) for c in CAMPAIGN]
-    return groups.join(heads, same).select(*[groups[c] for c in CAMPAIGN], "count", "first_seen", "last_seen", "newest", "sample_ids")
+    alike = [groups[c].eqNullSafe(heads[c]) for c in CAMPAIGN]
+    return groups.join(heads, alike).select(*[groups[c] for c in CAMPAIGN], "count", "first_seen", "last_seen", "newest", "sample_ids")
 
 
 def related(df: DataFrame, limit: int = 10) -> DataFrame:
@@ -172,7 +176,8 @@ def with_ack_state(df: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def with_ack_trail(df: DataFrame, log: DataFrame, users: DataFrame) -> DataFrame:
-    """Queue rows with their changes, newest change first, one output row per change (one with nulls if none).
+    """Queue rows with their changes, one output row per change (one with nulls if none). Within a partition a prediction's changes stand together, newest first;
+    the whole result is not sorted.
 
     The trail stays in rows: a prediction may have any number of changes.
     """
@@ -180,7 +185,7 @@ def with_ack_trail(df: DataFrame, log: DataFrame, users: DataFrame) -> DataFrame
         F.col("prediction_id").alias("id"), F.col("id").alias("change_id"), "from_state", "to_state", F.col("note").alias("change_note"),
         "changed_at", "changed_by",
     )
-    return df.join(trail, "id", "left").sort("id", F.col("changed_at").desc(), F.col("change_id").desc())
+    return df.join(trail, "id", "left").sortWithinPartitions("id", F.col("changed_at").desc(), F.col("change_id").desc())
 
 
 def _changes(targets: DataFrame, state: str, user_id: int | None, note: str | None, at: Column) -> DataFrame:

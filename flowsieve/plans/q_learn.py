@@ -99,12 +99,10 @@ TRUE_FAMILY = "CASE WHEN o % 5 = 0 THEN 'Benign' WHEN o % 7 = 0 THEN 'DDoS' ELSE
 
 def _tiers(s, d):
     p = D.scored(s, d).selectExpr(f"{TRUE_LEAF} AS leaf", f"{TRUE_FAMILY} AS fam", "coalesce(attack_type, 'Benign') AS pleaf", "coalesce(family, 'Benign') AS pfam")
-    two = lambda c: f"if({c} = 'Benign', 'Benign', 'Attack')"
-    tiers = {"gate": p.selectExpr(f"{two('leaf')} AS truth", f"{two('pleaf')} AS pred"), "family": p.filter("leaf <> 'Benign'").selectExpr("fam AS truth", "pfam AS pred"),
-             "leaf": p.selectExpr("leaf AS truth", "pleaf AS pred")}
-    for f in ("DoS", "BruteForce", "BotnetInfiltration"):
-        tiers[f"leaf:{f}"] = p.filter(F.col("fam") == f).selectExpr("leaf AS truth", "pleaf AS pred")
-    return L.tier_results(tiers)
+    leaf, pleaf, fam, pfam = (F.col(c) for c in ("leaf", "pleaf", "fam", "pfam"))
+    two = lambda c: F.when(c == "Benign", "Benign").otherwise("Attack")
+    tiers = {"gate": (F.lit(True), two(leaf), two(pleaf)), "family": (leaf != "Benign", fam, pfam), "leaf": (F.lit(True), leaf, pleaf)}
+    return L.tier_results(p, tiers | {f"leaf:{f}": (fam == f, leaf, pleaf) for f in ("DoS", "BruteForce", "BotnetInfiltration")})
 
 
 def _tier_sql():
@@ -147,6 +145,21 @@ def _selected(s, d):
     return t.select(F.posexplode(F.array(*[F.lit(c) for c in left])).alias("position", "feature")).groupBy("position", "feature").agg(F.count("*").alias("rows"))
 
 
+def _selected_sql():
+    """A column goes if it is constant or correlated with an earlier one that stays."""
+    names = ["quantity", "heavy", "line", "fixed_value", "part"]
+    gone = []
+    for j, b in enumerate(names):
+        earlier = [f"(NOT gone{i} AND coalesce(abs(corr_{a}_{b}), 0) > 0.95)" for i, a in enumerate(names[:j])]
+        gone.append(" OR ".join([f"constant_{b}", *earlier]) + f" AS gone{j}")
+    values = [f"min({n}) = max({n}) AS constant_{n}" for n in names] + [f"corr({a}, {b}) AS corr_{a}_{b}" for j, b in enumerate(names) for a in names[:j] if "fixed_value" not in (a, b)]
+    values += [f"0 AS corr_{a}_{b}" for j, b in enumerate(names) for a in names[:j] if "fixed_value" in (a, b)]
+    kept = " UNION ALL ".join(f"SELECT {j} AS place, '{n}' AS feature, rows FROM flags WHERE NOT gone{j}" for j, n in enumerate(names))
+    return ("WITH t AS (SELECT l_quantity AS quantity, l_quantity * 3 + l_linenumber AS heavy, l_linenumber AS line, 5 AS fixed_value, l_partkey % 97 AS part FROM lineitem), "
+            f"v AS (SELECT count(*) AS rows, {', '.join(values)} FROM t), flags AS (SELECT *, {', '.join(gone)} FROM v), kept AS ({kept}) "
+            "SELECT CAST(row_number() OVER (ORDER BY place) - 1 AS INT) AS position, feature, rows FROM kept")
+
+
 def _model_rows(s, d):
     """Flows with numeric features that tell their leaf in part."""
     base = D.flows(s, d)
@@ -224,7 +237,7 @@ QUERIES = {
     "m15_search": (_search, None),
     "m16_impute_merge": (_imputed, f"WITH t AS (SELECT {ROW_ID} AS row_id, CASE WHEN l_partkey % 10 <> 0 THEN l_quantity END AS q, CASE WHEN l_partkey % 7 = 0 THEN 'Normal' WHEN l_returnflag IN ('R', 'A') THEN 'Returned' ELSE l_returnflag END AS flag FROM lineitem) SELECT row_id, {r6('coalesce(q, (SELECT avg(q) FROM t))')} AS quantity, flag FROM t"),
     "m16_correlations": (_correlations, "WITH t AS (SELECT l_quantity AS quantity, l_quantity * 3 + l_linenumber AS heavy, l_linenumber AS line, l_partkey % 97 AS part FROM lineitem) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {r6(f'corr({a}, {b})')} AS corr FROM t" for a, b in [("quantity", "heavy"), ("quantity", "line"), ("quantity", "part"), ("heavy", "line"), ("heavy", "part"), ("line", "part")])),
-    "m16_select_features": (_selected, "SELECT unnest([0, 1, 2])::INT AS position, unnest(['quantity', 'line', 'part']) AS feature, (SELECT count(*) FROM lineitem) AS rows"),
+    "m16_select_features": (_selected, _selected_sql()),
     "m17_verdict_quality": (lambda s, d: L.verdict_quality(D.judged(s, d).withColumn("truth", (F.col("o") * 7919 + F.col("c")) % 100 < F.col("stage1_p") * 60), F.col("truth")),
                             f"WITH {D.JUDGED_SQL}, g AS (SELECT source, count(*) AS rows, count(*) FILTER ((o * 7919 + c) % 100 < stage1_p * 60) AS hits FROM judged GROUP BY source) SELECT source, rows, hits, hits / CAST(rows AS DOUBLE) AS precision, hits / CAST(sum(hits) OVER () AS DOUBLE) AS recall FROM g"),
 }

@@ -104,8 +104,8 @@ def _campaigns(d):
     return c.select("source_ip", "destination_ip", "family", "count", MS("first_seen").alias("first_ms"), MS("last_seen").alias("last_ms"))
 
 
-def _campaign_view(d):
-    v = triage.campaign_view(d.select("id", "flow_timestamp", "source_ip", "destination_ip", "family", "severity"))
+def _campaign_view(d, **page):
+    v = triage.campaign_view(d.select("id", "flow_timestamp", "source_ip", "destination_ip", "family", "severity"), **page)
     return v.select("source_ip", "destination_ip", "family", "count", F.col("newest.id").alias("newest_id"),
                     F.size("sample_ids").alias("samples"), F.concat_ws(",", "sample_ids").alias("ids"))
 
@@ -257,6 +257,10 @@ QUERIES = {
     "w02_campaign_view": (_p(_campaign_view), CAMP + """, r AS (SELECT *, row_number() OVER (PARTITION BY source_ip, destination_ip, family ORDER BY flow_ms DESC, id) AS rn FROM pred)
         SELECT r.source_ip, r.destination_ip, r.family, any_value(c.count) AS count, first(r.id ORDER BY rn) AS newest_id, CAST(count(*) AS INT) AS samples, string_agg(r.id, ',' ORDER BY rn) AS ids
         FROM r JOIN camp c ON c.source_ip = r.source_ip AND c.destination_ip = r.destination_ip AND c.family IS NOT DISTINCT FROM r.family WHERE rn <= 50 GROUP BY r.source_ip, r.destination_ip, r.family"""),
+    "w02_campaign_page": (_p(lambda d: _campaign_view(d, samples=20, limit=40, offset=5)), CAMP + """, chosen AS (SELECT * FROM camp ORDER BY count DESC, source_ip NULLS FIRST, destination_ip NULLS FIRST, family NULLS FIRST LIMIT 40 OFFSET 5),
+        r AS (SELECT *, row_number() OVER (PARTITION BY source_ip, destination_ip, family ORDER BY flow_ms DESC, id) AS rn FROM pred)
+        SELECT r.source_ip, r.destination_ip, r.family, any_value(c.count) AS count, first(r.id ORDER BY rn) AS newest_id, CAST(count(*) AS INT) AS samples, string_agg(r.id, ',' ORDER BY rn) AS ids
+        FROM r JOIN chosen c ON c.source_ip = r.source_ip AND c.destination_ip = r.destination_ip AND c.family IS NOT DISTINCT FROM r.family WHERE rn <= 20 GROUP BY r.source_ip, r.destination_ip, r.family"""),
     "w03_latest_n": (_p(lambda d: triage.latest_n(d, 2000).select("id", MS("flow_timestamp").alias("flow_ms"))), P + "SELECT id, flow_ms FROM pred ORDER BY flow_ms DESC, id LIMIT 2000"),
     "w08_heatmap": (_p(lambda d: _with_hour(A.heatmap(A.hourly_families(d)))), HOURLY_SQL + """, t AS (SELECT family, CAST(sum(n) AS BIGINT) AS family_total, CAST(row_number() OVER (ORDER BY sum(n) DESC, family) AS INT) AS family_rank FROM hour_family GROUP BY family)
         SELECT family, hour_ms, n AS count, CAST(round(CAST(log10(n + 1) / log10((SELECT max(n) + 1 FROM hour_family)) AS DECIMAL(24,12)), 6) AS DOUBLE) AS intensity, family_total, family_rank FROM hour_family JOIN t USING (family)"""),
@@ -276,6 +280,7 @@ QUERIES = {
     "o01_page_time": (_page("time", "desc", 200, 0), _page_sql("flow_ms", "desc", 200, 0)),
     "o01_page_severity": (_page("severity", "desc", 500, 300), _page_sql(RANK, "desc", 500, 300)),
     "o01_page_family_asc": (_page("family", "asc", 1000, 2000), _page_sql("family", "asc", 1000, 2000)),
+    "o01_page_deep_time": (_page("time", "desc", 500, 11000), _page_sql("flow_ms", "desc", 500, 11000)),
     "o01_page_deep": (_page("source", "asc", 1000, 12000), _page_sql("source", "asc", 1000, 12000)),
     "o01_page_total": (_p(lambda d: COUNT(predicates.queue_filter(d, severity="medium"))), P + "SELECT count(*) AS rows FROM pred WHERE severity = 'Medium'"),
     "o02_severity_rank": (_p(lambda d: d.select("id", S.severity_rank("severity").alias("rank"))), P + f"SELECT id, {RANK} AS rank FROM pred"),

@@ -322,7 +322,7 @@ def _events(s, d, mode="hybrid"):
 
 EVENT_COLS = ("id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "prediction", "confidence", "severity", "attack_type", "family", "stage1_p", "stage2_p", "source", "snort_sid", "snort_msg")
 EVENTS_SQL = J + """, ev AS (SELECT 'evt_' || o AS id, CASE WHEN event_id IS NOT NULL AND o % 2 = 0 THEN '172.16.0.9' ELSE src_ip END AS src_ip, dst_ip, src_port, CASE WHEN event_id IS NOT NULL THEN 9 ELSE dst_port END AS dst_port,
-  CASE WHEN event_id IS NOT NULL THEN 'UDP' ELSE CASE protocol WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' ELSE 'ICMP' END END AS protocol, prediction, confidence, severity, attack_type, family, stage1_p, stage2_p, source,
+  CASE WHEN event_id IS NOT NULL THEN 'UDP' ELSE CASE protocol WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' ELSE 'ICMP' END END AS protocol, prediction, confidence, severity, attack_type, family, stage1_p, stage2_p, stage3_p, source,
   coalesce(snort_sid, 0) AS snort_sid, coalesce(snort_msg, '') AS snort_msg, first_seen_ms FROM judged)
 """
 COLS = ", ".join(EVENT_COLS)
@@ -351,24 +351,28 @@ def _full(s, d):
 
 def _exported(s, d):
     e = sinks.export_rows(D.predictions(s, d))
-    return e.select(*[F.col(f"`{c}`").cast("string").alias(c.lower().replace(" ", "_")) for c in fixed.EXPORT_COLUMNS if c != "Duration"])
+    text = [F.col(f"`{c}`").cast("string").alias(c.lower().replace(" ", "_")) for c in fixed.EXPORT_COLUMNS if c != "Duration"]
+    return e.select(*text, S.round_to(F.col("Duration").cast("double"), 6).alias("duration"))
 
 
 EXPORT_SQL = P + """SELECT strftime(flow_timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp, source_ip, destination_ip, CAST(source_port AS VARCHAR) AS source_port, CAST(destination_port AS VARCHAR) AS destination_port, protocol,
   CAST(packet_size AS VARCHAR) AS packet_size, prediction, coalesce(family, '') AS family, coalesce(attack_type, '') AS attack_type, source AS verdict, CAST(CAST(round(CAST(confidence AS DECIMAL(24,12)), 2) AS DECIMAL(10,2)) AS VARCHAR) AS confidence,
-  coalesce(severity, 'N/A') AS severity, CAST(snort_sid AS VARCHAR) AS snort_sid, snort_msg, ack_state FROM pred"""
+  coalesce(severity, 'N/A') AS severity, CAST(snort_sid AS VARCHAR) AS snort_sid, snort_msg, ack_state,
+  round(CAST(duration AS DECIMAL(38,12)), 6)::DOUBLE AS duration FROM pred"""
 
 
 def _log_rows(s, d):
     e = enrich.enrich_attack(_events(s, d), enrich.default_kb(s))
     r = sinks.session_log_rows(e.withColumn("timestamp", MS("timestamp").cast("string")))
-    return r.select(*[c for c in fixed.SESSION_LOG_COLUMNS if c not in ("confidence", "stage1_p", "stage2_p", "stage3_p")])
+    numbers = ("confidence", "stage1_p", "stage2_p", "stage3_p")
+    return r.select(*[S.round_to(F.expr(f"try_cast({c} AS DOUBLE)"), 6).alias(c) if c in numbers else c for c in fixed.SESSION_LOG_COLUMNS])
 
 
 LOG_SQL = EVENTS_SQL + f""", {D.KB_SQL} SELECT CAST(first_seen_ms AS VARCHAR) AS timestamp, src_ip, dst_ip, CAST(src_port AS VARCHAR) AS src_port, CAST(dst_port AS VARCHAR) AS dst_port, protocol, source AS verdict, prediction,
   coalesce(family, '') AS family, coalesce(attack_type, '') AS leaf, coalesce(severity, '') AS severity, CASE WHEN snort_sid = 0 THEN '' ELSE CAST(snort_sid AS VARCHAR) END AS snort_sid, snort_msg,
   CASE WHEN snort_sid = 0 THEN '' ELSE {D._case('snort_sid', {D.SIDS[k]: v for k, v in D.CLASSES.items()}, "''")} END AS snort_classtype,
-  CASE WHEN prediction = 'Malicious' AND confidence >= 0.7 AND attack_type IS NOT NULL THEN (SELECT tactic FROM kb_tactic k WHERE k.category = attack_type AND pos = 0) ELSE '' END AS mitre_tactic, '{D.MODEL_VERSION}' AS model_version FROM ev"""
+  CASE WHEN prediction = 'Malicious' AND confidence >= 0.7 AND attack_type IS NOT NULL THEN (SELECT tactic FROM kb_tactic k WHERE k.category = attack_type AND pos = 0) ELSE '' END AS mitre_tactic, '{D.MODEL_VERSION}' AS model_version,
+  {", ".join(f"round(CAST({c} AS DECIMAL(38,12)), 6)::DOUBLE AS {c}" for c in ("confidence", "stage1_p", "stage2_p", "stage3_p"))} FROM ev"""
 
 
 def _reports(s, d):
@@ -390,7 +394,10 @@ SELECT prediction_id AS id, l.id AS change_id, '- ' || coalesce(u.username, 'unk
 def _traffic_rows(s, d):
     f = D.flows(s, d).selectExpr("CAST(first_seen_ms AS STRING) AS timestamp", "src_ip", "dst_ip", "src_port AS sport", "dst_port AS dport", "if(o % 5 = 0, NULL, 'x') AS service", "flow_id AS other")
     r = sinks.traffic_log_rows(f)
-    return r.select("timestamp", "src_ip", "sport", "service", "state", "attack_type").withColumn("columns", F.lit(len(r.columns)))
+    return r
+
+
+TRAFFIC_SQL = {"timestamp": "CAST(first_seen_ms AS VARCHAR)", "src_ip": "src_ip", "dst_ip": "dst_ip", "sport": "CAST(src_port AS VARCHAR)", "dport": "CAST(dst_port AS VARCHAR)", "service": "CASE WHEN o % 5 = 0 THEN '' ELSE 'x' END"}
 
 
 # ---- scalar rules -------------------------------------------------------------------------------------------------
@@ -505,7 +512,7 @@ QUERIES = {
     "snk4_export_rows": (_exported, EXPORT_SQL),
     "snk6_incident_reports": (_reports, None),
     "snk6_incident_trail": (_trail_lines, TRAIL_SQL),
-    "snk7_traffic_log_rows": (_traffic_rows, FL + "SELECT CAST(first_seen_ms AS VARCHAR) AS timestamp, src_ip, CAST(src_port AS VARCHAR) AS sport, CASE WHEN o % 5 = 0 THEN '' ELSE 'x' END AS service, '' AS state, '' AS attack_type, 35 AS columns FROM flows"),
+    "snk7_traffic_log_rows": (_traffic_rows, FL + "SELECT " + ", ".join(f"""{TRAFFIC_SQL.get(c, "''")} AS {c}""" for c in fixed.TRAFFIC_LOG_COLUMNS) + " FROM flows"),
     "c01_c10_scalars": (_scalars, SCALARS_SQL),
     "c02_overrides": (lambda s, d: D.judged(s, d).groupBy("source", "prediction", "severity").agg(F.count("*").alias("rows"), F.sum(F.round(F.col("confidence") * 10000).cast("long")).alias("confidence_e4")), J + "SELECT source, prediction, severity, count(*) AS rows, CAST(sum(CAST(round(confidence * 10000) AS BIGINT)) AS BIGINT) AS confidence_e4 FROM judged GROUP BY ALL"),
     "m08_hierarchical": (lambda s, d: D.scored(s, d).select("flow_id", "prediction", "confidence", "severity", "attack_type", "family", "stage1_p", "stage2_p", "stage3_p"), SC + "SELECT flow_id, prediction, confidence, severity, attack_type, family, stage1_p, stage2_p, stage3_p FROM scored"),

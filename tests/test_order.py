@@ -122,6 +122,14 @@ def test_first_n_and_rank(spark):
     for n in (0, 1, 7, 250, 499, 500, 900):
         got = sorted(r.id for r in X.first_n(df, F.floor(F.col("v") / 100), [F.col("v"), F.col("id")], n).collect())
         assert got == sorted(i for _, i in sorted(data)[:n])
+        twice = X.first_n(df, F.floor(F.col("v") / 100), [F.col("v"), F.col("id")], n, finer=[F.floor(F.col("v") / 10), F.col("v")])
+        assert sorted(r.id for r in twice.collect()) == got
+    keyed = X.first_n(df.withColumn("k", F.col("id") % 3), F.floor(F.col("v") / 100), [F.col("v"), F.col("id")], 50, ["k"], [F.floor(F.col("v") / 10)])
+    assert sorted(r.id for r in keyed.collect()) == sorted(i for k in range(3) for _, i in sorted(d for d in data if d[1] % 3 == k)[:50])
+    levels = [(F.floor(F.col("v") / 100), [F.col("_bucket")]), (F.floor(F.col("v") / 10), [F.col("_bucket")])]
+    for low, high in ((1, 1), (250, 260), (480, 900), (600, 700)):
+        got = X.ranked_slice(df, levels, [F.col("v"), F.col("id")], low, high).orderBy("rank").collect()
+        assert [(r.v, r.id) for r in got] == sorted(data)[low - 1 : high] and [r["rank"] for r in got] == list(range(low, min(high, 500) + 1))
     ranked = X.global_rank(df, F.floor(F.col("v") / 100), [F.col("v"), F.col("id")])
     assert {r.id: r["rank"] for r in ranked.collect()} == {i: k + 1 for k, (_, i) in enumerate(sorted(data))}
 

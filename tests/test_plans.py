@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from flowsieve.operators import correlate, enrich, packets as K, predicates, suppress
+from flowsieve.operators import correlate, enrich, learn, packets as K, predicates, suppress, triage
 from flowsieve.plans import driver_tables as D
 from flowsieve.plans import registry
 
@@ -60,3 +60,45 @@ def test_time_filter_reaches_the_scan(spark, sf, tmp_path):
     D.fresh_predictions(spark, sf).drop("mitre").write.parquet(path)
     text = plan(predicates.in_range(spark.read.parquet(path).select("id", "flow_timestamp"), "7d", D.as_of()))
     assert "PushedFilters: [IsNotNull(flow_timestamp), GreaterThanOrEqual(flow_timestamp" in text and "ReadSchema: struct<id:string,flow_timestamp:timestamp>" in text
+
+
+def stored(spark, sf, path):
+    D.fresh_predictions(spark, sf).drop("mitre").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_a_deep_page_ranks_only_its_own_rows(spark, sf, tmp_path):
+    q = stored(spark, sf, str(tmp_path / "q"))
+    offset = q.count() // 2
+    assert offset > 20
+    whole = [r.id for r in q.orderBy(q.flow_timestamp.desc(), "id").select("id").collect()]
+    before, triage.DEEP = triage.DEEP, 0
+    try:
+        page = triage.page(q, limit=20, offset=offset)
+    finally:
+        triage.DEEP = before
+    assert [r.id for r in page.collect()] == whole[offset : offset + 20]
+    text = plan(page)
+    window = text.split("Window [row_number()", 1)[1]
+    # rows are shuffled once, for the last ranking, behind the broadcast of the buckets that reach into the page
+    assert text.count("BroadcastHashJoin [coalesce(_before") >= 2 and "BroadcastHashJoin" in window and "NestedLoop" not in text
+
+
+def test_all_tiers_are_counted_in_one_scan(spark, sf, tmp_path):
+    q = stored(spark, sf, str(tmp_path / "q"))
+    f = q.family
+    tiers = {"all": (f.isNotNull(), f, q.source), "none": (f == "no such", f, q.source), "some": (q.source == "ml_only", f, f)}
+    out = learn.tier_results(q, tiers)
+    assert plan(out).count("FileScan parquet") == 1
+    rows = {r.tier: r for r in out.collect()}
+    assert set(rows) == set(tiers) and rows["none"]["rows"] is None and rows["none"].classes == 0
+    for name, (where, truth, pred) in tiers.items():
+        if name != "none":
+            one = learn.summary(learn.report(learn.confusion(q.filter(where).select(truth.alias("t"), pred.alias("p")), "t", "p"))).first()
+            assert {k: rows[name][k] for k in one.asDict()} == one.asDict()
+
+
+def test_a_page_of_campaigns_ranks_only_their_rows(spark, sf, tmp_path):
+    text = plan(triage.campaign_view(stored(spark, sf, str(tmp_path / "q")), samples=5, limit=3))
+    ranked = text.split("Window [row_number()", 1)[1]
+    assert "LeftSemi, BuildRight" in ranked.split("FileScan parquet", 1)[0]
