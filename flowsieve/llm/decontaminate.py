@@ -8,7 +8,9 @@ kept ones lie on at most ``k + 1`` neighbouring diagonals (position in the text
 2. Hits are counted, each q-gram of the item once, in diagonal bands of ``2 (k + 1)`` that overlap by half; a band with enough of them is a region.
 3. Each region is aligned with the item in a band around its diagonals; a region within the budget is a leak.
 
-Items are shipped in shards of at most ``SHARD_CHARS`` characters; a larger benchmark makes further shards, each met by all documents in a pass of its own. Items with
+A benchmark of at most ``SHARD_CHARS`` characters is broadcast and met by all documents in one pass. A larger one stays in Spark (``_far``): of ``n + 1 - Q`` q-grams an
+occurrence may lose ``Q * k``, so it keeps one of any ``Q * k + 1``; each item is looked for by those of its q-grams that fewest texts have, found by an equi-join, and steps
+2 and 3 decide on the pairs so found. Only a bitmap of fixed size (``FILTER_BITS``) of the items' q-grams is broadcast then. Both ways give the same rows. Items with
 fewer than ``Q`` letters and digits are no evidence and never match. Null and empty texts have no leaks. Overlapping finds of one item in a document are one (the one with the
 fewest edits). Equal items each give a row.
 """
@@ -16,18 +18,19 @@ fewest edits). Equal items each give a row.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsieve.llm.text import mix, slices, string_array
+from flowsieve.llm.text import fresh, mix, slices, stash, string_array
 
 Q = 12
 EDITS = 0.06
-SHARD_CHARS = 16 << 20
+SHARD_CHARS = 1 << 20
+FILTER_BITS = 27
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _table: np.ndarray | None = None
 
@@ -202,54 +205,125 @@ def _per_text(batch_texts: pa.Array, items: Items) -> Iterator[tuple[int, list[t
                 yield low + int(r), [(i, int(where[s]), int(where[e - 1]) + 1, c) for i, s, e, c in found]
 
 
-def _shards(benchmark: DataFrame) -> list:
-    """The items as broadcasts of at most SHARD_CHARS characters each (a longer item alone), fetched one shard at a time."""
-    rows: list[tuple[int, str]] = []
-    out, held = [], 0
-    context = benchmark.sparkSession.sparkContext
-    for r in benchmark.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
-        rows.append((r["item_id"], r["text"]))
-        held += len(r["text"])
-        if held >= SHARD_CHARS:
-            out.append(context.broadcast(rows))
-            rows, held = [], 0
-    return out + [context.broadcast(rows)] if rows or not out else out
+def _worth(benchmark: DataFrame, q: int) -> DataFrame:
+    return benchmark.where(F.length("text") >= q)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS) -> DataFrame:
-    """doc_id, item_id, start, end (code points of the text), edits: a row per item and place of a document that holds it."""
+def _small(benchmark: DataFrame, q: int):
+    """The items as one broadcast, or None if they have more than SHARD_CHARS characters."""
+    items = _worth(benchmark, q).select("item_id", "text")
+    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > SHARD_CHARS:
+        return None
+    rows = [(r["item_id"], r["text"]) for r in items.orderBy("item_id", "text").collect()]
+    return benchmark.sparkSession.sparkContext.broadcast(rows)
 
-    def search(shard):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = Items(shard.value, q, edits)
-            for batch in batches:
-                rows, found = [], []
-                for r, spans in _per_text(string_array(batch.column("text")), items):
-                    rows += [r] * len(spans)
-                    found += spans
-                column = lambda j: pa.array([f[j] for f in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array([items.ids[f[0]] for f in found], pa.int64()), column(1), column(2), column(3)],
-                                                 names=["doc_id", "item_id", "start", "end", "edits"])
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, start long, end long, edits long")
+def _known(text: str = "text") -> Column:
+    return F.unhex(F.sha2(F.col(text), 256))
 
-    return reduce(DataFrame.unionAll, [search(s) for s in _shards(benchmark)])
 
+def _places(batches: Iterator[pa.RecordBatch], q: int, edits: float) -> Iterator[pa.RecordBatch]:
+    """All q-grams of the items, and how many of them are enough to look for."""
+    for batch in batches:
+        for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+            values, _ = folded(text)
+            grams = gram_hashes(values, q)
+            if len(grams):
+                most = q * budget(len(values), q, edits) + 1
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(grams), pa.binary()), pa.array(np.arange(len(grams), dtype=np.int32)), pa.array(grams.view(np.int64)),
+                                                  pa.array(np.full(len(grams), most, np.int32))], names=["item", "place", "gram", "most"])
+
+
+def _passing(batches: Iterator[pa.RecordBatch], q: int, bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The q-grams of the texts that the bitmap of the items' q-grams lets through."""
+    shift = np.uint64(64 - 6 - (len(bitmap).bit_length() - 1))
+    for batch in batches:
+        column = string_array(batch.column("text"))
+        for low, high in slices(column):
+            keys, found = [], []
+            for key, text in zip(batch.column("key").slice(low, high - low).to_pylist(), column.slice(low, high - low).to_pylist()):
+                grams = np.unique(gram_hashes(folded(text)[0], q))
+                cell = grams >> shift
+                grams = grams[(bitmap[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1) == 1]
+                keys += [key] * len(grams)
+                found.append(grams)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(found).view(np.int64))], names=["key", "gram"])
+
+
+def _decided(batches: Iterator[pa.RecordBatch], q: int, edits: float) -> Iterator[pa.RecordBatch]:
+    """The occurrences of an item in a text, for pairs of both."""
+    one = lru_cache(256)(lambda text: Items([(0, text)], q, edits))
+    for batch in batches:
+        rows, found, last, cut = [], [], None, None
+        for r, (key, text, item_text) in enumerate(zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("item_text").to_pylist())):
+            if key != last:
+                last, cut = key, folded(text)
+            values, at = cut
+            for _, start, end, edited in one(item_text).leaks(values, *one(item_text).hits(values)):
+                rows.append(r)
+                found.append((int(at[start]), int(at[end - 1]) + 1, edited))
+        column = lambda j: pa.array([f[j] for f in found], pa.int64())
+        take = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("key").take(take), batch.column("item").take(take), column(0), column(1), column(2)], names=["key", "item", "start", "end", "edits"])
+
+
+def _far(docs: DataFrame, benchmark: DataFrame, q: int, edits: float) -> DataFrame:
+    """key and item (digests of the texts), start, end, edits of all occurrences, for a benchmark of any size; equal texts are looked at once."""
+    items = _worth(benchmark, q).select(_known().alias("item"), "text").dropDuplicates(["item"])
+    grams = stash(items.mapInArrow(lambda b: _places(b, q, edits), "item binary, place int, gram long, most int"), "item-grams")
+    cell = F.shiftrightunsigned("gram", 64 - FILTER_BITS)
+    words = grams.select(F.shiftright(cell, 6).alias("word"), cell.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    shipped = docs.sparkSession.sparkContext.broadcast(bitmap)
+    texts = docs.where(F.length("text") >= q).select(_known().alias("key"), "text")
+    seen = stash(texts.mapInArrow(lambda b: _passing(b, q, shipped.value), "key binary, gram long").distinct(), "text-grams")
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("texts", F.lit(0)), "gram", "place"))
+    common = seen.groupBy("gram").agg(F.count("*").alias("texts"))
+    sought = grams.join(common, "gram", "left").withColumn("rank", rank).where("rank <= most AND texts IS NOT NULL").select("item", "gram").distinct()
+    pairs = stash(sought.join(seen, "gram").select("key", "item").distinct(), "text-items")
+    held = texts.join(pairs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    near = pairs.join(items.withColumnRenamed("text", "item_text"), "item").join(held, "key").select("key", "item", "text", "item_text")
+    return near.mapInArrow(lambda b: _decided(b, q, edits), "key binary, item binary, start long, end long, edits long")
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS) -> DataFrame:
-    """The rows of ``docs`` whose text holds no item."""
 
-    def keep(shard):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = Items(shard.value, q, edits)
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                for r, _ in _per_text(string_array(batch.column("text")), items):
-                    clean[r] = False
-                yield batch.filter(pa.array(clean))
+def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS) -> DataFrame:
+    """doc_id, item_id, start, end (code points of the text), edits: a row per item and place of a document that holds it."""
+    shard = _small(benchmark, q)
+    if shard is None:
+        found = _far(docs, benchmark, q, edits)
+        named = found.join(_worth(benchmark, q).select(_known().alias("item"), F.col("item_id").cast("long").alias("item_id")), "item")
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _known().alias("key")).join(named, "key").select("doc_id", "item_id", "start", "end", "edits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(shard.value, q, edits)
+        for batch in batches:
+            rows, found = [], []
+            for r, spans in _per_text(string_array(batch.column("text")), items):
+                rows += [r] * len(spans)
+                found += spans
+            column = lambda j: pa.array([f[j] for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array([items.ids[f[0]] for f in found], pa.int64()), column(1), column(2), column(3)],
+                                             names=["doc_id", "item_id", "start", "end", "edits"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, start long, end long, edits long")
 
-        return run
 
-    for shard in _shards(benchmark):
-        docs = docs.mapInArrow(keep(shard), docs.schema)
-    return docs
+def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item."""
+    shard = _small(benchmark, q)
+    if shard is None:
+        key = fresh(docs, "_key")
+        held = _far(docs.select("text"), benchmark, q, edits).select(F.col("key").alias(key)).distinct()
+        return docs.withColumn(key, _known()).join(held, key, "left_anti").select(*docs.columns)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(shard.value, q, edits)
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for r, _ in _per_text(string_array(batch.column("text")), items):
+                clean[r] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -116,7 +116,9 @@ def edits_within(item, text):
     return min(row)
 
 
-def test_leaks_against_brute_force(spark):
+@pytest.mark.parametrize("shard_chars", [decontaminate.SHARD_CHARS, 60])
+def test_leaks_against_brute_force(spark, monkeypatch, shard_chars):
+    monkeypatch.setattr(decontaminate, "SHARD_CHARS", shard_chars)
     rng = random.Random(9)
     letters = "abcdefghij"
     make = lambda n: "".join(rng.choice(letters) for _ in range(n))
@@ -152,14 +154,18 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.leaks(docs.limit(0), benchmark).count() == decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
 
 
-def test_leaks_in_several_shards(spark, monkeypatch):
+def test_a_large_benchmark_gives_the_rows_of_a_small_one(spark, monkeypatch):
     rng = random.Random(10)
     items = {i: prose(rng, 12) for i in range(5)}
-    docs = table(spark, {i: f"{prose(rng, 5)} {t}" for i, t in items.items()} | {9: prose(rng, 30)})
-    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    texts = [(i, f"{prose(rng, 5)} {t}") for i, t in items.items()] + [(9, prose(rng, 30)), (None, items[2]), (None, f"{items[3]} x"), (1, items[4]), (1, items[4]), (7, None), (8, "")]
+    docs = spark.createDataFrame([(d, t, "k") for d, t in texts], "doc_id long, text string, _key string")
+    benchmark = spark.createDataFrame([*items.items(), (2, items[2]), (77, items[4]), (None, items[0]), (78, ""), (79, None)], "item_id long, text string")
+    order = lambda rows: sorted(map(str, rows))
+    want = order(decontaminate.leaks(docs, benchmark).collect()), order(decontaminate.without_leaks(docs, benchmark).collect())
+    assert len(want[0]) == 15 and len(want[1]) == 3
     monkeypatch.setattr(decontaminate, "SHARD_CHARS", 60)
-    assert sorted((r.doc_id, r.item_id, r.edits) for r in decontaminate.leaks(docs, benchmark).collect()) == [(i, i, 0) for i in range(5)]
-    assert [r.doc_id for r in decontaminate.without_leaks(docs, benchmark).collect()] == [9]
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 10)  # lets nearly everything through
+    assert (order(decontaminate.leaks(docs, benchmark).collect()), order(decontaminate.without_leaks(docs, benchmark).collect())) == want
 
 
 def test_base_scores_against_brute_force(spark, monkeypatch):
