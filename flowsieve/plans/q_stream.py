@@ -132,7 +132,7 @@ def st4_late_rows(spark, sf):
     """Rows come in four batches without regard to time; what is more than ten days behind comes out on its own, unmatched."""
     run = _folder(spark, "late")
     job = L.live_join(spark, f"{run}/held", _kept(run, True), lateness_ms=LATE_MS)
-    for _ in _fed(spark, job, run, _sides, _live_sides(spark, sf, lambda d, ts, n: F.col(n) % 4), 4):
+    for _ in _fed(spark, job, run, _sides, _live_sides(spark, sf, lambda d, ts, n: F.greatest(F.lit(0), F.col(n) % 4)), 4):
         pass
     pick = lambda d, late: d.select("flow_id", *KEY, F.col("alert.event_id").alias("event_id"), F.lit(late).alias("late"))
     return pick(_read_kept(spark, run), False).unionByName(pick(_read_kept(spark, run, "late"), True))

@@ -24,7 +24,7 @@ END = 1 << 62
 
 
 class HeldRows:
-    """The tables of one job. Rows of the stream have ``_t`` (event time in milliseconds) and ``_side``; the watermark follows the slowest of ``sides``. ``fold`` turns them into the rows
+    """The tables of one job. Rows of the stream have ``_t`` (event time in milliseconds) and ``_side``; the watermark follows the slowest of ``sides``; rows without a time are never late. ``fold`` turns them into the rows
     that are held, if those differ."""
 
     def __init__(self, spark: SparkSession, folder: str, sides: tuple[str, ...], lateness_ms: int, decide: Decide, store: Store, fold: Callable[[DataFrame], DataFrame] | None = None):
@@ -63,10 +63,15 @@ class HeldRows:
         rows = (spark or self.spark).read.parquet(f"{self.folder}/rows/batch={batch_id}")
         return rows.filter("_done" if done else "NOT _done").drop("_done")
 
+    def _late(self, batch_id: int) -> DataFrame | None:
+        """Rows of a batch that came too late, kept because ``finish`` stores the last batch once more."""
+        name = f"late/batch={batch_id}"
+        return self.spark.read.parquet(f"{self.folder}/{name}") if self._has(name) else None
+
     def take(self, batch: DataFrame, batch_id: int) -> None:
         before = self._marks(batch_id - 1)
         known = self._watermark(before)
-        late = F.lit(False) if known is None else F.col("_t") < known
+        late = F.lit(False) if known is None else F.coalesce(F.col("_t") < known, F.lit(False))
         batch = batch.persist()
         try:
             seen = batch.agg(*[F.max(F.when(F.col("_side") == s, F.col("_t"))).alias(s) for s in self.sides], F.count_if(late).alias("_late")).first()
@@ -75,13 +80,15 @@ class HeldRows:
             if batch_id and not self._has(f"drained/batch={batch_id - 1}"):
                 rows = rows.unionByName(self._rows(batch_id - 1, False, batch.sparkSession))
             self.decide(rows, self._watermark(marks)).write.mode("overwrite").parquet(f"{self.folder}/rows/batch={batch_id}")
+            if seen["_late"]:
+                batch.filter(late).write.mode("overwrite").parquet(f"{self.folder}/late/batch={batch_id}")
             self._put_marks(batch_id, marks)
-            self.store(self._rows(batch_id, True), batch.filter(late) if seen["_late"] else None, batch_id)
+            self.store(self._rows(batch_id, True), self._late(batch_id), batch_id)
         finally:
             batch.unpersist()
 
     def finish(self) -> None:
-        """Decides all that is still held and stores it with the last batch, whose output is replaced. A later start of the stream begins with nothing held."""
+        """Decides all that is still held and stores it with the last batch, whose output is replaced and whose late rows stay. A later start of the stream begins with nothing held."""
         p, fs = self._path("marks")
         if not fs.exists(p):
             return
@@ -89,7 +96,7 @@ class HeldRows:
         if not self._has(f"drained/batch={last}"):
             self.decide(self._rows(last, False), END).filter("_done").drop("_done").write.mode("overwrite").parquet(f"{self.folder}/drained/batch={last}")
         drained = self.spark.read.parquet(f"{self.folder}/drained/batch={last}")
-        self.store(self._rows(last, True).unionByName(drained), None, last)
+        self.store(self._rows(last, True).unionByName(drained), self._late(last), last)
 
     def start(self, stream: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
         """``trigger`` defaults to a batch a second; ``{"availableNow": True}`` works on all there is and stops."""

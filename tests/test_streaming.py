@@ -109,6 +109,48 @@ def test_late_rows_come_out_on_their_own(spark, tmp_path):
     assert {(r.flow_id, r.alert and r.alert.event_id) for r in sink.all()} == {("f1", 1), ("f2", 2), ("f4", 4), ("f5", 5)}
 
 
+class Replacing(Sink):
+    """A sink whose batches replace all of the batch, its late rows too."""
+
+    def __call__(self, rows, late, batch_id):
+        self.batches[batch_id] = rows.collect()
+        self.late[batch_id] = [] if late is None else late.collect()
+
+
+def test_late_rows_of_the_last_batch_survive_the_end(spark, tmp_path):
+    t = 1_704_067_200_000
+    flow = lambda i, s: (f"f{i}", "s", "d", 1, 2, 6, t + s * 1000)
+    alert = lambda i, s: (i, "s", "d", 1, 2, 6, t + s * 1000, 7, "m", "c", 1)
+    sink = Replacing()
+    parts = [([flow(1, 100), flow(2, 500)], [alert(1, 90), alert(2, 500)]), ([flow(3, 200), flow(5, 900)], [alert(3, 300), alert(5, 900)])]
+    join_run(spark, tmp_path, parts, 10_000, sink)
+    assert {(r.flow_id, r.alert and r.alert.event_id) for r in sink.late[1]} == {("f3", None), (None, 3)}
+    assert sorted((r.flow_id, r.alert.event_id) for r in sink.all()) == [("f1", 1), ("f2", 2), ("f5", 5)]
+
+
+def test_late_packets_of_the_last_batch_survive_the_end(spark, tmp_path):
+    t = 1_704_067_200_000
+    packet = lambda s: ("s", "d", 1, 2, 6, t + s * 1000, 60, 0)
+    sink = Replacing()
+    job = B.flow_job(spark, str(tmp_path), sink)
+    for batch, seconds in enumerate(([0, 500], [1, 900], [2, 3])):
+        job.take(B.packet_rows(spark.createDataFrame([packet(s) for s in seconds], f"{KEYS}, ts_ms long, length int, flags int")), batch)
+    job.finish()
+    assert {b: len(late) for b, late in sink.late.items()} == {0: 0, 1: 1, 2: 2}
+    assert sum(r.bidirectional_packets for r in sink.all()) == 3
+
+
+def test_rows_without_a_time_are_joined_as_in_the_batch_form(spark, tmp_path):
+    flows, alerts = sides(spark, 5)
+    untimed = [("n1", "s1", "d", 1, 2, 6, None), ("n2", "only", "d", 1, 2, 6, None)]
+    silent = [(200, "s1", "d", 1, 2, 6, None, 7, "m", "c", 1), (201, "new", "d", 1, 2, 6, None, 7, "m", "c", 1), (202, "new", "d", 1, 2, 6, None, 7, "m", "c", 1)]
+    f, a = ([tuple(r) for r in d.collect()] for d in (flows, alerts))
+    want = pairs(correlate.interval_correlate(spark.createDataFrame(f + untimed, FLOW), spark.createDataFrame(a + silent, ALERT)).collect())
+    sink = Sink()
+    join_run(spark, tmp_path, [(f[::2] + untimed[:1], a[::2] + silent[:2]), (f[1::2] + untimed[1:], a[1::2] + silent[2:])], 500_000, sink)
+    assert pairs(sink.all()) == want and not sink.late
+
+
 def test_state_of_a_flooded_key_is_one_window(spark, tmp_path):
     t = 1_704_067_200_000
     flows = [[(f"f{k}-{i}", "s", "d", 1, 2, 6, t + (k * 1000 + i) * 1000) for i in range(0, 1000, 5)] for k in range(2)]
