@@ -13,16 +13,16 @@ Tokens are words, A-Z lower-cased, then one end per text. Two models learn from
 Neither words nor states pass through the driver, but for frequent words and for states of up to ``SHORT`` bytes, of which a script has only so many. Training
 counts are dealt to buckets, words by their hash and grams by the ``SHORT + 1`` bytes before the last, so a bucket has all longer contexts of its grams and builds their part of
 the tree. Documents are handled in blocks: a block asks every bucket once for its distinct words and grams, and sums the answers over its texts. The answers on grams are
-single-precision logarithms.
+single-precision logarithms. Training words and grams are counted by block before they leave it; sums by text follow one plain sort of numbers that carry their text.
 
 A null text is empty and has the end token only. Without training documents the base counts are 0 and the tree is uniform. Repeated rows stay rows.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,7 @@ END = 10
 BLOCK_BYTES = 8 << 20
 PART_BYTES = 1 << 20
 BUCKET_BYTES = 4 << 20
+SORTED_BYTES = 4 << 20
 _BYTE = np.uint64(8)
 #: What is dealt to buckets: training grams, training words, a block's grams, its words, its texts.
 GRAMS, WORDS, ASKED_GRAMS, ASKED_WORDS, TEXTS = range(5)
@@ -100,40 +101,65 @@ class Tree:
         for d, (states, weight, keys, known) in enumerate(self.levels, 1):
             if not len(states):
                 continue
+            # a history is sought once for all neighbours that share it, a byte only behind a state
             history = value >> np.uint64(8 * (depth - d + 1))
-            key = (history << _BYTE) | byte
-            i = np.minimum(np.searchsorted(states, history), len(states) - 1)
-            j = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            is_state = states[i] == history
-            p = np.where(is_state, np.where(keys[j] == key, known[j], weight[i] * p), p)
+            start = _starts(history)
+            is_state, i = _is_in(history[start], states)
+            size = np.diff(np.append(start, len(value)))
+            at = np.flatnonzero(np.repeat(is_state, size))
+            key = (history[at] << _BYTE) | byte[at]
+            is_known, j = _is_in(key, keys)
+            p[at] = np.where(is_known, known[j], weight[np.repeat(i[is_state], size[is_state])] * p[at])
         return p
 
 
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+
+
+def _is_in(values: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of ``values`` is among some sorted numbers, and its place there."""
+    if not len(among):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    i = np.minimum(np.searchsorted(among, values), len(among) - 1)
+    return among[i] == values, i
+
+
 def _distinct(values: np.ndarray) -> np.ndarray:
     """As ``np.unique``, which hashes and takes several times as long."""
     values = np.sort(values)
-    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+    return values[_starts(values)]
 
 
 def _summed(have: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    key = np.concatenate([h[0] for h in have])
-    found, inverse = np.unique(key, return_inverse=True)
-    return found, np.bincount(inverse, weights=np.concatenate([h[1] for h in have])).astype(np.int64)
+    """Keys and counts put together; parts that are sorted are merged."""
+    key, n = np.concatenate([h[0] for h in have]), np.concatenate([h[1].astype(np.int64) for h in have])
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    start = _starts(key)
+    return key[start], np.add.reduceat(n[order], start) if len(start) else n
 
 
 def _counted(texts: Iterator[pa.Array], depth: int, most: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Sorted numbers of ``grams`` with their counts, whenever ``most`` of them have come together."""
     have: list[tuple[np.ndarray, np.ndarray]] = []
+    fresh: list[np.ndarray] = []
+
+    def counted() -> list[tuple[np.ndarray, np.ndarray]]:
+        value = np.sort(np.concatenate(fresh))
+        start = _starts(value)
+        return [_summed([*have, (value[start], np.diff(np.append(start, len(value))))])]
+
     for column in texts:
         for low, high in slices(column):
-            value, _ = grams(*symbols(Words(column.slice(low, high - low), lower=True), depth), depth)
-            have.append(np.unique(value, return_counts=True))
-            if len(have) >= 8:
-                have = [_summed(have)]
+            fresh.append(grams(*symbols(Words(column.slice(low, high - low), lower=True), depth), depth)[0])
+            if sum(map(len, fresh)) >= SORTED_BYTES:
+                have, fresh = counted(), []
                 if len(have[0][0]) > most:
                     yield have.pop()
-    if have:
-        yield _summed(have)
+    if have or fresh:
+        yield counted()[0] if fresh else have[0]
 
 
 def _count_batch(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -148,13 +174,22 @@ def _gram_counts(depth: int):
     return run
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Bytes, compressed, behind their number."""
+    return len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(values), codec="zstd", asbytes=True)
+
+
+def _whole(raw: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(memoryview(raw)[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+
+
 def _planes(values: np.ndarray) -> bytes:
     """64-bit numbers, compressed byte by byte."""
-    return zlib.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    return _squeezed(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).ravel())
 
 
 def _from_planes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.ascontiguousarray(_whole(raw).reshape(8, -1).T).view("<u8").ravel()
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -213,8 +248,11 @@ def _leading(depth: int, short: int):
 
 def _level(tree: Tree, key: np.ndarray, n: np.ndarray, depth: int, least: float, gain: float):
     """The next level of ``tree``, from the sorted distinct (context, byte) numbers of that depth and their counts."""
-    history, inverse = np.unique(key >> _BYTE, return_inverse=True)
-    size_of, kinds = np.bincount(inverse, weights=n, minlength=len(history)), np.bincount(inverse, minlength=len(history))
+    history = key >> _BYTE
+    start = _starts(history)
+    history, kinds = history[start], np.diff(np.append(start, len(key)))
+    inverse = np.repeat(np.arange(len(start)), kinds)
+    size_of = np.bincount(inverse, weights=n, minlength=len(history))
     parent = tree.probability(key, depth)
     diverges = (size_of >= least) & (np.bincount(inverse, weights=n * np.log(n / size_of[inverse] / parent), minlength=len(history)) >= gain)
     known = (n + kinds[inverse] * parent) / (size_of + kinds)[inverse]
@@ -247,21 +285,80 @@ def fit_tree(texts: DataFrame, depth: int = SHORT, min_share: float = 0.0, gain:
     return _fit(texts.select("text").mapInArrow(_gram_counts(depth), "gram long, n long"), depth, LEAST, min_share, gain)
 
 
+def _gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of ``data`` one behind the other, each with ``gap`` spaces behind it, and where they begin and the last ends."""
+    edge = np.concatenate([[0], np.cumsum(size + gap)])
+    out = np.full(int(edge[-1]), 32, np.uint8)
+    before = np.cumsum(size) - size
+    each = np.arange(int(size.sum()))
+    out[np.repeat(edge[:-1] - before, size) + each] = data[np.repeat(start - before, size) + each]
+    return out, edge
+
+
+class Kinds:
+    """The distinct words of a block, part by part: hashes, counts and bytes."""
+
+    def __init__(self):
+        self.hashes, self.n, self.size, self.data = [], [], [], []
+
+    def add(self, words: Words, but: np.ndarray | None = None) -> None:
+        """``but``: sorted hashes of words that are left out."""
+        kind, first, n = np.unique(words.hashes(), return_index=True, return_counts=True)
+        if but is not None:
+            new = ~_is_in(kind, but)[0]
+            kind, first, n = kind[new], first[new], n[new]
+        size = words.end[first] - words.start[first]
+        self.hashes.append(kind)
+        self.n.append(n)
+        self.size.append(size)
+        self.data.append(_gathered(words.data, words.start[first], size)[0])
+
+    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted hashes and their counts; place and size of each word in the bytes, which come last."""
+        kind, first, inverse = np.unique(np.concatenate(self.hashes), return_index=True, return_inverse=True)
+        n = np.bincount(inverse, weights=np.concatenate(self.n), minlength=len(kind)).astype(np.int64)
+        size = np.concatenate(self.size)
+        return kind, n, (np.cumsum(size) - size)[first], size[first], np.concatenate(self.data)
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = string_array(batch.column(0))
-        for low, high in slices(texts, PART_BYTES):
-            words = Words(texts.slice(low, high - low), lower=True)
-            kind, first, n = np.unique(words.hashes(), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([words.text(i, i + 1) for i in first.tolist()], pa.binary()), pa.array(kind.view(np.int64)), pa.array(n)], names=["word", "hash", "n"])
+        for low, high in slices(texts, BLOCK_BYTES):
+            block, found = texts.slice(low, high - low), Kinds()
+            for a, b in slices(block, PART_BYTES):
+                found.add(Words(block.slice(a, b - a), lower=True))
+            kind, n, start, size, data = found.all()
+            # a binary column holds 2 GB at most
+            for i in range(0, len(kind), 1 << 16):
+                j = slice(i, i + (1 << 16))
+                raw, edge = _gathered(data, start[j], size[j])
+                word = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(kind[j]), [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([word, pa.array(kind[j].view(np.int64)), pa.array(n[j])], names=["word", "hash", "n"])
+
+
+def _dealt_words(buckets: int):
+    """Counted words (word, hash, c) → rows of the words of a bucket with their counts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: list[pa.RecordBatch] = []
 
-def _is_in(values: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each of ``values`` is among some sorted numbers, and its place there."""
-    if not len(among):
-        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
-    i = np.minimum(np.searchsorted(among, values), len(among) - 1)
-    return among[i] == values, i
+        def dealt() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(have)
+            order, which, edge = _dealt(np.asarray(rows["hash"]).view(np.uint64), buckets)
+            words, n = rows["word"].take(pa.array(order)).to_pylist(), np.asarray(rows["c"])[order]
+            parts = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
+            return _rows(which, WORDS, 0, [b" ".join(words[a:b]) for a, b in parts], [_planes(n[a:b]) for a, b in parts], [0] * len(parts))
+
+        for batch in batches:
+            have.append(batch)
+            if sum(b.nbytes for b in have) >= BLOCK_BYTES:
+                yield dealt()
+                have = []
+        if have:
+            yield dealt()
+
+    return run
 
 
 def _ask(frequent, depth: int, short: int, buckets: int):
@@ -273,25 +370,23 @@ def _ask(frequent, depth: int, short: int, buckets: int):
         for batch in batches:
             ids, texts = batch.column(0), string_array(batch.column(1))
             for low, high in slices(texts, BLOCK_BYTES):
-                asked, hashes, names = [], [], []
+                asked, kinds = [], Kinds()
+                at = int(mix(np.array([block], np.uint64))[0] >> np.uint64(1)) % buckets
                 for part, (a, b) in enumerate(slices(texts.slice(low, high - low), PART_BYTES)):
                     column, doc = texts.slice(low + a, b - a), ids.slice(low + a, b - a)
                     words = Words(column, lower=True)
-                    kind, first = np.unique(words.hashes(), return_index=True)
-                    new = ~_is_in(kind, often)[0]
-                    hashes.append(kind[new])
-                    names += [words.text(i, i + 1) for i in first[new].tolist()]
-                    asked = [_distinct(np.concatenate([*asked, _distinct(grams(*symbols(words, depth), depth)[0])]))]
+                    kinds.add(words, often)
+                    asked.append(_distinct(grams(*symbols(words, depth), depth)[0]))
                     facts = np.asarray(doc.fill_null(0)).astype("<i8").tobytes() + np.asarray(doc.is_null()).astype(np.uint8).tobytes()
-                    at = int(mix(np.array([block], np.uint64))[0] >> np.uint64(1)) % buckets
                     give_back()
-                    yield _rows([at], TEXTS, block, [facts + np.diff(words.edge).astype("<i8").tobytes()], [zlib.compress(words.data.tobytes(), 1)], [part])
-                value = asked[0]
+                    yield _rows([at], TEXTS, block, [facts + np.diff(words.edge).astype("<i8").tobytes()], [_squeezed(words.data)], [part])
+                value = _distinct(np.concatenate(asked))
                 order, which, edge = _dealt(_above(value, depth, short), buckets)
                 yield _rows(which, ASKED_GRAMS, block, [None] * len(which), [_packed(value[order[a:b]]) for a, b in zip(edge[:-1], edge[1:])], [0] * len(which))
-                kind, first = np.unique(np.concatenate(hashes), return_index=True)
+                kind, _, start, size, data = kinds.all()
                 order, which, edge = _dealt(kind, buckets)
-                lists = [b" ".join(names[i] for i in first[order[a:b]].tolist()) for a, b in zip(edge[:-1], edge[1:])]
+                raw, place = _gathered(data, start[order], size[order], 1)
+                lists = [raw[place[a] : place[b] - 1].tobytes() for a, b in zip(edge[:-1], edge[1:])]
                 yield _rows(which, ASKED_WORDS, block, [None] * len(which), lists, [0] * len(which))
                 block += 1
 
@@ -311,7 +406,8 @@ def _answer(short_tree, depth: int, least: int, gain: float):
             out = Tree(shallow.root, list(shallow.levels))
             key, n = _summed(have) if have else (np.zeros(0, np.uint64), np.zeros(0))
             for d in range(len(shallow.levels) + 1, depth + 1):
-                out.levels.append(_level(out, *_summed([(((key >> np.uint64(8 * (depth - d + 1))) << _BYTE) | (key & np.uint64(255)), n)]), d, least, gain))
+                level = (key, n) if d == depth else _summed([(((key >> np.uint64(8 * (depth - d + 1))) << _BYTE) | (key & np.uint64(255)), n)])
+                out.levels.append(_level(out, *level, d, least, gain))
             return out
 
         def sent(out: list[tuple]) -> pa.RecordBatch:
@@ -330,14 +426,14 @@ def _answer(short_tree, depth: int, least: int, gain: float):
                     if len(have) >= 32:
                         have = [_summed(have)]
                 elif kind == WORDS:
-                    counts[key.as_py()] = n.as_py()
+                    counts.update(zip(key.as_py().split(b" "), _from_planes(rows.as_py()).tolist()))
                 elif kind == ASKED_GRAMS:
                     if tree is None:
                         tree, have = grown(), []
                     out.append((bucket, kind, block.as_py(), None, np.log10(tree.probability(_unpacked(rows.as_py()), depth)).astype("<f4").tobytes(), 0))
                 elif kind == ASKED_WORDS:
                     names = rows.as_py().split(b" ")
-                    out.append((bucket, kind, block.as_py(), None, _planes(np.fromiter((counts.get(w, 0) for w in names), np.int64, len(names))), 0))
+                    out.append((bucket, kind, block.as_py(), None, _planes(np.fromiter(map(counts.get, names, repeat(0)), np.int64, len(names))), 0))
                 else:
                     out.append((bucket, kind, block.as_py(), key.as_py(), rows.as_py(), n.as_py()))
                 if out and kind not in (GRAMS, WORDS):
@@ -353,6 +449,22 @@ def _answer(short_tree, depth: int, least: int, gain: float):
     return run
 
 
+def _owned(value: np.ndarray, begin: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By group of texts: the distinct numbers of ``grams``, how often each occurs, and the text in the group of each occurrence.
+
+    The texts of a group are told apart by the bits a number leaves free, so one plain sort brings equal numbers together and keeps whose they are."""
+    free = np.uint64(64 - 8 * (depth + 1))
+    edge, out = np.append(begin, len(value)), []
+    for a in range(0, len(begin), 1 << int(free)):
+        b = min(a + (1 << int(free)), len(begin))
+        owner = np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(edge[a : b + 1]))
+        both = np.sort(value[edge[a] : edge[b]] << free | owner)
+        found, owner = both >> free, (both & np.uint64((1 << int(free)) - 1)).astype(np.uint8 if free <= 8 else np.int32 if free <= 31 else np.int64)
+        start = _starts(found)
+        out.append((found[start], np.diff(np.append(start, len(found))).astype(np.int32), owner))
+    return out
+
+
 def _sum_up(frequent, depth: int, short: int, buckets: int, tokens: int, kinds: int, ends: int):
     """Blocks → documents. ``tokens``, ``kinds``: all and distinct training tokens; ``ends``: training documents."""
     each = np.log10(float(tokens + kinds + 1))
@@ -369,7 +481,7 @@ def _sum_up(frequent, depth: int, short: int, buckets: int, tokens: int, kinds:
         ids, nulls, parts = [], [], []
         at = np.flatnonzero(kind == TEXTS)
         for i in at[np.argsort(number[at])].tolist():
-            facts, data = keys[i].as_py(), zlib.decompress(rows[i].as_py())
+            facts, data = keys[i].as_py(), _whole(rows[i].as_py())
             m = len(facts) // 17
             ids.append(np.frombuffer(facts, "<i8", m))
             nulls.append(np.frombuffer(facts, np.uint8, m, 8 * m))
@@ -377,11 +489,10 @@ def _sum_up(frequent, depth: int, short: int, buckets: int, tokens: int, kinds:
             words = Words(pa.LargeStringArray.from_buffers(m, pa.py_buffer(edge.tobytes()), pa.py_buffer(data)), lower=True)
             of_word, word = np.unique(words.hashes(), return_inverse=True)
             value, begin = grams(*symbols(words, depth), depth)
-            found, gram = np.unique(value, return_inverse=True)
-            parts.append((np.diff(words.first), of_word, word.astype(np.int32), found, gram.astype(np.int32), begin))
-            del words, value, word, gram
+            parts.append((np.diff(words.first), of_word, word.astype(np.int32), _owned(value, begin, depth)))
+            del words, value, word
             give_back()
-        value = _distinct(np.concatenate([p[3] for p in parts]))
+        value = _distinct(np.concatenate([g[0] for p in parts for g in p[3]]))
         logs = np.zeros(len(value))
         logs[_dealt(_above(value, depth, short), buckets)[0]] = answers(ASKED_GRAMS, lambda raw: np.frombuffer(raw, "<f4"))
         hashes = _distinct(np.concatenate([p[1] for p in parts]))
@@ -391,14 +502,14 @@ def _sum_up(frequent, depth: int, short: int, buckets: int, tokens: int, kinds:
         asked = np.flatnonzero(~here)
         c[asked[_dealt(hashes[asked], buckets)[0]]] = answers(ASKED_WORDS, lambda raw: _from_planes(raw).astype(np.int64))
         total, known, base, score = [], [], [], []
-        for count, of_word, word, found, gram, begin in parts:
+        for count, of_word, word, owned in parts:
             m = len(count)
             times = c[np.searchsorted(hashes, of_word)][word]
             row = np.repeat(np.arange(m), count)
             total.append(count + 1)
             known.append(np.bincount(row, weights=times > 0, minlength=m).astype(np.int64) + int(ends > 0))
             base.append(np.bincount(row, weights=np.log10(times + 1), minlength=m) + np.log10(ends + 1.0) - (count + 1) * each)
-            score.append(np.add.reduceat(logs[np.searchsorted(value, found)][gram], begin))
+            score += [np.bincount(owner, weights=np.repeat(logs[np.searchsorted(value, found)], times)) for found, times, owner in owned]
         del parts
         give_back()
         total, known, base, score = (np.concatenate(x) for x in (total, known, base, score))
@@ -424,13 +535,8 @@ def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, least: int =
     learnt = stash(training.select("text").mapInArrow(_dealt_grams(depth, short, buckets), DEALT), "grams")
     tree = context.broadcast(_fit(learnt.select("key", "rows").mapInArrow(_leading(depth, short), "gram long, n long"), short, least, 0.0, gain))
 
-    def dealt_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = (mix(batch.column(1).to_numpy().view(np.uint64)) >> np.uint64(1)).astype(np.int64) % buckets
-            yield _rows(at, WORDS, 0, batch.column(0), [None] * len(at), batch.column(2))
-
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_ask(frequent, depth, short, buckets), DEALT)
-    together = learnt.unionAll(counts.select("word", "hash", "c").mapInArrow(dealt_words, DEALT)).unionAll(asked)
+    together = learnt.unionAll(counts.select("word", "hash", "c").mapInArrow(_dealt_words(buckets), DEALT)).unionAll(asked)
     answered = together.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer(tree, depth, least, gain), DEALT)
     found = answered.groupBy("block").applyInArrow(_sum_up(frequent, depth, short, buckets, tokens, kinds, ends), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return found.withColumn("train_tokens", F.lit(tokens).cast("long"))

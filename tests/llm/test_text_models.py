@@ -253,6 +253,33 @@ def test_rare_contexts_stay_when_the_training_texts_grow(spark):
     assert many > few - 3 and many > -12
 
 
+def test_words_and_grams_of_a_block_are_counted_once(monkeypatch):
+    rng = random.Random(21)
+    texts = [prose(rng, 40, 30) for _ in range(60)] + [None, "", " ", "é ñ É"]
+    column = lm_score.pa.array(texts)
+    monkeypatch.setattr(lm_score, "PART_BYTES", 300)  # a block has many parts
+    rows = [r for b in lm_score._word_counts(iter([lm_score.pa.RecordBatch.from_arrays([column], names=["text"])])) for r in b.to_pylist()]
+    want = collections.Counter(w.encode() for t in texts for w in words(t, lower=True))
+    assert sorted((r["word"], r["n"]) for r in rows) == sorted(want.items())
+    whole = {w: n for w, n in zip(*(np.asarray(x).tolist() for x in next(lm_score._counted(iter([column]), 6))))}
+    monkeypatch.setattr(lm_score, "SORTED_BYTES", 100)
+    again = collections.Counter()
+    for key, n in lm_score._counted(iter([column.slice(i, 5) for i in range(0, len(texts), 5)]), 6, most=500):
+        assert (np.diff(key.astype(np.int64)) > 0).all()
+        again.update(dict(zip(key.tolist(), n.tolist())))
+    assert dict(again) == whole
+    assert len(lm_score._whole(lm_score._squeezed(np.zeros(0, np.uint8)))) == 0 and len(lm_score._from_planes(lm_score._planes(np.zeros(0, np.int64)))) == 0
+
+
+@pytest.mark.parametrize("depth", [3, 6, 7])
+def test_occurrences_of_many_short_texts_keep_their_text(depth):
+    rng = random.Random(22)
+    texts = [prose(rng, rng.randint(0, 3), 30) for _ in range(600)] + ["", None]  # more than the free bits of a number can tell apart
+    value, begin = lm_score.grams(*lm_score.symbols(lm_score.Words(lm_score.pa.array(texts), lower=True), depth), depth)
+    got = np.concatenate([np.bincount(owner, weights=np.repeat(found % 1009, times)) for found, times, owner in lm_score._owned(value, begin, depth)])
+    assert got.tolist() == np.add.reduceat((value % 1009).astype(float), begin).tolist()
+
+
 def test_secrets_held_out_and_edge_cases(spark):
     rng = random.Random(13)
     texts = {}
