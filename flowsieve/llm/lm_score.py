@@ -12,8 +12,9 @@ Tokens are words, A-Z lower-cased, then one end per text. Two models learn from
 
 Neither words nor states pass through the driver, but for frequent words and for states of up to ``SHORT`` bytes, of which a script has only so many. Training
 counts are dealt to buckets, words by their hash and grams by the ``SHORT + 1`` bytes before the last, so a bucket has all longer contexts of its grams and builds their part of
-the tree. Documents are handled in blocks: a block asks every bucket once for its distinct words and grams, and sums the answers over its texts. The answers on grams are
-single-precision logarithms. Training words and grams are counted by block before they leave it; sums by text follow one plain sort of numbers that carry their text.
+the tree. Documents are handled in blocks: a block asks every bucket once for its distinct words and grams, and sums the answers over its texts. What up to ``TOGETHER`` asked
+grams have in common is looked up once. The answers on grams are single-precision logarithms. Training words and grams are counted by block before they leave it; sums by text
+follow one plain sort of numbers that carry their text.
 
 A null text is empty and has the end token only. Without training documents the base counts are 0 and the tree is uniform. Repeated rows stay rows.
 """
@@ -42,6 +43,7 @@ BLOCK_BYTES = 8 << 20
 PART_BYTES = 1 << 20
 BUCKET_BYTES = 4 << 20
 SORTED_BYTES = 4 << 20
+TOGETHER = 1 << 19
 _BYTE = np.uint64(8)
 #: What is dealt to buckets: training grams, training words, a block's grams, its words, its texts.
 GRAMS, WORDS, ASKED_GRAMS, ASKED_WORDS, TEXTS = range(5)
@@ -54,37 +56,63 @@ def held_out(modulus: int = 7, remainder: int = 2):
 
 def symbols(words: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts one behind the other, each as ``depth`` spaces, its words with one space between, and the end; and where each text's first word starts."""
-    count = np.diff(words.first)
-    size = words.end - words.start
-    taken = np.concatenate([[0], np.cumsum(size + 1)])  # a word and what follows it
-    per_text = np.where(count > 0, taken[words.first[1:]] - taken[words.first[:-1]], 1) + depth
-    begin = np.concatenate([[0], np.cumsum(per_text)])
+    data, many = words.data, np.diff(words.first)
+    taken = (data != 32) & (data - np.uint8(9) > 4)
+    taken[np.delete(words.end, words.first[1:][many > 0] - 1)] = True  # the byte behind a word that another one follows
+    size = np.append(0, np.cumsum(words.end - words.start))
+    begin = np.append(0, np.cumsum(size[words.first[1:]] - size[words.first[:-1]] + np.maximum(many, 1) + depth))
+    kept = data[taken]
+    kept[kept - np.uint8(9) <= 4] = 32
     out = np.full(int(begin[-1]), 32, np.uint8)
-    owner = np.repeat(np.arange(len(count)), count)
-    place = begin[:-1][owner] + depth + taken[:-1] - taken[words.first[:-1]][owner]
-    shift = np.repeat(place - words.start, size)
-    source = np.repeat(words.start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum())) if len(size) else np.zeros(0, np.int64)
-    out[source + shift] = words.data[source]
+    body = np.ones(len(out), bool)
+    for j in range(depth):
+        body[begin[:-1] + j] = False
+    body[begin[1:] - 1] = False
+    out[body] = kept
     out[begin[1:] - 1] = END
     return out, begin[:-1] + depth
 
 
-def grams(stream: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def _histories(symbol: np.ndarray, depth: int, bits: int) -> np.ndarray:
+    """Each ``depth`` neighbours as one number, the last one highest: two shorter such numbers put together."""
+    if depth == 1:
+        return symbol
+    far = depth // 2
+    behind = _histories(symbol, far, bits)
+    out = (behind if depth == 2 * far else _histories(symbol, depth - far, bits))[far:] << np.uint64(far * bits)
+    out |= behind[: len(out)]
+    return out
+
+
+def grams(stream: np.ndarray, starts: np.ndarray, depth: int, bits: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Per byte of a text one number: the ``depth`` bytes before it, the nearest one highest, then itself; and where each text begins among them.
 
-    A shorter context is then a leading part of a longer one, so sorted numbers look up the states of every depth in ascending order.
+    A shorter context is then a leading part of a longer one, so sorted numbers look up the states of every depth in ascending order. With fewer ``bits``, the
+    stream has codes of so many bits instead of bytes.
     """
     n = len(stream) - depth
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    wide = stream.astype(np.uint64)
-    value = wide[depth:].copy()
-    for j in range(1, depth + 1):
-        value |= wide[depth - j : depth - j + n] << np.uint64(8 * (depth - j + 1))
-    keep = np.ones(len(stream), bool)
+    if bits == 8:  # eight bytes from each place on, read as one number
+        value = np.ndarray(n, "<u8", np.append(stream, np.zeros(8, np.uint8)), strides=(1,)) & np.uint64((1 << 8 * depth) - 1)
+        value <<= _BYTE
+    else:
+        value = _histories(stream.astype(np.uint64), depth, bits)[:-1] << np.uint64(bits)
+    value |= stream[depth:]
+    keep = np.ones(n, bool)
     for j in range(1, depth + 1):
-        keep[starts - j] = False
-    return value[keep[depth:]], starts - depth * np.arange(1, len(starts) + 1)
+        at = starts - depth - j
+        keep[at[at >= 0]] = False
+    return value[keep], starts - depth * np.arange(1, len(starts) + 1)
+
+
+def _plain(value: np.ndarray, symbol: np.ndarray, depth: int, bits: int) -> np.ndarray:
+    """Numbers of ``grams`` of codes → those of the bytes they stand for."""
+    out = np.zeros(len(value), np.uint64)
+    for j in range(depth + 1):
+        code = (value >> np.uint64(bits * j)) & np.uint64((1 << bits) - 1)
+        out |= symbol[code.astype(np.int64)] << np.uint64(8 * j)
+    return out
 
 
 @dataclass
@@ -149,7 +177,8 @@ def _counted(texts: Iterator[pa.Array], depth: int, most: int = 2 << 20) -> Iter
     def counted() -> list[tuple[np.ndarray, np.ndarray]]:
         value = np.sort(np.concatenate(fresh))
         start = _starts(value)
-        return [_summed([*have, (value[start], np.diff(np.append(start, len(value))))])]
+        found = value[start], np.diff(np.append(start, len(value)))
+        return [_summed([*have, found]) if have else found]
 
     for column in texts:
         for low, high in slices(column):
@@ -202,10 +231,11 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 def _dealt(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order by bucket that keeps the order within each; the buckets that occur, and where each starts and the last ends."""
-    bucket = (mix(values) >> np.uint64(1)).astype(np.int64) % buckets
+    bucket = ((mix(values) >> np.uint64(1)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # short numbers are sorted by radix
     order = np.argsort(bucket, kind="stable")
-    which, start = np.unique(bucket[order], return_index=True)
-    return order, which, np.append(start, len(values))
+    bucket = bucket[order]
+    start = _starts(bucket)
+    return order, bucket[start].astype(np.int64), np.append(start, len(values))
 
 
 def _above(value: np.ndarray, depth: int, short: int) -> np.ndarray:
@@ -303,7 +333,11 @@ class Kinds:
 
     def add(self, words: Words, but: np.ndarray | None = None) -> None:
         """``but``: sorted hashes of words that are left out."""
-        kind, first, n = np.unique(words.hashes(), return_index=True, return_counts=True)
+        kind = words.hashes()
+        order = np.argsort(kind)  # which of equal words comes first is of no account, so the order need not be stable
+        kind = kind[order]
+        start = _starts(kind)
+        kind, first, n = kind[start], order[start], np.diff(np.append(start, len(kind)))
         if but is not None:
             new = ~_is_in(kind, but)[0]
             kind, first, n = kind[new], first[new], n[new]
@@ -378,7 +412,6 @@ def _ask(frequent, depth: int, short: int, buckets: int):
                     kinds.add(words, often)
                     asked.append(_distinct(grams(*symbols(words, depth), depth)[0]))
                     facts = np.asarray(doc.fill_null(0)).astype("<i8").tobytes() + np.asarray(doc.is_null()).astype(np.uint8).tobytes()
-                    give_back()
                     yield _rows([at], TEXTS, block, [facts + np.diff(words.edge).astype("<i8").tobytes()], [_squeezed(words.data)], [part])
                 value = _distinct(np.concatenate(asked))
                 order, which, edge = _dealt(_above(value, depth, short), buckets)
@@ -400,6 +433,8 @@ def _answer(short_tree, depth: int, least: int, gain: float):
         shallow: Tree = short_tree.value
         now, tree = None, None
         have: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[int, np.ndarray]] = []
+        n_waiting = 0
         counts: dict[bytes, int] = {}
 
         def grown() -> Tree:
@@ -410,6 +445,26 @@ def _answer(short_tree, depth: int, least: int, gain: float):
                 out.levels.append(_level(out, *level, d, least, gain))
             return out
 
+        def looked_up() -> list[tuple]:
+            """Answers on the grams that wait: one that many blocks ask for is looked up once."""
+            nonlocal tree, n_waiting
+            if not waiting:
+                return []
+            if tree is None:
+                tree = grown()
+                have.clear()
+            value = np.concatenate([v for _, v in waiting])
+            order = np.argsort(value)
+            value = value[order]
+            start = _starts(value)
+            logs = np.empty(len(value), "<f4")
+            logs[order] = np.repeat(np.log10(tree.probability(value[start], depth)).astype("<f4"), np.diff(np.append(start, len(value))))
+            each = np.split(logs, np.cumsum([len(v) for _, v in waiting])[:-1])
+            rows = [(now, ASKED_GRAMS, block, None, x.tobytes(), 0) for (block, _), x in zip(waiting, each)]
+            waiting.clear()
+            n_waiting = 0
+            return rows
+
         def sent(out: list[tuple]) -> pa.RecordBatch:
             kinds = pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["bucket", "kind", "block", "key", "rows", "n"])
@@ -418,7 +473,9 @@ def _answer(short_tree, depth: int, least: int, gain: float):
             out: list[tuple] = []
             held = 0
             for bucket, kind, block, key, rows, n in zip(*(batch.column(k) for k in range(6))):
-                bucket, kind = bucket.as_py(), kind.as_py()
+                bucket, kind, before = bucket.as_py(), kind.as_py(), len(out)
+                if bucket != now or kind != ASKED_GRAMS or n_waiting >= TOGETHER:
+                    out += looked_up()
                 if bucket != now:
                     now, tree, have, counts = bucket, None, [], {}
                 if kind == GRAMS:
@@ -428,40 +485,54 @@ def _answer(short_tree, depth: int, least: int, gain: float):
                 elif kind == WORDS:
                     counts.update(zip(key.as_py().split(b" "), _from_planes(rows.as_py()).tolist()))
                 elif kind == ASKED_GRAMS:
-                    if tree is None:
-                        tree, have = grown(), []
-                    out.append((bucket, kind, block.as_py(), None, np.log10(tree.probability(_unpacked(rows.as_py()), depth)).astype("<f4").tobytes(), 0))
+                    waiting.append((block.as_py(), _unpacked(rows.as_py())))
+                    n_waiting += len(waiting[-1][1])
                 elif kind == ASKED_WORDS:
                     names = rows.as_py().split(b" ")
                     out.append((bucket, kind, block.as_py(), None, _planes(np.fromiter(map(counts.get, names, repeat(0)), np.int64, len(names))), 0))
                 else:
                     out.append((bucket, kind, block.as_py(), key.as_py(), rows.as_py(), n.as_py()))
-                if out and kind not in (GRAMS, WORDS):
-                    held += len(out[-1][4])
-                    if held > PART_BYTES:
-                        yield sent(out)
-                        out, held = [], 0
+                held += sum(len(row[4]) for row in out[before:])
+                if held > PART_BYTES:
+                    yield sent(out)
+                    out, held = [], 0
             if out:
                 yield sent(out)
             del batch
             give_back()
+        if waiting:
+            yield sent(looked_up())
 
     return run
 
 
-def _owned(value: np.ndarray, begin: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By group of texts: the distinct numbers of ``grams``, how often each occurs, and the text in the group of each occurrence.
+def _owned(value: np.ndarray, begin: np.ndarray, depth: int, bits: int = 8) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By group of texts: the distinct numbers of ``grams``, how often each occurs, and the text in the group of each occurrence. A symbol of a number takes ``bits`` bits.
 
     The texts of a group are told apart by the bits a number leaves free, so one plain sort brings equal numbers together and keeps whose they are."""
-    free = np.uint64(64 - 8 * (depth + 1))
+    free = np.uint64(64 - bits * (depth + 1))
     edge, out = np.append(begin, len(value)), []
     for a in range(0, len(begin), 1 << int(free)):
         b = min(a + (1 << int(free)), len(begin))
-        owner = np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(edge[a : b + 1]))
-        both = np.sort(value[edge[a] : edge[b]] << free | owner)
-        found, owner = both >> free, (both & np.uint64((1 << int(free)) - 1)).astype(np.uint8 if free <= 8 else np.int32 if free <= 31 else np.int64)
+        both = value[edge[a] : edge[b]] << free
+        both |= np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(edge[a : b + 1]))
+        both.sort()
+        found = both >> free
         start = _starts(found)
-        out.append((found[start], np.diff(np.append(start, len(found))).astype(np.int32), owner))
+        times = np.diff(np.append(start, len(found))).astype(np.int32)
+        found = found[start]
+        both &= np.uint64((1 << int(free)) - 1)
+        out.append((found, times, both.astype(np.uint8 if free <= 8 else np.int32 if free <= 31 else np.int64)))
+    return out
+
+
+def _sums(logs: np.ndarray, times: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Per text of a group, each of which has one occurrence at least, the sum of ``logs`` over its occurrences; a part of them at a time."""
+    texts = int(owner.max()) + 1
+    out, edge = np.zeros(texts), np.append(0, np.cumsum(times, dtype=np.int64))
+    for a in range(0, len(times), 1 << 18):
+        j = slice(a, a + (1 << 18))
+        out += np.bincount(owner[edge[a] : edge[min(a + (1 << 18), len(times))]], weights=np.repeat(logs[j], times[j]), minlength=texts)
     return out
 
 
@@ -478,38 +549,55 @@ def _sum_up(frequent, depth: int, short: int, buckets: int, tokens: int, kinds:
             at = np.flatnonzero(kind == of)
             return np.concatenate([np.zeros(0), *(read(rows[i].as_py()) for i in at[np.argsort(place[at])].tolist())])
 
-        ids, nulls, parts = [], [], []
+        ids, nulls, data, edges = [], [], [], []
+        occurs = np.zeros(256, bool)
+        occurs[[32, END]] = True
         at = np.flatnonzero(kind == TEXTS)
         for i in at[np.argsort(number[at])].tolist():
-            facts, data = keys[i].as_py(), _whole(rows[i].as_py())
+            facts = keys[i].as_py()
+            data.append(_whole(rows[i].as_py()))
+            occurs[data[-1]] = True
             m = len(facts) // 17
             ids.append(np.frombuffer(facts, "<i8", m))
             nulls.append(np.frombuffer(facts, np.uint8, m, 8 * m))
-            edge = np.concatenate([[0], np.cumsum(np.frombuffer(facts, "<i8", m, 9 * m))]).astype(np.int64)
-            words = Words(pa.LargeStringArray.from_buffers(m, pa.py_buffer(edge.tobytes()), pa.py_buffer(data)), lower=True)
+            edges.append(np.append(0, np.cumsum(np.frombuffer(facts, "<i8", m, 9 * m))).astype(np.int64))
+        # a number of the bytes' ranks is shorter and sorts alike: the bits it leaves tell all texts of most blocks apart
+        code, symbol = (np.cumsum(occurs) - 1).astype(np.uint8), np.flatnonzero(occurs).astype(np.uint64)
+        bits = (len(symbol) - 1).bit_length()
+        parts, values, begins, done = [], [], [], 0
+        for edge, raw in zip(edges, data):
+            words = Words(pa.LargeStringArray.from_buffers(len(edge) - 1, pa.py_buffer(edge.tobytes()), pa.py_buffer(raw)))
             of_word, word = np.unique(words.hashes(), return_inverse=True)
-            value, begin = grams(*symbols(words, depth), depth)
-            parts.append((np.diff(words.first), of_word, word.astype(np.int32), _owned(value, begin, depth)))
-            del words, value, word
-            give_back()
-        value = _distinct(np.concatenate([g[0] for p in parts for g in p[3]]))
+            parts.append((np.diff(words.first), of_word, word.astype(np.int32)))
+            stream, starts = symbols(words, depth)
+            value, begin = grams(code[stream], starts, depth, bits)
+            values.append(value)
+            begins.append(begin + done)
+            done += len(value)
+        del data, words, stream, value, word
+        give_back()
+        value = np.concatenate(values)
+        del values
+        owned = _owned(value, np.concatenate(begins), depth, bits)
+        value = owned[0][0] if len(owned) == 1 else _distinct(np.concatenate([found for found, _, _ in owned]))
         logs = np.zeros(len(value))
-        logs[_dealt(_above(value, depth, short), buckets)[0]] = answers(ASKED_GRAMS, lambda raw: np.frombuffer(raw, "<f4"))
+        logs[_dealt(_above(_plain(value, symbol, depth, bits), depth, short), buckets)[0]] = answers(ASKED_GRAMS, lambda raw: np.frombuffer(raw, "<f4"))
+        score = [_sums(logs if len(owned) == 1 else logs[np.searchsorted(value, found)], times, owner) for found, times, owner in owned]
+        del owned
         hashes = _distinct(np.concatenate([p[1] for p in parts]))
         here, i = _is_in(hashes, often)
         c = np.zeros(len(hashes))
         c[here] = often_n[i[here]]
         asked = np.flatnonzero(~here)
         c[asked[_dealt(hashes[asked], buckets)[0]]] = answers(ASKED_WORDS, lambda raw: _from_planes(raw).astype(np.int64))
-        total, known, base, score = [], [], [], []
-        for count, of_word, word, owned in parts:
+        total, known, base = [], [], []
+        for count, of_word, word in parts:
             m = len(count)
             times = c[np.searchsorted(hashes, of_word)][word]
             row = np.repeat(np.arange(m), count)
             total.append(count + 1)
             known.append(np.bincount(row, weights=times > 0, minlength=m).astype(np.int64) + int(ends > 0))
             base.append(np.bincount(row, weights=np.log10(times + 1), minlength=m) + np.log10(ends + 1.0) - (count + 1) * each)
-            score += [np.bincount(owner, weights=np.repeat(logs[np.searchsorted(value, found)], times)) for found, times, owner in owned]
         del parts
         give_back()
         total, known, base, score = (np.concatenate(x) for x in (total, known, base, score))

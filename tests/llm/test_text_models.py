@@ -280,6 +280,61 @@ def test_occurrences_of_many_short_texts_keep_their_text(depth):
     assert got.tolist() == np.add.reduceat((value % 1009).astype(float), begin).tolist()
 
 
+def test_what_many_blocks_ask_is_looked_up_once(monkeypatch):
+    rng = random.Random(23)
+    texts = [lm_score.pa.array([prose(rng, 60, 30) for _ in range(n)]) for n in (30, 3, 5, 4)]
+    batch = lambda column: lm_score.pa.RecordBatch.from_arrays([column], names=["text"])
+    distinct = [np.unique(lm_score.grams(*lm_score.symbols(lm_score.Words(t, lower=True), 6), 6)[0]) for t in texts]
+    asked = [lm_score._rows([0], lm_score.ASKED_GRAMS, i, [None], [lm_score._packed(v)], [0]) for i, v in enumerate([*distinct[1:], *distinct[1:]])]
+    nothing = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0)
+    shallow = type("Sent", (), {"value": lm_score.Tree(np.full(256, 1 / 256), [nothing] * 3)})
+    sought, plain = [], lm_score.Tree.probability
+    monkeypatch.setattr(lm_score.Tree, "probability", lambda self, value, depth: sought.append(len(value)) or plain(self, value, depth))
+
+    def answers():
+        sought.clear()
+        out = lm_score._answer(shallow, 6, 4, 8.0)(iter([*lm_score._dealt_grams(6, 3, 1)(iter([batch(texts[0])])), *asked]))
+        return {r["block"]: np.frombuffer(r["rows"], "<f4").tolist() for b in out for r in b.to_pylist()}
+
+    got = answers()
+    assert sought[3:] == [len(np.unique(np.concatenate(distinct[1:])))]  # the first three build the levels
+    assert [len(got[i]) for i in range(6)] == 2 * [len(v) for v in distinct[1:]] and [got[i] for i in range(3)] == [got[i] for i in range(3, 6)]
+    monkeypatch.setattr(lm_score, "TOGETHER", 1)
+    assert answers() == got and len(sought) == 3 + 6
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 6, 7])
+def test_numbers_of_symbols_by_definition(depth):
+    rng = random.Random(24)
+    some = "aBé漢 \t\n\x0b\x0c\r\x08\x0e\x1f."
+    for n in range(40):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice(some) for _ in range(rng.randint(0, 12))) for _ in range(n % 8)]
+        found = lm_score.Words(lm_score.pa.array(texts, lm_score.pa.string()), lower=True)
+        stream, starts = lm_score.symbols(found, depth)
+        want = [(" " * depth + " ".join(words(t, lower=True)) + "\n").encode() for t in texts]
+        assert stream.tobytes() == b"".join(want) and starts.tolist() == [sum(map(len, want[:i])) + depth for i in range(len(want))]
+        numbers = [int.from_bytes(w[i - depth : i][::-1] + w[i : i + 1], "big") for w in want for i in range(depth, len(w))]
+        assert lm_score.grams(stream, starts, depth)[0].tolist() == numbers
+        symbol = np.unique(np.append(stream, [10, 32])).astype(np.uint64)
+        bits = (len(symbol) - 1).bit_length()
+        coded, begin = lm_score.grams(np.searchsorted(symbol, stream).astype(np.uint8), starts, depth, bits)
+        assert begin.tolist() == lm_score.grams(stream, starts, depth)[1].tolist() and lm_score._plain(coded, symbol, depth, bits).tolist() == numbers
+        assert np.argsort(coded, kind="stable").tolist() == sorted(range(len(numbers)), key=numbers.__getitem__)
+
+
+def test_scores_of_more_texts_than_a_number_can_tell_apart(spark):
+    rng = random.Random(25)
+    wide = "".join(map(chr, [*range(33, 0x800), *range(0x800, 0xD800, 64), *range(0x10000, 0x110000, 4096)]))  # more than 128 different bytes leave 8 bits
+    texts = {0: wide} | {i: prose(rng, rng.randint(0, 6), 30) for i in range(1, 700)}
+    docs = table(spark, texts).coalesce(1)
+    probability, states = plain_tree([texts[i] for i in range(400)], 6, 0, 8.0)
+    got = lm_score.score(docs, docs.where("doc_id < 400")).collect()
+    assert len(got) == 700 and len(states) > 20
+    for r in got:
+        data = (" " * 6 + " ".join(words(texts[r.doc_id], lower=True)) + "\n").encode()
+        assert r.score == pytest.approx(sum(math.log10(probability(data[i - 6 : i], data[i])) for i in range(6, len(data))), rel=1e-6)
+
+
 def test_secrets_held_out_and_edge_cases(spark):
     rng = random.Random(13)
     texts = {}
