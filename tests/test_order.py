@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from flowsieve import fixed
 from flowsieve.operators import correlate, learn, packets as K, triage
 from flowsieve.operators import distributed as X
 
@@ -233,3 +234,20 @@ def test_related_and_campaigns(spark):
     view = triage.campaign_view(df, samples=5).collect()
     by = {(r.source_ip, r.family): r for r in view}
     assert by[("a", None)]["count"] == 15 and by[("a", None)].sample_ids == ["p28", "p26", "p24", "p22", "p20"] and by[("a", "DoS")].newest.id == "p29"
+
+
+def test_a_hierarchy_reads_its_training_rows_a_few_times(spark):
+    """Every fit passes over its rows again and again; the plan behind them must not run each time."""
+    families = list(fixed.LEAVES_OF_FAMILY.items())
+    read = spark.sparkContext.accumulator(0)
+    data = [(i, (leaves := families[i % len(families)][1])[i // 6 % len(leaves)], float(i % 13), float(i % 5)) for i in range(600)]
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    train = spark.createDataFrame([(i, "Benign" if i % 7 == 0 else leaf, a, b) for i, leaf, a, b in data], "id long, label string, a double, b double").mapInPandas(counted, "id long, label string, a double, b double")
+    model = learn.fit_hierarchy(train, ["a", "b"], trees=2, depth=2)
+    assert set(model.leaf) == {name for name, leaves in families if len(leaves) > 1}
+    assert read.value <= 600 * 10
