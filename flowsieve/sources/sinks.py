@@ -112,9 +112,9 @@ def session_log_rows(events: DataFrame) -> DataFrame:
 
 
 def write_session_log(events: DataFrame, folder: str, batch_id: int) -> None:
-    """One batch of the session log: flat CSV and complete JSON lines; a retry replaces its own files."""
-    session_log_rows(events).write.mode("overwrite").option("emptyValue", "").csv(f"{folder}/csv/batch={batch_id}", header=True)
-    events.write.mode("overwrite").json(f"{folder}/ndjson/batch={batch_id}")
+    """One batch of the session log: flat CSV and complete JSON lines, both gzipped, since the lines repeat the attack knowledge; a retry replaces its own files."""
+    session_log_rows(events).write.mode("overwrite").option("emptyValue", "").option("compression", "gzip").csv(f"{folder}/csv/batch={batch_id}", header=True)
+    events.write.mode("overwrite").option("compression", "gzip").json(f"{folder}/ndjson/batch={batch_id}")
 
 
 def export_rows(df: DataFrame) -> DataFrame:

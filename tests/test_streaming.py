@@ -277,3 +277,23 @@ def test_live_job(spark, sf, tmp_path):
     log = spark.read.option("header", True).csv(f"{out}/session/csv/*")
     logged = {r.verdict: r["count"] for r in log.groupBy("verdict").count().collect()}
     assert logged == {v: n for v, n in expect.items() if v != "benign"}
+
+
+def test_the_live_job_keeps_no_wide_rows(spark, sf, tmp_path, monkeypatch):
+    """What a batch keeps beside its output are narrow tables that go with it; the session log is compressed."""
+    flows = D.scored(spark, sf).select("flow_id", *correlate.KEY, "first_seen_ms", "prediction", "confidence", "severity", "attack_type", "family", "stage1_p", "stage2_p", "stage3_p", "stage2_probs", "stage3_probs")
+    alerts = D.alerts(spark, sf).drop("o")
+    out, held = str(tmp_path / "out"), []
+    append = L.sinks.append_live
+    monkeypatch.setattr(L.sinks, "append_live", lambda *args: (held.append(len(spark.sparkContext._jsc.getPersistentRDDs())), append(*args)))
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    job = L.live_job(spark, f"{out}/held", out, enrich.default_kb(spark), None, D.as_of())
+    job.take(L.sides(flows.filter("first_seen_ms is not null").limit(200), alerts.limit(200)), 0)
+    job.finish()
+    assert held == [before] * 2
+    assert not list((tmp_path / "out" / "held" / "in").glob("batch=*")) and not list((tmp_path / "out" / "held" / "events").glob("batch=*"))
+    for kind in ("csv", "ndjson"):
+        parts = list((tmp_path / "out" / "session" / kind / "batch=0").glob("part-*"))
+        assert parts and all(p.name.endswith(".gz") for p in parts)
+    logged = spark.read.json(f"{out}/session/ndjson/*")
+    assert logged.count() == L.read_queue(spark, out).count() == spark.read.option("header", True).csv(f"{out}/session/csv/*").count() > 0
